@@ -1,25 +1,58 @@
 """Registered queries: each takes (spark, sf_dir) and returns a DataFrame.
 
 Inputs are listings derived from the given tables (``sources.derived``)
-and the fixture rules (``sources.rules``).
+and the fixture rules (``sources.rules``); ``oracle_sql.ORACLE`` holds the
+DuckDB SQL that recomputes each one.
 """
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.names import DEFAULT_FILE_EXCLUSIONS, file_excluded
-from .operators.grouping import NameGrouping
+from .functions.names import (BLOCK_DIR_EXCLUSIONS, DEFAULT_FILE_EXCLUSIONS, base_name,
+                              file_excluded, folder_excluded)
+from .operators import apply as dml
+from .operators.blocks import datablock as stamp_blocks
+from .operators.blocks import generate_rows as rows_from_cells
+from .operators.blocks import long_cells, nested_blocks, override_headers
+from .operators.diff import change_summary as summarize_changes
+from .operators.diff import file_changes as diff_files
+from .operators.diff import folder_diff as diff_folders
+from .operators.grouping import NameGrouping, name_keys, name_parts
+from .operators.stats import folder_stats as stats_of
+from .operators.stats import stat_drift as drift_of
+from .operators.stats import stats_refresh
+from .plans.build import build_blocks
+from .plans.build import incremental_blocks as rebuild_changed
+from .plans.sync import gate_status, initial_load
+from .plans.sync import sync as run_sync
+from .session import scratch_path
+from .sinks.files import csv_lines, json_dump
 from .sources import derived
-from .sources.rules import rules_frame
+from .sources.listing import (folders_with_file, scan_files, scan_folders)
+from .sources.listing import glob_search as search_glob
+from .sources.listing import listed_names as explode_lists
+from .sources.rules import assign_rules, folder_rules, rule_conflicts as conflicts_of, rules_frame
+from .sources.store import VersionedStore
 from .sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Fixed parameters of the registered queries.
+FOLDER_EXCLUSIONS = ("f3", "g7", "run_15")
+GLOB_PATTERN = "*_R1_*.fastq.gz"
+REQUIRED_NAME = "doc_10.txt"
+LOOKUP_FOLDER = "/corpus/src3/en"
+READ_BLOCK = "/data/run_03"
+OVERRIDE_HEADERS = ["left", "right"]
+ROW_HEADERS = ["type", "user"]
+PUBLISHED_AT = dt.datetime(2024, 1, 15, 12, 0, 0)
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -37,14 +70,263 @@ def catalog(t: Tables) -> DataFrame:
             .unionByName(derived.events_listing(t)))
 
 
-def _grouping(spark: SparkSession, sf_dir: str) -> NameGrouping:
-    return NameGrouping(catalog(Tables(spark, sf_dir)), rules_frame(spark))
+def all_listings(t: Tables) -> DataFrame:
+    return catalog(t).unionByName(derived.docs_new(t))
+
+
+def _t(spark, sf_dir) -> Tables:
+    return Tables(spark, sf_dir)
+
+
+def _grouping(spark, sf_dir) -> NameGrouping:
+    return NameGrouping(catalog(_t(spark, sf_dir)), rules_frame(spark))
+
+
+def _joined(arr, field: str | None = None, sep: str = ","):
+    if field is not None:
+        arr = F.transform(arr, lambda e: e[field])
+    return F.array_join(arr, sep)
+
+
+def _stored_old(t: Tables):
+    """Previous snapshot: stored folders (ids by path; totals as stored,
+    some stale) and stored files (ids by folder path, name)."""
+    folders, files = dml.initial_snapshot(derived.docs_old(t))
+    stored = derived.folders_old(t).join(folders.select("id", "path"), "path").select(*dml.FOLDER_COLUMNS)
+    return stored, files
+
+
+# ---------------------------------------------------------------- scans
+
+@query
+def folder_scan(spark, sf_dir):
+    return scan_folders(all_listings(_t(spark, sf_dir)), FOLDER_EXCLUSIONS)
+
+
+@query
+def file_scan(spark, sf_dir):
+    return scan_files(derived.messy_listing(_t(spark, sf_dir)))
+
+
+@query
+def name_scan(spark, sf_dir):
+    return kept(derived.messy_listing(_t(spark, sf_dir)), BLOCK_DIR_EXCLUSIONS).select("folder_path", "name")
+
+
+@query
+def glob_search(spark, sf_dir):
+    return search_glob(derived.messy_listing(_t(spark, sf_dir)), GLOB_PATTERN)
+
+
+@query
+def folders_missing_file(spark, sf_dir):
+    listing = derived.docs_new(_t(spark, sf_dir))
+    return folders_with_file(listing.select("folder_path").distinct(), listing, REQUIRED_NAME)
+
+
+@query
+def rules_by_folder(spark, sf_dir):
+    folders = all_listings(_t(spark, sf_dir)).select("folder_path").distinct()
+    fr = folder_rules(folders, rules_frame(spark))
+    return folders.join(fr, "folder_path", "left").select(
+        "folder_path", "folder_prefix", "version",
+        F.size(F.coalesce("header", F.array().cast("array<string>"))).alias("n_header"))
+
+
+@query
+def snapshot_folders(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "snapshot"))
+    initial_load(store, derived.docs_old(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    return store.read("folders")
+
+
+@query
+def snapshot_files(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "snapshot"))
+    initial_load(store, derived.docs_old(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    return store.read("files")
+
+
+@query
+def files_for_folder(spark, sf_dir):
+    folders, files = dml.initial_snapshot(derived.docs_old(_t(spark, sf_dir)))
+    f = folders.where(F.col("path") == LOOKUP_FOLDER).select(F.col("id").alias("folder_id"))
+    return files.join(f, "folder_id").select("id", "folder_id", "name", "size")
+
+
+@query
+def folder_id_lookup(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = _stored_old(t)
+    new = derived.docs_new(t)
+    fdiff = diff_folders(stats_of(new), folders)
+    changes = diff_files(new, files)
+    upserted = dml.apply_folder_diffs(folders, fdiff)
+    return dml.lookup_folder_ids(changes, upserted).select("change_type", "folder_path", "name", "folder_id")
+
+
+@query
+def datablock_read(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "publish"))
+    initial_load(store, catalog(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    return long_cells(store.read("block_rows"))
+
+
+@query
+def fileblock_read(spark, sf_dir):
+    store = VersionedStore(spark, scratch_path(spark, "publish"))
+    initial_load(store, derived.runs_listing(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    return long_cells(store.read_block(READ_BLOCK))
+
+
+@query
+def listed_names(spark, sf_dir):
+    docs = _t(spark, sf_dir).documents.select("doc_id", "text")
+    lists = docs.select(F.concat(F.lit("/docs/"), F.col("doc_id").cast("string")).alias("folder_path"),
+                        F.split("text", "\n").alias("names"))
+    return explode_lists(lists)
+
+
+# ---------------------------------------------------------- predicates
+
+@query
+def exclude_files(spark, sf_dir):
+    m = derived.messy_listing(_t(spark, sf_dir))
+    return m.select("folder_path", "name", file_excluded("name", DEFAULT_FILE_EXCLUSIONS).alias("excluded"))
+
+
+@query
+def exclude_folders(spark, sf_dir):
+    f = all_listings(_t(spark, sf_dir)).select("folder_path").distinct()
+    return f.select("folder_path", base_name("folder_path").alias("folder_name"),
+                    folder_excluded(base_name("folder_path"), FOLDER_EXCLUSIONS).alias("excluded"))
+
+
+@query
+def size_rule_filter(spark, sf_dir):
+    m = assign_rules(kept(derived.messy_listing(_t(spark, sf_dir))), rules_frame(spark))
+    in_range = (F.col("size") >= F.col("min_size")) & ((F.col("max_size") <= 0) | (F.col("size") <= F.col("max_size")))
+    return m.where(in_range).select("folder_path", "name", "size")
+
+
+# ----------------------------------------------------- scalar functions
+
+@query
+def split_names(spark, sf_dir):
+    m = assign_rules(kept(derived.messy_listing(_t(spark, sf_dir))), rules_frame(spark))
+    p = name_parts(m)
+    return p.select("folder_path", "name", F.size("parts").alias("n_parts"),
+                    F.array_join("parts", "|").alias("parts"))
+
+
+@query
+def row_col_keys(spark, sf_dir):
+    keyed = name_keys(assign_rules(catalog(_t(spark, sf_dir)), rules_frame(spark)))
+    return keyed.select("folder_path", "name", "row_key", "col_key")
+
+
+@query
+def block_names(spark, sf_dir):
+    f = all_listings(_t(spark, sf_dir)).select("folder_path").distinct()
+    return f.select("folder_path", F.concat(base_name("folder_path"), F.lit("files.pb")).alias("block_file"))
+
+
+@query
+def generate_rows(spark, sf_dir):
+    e = _t(spark, sf_dir).events.select(
+        "event_id", F.array("event_type", F.col("user_id").cast("string"), "props").alias("cells"))
+    rows = generate_rows_of(e)
+    return rows.select("row_number", F.explode("cells").alias("header", "cell"))
+
+
+def generate_rows_of(e: DataFrame) -> DataFrame:
+    return rows_from_cells(e, "cells", ["event_id"], ROW_HEADERS)
+
+
+# -------------------------------------------------------------- joins
+
+@query
+def folder_diff(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, _ = _stored_old(t)
+    return diff_folders(stats_of(derived.docs_new(t)), folders)
+
+
+@query
+def file_changes(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    _, files = _stored_old(t)
+    return diff_files(derived.docs_new(t), files)
 
 
-def _joined(entries, field: str):
-    return F.array_join(F.transform(entries, lambda e: e[field]), ",")
+@query
+def cascade_delete(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = _stored_old(t)
+    live = derived.docs_new(t).select("folder_path").distinct()
+    kept_folders = folders.join(live.select(F.col("folder_path").alias("path")), "path", "left_semi")
+    return dml.cascade_delete(files, kept_folders).select("id", "folder_id", "name", "size")
 
 
+@query
+def rule_join(spark, sf_dir):
+    j = assign_rules(catalog(_t(spark, sf_dir)), rules_frame(spark))
+    return j.select("folder_path", "name", "folder_prefix", "version", F.size("header").alias("n_header"))
+
+
+# ------------------------------------------------------- aggregations
+
+@query
+def folder_stats(spark, sf_dir):
+    return stats_of(all_listings(_t(spark, sf_dir)))
+
+
+@query
+def folder_stats_refresh(spark, sf_dir):
+    folders, files = _stored_old(_t(spark, sf_dir))
+    return stats_refresh(folders, files)
+
+
+@query
+def stat_drift(spark, sf_dir):
+    folders, files = _stored_old(_t(spark, sf_dir))
+    return drift_of(folders, files)
+
+
+@query
+def group_files_long(spark, sf_dir):
+    return _grouping(spark, sf_dir).cells.select("folder_path", "row_key", "col_key", "name", "n_names")
+
+
+@query
+def group_files(spark, sf_dir):
+    r = _grouping(spark, sf_dir).numbered_rows()
+    return r.select("folder_path", r["row_index"].cast("int").alias("row_index"), "row_key", "n_cols",
+                    F.col("first_seen").alias("first_name"))
+
+
+@query
+def column_keys(spark, sf_dir):
+    return _grouping(spark, sf_dir).column_keys()
+
+
+@query
+def rule_conflicts(spark, sf_dir):
+    folders = all_listings(_t(spark, sf_dir)).select("folder_path").distinct()
+    fr = conflicts_of(folder_rules(folders, rules_frame(spark)))
+    return fr.select("folder_path", "folder_prefix", "valid", "conflict_parts")
+
+
+@query
+def change_summary(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = _stored_old(t)
+    new = derived.docs_new(t)
+    return summarize_changes(diff_folders(stats_of(new), folders), diff_files(new, files))
+
+
+# ------------------------------------------------- window-shaped logic
+
 @query
 def valid_groups(spark, sf_dir):
     """Valid rows of every folder, numbered by first appearance."""
@@ -53,3 +335,171 @@ def valid_groups(spark, sf_dir):
                     F.col("first_seen").alias("first_name"), "n_cols",
                     _joined("entries", "col_key").alias("col_keys"),
                     _joined("entries", "name").alias("names"))
+
+
+@query
+def cell_collisions(spark, sf_dir):
+    return _grouping(spark, sf_dir).collisions()
+
+
+# ---------------------------------------------------------- set ops
+
+@query
+def invalid_files(spark, sf_dir):
+    return _grouping(spark, sf_dir).invalid_files().select("folder_path", "name")
+
+
+@query
+def insert_if_absent(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return dml.insert_if_absent(derived.docs_old(t), derived.docs_new(t), ["folder_path", "name"])
+
+
+# ------------------------------------------------------------ blocks
+
+def _blocks(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    return build_blocks(catalog(t).unionByName(derived.docs_old(t)), rules_frame(spark))
+
+
+@query
+def fileblock_rows(spark, sf_dir):
+    return long_cells(_blocks(spark, sf_dir).block_rows)
+
+
+@query
+def fileblock(spark, sf_dir):
+    h = _blocks(spark, sf_dir).block_heads
+    return h.select("block_id", _joined("column_headers").alias("column_headers"), "n_rows",
+                    "rule_version", "block_file")
+
+
+@query
+def block_rejects(spark, sf_dir):
+    return _blocks(spark, sf_dir).rejects
+
+
+@query
+def block_header_override(spark, sf_dir):
+    h = override_headers(_blocks(spark, sf_dir).block_heads, OVERRIDE_HEADERS)
+    return h.select("block_id", _joined("column_headers").alias("column_headers"), "n_rows")
+
+
+@query
+def datablock(spark, sf_dir):
+    d = stamp_blocks(_blocks(spark, sf_dir).block_heads, PUBLISHED_AT)
+    return d.select("block_id", "n_rows", "rule_version", "updated_at")
+
+
+@query
+def incremental_blocks(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rules = rules_frame(spark)
+    old, new = derived.docs_old(t), derived.docs_new(t)
+    before = build_blocks(old, rules)
+    folders, files = _stored_old(t)
+    changed = (diff_files(new, files).select("folder_path")
+               .unionByName(diff_folders(stats_of(new), folders).select(F.col("path").alias("folder_path")))
+               .distinct())
+    _, rows = rebuild_changed(before.block_heads, before.block_rows, new, rules, changed)
+    return long_cells(rows)
+
+
+@query
+def datablock_dump(spark, sf_dir):
+    b = build_blocks(derived.runs_listing(_t(spark, sf_dir)), rules_frame(spark))
+    return json_dump(nested_blocks(b.block_rows, b.block_heads))
+
+
+# -------------------------------------------------------- snapshot DML
+
+@query
+def initial_snapshot(spark, sf_dir):
+    _, files = dml.initial_snapshot(derived.docs_old(_t(spark, sf_dir)))
+    return files
+
+
+@query
+def apply_folder_diffs(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, _ = _stored_old(t)
+    return dml.apply_folder_diffs(folders, diff_folders(stats_of(derived.docs_new(t)), folders))
+
+
+@query
+def apply_file_changes(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = _stored_old(t)
+    new = derived.docs_new(t)
+    upserted = dml.apply_folder_diffs(folders, diff_folders(stats_of(new), folders))
+    return dml.apply_file_changes(files, diff_files(new, files), upserted)
+
+
+@query
+def snapshot_apply(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rules = rules_frame(spark)
+    store = VersionedStore(spark, scratch_path(spark, "apply"))
+    initial_load(store, derived.docs_old(t), rules, PUBLISHED_AT)
+    run_sync(store, derived.docs_new(t), rules, updated_at=PUBLISHED_AT + dt.timedelta(days=1))
+    return store.read("files")
+
+
+@query
+def clear_snapshot(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = dml.initial_snapshot(derived.docs_old(t))
+    empty_folders = folders.limit(0)
+    before = (folders.select(F.lit("folders").alias("table_name"))
+              .unionByName(files.select(F.lit("files").alias("table_name"))))
+    after = dml.cascade_delete(files, empty_folders).select(F.lit("files").alias("table_name"))
+    b = before.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_before"))
+    a = after.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_after"))
+    return b.join(a, "table_name", "left").select(
+        "table_name", "rows_before", F.coalesce("rows_after", F.lit(0)).cast("bigint").alias("rows_after"))
+
+
+# ------------------------------------------------------------- sinks
+
+@query
+def csv_layout(spark, sf_dir):
+    g = _grouping(spark, sf_dir)
+    b = build_blocks(catalog(_t(spark, sf_dir)), rules_frame(spark))
+    return csv_lines(b.valid, g.column_keys(), b.block_heads)
+
+
+# ------------------------------------------------ versioning and jobs
+
+@query
+def version_gate(spark, sf_dir):
+    e = _t(spark, sf_dir).events
+    clients = e.groupBy("user_id").agg(F.max("ts").alias("client_updated_at"))
+    status = gate_status(F.col("client_updated_at"), PUBLISHED_AT)
+    return clients.select(F.col("user_id").alias("client_id"), "client_updated_at",
+                          status.alias("status"), (status == "no_update").alias("no_update"))
+
+
+@query
+def diff_all(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    folders, files = _stored_old(t)
+    new = derived.docs_new(t)
+    fd = diff_folders(stats_of(new), folders).select(
+        F.lit("folder").alias("kind"),
+        F.when(F.col("folder_id") == 0, "new").otherwise("changed").alias("change_type"),
+        F.col("path").alias("folder_path"), F.lit(None).cast("string").alias("name"),
+        F.col("disk_total_size").alias("disk_size"), F.col("db_total_size").alias("db_size"))
+    fc = diff_files(new, files).select(F.lit("file").alias("kind"), "change_type", "folder_path",
+                                       "name", "disk_size", "db_size")
+    return fd.unionByName(fc)
+
+
+@query
+def sync(spark, sf_dir):
+    t = _t(spark, sf_dir)
+    rules = rules_frame(spark)
+    store = VersionedStore(spark, scratch_path(spark, "sync"))
+    first = run_sync(store, derived.docs_old(t), rules, updated_at=PUBLISHED_AT)
+    second = run_sync(store, derived.docs_new(t), rules, updated_at=PUBLISHED_AT + dt.timedelta(days=1))
+    third = run_sync(store, derived.docs_new(t), rules, updated_at=PUBLISHED_AT + dt.timedelta(days=2))
+    return first.unionByName(second).unionByName(third)
