@@ -50,12 +50,12 @@ def nested_blocks(block_rows: DataFrame, block_heads: DataFrame,
 
 
 def datablock(block_heads: DataFrame, updated_at) -> DataFrame:
-    """The block set stamped with one publish time (taken once by the
-    caller, so every block of a version carries the same stamp). Raises on
-    an empty block set."""
+    """The block set stamped with one publish time (UTC wall clock, taken
+    once by the caller, so every block of a version carries the same
+    stamp). Raises on an empty block set."""
     if block_heads.limit(1).count() == 0:
         raise ValueError("no input file blocks provided")
-    return block_heads.withColumn("updated_at", F.lit(updated_at).cast("timestamp"))
+    return block_heads.withColumn("updated_at", F.lit(str(updated_at)).cast("timestamp_ntz"))
 
 
 def generate_rows(data: DataFrame, cells: str, order_by: list[str],

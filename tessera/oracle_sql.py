@@ -79,9 +79,14 @@ where not (contains(name, '.json') or name = 'invalid_files' or contains(name, '
 
 CATALOG = "select * from runs union all select * from messy_kept union all select * from events_l"
 
-# nearest-ancestor rule per folder
+# nearest-ancestor rule per folder, with the rule check (no part index used
+# twice, none negative, no empty delimiter)
 FOLDER_RULES = """
-select folder_path, folder_prefix, version, delimiter, header, row_parts, col_parts, min_size, max_size from (
+select folder_path, folder_prefix, version, delimiter, header, row_parts, col_parts, min_size, max_size,
+       len(list_distinct(list_concat(row_parts, col_parts))) = len(list_concat(row_parts, col_parts))
+       and len(list_filter(list_concat(row_parts, col_parts), lambda i: i < 0)) = 0
+       and len(list_filter(delimiter, lambda d: d = '')) = 0 as ok
+from (
   select c.folder_path, r.*, row_number() over (partition by c.folder_path order by c.depth desc) as rk
   from (select folder_path, unnest(pfx) as folder_prefix, generate_subscripts(pfx, 1) as depth
         from (select folder_path,
@@ -98,13 +103,64 @@ select folder_path, name, size,
                                    lambda x: x is not null), '_') as row_key,
        array_to_string(list_filter(list_transform(col_parts, lambda i: case when i >= 0 then parts[i + 1] end),
                                    lambda x: x is not null), '_') as col_key,
-       len(coalesce(header, [])) as expected, parts, folder_prefix, version, header
+       len(coalesce(header, [])) as expected, parts, folder_prefix, version, header, min_size, max_size
 from (select l.folder_path, l.name, l.size, fr.folder_prefix, fr.version, fr.header, fr.row_parts, fr.col_parts,
+             fr.min_size, fr.max_size,
              list_filter(regexp_split_to_array(list_reduce(fr.delimiter, lambda acc, d: replace(acc, d, ' '), l.name),
                                                '""" + WS + """+'), lambda x: x <> '') as parts
-      from {src} l join fr_{src} fr on l.folder_path = fr.folder_path)
+      from {src} l join fr_{src} fr on l.folder_path = fr.folder_path {okfilter})
 """
 
+CSV_FIELD = ("case when {v} = '' then '' when regexp_matches({v}, '[,\"\\r\\n]') or regexp_matches({v}, '^" + WS
+             + "') or {v} = '\\.' then concat('\"', replace({v}, '\"', '\"\"'), '\"') else {v} end")
+
+
+def csv_field(v: str) -> str:
+    return CSV_FIELD.replace("{v}", v)
+
+
+SNAPSHOT = [
+    """snap_folders as (select row_number() over (order by folder_path) as id, folder_path as path,
+         total_size, file_count from (select folder_path, cast(sum(size) as bigint) as total_size,
+         count(*) as file_count from docs_old group by folder_path))""",
+    """snap_files as (select row_number() over (order by d.folder_path, d.name) as id, f.id as folder_id,
+         d.folder_path, d.name, d.size from docs_old d join snap_folders f on f.path = d.folder_path)""",
+    """stored_folders as (select f.id, o.path, o.total_size, o.file_count
+         from folders_old o join snap_folders f on f.path = o.path)""",
+    """new_stats as (select folder_path, cast(sum(size) as bigint) as total_size, count(*) as file_count
+         from docs_new group by folder_path)""",
+    """fdiff as (select coalesce(s.id, 0) as folder_id, n.folder_path as path,
+         n.total_size as disk_total_size, coalesce(s.total_size, 0) as db_total_size,
+         n.file_count as disk_file_count, coalesce(s.file_count, 0) as db_file_count
+         from new_stats n left join stored_folders s on s.path = n.folder_path
+         where s.id is null or n.total_size <> s.total_size or n.file_count <> s.file_count)""",
+    """fchanges as (select case when o.name is null then 'added' when n.name is null then 'removed'
+              else 'modified' end as change_type,
+         coalesce(o.id, 0) as file_id, coalesce(o.folder_id, 0) as folder_id,
+         coalesce(n.folder_path, o.folder_path) as folder_path, coalesce(n.name, o.name) as name,
+         coalesce(n.size, 0) as disk_size, coalesce(o.size, 0) as db_size
+         from docs_new n full outer join
+              (select * from snap_files where folder_path in (select folder_path from docs_new)) o
+           on n.folder_path = o.folder_path and n.name = o.name
+         where o.name is null or n.name is null or n.size <> o.size)""",
+    """upserted as (select s.id, s.path, coalesce(d.disk_total_size, s.total_size) as total_size,
+              coalesce(d.disk_file_count, s.file_count) as file_count
+         from stored_folders s left join (select * from fdiff where folder_id <> 0) d on d.folder_id = s.id
+         union all
+         select (select max(id) from stored_folders) + row_number() over (order by path) as id, path,
+                disk_total_size as total_size, disk_file_count as file_count
+         from fdiff where folder_id = 0 and path not in (select path from stored_folders))""",
+    """applied_files as (select f.id, f.folder_id, f.folder_path, f.name,
+              case when c.change_type = 'modified' then c.disk_size else f.size end as size
+         from snap_files f left join (select * from fchanges where change_type <> 'added') c
+           on c.folder_path = f.folder_path and c.name = f.name
+         where c.change_type is null or c.change_type <> 'removed'
+         union all
+         select (select max(id) from snap_files) + row_number() over (order by a.folder_path, a.name) as id,
+                u.id as folder_id, a.folder_path, a.name, a.disk_size as size
+         from (select * from fchanges where change_type = 'added') a left join upserted u on u.path = a.folder_path)""",
+]
+
 
 def base_ctes(*extra: str) -> str:
     ctes = [
@@ -117,18 +173,21 @@ def base_ctes(*extra: str) -> str:
         f"folders_old as ({FOLDERS_OLD})",
         f"rules as ({RULES})",
         f"catalog as ({CATALOG})",
+        "all_l as (select * from catalog union all select * from docs_new)",
+        "blk as (select * from catalog union all select * from docs_old)",
     ]
     return "with " + ",\n".join(ctes + list(extra)) + "\n"
 
 
-def keyed_ctes(src: str = "catalog") -> list[str]:
-    return [f"fr_{src} as ({FOLDER_RULES.replace("{src}", src)})",
-            f"keyed_{src} as ({KEYED.replace("{src}", src)})"]
+def keyed_ctes(src: str, only_valid: bool = False) -> list[str]:
+    okf = "where fr.ok" if only_valid else ""
+    return [f"fr_{src} as ({FOLDER_RULES.replace('{src}', src)})",
+            f"keyed_{src} as ({KEYED.replace('{src}', src).replace('{okfilter}', okf)})"]
 
 
-def grouping_ctes(src: str = "catalog") -> list[str]:
+def grouping_ctes(src: str = "catalog", only_valid: bool = False) -> list[str]:
     k = f"keyed_{src}"
-    return keyed_ctes(src) + [
+    return keyed_ctes(src, only_valid) + [
         f"""cells_{src} as (select folder_path, row_key, col_key, expected, max(name) as name,
                  min(name) as first_ord, count(*) as n_names from {k}
                  group by folder_path, row_key, col_key, expected)""",
@@ -141,11 +200,243 @@ def grouping_ctes(src: str = "catalog") -> list[str]:
     ]
 
 
+def heads_cte(src: str) -> str:
+    """Block heads of a source built with valid rules only."""
+    return f"""heads_{src} as (select fr.folder_path as block_id, fr.header as column_headers,
+         coalesce(n.n_rows, 0) as n_rows, fr.version as rule_version,
+         concat(regexp_extract(fr.folder_path, '([^/]+)/*$', 1), 'files.pb') as block_file
+         from fr_{src} fr left join (select folder_path, count(*) as n_rows from valid_{src} group by folder_path) n
+           on n.folder_path = fr.folder_path
+         where fr.ok)"""
+
+
+def q(body: str, *extra: str) -> str:
+    return base_ctes(*extra) + body
+
+
+BASE_NAME = "regexp_extract(folder_path, '([^/]+)/*$', 1)"
+JOIN_PATH = "concat(regexp_replace(folder_path, '/+$', ''), '/', name)"
+PUBLISHED_AT = "TIMESTAMP '2024-01-15 12:00:00'"
+
 ORACLE: dict[str, str] = {}
 
-ORACLE["valid_groups"] = base_ctes(*grouping_ctes()) + """
+# ------------------------------------------------------------------ scans
+ORACLE["folder_scan"] = q(f"""
+select folder_path, folder_name from (select distinct folder_path, {BASE_NAME} as folder_name from all_l)
+where folder_name not in ('f3', 'g7', 'run_15')
+""")
+ORACLE["file_scan"] = q(f"select folder_path, name, size, {JOIN_PATH} as path from messy_kept")
+ORACLE["name_scan"] = q("""
+select folder_path, name from messy
+where not (name = 'rule.json' or name = 'invalid_files' or name = 'fileblock.csv' or contains(name, '.pb'))
+""")
+ORACLE["glob_search"] = q(f"""
+select folder_path, name, {JOIN_PATH} as path from messy
+where regexp_full_match(name, '[^/]*_R1_[^/]*\\.fastq\\.gz')
+""")
+ORACLE["folders_missing_file"] = q("""
+select d.folder_path, coalesce(p.has, false) as has_file
+from (select distinct folder_path from docs_new) d
+left join (select distinct folder_path, true as has from docs_new where name = 'doc_10.txt') p
+  on p.folder_path = d.folder_path
+""")
+ORACLE["rules_by_folder"] = q("""
+select d.folder_path, fr.folder_prefix, fr.version, cast(len(coalesce(fr.header, [])) as integer) as n_header
+from (select distinct folder_path from all_l) d left join fr_all_l fr on fr.folder_path = d.folder_path
+""", *keyed_ctes("all_l")[:1])
+ORACLE["snapshot_folders"] = q("select * from snap_folders", *SNAPSHOT)
+ORACLE["snapshot_files"] = q("select * from snap_files", *SNAPSHOT)
+ORACLE["files_for_folder"] = q("""
+select f.id, f.folder_id, f.name, f.size from snap_files f join snap_folders fo on f.folder_id = fo.id
+where fo.path = '/corpus/src3/en'
+""", *SNAPSHOT)
+ORACLE["folder_id_lookup"] = q("""
+select c.change_type, c.folder_path, c.name, u.id as folder_id
+from fchanges c left join upserted u on u.path = c.folder_path
+""", *SNAPSHOT)
+ORACLE["datablock_read"] = q("""
+select folder_path as block_id, row_number, col_key, name from vcells_catalog
+""", *grouping_ctes("catalog", True))
+ORACLE["fileblock_read"] = q("""
+select folder_path as block_id, row_number, col_key, name from vcells_runs where folder_path = '/data/run_03'
+""", *grouping_ctes("runs", True))
+ORACLE["listed_names"] = q("""
+select folder_path, cast(generate_subscripts(arr, 1) - 1 as integer) as ord, unnest(arr) as name
+from (select concat('/docs/', doc_id) as folder_path, string_split(text, chr(10)) as arr from documents)
+""")
+
+# ------------------------------------------------------------- predicates
+ORACLE["exclude_files"] = q("""
+select folder_path, name,
+       (contains(name, '.json') or name = 'invalid_files' or contains(name, '.csv') or contains(name, '.pb')) as excluded
+from messy
+""")
+ORACLE["exclude_folders"] = q(f"""
+select folder_path, {BASE_NAME} as folder_name, {BASE_NAME} in ('f3', 'g7', 'run_15') as excluded
+from (select distinct folder_path from all_l)
+""")
+ORACLE["size_rule_filter"] = q("""
+select folder_path, name, size from keyed_messy_kept
+where size >= min_size and (max_size <= 0 or size <= max_size)
+""", *keyed_ctes("messy_kept"))
+
+# ------------------------------------------------------- scalar functions
+ORACLE["split_names"] = q("""
+select folder_path, name, cast(len(parts) as integer) as n_parts, array_to_string(parts, '|') as parts
+from keyed_messy_kept
+""", *keyed_ctes("messy_kept"))
+ORACLE["row_col_keys"] = q("select folder_path, name, row_key, col_key from keyed_catalog",
+                           *keyed_ctes("catalog"))
+ORACLE["block_names"] = q(f"""
+select folder_path, concat({BASE_NAME}, 'files.pb') as block_file from (select distinct folder_path from all_l)
+""")
+ORACLE["generate_rows"] = q("""
+select row_number, 'type' as header, event_type as cell from
+  (select cast(row_number() over (order by event_id) as integer) as row_number, event_type from events)
+union all
+select row_number, 'user' as header, cell from
+  (select cast(row_number() over (order by event_id) as integer) as row_number, cast(user_id as varchar) as cell
+   from events)
+""")
+
+# ------------------------------------------------------------------ joins
+ORACLE["folder_diff"] = q("select * from fdiff", *SNAPSHOT)
+ORACLE["file_changes"] = q("select * from fchanges", *SNAPSHOT)
+ORACLE["cascade_delete"] = q("""
+select id, folder_id, name, size from snap_files
+where folder_id in (select id from stored_folders where path in (select folder_path from docs_new))
+""", *SNAPSHOT)
+ORACLE["rule_join"] = q("""
+select folder_path, name, folder_prefix, version, cast(len(header) as integer) as n_header from keyed_catalog
+""", *keyed_ctes("catalog"))
+
+# ----------------------------------------------------------- aggregations
+ORACLE["folder_stats"] = q("""
+select folder_path, cast(sum(size) as bigint) as total_size, count(*) as file_count from all_l group by folder_path
+""")
+FILE_TOTALS = """(select folder_id, cast(sum(size) as bigint) as current_size, count(*) as current_count
+                  from snap_files group by folder_id)"""
+ORACLE["folder_stats_refresh"] = q(f"""
+select s.id, s.path, coalesce(t.current_size, 0) as total_size, coalesce(t.current_count, 0) as file_count
+from stored_folders s left join {FILE_TOTALS} t on t.folder_id = s.id
+""", *SNAPSHOT)
+ORACLE["stat_drift"] = q(f"""
+select * from (
+  select s.path, s.total_size, s.file_count, coalesce(t.current_size, 0) as current_size,
+         coalesce(t.current_count, 0) as current_count
+  from stored_folders s left join {FILE_TOTALS} t on t.folder_id = s.id)
+where total_size <> current_size or file_count <> current_count
+""", *SNAPSHOT)
+ORACLE["group_files_long"] = q("select folder_path, row_key, col_key, name, n_names from cells_catalog",
+                               *grouping_ctes("catalog"))
+ORACLE["group_files"] = q("""
+select folder_path, cast(row_number() over (partition by folder_path order by first_seen) - 1 as integer) as row_index,
+       row_key, n_cols, first_seen as first_name
+from rows_catalog
+""", *grouping_ctes("catalog"))
+ORACLE["column_keys"] = q("""
+select folder_path, col_key, cast(row_number() over (partition by folder_path order by col_key) - 1 as integer) as key_pos
+from (select distinct folder_path, col_key from vcells_catalog)
+""", *grouping_ctes("catalog"))
+ORACLE["rule_conflicts"] = q("""
+select folder_path, folder_prefix, ok as valid,
+       array_to_string(list_transform(list_sort(list_distinct(list_filter(idx,
+           lambda i: len(list_filter(idx, lambda j: j = i)) > 1))), lambda x: cast(x as varchar)), ',') as conflict_parts
+from (select *, list_concat(row_parts, col_parts) as idx from fr_all_l)
+""", *keyed_ctes("all_l")[:1])
+ORACLE["change_summary"] = q("""
+select k.kind, coalesce(c.n, 0) as n
+from (values ('folder_new'), ('folder_changed'), ('added'), ('modified'), ('removed')) k(kind)
+left join (select kind, count(*) as n from (
+             select case when folder_id = 0 then 'folder_new' else 'folder_changed' end as kind from fdiff
+             union all select change_type as kind from fchanges) group by kind) c on c.kind = k.kind
+""", *SNAPSHOT)
+
+# ---------------------------------------------------- window-shaped logic
+ORACLE["valid_groups"] = q("""
 select folder_path, row_number, row_key, min(first_ord) as first_name, count(*) as n_cols,
        string_agg(col_key, ',' order by col_key, name) as col_keys,
        string_agg(name, ',' order by col_key, name) as names
 from vcells_catalog group by folder_path, row_number, row_key
-"""
+""", *grouping_ctes("catalog"))
+ORACLE["cell_collisions"] = q("""
+select k.folder_path, k.row_key, k.col_key, k.name, c.name as winner
+from keyed_catalog k join cells_catalog c
+  on k.folder_path = c.folder_path and k.row_key = c.row_key and k.col_key = c.col_key and k.expected = c.expected
+where c.n_names > 1 and k.name <> c.name
+""", *grouping_ctes("catalog"))
+
+# ----------------------------------------------------------------- set ops
+ORACLE["invalid_files"] = q("""
+select c.folder_path, c.name from cells_catalog c
+where not exists (select 1 from valid_catalog v where v.folder_path = c.folder_path and v.row_key = c.row_key
+                  and v.expected = c.expected)
+""", *grouping_ctes("catalog"))
+ORACLE["insert_if_absent"] = q("""
+select * from docs_old
+union all
+select n.* from docs_new n where not exists (select 1 from docs_old o where o.folder_path = n.folder_path
+                                                                          and o.name = n.name)
+""")
+
+# ------------------------------------------------------------------ blocks
+BLK = grouping_ctes("blk", True) + [heads_cte("blk")]
+ORACLE["fileblock_rows"] = q("select folder_path as block_id, row_number, col_key, name from vcells_blk", *BLK)
+ORACLE["fileblock"] = q("""
+select block_id, array_to_string(column_headers, ',') as column_headers, n_rows, rule_version, block_file
+from heads_blk
+""", *BLK)
+ORACLE["block_rejects"] = q("""
+select d.folder_path, case when fr.folder_prefix is null then 'missing rule' else 'invalid rule' end as reason
+from (select distinct folder_path from blk) d left join fr_blk fr on fr.folder_path = d.folder_path
+where fr.folder_prefix is null or not fr.ok
+""", *BLK)
+ORACLE["block_header_override"] = q("select block_id, 'left,right' as column_headers, n_rows from heads_blk", *BLK)
+ORACLE["datablock"] = q(f"select block_id, n_rows, rule_version, {PUBLISHED_AT} as updated_at from heads_blk", *BLK)
+ORACLE["incremental_blocks"] = q("""
+select folder_path as block_id, row_number, col_key, name from vcells_docs_new
+""", *grouping_ctes("docs_new", True))
+
+# ------------------------------------------------------------ snapshot DML
+ORACLE["initial_snapshot"] = q("select * from snap_files", *SNAPSHOT)
+ORACLE["apply_folder_diffs"] = q("select * from upserted", *SNAPSHOT)
+ORACLE["apply_file_changes"] = q("select * from applied_files", *SNAPSHOT)
+ORACLE["snapshot_apply"] = q("select * from applied_files", *SNAPSHOT)
+ORACLE["clear_snapshot"] = q("""
+select 'folders' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from snap_folders
+union all
+select 'files' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from snap_files
+""", *SNAPSHOT)
+
+# ------------------------------------------------------------------- sinks
+CAT_BLOCKS = grouping_ctes("catalog", True) + [heads_cte("catalog")]
+ORACLE["csv_layout"] = q(f"""
+select block_id as folder_path, cast(0 as bigint) as line_no,
+       array_to_string(list_concat(['Row'], list_transform(column_headers, lambda h: {csv_field('h')})), ',') as line
+from heads_catalog
+union all
+select r.folder_path, cast(r.row_number + 1 as bigint) as line_no,
+       concat('Row', r.row_number, ',',
+              string_agg({csv_field("coalesce(c.name, '')")}, ',' order by k.key_pos)) as line
+from valid_catalog r
+join (select folder_path, col_key, row_number() over (partition by folder_path order by col_key) as key_pos
+      from (select distinct folder_path, col_key from vcells_catalog)) k on k.folder_path = r.folder_path
+left join vcells_catalog c on c.folder_path = r.folder_path and c.row_key = r.row_key and c.col_key = k.col_key
+group by r.folder_path, r.row_number
+""", *CAT_BLOCKS)
+
+# ----------------------------------------------------- versioning and jobs
+ORACLE["version_gate"] = q(f"""
+select user_id as client_id, client_updated_at,
+       case when client_updated_at is null or client_updated_at < {PUBLISHED_AT} then 'send'
+            when client_updated_at = {PUBLISHED_AT} then 'no_update' else 'error' end as status,
+       coalesce(client_updated_at = {PUBLISHED_AT}, false) as no_update
+from (select user_id, max(ts) as client_updated_at from events group by user_id)
+""")
+ORACLE["diff_all"] = q("""
+select 'folder' as kind, case when folder_id = 0 then 'new' else 'changed' end as change_type,
+       path as folder_path, cast(null as varchar) as name, disk_total_size as disk_size, db_total_size as db_size
+from fdiff
+union all
+select 'file' as kind, change_type, folder_path, name, disk_size, db_size from fchanges
+""", *SNAPSHOT)

@@ -18,7 +18,7 @@ from ..sources.store import VersionedStore
 from .build import build_blocks, incremental_blocks
 
 STATUS_SCHEMA = ("updated boolean, version long, folder_diffs long, file_changes long, "
-                 "blocks long, updated_at timestamp")
+                 "blocks long, updated_at timestamp_ntz")
 
 
 def _now() -> dt.datetime:
@@ -79,7 +79,7 @@ def sync(store: VersionedStore, listing: DataFrame, rules: DataFrame, *, force:
 def gate_status(client_updated_at: Column, server_updated_at) -> Column:
     """'send' when the client has nothing or an older stamp, 'no_update'
     when equal, 'error' when the client claims a newer stamp."""
-    server = F.lit(server_updated_at).cast("timestamp")
+    server = F.lit(str(server_updated_at)).cast("timestamp_ntz")
     return (F.when(client_updated_at.isNull() | (client_updated_at < server), F.lit("send"))
             .when(client_updated_at == server, F.lit("no_update"))
             .otherwise(F.lit("error")))
@@ -95,7 +95,8 @@ def get_datablock(store: VersionedStore, client_updated_at: dt.datetime | None =
     if server is None:
         raise ValueError("server block set has no updated_at")
     if client_updated_at is None or client_updated_at < server:
-        return (store.read("block_heads", version).withColumn("updated_at", F.lit(server)),
+        return (store.read("block_heads", version)
+                .withColumn("updated_at", F.lit(str(server)).cast("timestamp_ntz")),
                 store.read("block_rows", version), False)
     if client_updated_at == server:
         return None, None, True

@@ -70,6 +70,6 @@ class VersionedStore:
                 df = (df.repartitionByRange("block_id", "row_number")
                       .sortWithinPartitions("block_id", "row_number"))
             df.write.mode("overwrite").parquet(self._path(name, version))
-        marker = self.spark.createDataFrame([(version, updated_at)], "version long, updated_at timestamp")
+        marker = self.spark.createDataFrame([(version, updated_at)], "version long, updated_at timestamp_ntz")
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
         return version
