@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 WHITESPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
                     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
 
+# The same set as literal characters, for ``translate``.
+WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+                    + "\u2028\u2029\u202f\u205f\u3000")
+
 # Default file exclusions of a scan, and the exclusions used
 # when a block is built straight from a folder.
 DEFAULT_FILE_EXCLUSIONS = ("*.json", "invalid_files", "*.csv", "*.pb")
@@ -38,6 +42,42 @@ def split_name(name, delimiters) -> Column:
     return F.filter(F.split(spaced, WHITESPACE_CLASS + "+"), lambda p: p != "")
 
 
+def split_name_upto(name, delimiters, max_delimiters: int) -> Column:
+    """``split_name`` for delimiter lists of at most ``max_delimiters``
+    entries, as a chain of built-ins that stays in generated code: the
+    replaces are unrolled (an empty or missing delimiter is a no-op), the
+    name is trimmed of white space at both ends and split on white-space
+    runs, so no empty part can appear."""
+    x, delimiters = _col(name), _col(delimiters)
+    for i in range(max_delimiters):
+        x = F.replace(x, F.coalesce(F.get(delimiters, i), F.lit("")), F.lit(" "))
+    # every white-space character becomes a plain space, runs collapse to
+    # one, ends are trimmed; a one-space split avoids a per-row regex
+    spaced = F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
+    trimmed = F.trim(F.regexp_replace(spaced, "  +", " "))
+    return (F.when(trimmed == "", F.array().cast("array<string>"))
+            .otherwise(F.split(trimmed, " ")))
+
+
+def parts_key_upto(parts, indexes, max_indexes: int) -> Column:
+    """``parts_key`` for index lists of at most ``max_indexes`` entries,
+    unrolled: ``get`` is null past either end, ``concat_ws`` skips nulls."""
+    if max_indexes <= 0:
+        return F.lit("")
+    parts, indexes = _col(parts), _col(indexes)
+    return F.concat_ws("_", *[F.get(parts, F.get(indexes, j)) for j in range(max_indexes)])
+
+
+def prefixes_at(path, depths) -> Column:
+    """Distinct prefixes of ``path`` cut after the given numbers of ``/``
+    separators (``depths``: slash counts + 1). A depth past the end gives
+    the whole path."""
+    p = _col(path)
+    if not depths:
+        return F.array().cast("array<string>")
+    return F.array_distinct(F.array(*[F.substring_index(p, "/", int(d)) for d in depths]))
+
+
 def parts_key(parts, indexes) -> Column:
     """Parts at the given 0-based indexes that exist, joined by ``_``.
     Indexes past the end (or negative) are skipped."""

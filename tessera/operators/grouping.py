@@ -23,11 +23,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.names import parts_key, split_name
-from ..sources.rules import assign_rules
+from ..functions.names import parts_key_upto, split_name_upto
+from ..sources.rules import RulePlan, plan_rules
+from ..session import materialize
 from .indexing import ranged_index
 
 ROW = ["folder_path", "row_key", "expected"]
@@ -38,19 +39,20 @@ def _order_col(df: DataFrame) -> str:
     return "ord" if "ord" in df.columns else "name"
 
 
-def name_parts(listing_with_rules: DataFrame) -> DataFrame:
+def name_parts(listing_with_rules: DataFrame, plan: RulePlan) -> DataFrame:
     """Add ``parts`` (array) to a listing that carries rule columns."""
-    return listing_with_rules.withColumn("parts", split_name("name", "delimiter"))
+    return listing_with_rules.withColumn(
+        "parts", split_name_upto("name", "delimiter", plan.max_delimiters))
 
 
-def name_keys(listing_with_rules: DataFrame) -> DataFrame:
+def name_keys(listing_with_rules: DataFrame, plan: RulePlan) -> DataFrame:
     """(folder_path, name[, ord], row_key, col_key, expected)."""
     extra = ["ord"] if "ord" in listing_with_rules.columns else []
-    p = name_parts(listing_with_rules)
+    p = name_parts(listing_with_rules, plan)
     return p.select(
         "folder_path", "name", *extra,
-        parts_key("parts", "row_parts").alias("row_key"),
-        parts_key("parts", "col_parts").alias("col_key"),
+        parts_key_upto("parts", "row_parts", plan.max_indexes).alias("row_key"),
+        parts_key_upto("parts", "col_parts", plan.max_indexes).alias("col_key"),
         F.size(F.coalesce("header", F.array().cast("array<string>"))).alias("expected"),
     )
 
@@ -64,12 +66,14 @@ class NameGrouping:
     """
 
     def __init__(self, listing: DataFrame, rules: DataFrame | None = None, *,
-                 keyed: DataFrame | None = None):
+                 keyed: DataFrame | None = None, reuse: bool = True):
         if keyed is None:
             cols = ["folder_path", "name"] + (["ord"] if "ord" in listing.columns else [])
-            keyed = name_keys(assign_rules(listing.select(*cols), rules))
+            plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
+            keyed = name_keys(plan.attach(listing.select(*cols)), plan)
         self.keyed = keyed
         self.order = _order_col(keyed)
+        self.reuse = reuse
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -77,9 +81,12 @@ class NameGrouping:
         of the cell in listing order) and ``n_names``."""
         o = self.order
         winner = F.max("name") if o == "name" else F.max_by("name", o)
-        return (self.keyed.groupBy(*CELL)
-                .agg(winner.alias("name"), F.min(o).alias("first_ord"),
-                     F.count(F.lit(1)).alias("n_names")))
+        cells = (self.keyed.groupBy(*CELL)
+                 .agg(winner.alias("name"), F.min(o).alias("first_ord"),
+                      F.count(F.lit(1)).alias("n_names")))
+        # rows, valid, invalid and the CSV all read the cells: write them
+        # once (reliable checkpoint) instead of re-running the name split
+        return materialize(cells) if self.reuse else cells
 
     @cached_property
     def rows(self) -> DataFrame:
@@ -132,6 +139,5 @@ class NameGrouping:
         """Distinct column keys of valid rows per folder with their sorted
         position (the CSV column order)."""
         keys = self.valid_cells.select("folder_path", "col_key").distinct()
-        from pyspark.sql import Window
         w = Window.partitionBy("folder_path").orderBy("col_key")
         return keys.withColumn("key_pos", (F.row_number().over(w) - 1).cast("int"))

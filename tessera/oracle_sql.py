@@ -248,7 +248,7 @@ ORACLE["snapshot_folders"] = q("select * from snap_folders", *SNAPSHOT)
 ORACLE["snapshot_files"] = q("select * from snap_files", *SNAPSHOT)
 ORACLE["files_for_folder"] = q("""
 select f.id, f.folder_id, f.name, f.size from snap_files f join snap_folders fo on f.folder_id = fo.id
-where fo.path = '/corpus/src3/en'
+where fo.path = '/corpus/src13/en'
 """, *SNAPSHOT)
 ORACLE["folder_id_lookup"] = q("""
 select c.change_type, c.folder_path, c.name, u.id as folder_id

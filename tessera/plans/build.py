@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name
 from ..operators.grouping import NameGrouping, name_keys
-from ..sources.rules import folder_rules, rule_is_valid
+from ..sources.rules import RulePlan, folder_rules, plan_rules
 
 
 @dataclass
@@ -24,11 +24,14 @@ class BlockBuild:
     listing: DataFrame
     rules: DataFrame
 
+    @cached_property
+    def plan(self) -> RulePlan:
+        return self.rules if isinstance(self.rules, RulePlan) else plan_rules(self.rules)
+
     @cached_property
     def folder_rules(self) -> DataFrame:
         folders = self.listing.select("folder_path").distinct()
-        fr = folder_rules(folders, self.rules).withColumn("rule_ok", rule_is_valid())
-        return folders.join(fr, "folder_path", "left")
+        return folders.join(folder_rules(folders, self.plan), "folder_path", "left")
 
     @cached_property
     def rejects(self) -> DataFrame:
@@ -45,8 +48,8 @@ class BlockBuild:
     @cached_property
     def grouping(self) -> NameGrouping:
         cols = ["folder_path", "name"] + (["ord"] if "ord" in self.listing.columns else [])
-        keyed = name_keys(self.listing.select(*cols).join(self.good_rules, "folder_path"))
-        return NameGrouping(None, keyed=keyed)
+        attached = self.plan.attach(self.listing.select(*cols)).where(F.col("rule_ok"))
+        return NameGrouping(None, keyed=name_keys(attached, self.plan))
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -85,14 +88,15 @@ def incremental_blocks(old_heads: DataFrame, old_rows: DataFrame, listing: DataF
     """Reuse the blocks of folders that did not change (same files, same
     rule version), rebuild the rest from the listing. Blocks of folders no
     longer in the listing are dropped. Returns (heads, rows)."""
+    plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
     live = listing.select("folder_path").distinct()
-    live_rules = folder_rules(live, rules).select(F.col("folder_path").alias("block_id"),
+    live_rules = folder_rules(live, plan).select(F.col("folder_path").alias("block_id"),
                                                   F.col("version").alias("rule_version"))
     reuse = (old_heads.join(live_rules, ["block_id", "rule_version"], "left_semi")
              .join(changed_folders.select(F.col("folder_path").alias("block_id")), "block_id", "left_anti"))
     rebuild_listing = listing.join(reuse.select(F.col("block_id").alias("folder_path")),
                                    "folder_path", "left_anti")
-    fresh = build_blocks(rebuild_listing, rules)
+    fresh = build_blocks(rebuild_listing, plan)
     heads = reuse.select(*fresh.block_heads.columns).unionByName(fresh.block_heads)
     rows = (old_rows.join(reuse.select("block_id"), "block_id", "left_semi")
             .select(*fresh.block_rows.columns).unionByName(fresh.block_rows))

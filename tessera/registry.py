@@ -36,7 +36,8 @@ from .sources import derived
 from .sources.listing import (folders_with_file, scan_files, scan_folders)
 from .sources.listing import glob_search as search_glob
 from .sources.listing import listed_names as explode_lists
-from .sources.rules import assign_rules, folder_rules, rule_conflicts as conflicts_of, rules_frame
+from .sources.rules import assign_rules, folder_rules, plan_rules, rules_frame
+from .sources.rules import rule_conflicts as conflicts_of
 from .sources.store import VersionedStore
 from .sources.tables import Tables
 
@@ -47,7 +48,7 @@ QUERIES: dict[str, Query] = {}
 FOLDER_EXCLUSIONS = ("f3", "g7", "run_15")
 GLOB_PATTERN = "*_R1_*.fastq.gz"
 REQUIRED_NAME = "doc_10.txt"
-LOOKUP_FOLDER = "/corpus/src3/en"
+LOOKUP_FOLDER = "/corpus/src13/en"
 READ_BLOCK = "/data/run_03"
 OVERRIDE_HEADERS = ["left", "right"]
 ROW_HEADERS = ["type", "user"]
@@ -213,15 +214,16 @@ def size_rule_filter(spark, sf_dir):
 
 @query
 def split_names(spark, sf_dir):
-    m = assign_rules(kept(derived.messy_listing(_t(spark, sf_dir))), rules_frame(spark))
-    p = name_parts(m)
+    plan = plan_rules(rules_frame(spark))
+    p = name_parts(plan.attach(kept(derived.messy_listing(_t(spark, sf_dir)))), plan)
     return p.select("folder_path", "name", F.size("parts").alias("n_parts"),
                     F.array_join("parts", "|").alias("parts"))
 
 
 @query
 def row_col_keys(spark, sf_dir):
-    keyed = name_keys(assign_rules(catalog(_t(spark, sf_dir)), rules_frame(spark)))
+    plan = plan_rules(rules_frame(spark))
+    keyed = name_keys(plan.attach(catalog(_t(spark, sf_dir))), plan)
     return keyed.select("folder_path", "name", "row_key", "col_key")
 
 

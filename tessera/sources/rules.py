@@ -8,12 +8,14 @@ nearest ancestor prefix (an exact folder match is the nearest).
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.names import ancestors
-from ..operators.joins import bounded_broadcast
+from ..functions.names import prefixes_at
+from ..operators.joins import MAX_BROADCAST_ROWS
 
 RULES_SCHEMA = T.StructType([
     T.StructField("folder_prefix", T.StringType(), False),
@@ -84,25 +86,73 @@ def load_rules_json(spark: SparkSession, paths) -> DataFrame:
     )
 
 
-def folder_rules(folders: DataFrame, rules: DataFrame) -> DataFrame:
-    """Nearest-ancestor rule for each distinct ``folder_path``.
+@dataclass
+class RulePlan:
+    """A rules table prepared for attachment to a listing.
 
-    Works on the distinct folders only (tiny next to the files): explode
-    each folder's prefixes, equi-join the size-checked rules broadcast,
-    keep the deepest match per folder.
+    ``table`` holds the rules plus ``deeper`` (prefixes of rules nested
+    under each rule) and ``rule_ok``; it is broadcast when its row count is
+    within ``MAX_BROADCAST_ROWS``. ``depths``, ``max_delimiters`` and
+    ``max_indexes`` bound the per-name expressions so they unroll into
+    generated code instead of per-row lambdas.
     """
-    cand = folders.select("folder_path", F.posexplode(ancestors("folder_path")).alias("depth", "folder_prefix"))
-    matched = cand.join(bounded_broadcast(rules.select("folder_prefix", *RULE_COLUMNS)), "folder_prefix")
-    best = matched.groupBy("folder_path").agg(
-        F.max_by(F.struct("folder_prefix", *RULE_COLUMNS), "depth").alias("r"))
-    return best.select("folder_path", "r.*")
-
-
-def assign_rules(listing: DataFrame, rules: DataFrame, how: str = "inner") -> DataFrame:
-    """Attach each file's folder rule. ``how='left'`` keeps files whose
-    folder has no rule (rule columns null)."""
-    folders = listing.select("folder_path").distinct()
-    return listing.join(folder_rules(folders, rules), "folder_path", how)
+    table: DataFrame
+    depths: list[int]
+    max_delimiters: int
+    max_indexes: int
+    n_rules: int
+
+    def attach(self, df: DataFrame) -> DataFrame:
+        """Map-side rule attachment: each row's folder prefixes at the rule
+        depths are exploded and equi-joined to the (broadcast) rules; the
+        match with no deeper rule among those prefixes is the nearest rule.
+        ``df`` is streamed, never shuffled; folders without a rule drop
+        out."""
+        x = df.withColumn("_anc", prefixes_at("folder_path", self.depths))
+        x = x.select("*", F.explode("_anc").alias("folder_prefix"))
+        m = x.join(self.table, "folder_prefix").where(~F.arrays_overlap("_anc", "deeper"))
+        return m.drop("_anc", "deeper")
+
+
+def plan_rules(rules: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> RulePlan:
+    """One small aggregate over the rules table gives its size (the
+    broadcast check) and the bounds of the per-name expressions."""
+    r = rules.select("folder_prefix", *RULE_COLUMNS)
+    empty_i, empty_s = F.array().cast("array<int>"), F.array().cast("array<string>")
+    slashes = F.size(F.split("folder_prefix", "/")) - 1
+    st = r.agg(F.count(F.lit(1)).alias("n"),
+               F.array_sort(F.collect_set(slashes + 1)).alias("depths"),
+               F.max(F.size(F.coalesce("delimiter", empty_s))).alias("kd"),
+               F.max(F.greatest(F.size(F.coalesce("row_parts", empty_i)),
+                                F.size(F.coalesce("col_parts", empty_i)))).alias("kp")).first()
+    n, depths = int(st["n"]), [int(d) for d in (st["depths"] or [])]
+    nested = (r.select(F.col("folder_prefix").alias("child"),
+                       F.explode(prefixes_at("folder_prefix", depths)).alias("folder_prefix"))
+              .where(F.col("child") != F.col("folder_prefix"))
+              .join(r.select("folder_prefix"), "folder_prefix")
+              .groupBy("folder_prefix").agg(F.collect_set("child").alias("deeper")))
+    table = (r.join(nested, "folder_prefix", "left")
+             .withColumn("deeper", F.coalesce("deeper", empty_s))
+             .withColumn("rule_ok", rule_is_valid()))
+    if n <= max_broadcast_rows:
+        table = F.broadcast(table)
+    return RulePlan(table, depths, int(st["kd"] or 0), int(st["kp"] or 0), n)
+
+
+def folder_rules(folders: DataFrame, rules) -> DataFrame:
+    """Nearest-ancestor rule (and ``rule_ok``) for each row of ``folders``
+    (``folder_path``); folders without a rule are absent."""
+    plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
+    return plan.attach(folders.select("folder_path")).select(
+        "folder_path", "folder_prefix", *RULE_COLUMNS, "rule_ok")
+
+
+def assign_rules(listing: DataFrame, rules) -> DataFrame:
+    """Attach each file's nearest folder rule in one map-side pass (the
+    listing is streamed, the rules are broadcast). Files whose folder has
+    no rule are dropped; ``plans.build`` reports those folders."""
+    plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
+    return plan.attach(listing)
 
 
 def rule_is_valid(row_parts="row_parts", col_parts="col_parts", delimiter="delimiter"):
