@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import ranged_index
+from .indexing import group_index
 from .stats import folder_stats
 
 FOLDER_COLUMNS = ["id", "path", "total_size", "file_count"]
@@ -28,7 +28,7 @@ def _max_id(df: DataFrame) -> int:
 def with_new_ids(df: DataFrame, order_by: list[str], start: int) -> DataFrame:
     """``id`` = start + rank in ``order_by`` order, numbered without a
     single-task window."""
-    return ranged_index(df, [], order_by, out="id", base=start)
+    return group_index(df, [], order_by, out="id", base=start)
 
 
 def initial_snapshot(listing: DataFrame) -> tuple[DataFrame, DataFrame]:

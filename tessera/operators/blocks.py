@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import ranged_index
+from .indexing import group_index
 
 MAX_NESTED_ROWS = 1_000_000
 
@@ -63,7 +63,7 @@ def generate_rows(data: DataFrame, cells: str, order_by: list[str],
     """Rows from positional cell arrays: row_number is 1-based in
     ``order_by`` order; header j maps to cell j; surplus headers or cells
     are dropped."""
-    numbered = ranged_index(data.select(*order_by, cells), [], order_by, out="row_number", base=1)
+    numbered = group_index(data.select(*order_by, cells), [], order_by, out="row_number", base=1)
     h = F.array(*[F.lit(x) for x in headers]).cast("array<string>")
     k = F.least(F.size(h), F.size(cells))
     return numbered.select(F.col("row_number").cast("int").alias("row_number"), *order_by,

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.names import parts_key_upto, split_name_upto
 from ..sources.rules import RulePlan, plan_rules
 from ..session import materialize
-from .indexing import ranged_index
+from .indexing import WINDOW_LIMIT, group_index
 
 ROW = ["folder_path", "row_key", "expected"]
 CELL = ["folder_path", "row_key", "col_key", "expected"]
@@ -66,14 +66,17 @@ class NameGrouping:
     """
 
     def __init__(self, listing: DataFrame, rules: DataFrame | None = None, *,
-                 keyed: DataFrame | None = None, reuse: bool = True):
+                 keyed: DataFrame | None = None, reuse: bool = True, keep_keyed: bool = False,
+                 window_limit: int = WINDOW_LIMIT):
         if keyed is None:
             cols = ["folder_path", "name"] + (["ord"] if "ord" in listing.columns else [])
             plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
             keyed = name_keys(plan.attach(listing.select(*cols)), plan)
-        self.keyed = keyed
+        # keep_keyed: the per-file keys are read twice (cells + collisions)
+        self.keyed = materialize(keyed) if keep_keyed else keyed
         self.order = _order_col(keyed)
         self.reuse = reuse
+        self.window_limit = window_limit
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -91,12 +94,18 @@ class NameGrouping:
     @cached_property
     def rows(self) -> DataFrame:
         """One row per row key: ``n_cols`` and ``first_seen``."""
-        return (self.cells.groupBy(*ROW)
+        rows = (self.cells.groupBy(*ROW)
                 .agg(F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen")))
+        return materialize(rows) if self.reuse else rows
+
+    def number(self, rows: DataFrame, out: str) -> DataFrame:
+        """0-based position per folder by first appearance."""
+        return group_index(rows, ["folder_path"], ["first_seen"], out=out,
+                           window_limit=self.window_limit)
 
     def numbered_rows(self) -> DataFrame:
         """Every row with ``row_index`` by first appearance (0-based)."""
-        return ranged_index(self.rows, ["folder_path"], ["first_seen"], out="row_index")
+        return self.number(self.rows, "row_index")
 
     @cached_property
     def valid_rows(self) -> DataFrame:
@@ -114,14 +123,13 @@ class NameGrouping:
     def valid_groups(self) -> DataFrame:
         """Valid rows numbered 0.. per folder by first appearance, with their
         cells as a map (at most ``expected`` entries per row)."""
-        per_row = (self.valid_cells.groupBy(*ROW)
-                   .agg(F.min("first_ord").alias("first_seen"),
-                        F.count(F.lit(1)).alias("n_cols"),
-                        F.array_sort(F.collect_list(F.struct("col_key", "name"))).alias("entries")))
-        numbered = ranged_index(per_row, ["folder_path"], ["first_seen"], out="row_number")
-        return numbered.select("folder_path", F.col("row_number").cast("int").alias("row_number"),
-                               "row_key", "first_seen", "n_cols", "expected",
-                               F.map_from_entries("entries").alias("cells"), "entries")
+        numbered = self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols")
+        per_row = (self.cells.join(numbered, ROW)
+                   .groupBy(*ROW, "row_number", "first_seen", "n_cols")
+                   .agg(F.array_sort(F.collect_list(F.struct("col_key", "name"))).alias("entries")))
+        return per_row.select("folder_path", F.col("row_number").cast("int").alias("row_number"),
+                              "row_key", "first_seen", "n_cols", "expected",
+                              F.map_from_entries("entries").alias("cells"), "entries")
 
     def invalid_files(self) -> DataFrame:
         """Names kept in invalid rows (cell winners), long form."""

@@ -41,10 +41,6 @@ class BlockBuild:
                   .when(~F.col("rule_ok"), F.lit("invalid rule")))
         return fr.select("folder_path", reason.alias("reason")).where(F.col("reason").isNotNull())
 
-    @cached_property
-    def good_rules(self) -> DataFrame:
-        return self.folder_rules.where(F.col("rule_ok")).drop("rule_ok")
-
     @cached_property
     def grouping(self) -> NameGrouping:
         cols = ["folder_path", "name"] + (["ord"] if "ord" in self.listing.columns else [])
@@ -62,8 +58,12 @@ class BlockBuild:
 
     @cached_property
     def block_heads(self) -> DataFrame:
-        counts = self.valid.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
-        return (self.good_rules.join(counts, "folder_path", "left")
+        """One head per folder with a valid rule (such a folder has at least
+        one file, so its folders are read from the materialized cells)."""
+        g = self.grouping
+        counts = g.valid_rows.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
+        folders = g.cells.select("folder_path").distinct()
+        return (folder_rules(folders, self.plan).join(counts, "folder_path", "left")
                 .select(F.col("folder_path").alias("block_id"),
                         F.coalesce("header", F.array().cast("array<string>")).alias("column_headers"),
                         F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),

@@ -341,7 +341,8 @@ def valid_groups(spark, sf_dir):
 
 @query
 def cell_collisions(spark, sf_dir):
-    return _grouping(spark, sf_dir).collisions()
+    g = NameGrouping(catalog(_t(spark, sf_dir)), rules_frame(spark), keep_keyed=True)
+    return g.collisions()
 
 
 # ---------------------------------------------------------- set ops
@@ -465,9 +466,8 @@ def clear_snapshot(spark, sf_dir):
 
 @query
 def csv_layout(spark, sf_dir):
-    g = _grouping(spark, sf_dir)
     b = build_blocks(catalog(_t(spark, sf_dir)), rules_frame(spark))
-    return csv_lines(b.valid, g.column_keys(), b.block_heads)
+    return csv_lines(b.valid, b.grouping.column_keys(), b.block_heads)
 
 
 # ------------------------------------------------ versioning and jobs

@@ -61,8 +61,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: cuts lineage and pins row placement, so a plan
-    that is read twice (count pass + numbering pass) sees identical rows."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once as a parquet table in the shared checkpoint folder
+    and read it back. Cuts lineage (a lost executor re-reads files instead
+    of recomputing the plan) and fixes the rows, so a table that is read
+    several times (count pass, numbering pass, several outputs) is computed
+    once. Unlike ``Dataset.checkpoint``, which runs its input twice (the
+    eager count, then the file write), this runs it once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
