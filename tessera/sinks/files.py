@@ -38,11 +38,19 @@ def write_csv(lines: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
      .write.mode(mode).partitionBy("folder_path").text(out_dir))
 
 
-def write_invalid(invalid: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
+def invalid_files_name(stamp) -> str:
+    """``invalid_files_<yyyyMMddHHmmss>`` for a run stamp."""
+    return f"invalid_files_{stamp:%Y%m%d%H%M%S}"
+
+
+def write_invalid(invalid: DataFrame, out_dir: str, stamp=None, mode: str = "overwrite") -> str:
     """One name per line per folder; folders without invalid names get no
-    file."""
-    (invalid.select("folder_path", "name").repartition("folder_path")
-     .write.mode(mode).partitionBy("folder_path").text(out_dir))
+    file. With ``stamp`` the output goes to ``out_dir/invalid_files_<stamp>``.
+    Returns the folder written."""
+    target = out_dir if stamp is None else f"{out_dir.rstrip('/')}/{invalid_files_name(stamp)}"
+    (invalid.select("folder_path", "name").repartitionByRange("folder_path", "name")
+     .write.mode(mode).partitionBy("folder_path").text(target))
+    return target
 
 
 def json_dump(nested: DataFrame) -> DataFrame:

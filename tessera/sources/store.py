@@ -73,3 +73,11 @@ class VersionedStore:
         marker = self.spark.createDataFrame([(version, updated_at)], "version long, updated_at timestamp_ntz")
         marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
         return version
+
+    def clear(self, updated_at: dt.datetime) -> int:
+        """Publish an empty next version (every table keeps its schema)."""
+        cur = self.current()
+        if cur is None:
+            raise FileNotFoundError(f"nothing to clear under {self.root}")
+        empty = {t: self.read(t, cur[0]).limit(0) for t in TABLES}
+        return self.commit(empty, updated_at)

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.names import (base_name, csv_field, file_excluded, glob_to_regex,
+from tessera.functions.names import (base_name, csv_field, file_excluded, format_time, glob_to_regex,
                                      parts_key, parts_key_upto, prefixes_at, split_name,
                                      split_name_upto, DEFAULT_FILE_EXCLUSIONS)
 
@@ -88,3 +88,11 @@ def test_paths(spark):
     assert _one(spark, base_name("p"), p="/data/run_01/") == "run_01"
     assert _one(spark, prefixes_at("p", [2, 3, 4]), p="/data/run_01") == ["/data", "/data/run_01"]
     assert _one(spark, F.concat(base_name("p"), F.lit("files.pb")), p="/corpus/src1/en") == "enfiles.pb"
+
+
+def test_time_formats(spark):
+    import datetime as dt
+    from tessera.sinks.files import invalid_files_name
+    df = spark.createDataFrame([(dt.datetime(2024, 3, 5, 7, 8, 9),)], "ts timestamp_ntz")
+    assert df.select(format_time("ts")).first()[0] == "2024-03-05 07:08:09"
+    assert invalid_files_name(dt.datetime(2024, 3, 5, 7, 8, 9)) == "invalid_files_20240305070809"

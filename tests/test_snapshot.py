@@ -127,3 +127,12 @@ def test_sync_detect_removed(spark, tmpdir_path):
     assert got == {(r[0], r[1], r[2]) for r in derived.docs_new(t).collect()}
     paths = {r[0] for r in store.read("folders").select("path").collect()}
     assert paths == {r[0] for r in derived.docs_new(t).select("folder_path").distinct().collect()}
+
+
+def test_clear_publishes_empty_version(spark, tmpdir_path):
+    t = Tables(spark, SF_SMALL)
+    store = VersionedStore(spark, tmpdir_path + "/store")
+    sync(store, derived.docs_old(t), rules_frame(spark), updated_at=dt.datetime(2024, 1, 1))
+    v = store.clear(dt.datetime(2024, 1, 2))
+    assert v == 1 and store.read("files").count() == 0 and store.read("folders").count() == 0
+    assert store.read("files", 0).count() > 0
