@@ -30,19 +30,25 @@ def main():
     runs = int(os.environ.get("BENCH_RUNS", "3"))
     names = sys.argv[1:] or HEADLINE
     spark = local_session(cpus, int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", "16")), app="tessera-bench")
-    times = {}
+    times, errors = {}, {}
     for name in names:
         fn = QUERIES[name]
-        fn(spark, sf_dir).count()  # warm-up
-        samples = []
-        for _ in range(runs):
-            t0 = time.perf_counter()
-            fn(spark, sf_dir).count()
-            samples.append(time.perf_counter() - t0)
-        times[name] = round(statistics.median(samples), 3)
+        try:
+            fn(spark, sf_dir).count()  # warm-up
+            samples = []
+            for _ in range(runs):
+                t0 = time.perf_counter()
+                fn(spark, sf_dir).count()
+                samples.append(time.perf_counter() - t0)
+            times[name] = round(statistics.median(samples), 3)
+        except Exception as e:  # noqa: BLE001 - report and go on with the other queries
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = os.path.basename(sf_dir).replace("sf", "")
-    print(json.dumps({"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": sf, "cpus": cpus}))
+    out = {"metric": "sum_of_median_query_seconds", "value": round(sum(times.values()), 3),
+           "unit": "sec", "queries": times, "sf": sf, "cpus": cpus, "runs": runs}
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
