@@ -113,15 +113,6 @@ def join_path(folder, name) -> Column:
     return F.concat_ws("/", F.regexp_replace(_col(folder), "/+$", ""), _col(name))
 
 
-def ancestors(path) -> Column:
-    """All non-empty prefixes of a slash path, shallowest first:
-    '/a/b/c' -> ['/a', '/a/b', '/a/b/c']."""
-    segs = F.split(_col(path), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.size(segs)),
-                           lambda k: F.array_join(F.slice(segs, 1, k), "/"))
-    return F.filter(prefixes, lambda p: p != "")
-
-
 def format_time(ts) -> Column:
     """Seconds-precision text stamp used in listings and file names."""
     return F.date_format(_col(ts), "yyyy-MM-dd HH:mm:ss")

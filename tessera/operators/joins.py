@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Largest number of rows we broadcast on our own say-so. Above it the join
-# is left to the planner (AQE turns it into a broadcast only when the
-# runtime size is under spark.sql.autoBroadcastJoinThreshold).
+# Largest number of rows we broadcast on our own say-so. Above it the join is
+# left to the planner (AQE turns it into a broadcast only when the runtime
+# size is under spark.sql.autoBroadcastJoinThreshold).
 MAX_BROADCAST_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` if ``df`` has at most ``max_rows`` rows, else ``df``.
-
-    The check runs ``limit(max_rows + 1).count()``, which stops reading as
-    soon as the bound is passed, so it is cheap for both outcomes.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+def broadcast_if_small(df: DataFrame, n_rows: int, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """``F.broadcast(df)`` when its counted size ``n_rows`` is within the
+    bound, else ``df`` unchanged."""
+    return F.broadcast(df) if n_rows <= max_rows else df

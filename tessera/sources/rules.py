@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import prefixes_at
-from ..operators.joins import MAX_BROADCAST_ROWS
+from ..operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 
 RULES_SCHEMA = T.StructType([
     T.StructField("folder_prefix", T.StringType(), False),
@@ -134,8 +134,7 @@ def plan_rules(rules: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -
     table = (r.join(nested, "folder_prefix", "left")
              .withColumn("deeper", F.coalesce("deeper", empty_s))
              .withColumn("rule_ok", rule_is_valid()))
-    if n <= max_broadcast_rows:
-        table = F.broadcast(table)
+    table = broadcast_if_small(table, n, max_broadcast_rows)
     return RulePlan(table, depths, int(st["kd"] or 0), int(st["kp"] or 0), n)
 
 
