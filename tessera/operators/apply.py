@@ -17,6 +17,8 @@ from .stats import folder_stats
 FOLDER_COLUMNS = ["id", "path", "total_size", "file_count"]
 FILE_COLUMNS = ["id", "folder_id", "folder_path", "name", "size"]
 KNOWN_CHANGES = ("added", "modified", "removed")
+# kept in the snapshot when the listing has them (e.g. for mtime comparison)
+OPTIONAL_FILE_COLUMNS = ("mtime",)
 
 
 def _max_id(df: DataFrame) -> int:
@@ -37,10 +39,11 @@ def initial_snapshot(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
     stats = folder_stats(listing)
     folders = with_new_ids(stats, ["folder_path"], 1).select(
         "id", F.col("folder_path").alias("path"), "total_size", "file_count")
-    files = listing.select("folder_path", "name", "size").join(
+    extra = [c for c in OPTIONAL_FILE_COLUMNS if c in listing.columns]
+    files = listing.select("folder_path", "name", "size", *extra).join(
         folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")),
         "folder_path")
-    files = with_new_ids(files, ["folder_path", "name"], 1).select(*FILE_COLUMNS)
+    files = with_new_ids(files, ["folder_path", "name"], 1).select(*FILE_COLUMNS, *extra)
     return folders, files
 
 
@@ -77,19 +80,28 @@ def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame)
         F.when(F.col("change_type").isin(*KNOWN_CHANGES), F.col("change_type"))
         .otherwise(F.raise_error(F.concat(F.lit("unknown change type: "),
                                           F.coalesce(F.col("change_type"), F.lit("null"))))))
+    # optional columns (mtime) travel along when both the snapshot and the
+    # changes carry them
+    extra = [c for c in OPTIONAL_FILE_COLUMNS if c in files.columns and f"disk_{c}" in changes.columns]
+    cols = FILE_COLUMNS + [c for c in OPTIONAL_FILE_COLUMNS if c in files.columns]
     touch = checked.where(F.col("change_type") != "added").select(
-        "folder_path", "name", "change_type", F.col("disk_size").alias("_new_size"))
+        "folder_path", "name", "change_type", F.col("disk_size").alias("_new_size"),
+        *[F.col(f"disk_{c}").alias(f"_new_{c}") for c in extra])
     kept = (files.join(touch, ["folder_path", "name"], "left")
-            .where(F.col("change_type").isNull() | (F.col("change_type") != "removed"))
-            .withColumn("size", F.when(F.col("change_type") == "modified", F.col("_new_size"))
-                        .otherwise(F.col("size")))
-            .select(*FILE_COLUMNS))
+            .where(F.col("change_type").isNull() | (F.col("change_type") != "removed")))
+    for c, new in [("size", "_new_size")] + [(c, f"_new_{c}") for c in extra]:
+        kept = kept.withColumn(c, F.when(F.col("change_type") == "modified", F.col(new)).otherwise(F.col(c)))
+    kept = kept.select(*cols)
     added = checked.where(F.col("change_type") == "added").select(
-        "folder_path", "name", F.col("disk_size").alias("size"))
+        "folder_path", "name", F.col("disk_size").alias("size"),
+        *[F.col(f"disk_{c}").alias(c) for c in extra])
+    for c in cols:
+        if c not in added.columns and c not in ("id", "folder_id"):
+            added = added.withColumn(c, F.lit(None).cast(files.schema[c].dataType))
     added = added.join(files.select("folder_path", "name"), ["folder_path", "name"], "left_anti")
     added = added.join(folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")),
                        "folder_path", "left")
-    added = with_new_ids(added, ["folder_path", "name"], _max_id(files) + 1).select(*FILE_COLUMNS)
+    added = with_new_ids(added, ["folder_path", "name"], _max_id(files) + 1).select(*cols)
     return kept.unionByName(added)
 
 

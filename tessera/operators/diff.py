@@ -70,6 +70,7 @@ def file_changes(disk: DataFrame, db_files: DataFrame, detect_removed: bool = Fa
               .when(F.col("_on_disk").isNull(), F.lit("removed"))
               .when(differs, F.lit("modified")))
     out = j.withColumn("change_type", change).where(F.col("change_type").isNotNull())
+    extra = [c for c in carried if c != "size"]
     return out.select(
         "change_type",
         F.coalesce("_file_id", F.lit(0)).cast("bigint").alias("file_id"),
@@ -77,6 +78,7 @@ def file_changes(disk: DataFrame, db_files: DataFrame, detect_removed: bool = Fa
         "folder_path", "name",
         F.coalesce("disk_size", F.lit(0)).cast("bigint").alias("disk_size"),
         F.coalesce("db_size", F.lit(0)).cast("bigint").alias("db_size"),
+        *[F.col(f"disk_{c}") for c in extra], *[F.col(f"db_{c}") for c in extra],
     )
 
 

@@ -42,12 +42,14 @@ def initial_load(store: VersionedStore, listing: DataFrame, rules: DataFrame,
 
 
 def sync(store: VersionedStore, listing: DataFrame, rules: DataFrame, *, force: bool = False,
-         updated_at: dt.datetime | None = None, detect_removed: bool = False) -> DataFrame:
+         updated_at: dt.datetime | None = None, detect_removed: bool = False,
+         compare: tuple[str, ...] = ("size",)) -> DataFrame:
     """Compare the listing with the current version; when anything changed
     (or on the first run, or with ``force``) write the next version:
     snapshot tables rewritten with the changes, blocks of changed folders
     rebuilt, the rest reused, one publish stamp for the whole version.
-    Returns a one-row status frame."""
+    ``compare=("size", "mtime")`` also sees same-size edits when the listing
+    carries ``mtime``. Returns a one-row status frame."""
     spark = store.spark
     cur = store.current()
     if cur is None:
@@ -55,7 +57,7 @@ def sync(store: VersionedStore, listing: DataFrame, rules: DataFrame, *, force:
     version = cur[0]
     folders, files = store.read("folders", version), store.read("files", version)
     fdiff = materialize(folder_diff(folder_stats(listing), folders, detect_removed))
-    changes = materialize(file_changes(listing, files, detect_removed))
+    changes = materialize(file_changes(listing, files, detect_removed, compare))
     n_fd, n_ch = fdiff.count(), changes.count()
     if not force and n_fd == 0 and n_ch == 0:
         return _status(spark, False, version, 0, 0, 0, cur[1])

@@ -136,3 +136,19 @@ def test_clear_publishes_empty_version(spark, tmpdir_path):
     v = store.clear(dt.datetime(2024, 1, 2))
     assert v == 1 and store.read("files").count() == 0 and store.read("folders").count() == 0
     assert store.read("files", 0).count() > 0
+
+
+def test_mtime_comparison_sees_same_size_edits(spark):
+    old = spark.createDataFrame([("/a", "x", 5, dt.datetime(2024, 1, 1)), ("/a", "y", 3, dt.datetime(2024, 1, 1))],
+                                "folder_path string, name string, size long, mtime timestamp_ntz")
+    new = spark.createDataFrame([("/a", "x", 5, dt.datetime(2024, 2, 1)), ("/a", "y", 3, dt.datetime(2024, 1, 1)),
+                                 ("/a", "z", 1, dt.datetime(2024, 2, 2))],
+                                "folder_path string, name string, size long, mtime timestamp_ntz")
+    folders, files = dml.initial_snapshot(old)
+    assert "mtime" in files.columns
+    assert file_changes(new, files).count() == 1  # size only: the same-size edit is invisible
+    ch = file_changes(new, files, compare=("size", "mtime"))
+    assert {(r["change_type"], r["name"]) for r in ch.collect()} == {("modified", "x"), ("added", "z")}
+    applied = dml.apply_file_changes(files, ch, folders)
+    got = {(r["name"], r["size"], r["mtime"]) for r in applied.collect()}
+    assert got == {(r["name"], r["size"], r["mtime"]) for r in new.collect()}
