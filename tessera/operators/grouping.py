@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import parts_key_upto, split_name_upto
@@ -147,5 +147,6 @@ class NameGrouping:
         """Distinct column keys of valid rows per folder with their sorted
         position (the CSV column order)."""
         keys = self.valid_cells.select("folder_path", "col_key").distinct()
-        w = Window.partitionBy("folder_path").orderBy("col_key")
-        return keys.withColumn("key_pos", (F.row_number().over(w) - 1).cast("int"))
+        numbered = group_index(keys, ["folder_path"], ["col_key"], out="key_pos",
+                               window_limit=self.window_limit)
+        return numbered.withColumn("key_pos", F.col("key_pos").cast("int"))
