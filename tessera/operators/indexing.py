@@ -7,15 +7,18 @@ then sort a third of the data on one core. ``ranged_index`` instead:
 1. range-partitions on (group keys, order keys), so a hot group is spread
    over many partitions in key order, and sorts inside each partition;
 2. tags each row with its partition id and position in the partition and
-   checkpoints that (reliable checkpoint: row placement is fixed and a
-   lost executor cannot reshuffle it differently);
+   writes the tagged rows to the shared checkpoint folder: the tags are
+   columns of a written table, so the count pass and the join pass read the
+   same values even if range sampling or a lost executor would place rows
+   differently on a second evaluation;
 3. counts rows per (partition, group) - a table no larger than
    partitions + groups - and turns the counts into per-group offsets with a
    running sum over partitions;
 4. joins the offsets back: index = offset + position - first position.
 
 The result equals ``row_number() - 1`` over the window when the order keys
-are unique within a group.
+are unique within a group. ``group_index`` picks between the two plans from
+the size of the largest group.
 """
 
 from __future__ import annotations
