@@ -35,6 +35,27 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
+               max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of listing data.
+
+    Scan splits and shuffle partitions aim at ``target_partition_bytes``
+    each, so a task's share fits executor memory and spills rarely; AQE
+    coalesces small shuffle partitions and splits skewed join partitions.
+    Apply with ``SparkSession.builder.config(map=scale_conf(...))``.
+    """
+    parts = max(200, min(max_shuffle_partitions, -(-input_bytes // target_partition_bytes)))
+    return {
+        **DEFAULT_CONF,
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and written intermediate tables.
 
