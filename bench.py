@@ -21,7 +21,7 @@ from tessera.session import local_session  # noqa: E402
 
 HEADLINE = ["valid_groups", "file_changes", "folder_stats", "incremental_blocks",
             "group_files", "invalid_files", "cell_collisions", "csv_layout", "fileblock_rows",
-            "apply_file_changes", "sync"]
+            "apply_file_changes", "runs_snapshot", "sync"]
 
 
 def main():

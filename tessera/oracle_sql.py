@@ -246,6 +246,11 @@ from (select distinct folder_path from all_l) d left join fr_all_l fr on fr.fold
 """, *keyed_ctes("all_l")[:1])
 ORACLE["snapshot_folders"] = q("select * from snap_folders", *SNAPSHOT)
 ORACLE["snapshot_files"] = q("select * from snap_files", *SNAPSHOT)
+ORACLE["runs_snapshot"] = q("""
+select row_number() over (order by r.folder_path, r.name) as id, f.id as folder_id, r.folder_path, r.name, r.size
+from runs r join (select row_number() over (order by folder_path) as id, folder_path
+                  from (select distinct folder_path from runs)) f on f.folder_path = r.folder_path
+""")
 ORACLE["files_for_folder"] = q("""
 select f.id, f.folder_id, f.name, f.size from snap_files f join snap_folders fo on f.folder_id = fo.id
 where fo.path = '/corpus/src13/en'

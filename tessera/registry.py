@@ -148,6 +148,16 @@ def snapshot_files(spark, sf_dir):
     return store.read("files")
 
 
+@query
+def runs_snapshot(spark, sf_dir):
+    """Load test: the runs listing (every order line, both reads) as a
+    stored snapshot, read back from the store."""
+    store = VersionedStore(spark, scratch_path(spark, "runs-snapshot"))
+    folders, files = dml.initial_snapshot(derived.runs_listing(_t(spark, sf_dir)))
+    store.commit({"folders": folders, "files": files}, PUBLISHED_AT, version=0)
+    return store.read("files")
+
+
 @query
 def files_for_folder(spark, sf_dir):
     folders, files = dml.initial_snapshot(derived.docs_old(_t(spark, sf_dir)))

@@ -21,6 +21,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 TABLES = ("folders", "files", "block_heads", "block_rows")
 
 
@@ -67,7 +69,10 @@ class VersionedStore:
             version = 0 if cur is None else cur[0] + 1
         for name, df in tables.items():
             if name == "block_rows":
-                df = (df.repartitionByRange("block_id", "row_number")
+                # range partitioning samples its input before the shuffle:
+                # read a written copy so the rows are computed once
+                df = (materialize(df, "block-rows")
+                      .repartitionByRange("block_id", "row_number")
                       .sortWithinPartitions("block_id", "row_number"))
             df.write.mode("overwrite").parquet(self._path(name, version))
         marker = self.spark.createDataFrame([(version, updated_at)], "version long, updated_at timestamp_ntz")

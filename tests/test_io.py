@@ -92,3 +92,4 @@ def test_entry_contract(spark):
     qs, oracle = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(oracle) <= set(qs)
     assert set(qs) - set(oracle) == {"datablock_dump", "sync"}
+    assert len(qs) >= 53
