@@ -445,3 +445,18 @@ from fdiff
 union all
 select 'file' as kind, change_type, folder_path, name, disk_size, db_size from fchanges
 """, *SNAPSHOT)
+
+# nested blocks serialised as JSON (same text in both engines: no spaces,
+# struct fields and map entries in order)
+ORACLE["datablock_dump"] = q("""
+select h.block_id,
+       cast(to_json({'block_id': h.block_id, 'column_headers': h.column_headers, 'rows': coalesce(r.rows, [])})
+            as varchar) as json
+from heads_runs h left join (
+  select folder_path as block_id,
+         list({'row_number': row_number, 'cell_columns': cells} order by row_number) as rows
+  from (select folder_path, row_number,
+               map_from_entries(list({'k': col_key, 'v': name} order by col_key, name)) as cells
+        from vcells_runs group by folder_path, row_number)
+  group by folder_path) r on r.block_id = h.block_id
+""", *(grouping_ctes("runs", True) + [heads_cte("runs")]))
