@@ -460,3 +460,20 @@ from heads_runs h left join (
         from vcells_runs group by folder_path, row_number)
   group by folder_path) r on r.block_id = h.block_id
 """, *(grouping_ctes("runs", True) + [heads_cte("runs")]))
+
+# three syncs: first load of the old corpus, the new corpus, the new corpus
+# again (nothing changed: not updated, current version and stamp)
+ORACLE["sync"] = q("""
+select true as updated, cast(0 as bigint) as version, cast(0 as bigint) as folder_diffs,
+       cast(0 as bigint) as file_changes, (select count(*) from fr_docs_old where ok) as blocks,
+       TIMESTAMP '2024-01-15 12:00:00' as updated_at
+union all
+select true, cast(1 as bigint),
+       (select count(*) from new_stats n left join snap_folders s on s.path = n.folder_path
+        where s.id is null or n.total_size <> s.total_size or n.file_count <> s.file_count),
+       (select count(*) from fchanges), (select count(*) from fr_docs_new where ok),
+       TIMESTAMP '2024-01-16 12:00:00'
+union all
+select false, cast(1 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint),
+       TIMESTAMP '2024-01-16 12:00:00'
+""", *SNAPSHOT, *keyed_ctes("docs_old")[:1], *keyed_ctes("docs_new")[:1])

@@ -91,5 +91,5 @@ def test_entry_contract(spark):
     assert df.count() > 0
     qs, oracle = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(oracle) <= set(qs)
-    assert set(qs) - set(oracle) == {"sync"}
+    assert set(qs) == set(oracle)
     assert len(qs) >= 53
