@@ -88,7 +88,8 @@ class NameGrouping:
                  .agg(winner.alias("name"), F.min(o).alias("first_ord"),
                       F.count(F.lit(1)).alias("n_names")))
         # rows, valid, invalid and the CSV all read the cells: write them
-        # once (reliable checkpoint) instead of re-running the name split
+        # once (a parquet table in the checkpoint folder) instead of re-running
+        # the name split
         return materialize(cells) if self.reuse else cells
 
     @cached_property
