@@ -477,7 +477,8 @@ def clear_snapshot(spark, sf_dir):
 @query
 def csv_layout(spark, sf_dir):
     b = build_blocks(catalog(_t(spark, sf_dir)), rules_frame(spark))
-    return csv_lines(b.valid, b.grouping.column_keys(), b.block_heads)
+    keys = b.grouping.valid_cells.select("folder_path", "col_key").distinct()
+    return csv_lines(b.valid, keys, b.block_heads)
 
 
 # ------------------------------------------------ versioning and jobs

@@ -12,7 +12,9 @@ from ..functions.names import csv_field
 
 
 def csv_lines(valid: DataFrame, column_keys: DataFrame, heads: DataFrame) -> DataFrame:
-    """(folder_path, line_no, line) of each folder's CSV: line 0 is
+    """``column_keys``: (folder_path, col_key) of the valid rows, one row per key.
+
+    Returns (folder_path, line_no, line) of each folder's CSV: line 0 is
     ``Row,<header...>``; line r+1 is ``Row<r>`` followed by the row's cell
     at each of the folder's sorted column keys (empty when absent). The
     record width is the number of distinct keys, which may differ from the
