@@ -157,3 +157,39 @@ def test_grouping_matches_model(spark, names, row_parts, col_parts, n_header):
     rs = rules(spark, ("/m", "1", delims, header, row_parts, col_parts, 0, 0))
     got = {(r[1], r[2]) for r in valid_set(NameGrouping(listing(spark, "/m", sorted(names)), rs))}
     assert got == model(names, delims, row_parts, col_parts, n_header)
+
+
+def model_in_order(names, delims, row_parts, col_parts, n_header):
+    """As ``model`` but the list order (not name order) is the listing order."""
+    def split(n):
+        for d in delims:
+            n = n.replace(d, " ") if d else n
+        return n.split()
+
+    def key(parts, idx):
+        return "_".join(parts[i] for i in idx if 0 <= i < len(parts))
+
+    rows, first = {}, {}
+    for pos, n in enumerate(names):
+        p = split(n)
+        rk, ck = key(p, row_parts), key(p, col_parts)
+        first.setdefault(rk, pos)
+        rows.setdefault(rk, {})[ck] = n
+    valid = [rk for rk in sorted(rows, key=lambda r: first[r]) if len(rows[rk]) == n_header]
+    return {(i, tuple(sorted(rows[rk].items()))) for i, rk in enumerate(valid)}
+
+
+def test_listed_names_use_list_order(spark):
+    from tessera.sources.listing import listed_names
+    # a_A.txt2 comes before a_A.txt in the list: the later one in the list
+    # wins the cell although it sorts first by name
+    names = ["z_B.txt", "a_A.txt2", "z_A.txt", "a_B.txt", "a_A.txt"]
+    lists = spark.createDataFrame([("/o", names)], "folder_path string, names array<string>")
+    exploded = listed_names(lists)
+    assert [r["ord"] for r in exploded.orderBy("ord").collect()] == list(range(len(names)))
+    g = NameGrouping(exploded, rules(spark, ("/o", "1", ["_", "."], ["A", "B"], [0], [1], 0, 0)))
+    got = {(r["row_number"], tuple(sorted(r["cells"].items()))) for r in g.valid_groups().collect()}
+    want = model_in_order(names, ["_", "."], [0], [1], 2)
+    assert got == want
+    assert got == {(0, (("A", "z_A.txt"), ("B", "z_B.txt"))),
+                   (1, (("A", "a_A.txt"), ("B", "a_B.txt")))}
