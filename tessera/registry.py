@@ -414,7 +414,7 @@ def incremental_blocks(spark, sf_dir):
     changed = (diff_files(new, files).select("folder_path")
                .unionByName(diff_folders(stats_of(new), folders).select(F.col("path").alias("folder_path")))
                .distinct())
-    _, rows = rebuild_changed(before.block_heads, before.block_rows, new, rules, changed)
+    _, rows = rebuild_changed(before.block_heads, before.block_rows, new, before.plan, changed)
     return long_cells(rows)
 
 
