@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jump_shards, url_rules
+from tessera.llm import chat, jump_shards, line_quality, mix, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,3 +40,16 @@ QUERIES = {
     "op6_url_rules": url_filter,
     "op7_chat_round_trip": chat_format,
 }
+
+
+def line_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_quality.judge(docs).drop("source")
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix.mix(docs).select("doc_id", "size", "source_size", "target", "taken", F.size("draws").alias("n_draws"))
+
+
+QUERIES |= {"op3_line_quality": line_quality_rules, "op10_mix_targets": mix_targets}
