@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, jump_shards, line_quality, mix, pii, url_rules
+from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, pii, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,3 +68,12 @@ def private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_pii_spans"] = private_spans
+
+
+def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.matched(docs, _read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", F.explode("leaks").alias("l")).select("doc_id", "l.*")
+
+
+QUERIES["op8_benchmark_leaks"] = benchmark_leaks
