@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, pii, url_rules
+from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, order_minhash, pii, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -77,3 +77,10 @@ def benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_benchmark_leaks"] = benchmark_leaks
+
+
+def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES["op2_order_minhash"] = near_duplicates
