@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, order_minhash, pii, url_rules
+from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, order_minhash, pii, substring_dedup, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -84,3 +84,11 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op2_order_minhash"] = near_duplicates
+
+
+def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES["op1_substring_dedup"] = repeated_windows
