@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jump_shards, line_quality, mix, order_minhash, pii, substring_dedup, url_rules
+from tessera.llm import chat, decontaminate, jump_shards, line_dedup, line_quality, mix, order_minhash, pii, substring_dedup, url_rules
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -92,3 +92,11 @@ def repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_substring_dedup"] = repeated_windows
+
+
+def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.repeated(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_lines", "n_equal", "n_near", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
+QUERIES["op9_line_dedup"] = repeated_lines

@@ -136,3 +136,18 @@ def each_chunk(batch: pa.RecordBatch, column: str = "text", fold: np.ndarray | N
     data, offsets = utf8(batch.column(column))
     for lo, hi in chunks(offsets, limit):
         yield lo, hi, words(data[offsets[lo]:offsets[hi]], offsets[lo:hi + 1], fold)
+
+
+def spans(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of each run of words ``a`` to ``b``; equal runs have equal hashes."""
+    total = np.zeros(len(hashes) + 1, U)
+    np.cumsum(hashes * _powers(_BASE, len(hashes)), dtype=U, out=total[1:])
+    return mix((total[b] - total[a]) * _powers(_INVERSE, len(hashes) + 1)[a] + (b - a).astype(U))
+
+
+def without_each(hashes: np.ndarray) -> np.ndarray:
+    """For each word of one run, the spans() hash of the run without it."""
+    n = len(hashes)
+    total = np.zeros(n + 1, U)
+    np.cumsum(hashes * _powers(_BASE, n), dtype=U, out=total[1:])
+    return mix(total[:n] + (total[n] - total[1:]) * U(_INVERSE) + U(n - 1))
