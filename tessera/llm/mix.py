@@ -210,3 +210,17 @@ def mix(docs: DataFrame, source: str = "source", text: str = "text", key: str =
     draws = F.when(F.col("size") > 0, F.flatten(F.transform(span, draws_of)))
     taken = F.coalesce(F.aggregate("draws", F.lit(0).cast("long"), lambda a, d: a + d["words"]), F.lit(0).cast("long"))
     return both.withColumn("draws", draws).select(*back, "size", "source_size", "target", taken.alias("taken"), "draws")
+
+
+def drawn_texts(mixed: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of mix(), one for each epoch in which words of a document are
+    drawn: ``text`` as it is where all its words are, else the drawn words joined
+    by one space."""
+    aside, back = set_aside(mixed, text, "draws")
+    rows = mixed.select(*aside, F.col(quoted(text)).alias("text"), F.col("size").alias("words"), F.col("draws"),
+                        F.explode(F.array_distinct(F.transform("draws", lambda d: d["epoch"]))).alias("epoch"))
+    own = rows.withColumn("own", F.filter("draws", lambda d: d["epoch"] == F.col("epoch"))).drop("draws")
+    taken = F.aggregate("own", F.lit(0).cast("long"), lambda a, d: a + d["words"])
+    words = F.regexp_extract_all("text", F.lit(WORD), 0)
+    parts = let(words, lambda w: F.flatten(F.transform("own", lambda d: F.slice(w, (d["from_word"] + 1).cast("int"), d["words"].cast("int")))))
+    return own.withColumn("text", F.when(taken == F.col("words"), F.col("text")).otherwise(F.array_join(parts, " "))).select(*back, "text")

@@ -100,3 +100,11 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_line_dedup"] = repeated_lines
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
