@@ -13,10 +13,10 @@ Typical use::
 
 from .operators.apply import (apply_file_changes, apply_folder_diffs, cascade_delete,
                               initial_snapshot, insert_if_absent)
-from .operators.blocks import datablock, generate_rows, long_cells, nested_blocks, override_headers
+from .operators.blocks import datablock, generate_rows, long_cells, merge_blocks, override_headers
 from .operators.diff import change_summary, file_changes, folder_diff
 from .operators.grouping import NameGrouping
-from .operators.indexing import group_index, ranged_index
+from .operators.indexing import ranged_index
 from .operators.stats import folder_stats, stat_drift, stats_refresh
 from .plans.build import BlockBuild, build_blocks, incremental_blocks
 from .plans.sync import gate_status, get_datablock, initial_load, sync

@@ -144,21 +144,47 @@ def glob_to_regex(pattern: str) -> str:
             i += 1
             out.append(re.escape(pattern[i]))
         elif c == "[":
-            j = pattern.find("]", i + 1)
-            if j == -1:
-                raise ValueError(f"bad glob pattern: {pattern!r}")
-            body = pattern[i + 1:j]
-            neg = body.startswith("^")
-            if neg:
-                body = body[1:]
-            body = body.replace("\\", "\\\\")
-            out.append("[" + ("^" if neg else "") + body + "]")
-            i = j
+            items, i = _glob_class(pattern, i + 1)
+            out.append(items)
         else:
             out.append(re.escape(c))
         i += 1
     return "^" + "".join(out) + "$"
 
 
+def _glob_class(pattern: str, i: int) -> tuple[str, int]:
+    """The class whose items start at ``i``, as a regular expression, and the
+    place of its closing bracket. Items are characters, escaped characters and
+    ranges; every other sign is taken as itself."""
+    def item(i: int) -> tuple[str, int]:
+        if i < len(pattern) and pattern[i] == "\\":
+            i += 1
+        elif i < len(pattern) and pattern[i] in "-]":
+            raise ValueError(f"bad glob pattern: {pattern!r}")
+        if i >= len(pattern):
+            raise ValueError(f"bad glob pattern: {pattern!r}")
+        return pattern[i], i + 1
+
+    def plain(c: str) -> str:
+        return c if c.isalnum() else f"\\x{{{ord(c):x}}}"
+
+    negated = pattern[i:i + 1] == "^"
+    i += negated
+    out = []
+    while not out or pattern[i:i + 1] != "]":
+        low, i = item(i)
+        high = low
+        if pattern[i:i + 1] == "-":
+            high, i = item(i + 1)
+        if low <= high:
+            out.append(plain(low) if low == high else f"{plain(low)}-{plain(high)}")
+        else:
+            out.append("")
+    body = "".join(out)
+    if not body:  # only empty ranges: nothing is in the class
+        return ("[^/]" if negated else "(?!)"), i
+    return f"[{'^' if negated else ''}{body}]", i
+
+
 def glob_match(name, pattern: str) -> Column:
     return _col(name).rlike(glob_to_regex(pattern))

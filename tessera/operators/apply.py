@@ -11,14 +11,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import group_index
+from .indexing import ranged_index
 from .stats import folder_stats
 
 FOLDER_COLUMNS = ["id", "path", "total_size", "file_count"]
 FILE_COLUMNS = ["id", "folder_id", "folder_path", "name", "size"]
 KNOWN_CHANGES = ("added", "modified", "removed")
-# kept in the snapshot when the listing has them (e.g. for mtime comparison)
-OPTIONAL_FILE_COLUMNS = ("mtime",)
+# kept in the snapshot when the listing has them; a modified file keeps its
+# created_time and takes the new mtime
+OPTIONAL_FILE_COLUMNS = ("created_time", "mtime")
+OPTIONAL_FOLDER_COLUMNS = ("created_time",)
 
 
 def _max_id(df: DataFrame) -> int:
@@ -30,15 +32,17 @@ def _max_id(df: DataFrame) -> int:
 def with_new_ids(df: DataFrame, order_by: list[str], start: int) -> DataFrame:
     """``id`` = start + rank in ``order_by`` order, numbered without a
     single-task window."""
-    return group_index(df, [], order_by, out="id", base=start)
+    return ranged_index(df, [], order_by, out="id", base=start)
 
 
-def initial_snapshot(listing: DataFrame) -> tuple[DataFrame, DataFrame]:
+def initial_snapshot(listing: DataFrame, paths: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """First load: folders (id by path order) with totals, and files (id by
-    (folder path, name) order) pointing at their folder."""
-    stats = folder_stats(listing)
+    (folder path, name) order) pointing at their folder. ``paths``
+    (folder_path): all folders, with or without files."""
+    stats = folder_stats(listing, paths)
     folders = with_new_ids(stats, ["folder_path"], 1).select(
-        "id", F.col("folder_path").alias("path"), "total_size", "file_count")
+        "id", F.col("folder_path").alias("path"), "total_size", "file_count",
+        *[c for c in OPTIONAL_FOLDER_COLUMNS if c in stats.columns])
     extra = [c for c in OPTIONAL_FILE_COLUMNS if c in listing.columns]
     files = listing.select("folder_path", "name", "size", *extra).join(
         folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")),
@@ -60,15 +64,17 @@ def apply_folder_diffs(folders: DataFrame, diffs: DataFrame) -> DataFrame:
     upd = diffs.where(F.col("folder_id") != 0).select(
         F.col("folder_id").alias("id"), F.col("disk_total_size").alias("_ts"),
         F.col("disk_file_count").alias("_fc"))
+    extra = [c for c in OPTIONAL_FOLDER_COLUMNS if c in folders.columns]
     kept = (folders.join(upd, "id", "left")
             .select("id", "path", F.coalesce("_ts", "total_size").alias("total_size"),
-                    F.coalesce("_fc", "file_count").alias("file_count")))
+                    F.coalesce("_fc", "file_count").alias("file_count"), *extra))
     new = diffs.where(F.col("folder_id") == 0).select(
         F.col("path"), F.col("disk_total_size").alias("total_size"),
-        F.col("disk_file_count").alias("file_count"))
+        F.col("disk_file_count").alias("file_count"),
+        *[F.col(c) if c in diffs.columns else F.lit(None).cast(folders.schema[c].dataType).alias(c) for c in extra])
     new = new.join(folders.select("path"), "path", "left_anti")
-    new = with_new_ids(new, ["path"], _max_id(folders) + 1).select(*FOLDER_COLUMNS)
-    return kept.select(*FOLDER_COLUMNS).unionByName(new)
+    new = with_new_ids(new, ["path"], _max_id(folders) + 1).select(*FOLDER_COLUMNS, *extra)
+    return kept.select(*FOLDER_COLUMNS, *extra).unionByName(new)
 
 
 def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame) -> DataFrame:
@@ -89,7 +95,7 @@ def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame)
         *[F.col(f"disk_{c}").alias(f"_new_{c}") for c in extra])
     kept = (files.join(touch, ["folder_path", "name"], "left")
             .where(F.col("change_type").isNull() | (F.col("change_type") != "removed")))
-    for c, new in [("size", "_new_size")] + [(c, f"_new_{c}") for c in extra]:
+    for c, new in [("size", "_new_size")] + [(c, f"_new_{c}") for c in extra if c != "created_time"]:
         kept = kept.withColumn(c, F.when(F.col("change_type") == "modified", F.col(new)).otherwise(F.col(c)))
     kept = kept.select(*cols)
     added = checked.where(F.col("change_type") == "added").select(
@@ -106,10 +112,11 @@ def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame)
 
 
 def lookup_folder_ids(changes: DataFrame, folders: DataFrame) -> DataFrame:
-    """Attach the folder id to each change by path (null when the folder is
-    not in the table)."""
+    """Attach the folder id to each change by path. ``reject`` names the reason
+    where there is none."""
     f = folders.select(F.col("path").alias("folder_path"), F.col("id").alias("folder_id"))
-    return changes.drop("folder_id").join(f, "folder_path", "left")
+    return changes.drop("folder_id").join(f, "folder_path", "left").withColumn(
+        "reject", F.when(F.col("folder_id").isNull(), F.lit("no stored folder")))
 
 
 def cascade_delete(files: DataFrame, kept_folders: DataFrame) -> DataFrame:

@@ -7,19 +7,18 @@ no block has to fit in one row:
 * ``block_heads``: block_id, column_headers, n_rows, rule_version
 * ``block_rows`` : block_id, row_number, cells (map col_key -> file name)
 
-The nested form (one row per block with all its rows, or one row for the
-whole set) is an export for small sets and checks its size first.
+No form holds a whole block in one row: the text dump (``sinks.files``) has
+a line per block head and a line per row.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .indexing import group_index
-
-MAX_NESTED_ROWS = 1_000_000
-
+from .indexing import ranged_index
 
 def long_cells(block_rows: DataFrame) -> DataFrame:
     """(block_id, row_number, col_key, name): one row per cell."""
@@ -33,20 +32,17 @@ def override_headers(block_heads: DataFrame, headers: list[str]) -> DataFrame:
                                   F.array(*[F.lit(h) for h in headers]).cast("array<string>"))
 
 
-def nested_blocks(block_rows: DataFrame, block_heads: DataFrame,
-                  max_rows: int = MAX_NESTED_ROWS) -> DataFrame:
-    """One row per block: block_id, column_headers, rows (sorted by
-    row_number; each row is (row_number, entries)). Refuses blocks with
-    more than ``max_rows`` rows: they stay in the long form."""
-    big = block_heads.where(F.col("n_rows") > max_rows).select("block_id").limit(1).collect()
-    if big:
-        raise ValueError(f"block {big[0][0]!r} has more than {max_rows} rows; "
-                         "use the long block_rows table")
-    rows = (block_rows.groupBy("block_id")
-            .agg(F.array_sort(F.collect_list(F.struct("row_number", "entries"))).alias("rows")))
-    return (block_heads.join(rows, "block_id", "left")
-            .select("block_id", "column_headers",
-                    F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows")))
+def merge_blocks(sets: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """One block set from several published ones, given as (heads, rows): all
+    blocks of all sets. A block that several sets hold is taken from the last
+    of them."""
+    def numbered(i: int, df: DataFrame) -> DataFrame:
+        return df.withColumn("_set", F.lit(i))
+
+    heads = reduce(DataFrame.unionByName, [numbered(i, h) for i, (h, _) in enumerate(sets)])
+    rows = reduce(DataFrame.unionByName, [numbered(i, r) for i, (_, r) in enumerate(sets)])
+    last = heads.groupBy("block_id").agg(F.max("_set").alias("_set"))
+    return heads.join(last, ["block_id", "_set"]).drop("_set"), rows.join(last, ["block_id", "_set"], "left_semi").drop("_set")
 
 
 def datablock(block_heads: DataFrame, updated_at) -> DataFrame:
@@ -54,7 +50,7 @@ def datablock(block_heads: DataFrame, updated_at) -> DataFrame:
     once by the caller, so every block of a version carries the same
     stamp). Raises on an empty block set."""
     if block_heads.limit(1).count() == 0:
-        raise ValueError("no input file blocks provided")
+        raise ValueError("an empty block set cannot be published")
     return block_heads.withColumn("updated_at", F.lit(str(updated_at)).cast("timestamp_ntz"))
 
 
@@ -63,8 +59,8 @@ def generate_rows(data: DataFrame, cells: str, order_by: list[str],
     """Rows from positional cell arrays: row_number is 1-based in
     ``order_by`` order; header j maps to cell j; surplus headers or cells
     are dropped."""
-    numbered = group_index(data.select(*order_by, cells), [], order_by, out="row_number", base=1)
+    numbered = ranged_index(data.select(*order_by, cells), [], order_by, out="row_number", base=1)
     h = F.array(*[F.lit(x) for x in headers]).cast("array<string>")
     k = F.least(F.size(h), F.size(cells))
-    return numbered.select(F.col("row_number").cast("int").alias("row_number"), *order_by,
+    return numbered.select("row_number", *order_by,
                            F.map_from_arrays(F.slice(h, 1, k), F.slice(cells, 1, k)).alias("cells"))

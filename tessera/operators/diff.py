@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 FOLDER_DIFF_COLUMNS = ["folder_id", "path", "disk_total_size", "db_total_size",
-                       "disk_file_count", "db_file_count"]
+                       "disk_file_count", "db_file_count", "vanished"]
 FILE_CHANGE_COLUMNS = ["change_type", "file_id", "folder_id", "folder_path", "name",
                        "disk_size", "db_size"]
 
@@ -24,12 +24,14 @@ FILE_CHANGE_COLUMNS = ["change_type", "file_id", "folder_id", "folder_path", "na
 def folder_diff(disk_stats: DataFrame, db_folders: DataFrame,
                 detect_removed: bool = False) -> DataFrame:
     """``disk_stats``: (folder_path, total_size, file_count);
-    ``db_folders``: (id, path, total_size, file_count)."""
+    ``db_folders``: (id, path, total_size, file_count). ``vanished``: the
+    folder is stored but not on disk (only with ``detect_removed``)."""
     db = db_folders.select(F.col("id").alias("db_id"), F.col("path").alias("folder_path"),
                            F.col("total_size").alias("db_total_size"),
                            F.col("file_count").alias("db_file_count"))
+    times = ["created_time"] if "created_time" in disk_stats.columns else []
     disk = disk_stats.select("folder_path", F.col("total_size").alias("disk_total_size"),
-                             F.col("file_count").alias("disk_file_count"))
+                             F.col("file_count").alias("disk_file_count"), *times)
     how = "full_outer" if detect_removed else "left"
     j = disk.join(db, "folder_path", how)
     changed = (F.col("db_id").isNull() | F.col("disk_total_size").isNull()
@@ -42,20 +44,23 @@ def folder_diff(disk_stats: DataFrame, db_folders: DataFrame,
         F.coalesce("db_total_size", F.lit(0)).cast("bigint").alias("db_total_size"),
         F.coalesce("disk_file_count", F.lit(0)).cast("bigint").alias("disk_file_count"),
         F.coalesce("db_file_count", F.lit(0)).cast("bigint").alias("db_file_count"),
+        F.col("disk_total_size").isNull().alias("vanished"), *times,
     )
 
 
 def file_changes(disk: DataFrame, db_files: DataFrame, detect_removed: bool = False,
-                 compare: tuple[str, ...] = ("size",)) -> DataFrame:
+                 compare: tuple[str, ...] = ("size",), live: DataFrame | None = None) -> DataFrame:
     """``disk``: (folder_path, name, size[, mtime]);
     ``db_files``: (id, folder_id, folder_path, name, size[, mtime]).
 
-    A file is modified when any ``compare`` column differs (size only by
+    ``live``: (folder_path) the folders that exist, with or without files
+    (default: those of ``disk``). A file is modified when any ``compare`` column differs (size only by
     default: same-size edits are not seen)."""
     if not detect_removed:
-        live = disk.select("folder_path").distinct()
-        db_files = db_files.join(live, "folder_path", "left_semi")
+        live = disk if live is None else live
+        db_files = db_files.join(live.select("folder_path").distinct(), "folder_path", "left_semi")
     carried = ["size"] + [c for c in compare if c != "size"]
+    carried += [c for c in ("created_time",) if c in disk.columns and c in db_files.columns and c not in carried]
     d = disk.select("folder_path", "name", F.lit(True).alias("_on_disk"),
                     *[F.col(c).alias(f"disk_{c}") for c in carried])
     s = db_files.select("folder_path", "name", F.col("id").alias("_file_id"),
@@ -83,13 +88,14 @@ def file_changes(disk: DataFrame, db_files: DataFrame, detect_removed: bool = Fa
 
 
 def change_summary(folder_diffs: DataFrame, changes: DataFrame) -> DataFrame:
-    """Counts per kind: folder_new, folder_changed, added, modified, removed
-    (kinds with no rows are reported with 0)."""
+    """Counts per kind: folder_new, folder_changed, folder_removed, added,
+    modified, removed (kinds with no rows are reported with 0)."""
     f = folder_diffs.select(F.when(F.col("folder_id") == 0, "folder_new")
+                            .when(F.col("vanished"), "folder_removed")
                             .otherwise("folder_changed").alias("kind"))
     c = changes.select(F.col("change_type").alias("kind"))
     counts = f.unionByName(c).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
     kinds = folder_diffs.sparkSession.createDataFrame(
-        [(k,) for k in ("folder_new", "folder_changed", "added", "modified", "removed")], "kind string")
+        [(k,) for k in ("folder_new", "folder_changed", "folder_removed", "added", "modified", "removed")], "kind string")
     return (kinds.join(counts, "kind", "left")
             .select("kind", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ..functions.names import parts_key_upto, split_name_upto
 from ..sources.rules import RulePlan, plan_rules
 from ..session import materialize
-from .indexing import WINDOW_LIMIT, group_index
+from .indexing import ranged_index
 
 ROW = ["folder_path", "row_key", "expected"]
 CELL = ["folder_path", "row_key", "col_key", "expected"]
@@ -66,8 +66,7 @@ class NameGrouping:
     """
 
     def __init__(self, listing: DataFrame, rules: DataFrame | None = None, *,
-                 keyed: DataFrame | None = None, reuse: bool = True, keep_keyed: bool = False,
-                 window_limit: int = WINDOW_LIMIT):
+                 keyed: DataFrame | None = None, reuse: bool = True, keep_keyed: bool = False):
         if keyed is None:
             cols = ["folder_path", "name"] + (["ord"] if "ord" in listing.columns else [])
             plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
@@ -76,7 +75,6 @@ class NameGrouping:
         self.keyed = materialize(keyed) if keep_keyed else keyed
         self.order = _order_col(keyed)
         self.reuse = reuse
-        self.window_limit = window_limit
 
     @cached_property
     def cells(self) -> DataFrame:
@@ -101,8 +99,7 @@ class NameGrouping:
 
     def number(self, rows: DataFrame, out: str) -> DataFrame:
         """0-based position per folder by first appearance."""
-        return group_index(rows, ["folder_path"], ["first_seen"], out=out,
-                           window_limit=self.window_limit)
+        return ranged_index(rows, ["folder_path"], ["first_seen"], out=out)
 
     def numbered_rows(self) -> DataFrame:
         """Every row with ``row_index`` by first appearance (0-based)."""
@@ -128,7 +125,7 @@ class NameGrouping:
         per_row = (self.cells.join(numbered, ROW)
                    .groupBy(*ROW, "row_number", "first_seen", "n_cols")
                    .agg(F.array_sort(F.collect_list(F.struct("col_key", "name"))).alias("entries")))
-        return per_row.select("folder_path", F.col("row_number").cast("int").alias("row_number"),
+        return per_row.select("folder_path", "row_number",
                               "row_key", "first_seen", "n_cols", "expected",
                               F.map_from_entries("entries").alias("cells"), "entries")
 
@@ -148,6 +145,4 @@ class NameGrouping:
         """Distinct column keys of valid rows per folder with their sorted
         position (the CSV column order)."""
         keys = self.valid_cells.select("folder_path", "col_key").distinct()
-        numbered = group_index(keys, ["folder_path"], ["col_key"], out="key_pos",
-                               window_limit=self.window_limit)
-        return numbered.withColumn("key_pos", F.col("key_pos").cast("int"))
+        return ranged_index(keys, ["folder_path"], ["col_key"], out="key_pos")

@@ -17,8 +17,7 @@ then sort a third of the data on one core. ``ranged_index`` instead:
 4. joins the offsets back: index = offset + position - first position.
 
 The result equals ``row_number() - 1`` over the window when the order keys
-are unique within a group. ``group_index`` picks between the two plans from
-the size of the largest group.
+are unique within a group.
 """
 
 from __future__ import annotations
@@ -64,27 +63,6 @@ def ranged_index(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str]
 
 def window_index(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
                  out: str = "idx", base: int = 0) -> DataFrame:
-    """Plain window numbering; only for groups known to be small."""
+    """Plain window numbering: the check of ``ranged_index`` in the tests."""
     w = Window.partitionBy(*group_by).orderBy(*order_by) if group_by else Window.orderBy(*order_by)
     return df.withColumn(out, (F.row_number().over(w) - 1 + F.lit(base)).cast("bigint"))
-
-
-# Largest group a single task numbers with a window; bigger groups are
-# spread over many tasks by ``ranged_index``.
-WINDOW_LIMIT = 2_000_000
-
-
-def group_index(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str],
-                out: str = "idx", base: int = 0, window_limit: int = WINDOW_LIMIT) -> DataFrame:
-    """Numbering that picks its plan from the data: one small aggregate
-    finds the largest group; when it fits one task the plain window is
-    used (one shuffle by group), otherwise the ranged plan. ``df`` should
-    be cheap to read twice (materialized)."""
-    group_by = list(group_by)
-    if group_by:
-        biggest = df.groupBy(*group_by).count().agg(F.max("count")).first()[0]
-    else:
-        biggest = df.count()
-    if (biggest or 0) <= window_limit:
-        return window_index(df, group_by, order_by, out=out, base=base)
-    return ranged_index(df, group_by, order_by, out=out, base=base)

@@ -12,16 +12,22 @@ from pyspark.sql import functions as F
 
 def folder_stats(listing: DataFrame, folders: DataFrame | None = None) -> DataFrame:
     """(folder_path, total_size, file_count). With ``folders`` (a frame with
-    ``folder_path``), folders without files report 0 / 0."""
+    ``folder_path``), folders without files report 0 / 0. A listing with
+    ``created_time`` adds the folder's: that of ``folders`` if it has one, else
+    its earliest file's."""
+    times = [F.min("created_time").alias("created_time")] if "created_time" in listing.columns else []
     stats = (listing.groupBy("folder_path")
              .agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint").alias("total_size"),
-                  F.count(F.lit(1)).alias("file_count")))
+                  F.count(F.lit(1)).alias("file_count"), *times))
     if folders is None:
         return stats
-    return (folders.select("folder_path").join(stats, "folder_path", "left")
+    own = [F.col("created_time").alias("_own")] if times and "created_time" in folders.columns else []
+    if times:
+        times = [F.coalesce(*(["_own"] if own else []), "created_time").alias("created_time")]
+    return (folders.select("folder_path", *own).join(stats, "folder_path", "left")
             .select("folder_path",
                     F.coalesce("total_size", F.lit(0)).cast("bigint").alias("total_size"),
-                    F.coalesce("file_count", F.lit(0)).cast("bigint").alias("file_count")))
+                    F.coalesce("file_count", F.lit(0)).cast("bigint").alias("file_count"), *times))
 
 
 def _file_totals(files: DataFrame) -> DataFrame:
@@ -36,9 +42,10 @@ def stats_refresh(folders: DataFrame, files: DataFrame) -> DataFrame:
     join instead of two correlated subqueries per folder."""
     t = _file_totals(files)
     j = folders.join(t, folders["id"] == t["folder_id"], "left")
+    times = [c for c in ("created_time",) if c in folders.columns]
     return j.select("id", "path",
                     F.coalesce("current_size", F.lit(0)).cast("bigint").alias("total_size"),
-                    F.coalesce("current_count", F.lit(0)).cast("bigint").alias("file_count"))
+                    F.coalesce("current_count", F.lit(0)).cast("bigint").alias("file_count"), *times)
 
 
 def stat_drift(folders: DataFrame, files: DataFrame) -> DataFrame:

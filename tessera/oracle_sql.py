@@ -37,23 +37,24 @@ from (select cast(floor(o_orderkey / 7) as bigint) as k, o_orderkey % 7 as m fro
 
 DOCS_OLD = """
 select case when doc_id % 89 = 0 then concat('/corpus/old/', lang) else concat('/corpus/', source, '/', lang) end as folder_path,
-       concat('doc_', doc_id, '.txt') as name, n_chars as size
+       concat('doc_', doc_id, '.txt') as name, n_chars as size, TIMESTAMP '2020-01-01' + to_minutes(doc_id % 500000) as created_time
 from documents where doc_id % 10 <> 3
 """
 
+DOCS_ALL = """
+select case when doc_id % 89 = 0 then concat('/corpus/old/', lang) when doc_id % 97 = 0 then concat('/corpus/new/', lang)
+            else concat('/corpus/', source, '/', lang) end as folder_path,
+       concat('doc_', doc_id, '.txt') as name, n_chars as size, TIMESTAMP '2020-01-01' + to_minutes(doc_id % 500000) as created_time
+from documents
+"""
+
 DOCS_NEW = """
 select case when doc_id % 97 = 0 then concat('/corpus/new/', lang) else concat('/corpus/', source, '/', lang) end as folder_path,
-       concat('doc_', doc_id, '.txt') as name, n_chars + case when doc_id % 5 = 0 then 1 else 0 end as size
+       concat('doc_', doc_id, '.txt') as name, n_chars + case when doc_id % 5 = 0 then 1 else 0 end as size,
+       TIMESTAMP '2020-01-01' + to_minutes(doc_id % 500000) as created_time
 from documents where doc_id % 10 <> 7
 """
 
-FOLDERS_OLD = """
-select folder_path as path,
-       cast(sum(size) + case when length(folder_path) % 3 = 0 then 1 else 0 end as bigint) as total_size,
-       count(*) as file_count
-from docs_old group by folder_path
-"""
-
 EVENTS = """
 select concat('/events/g', user_id % 8) as folder_path,
        concat('u', user_id, '_d', day(ts), '_', event_type, '.log') as name, count(*) as size
@@ -119,16 +120,28 @@ def csv_field(v: str) -> str:
     return CSV_FIELD.replace("{v}", v)
 
 
+def snapshot_ctes(name: str, listing: str) -> list[str]:
+    """Folders and files of a listing's first snapshot, and its folders with
+    the totals as an earlier run stored them (some off by one)."""
+    return [
+        f"""{name}_folders as (select row_number() over (order by folder_path) as id, folder_path as path,
+             total_size, file_count, created_time from (select folder_path, cast(sum(size) as bigint) as total_size,
+             count(*) as file_count, min(created_time) as created_time from {listing} group by folder_path))""",
+        f"""{name}_files as (select row_number() over (order by d.folder_path, d.name) as id, f.id as folder_id,
+             d.folder_path, d.name, d.size, d.created_time from {listing} d join {name}_folders f on f.path = d.folder_path)""",
+        f"""{name}_stored as (select id, path,
+             cast(total_size + case when length(path) % 3 = 0 then 1 else 0 end as bigint) as total_size,
+             file_count, created_time from {name}_folders)""",
+    ]
+
+
+SNAP_ALL = snapshot_ctes("all", "docs_all")
+
 SNAPSHOT = [
-    """snap_folders as (select row_number() over (order by folder_path) as id, folder_path as path,
-         total_size, file_count from (select folder_path, cast(sum(size) as bigint) as total_size,
-         count(*) as file_count from docs_old group by folder_path))""",
-    """snap_files as (select row_number() over (order by d.folder_path, d.name) as id, f.id as folder_id,
-         d.folder_path, d.name, d.size from docs_old d join snap_folders f on f.path = d.folder_path)""",
-    """stored_folders as (select f.id, o.path, o.total_size, o.file_count
-         from folders_old o join snap_folders f on f.path = o.path)""",
-    """new_stats as (select folder_path, cast(sum(size) as bigint) as total_size, count(*) as file_count
-         from docs_new group by folder_path)""",
+    *snapshot_ctes("snap", "docs_old"),
+    "stored_folders as (select * from snap_stored)",
+    """new_stats as (select folder_path, cast(sum(size) as bigint) as total_size, count(*) as file_count,
+         min(created_time) as created_time from docs_new group by folder_path)""",
     """fdiff as (select coalesce(s.id, 0) as folder_id, n.folder_path as path,
          n.total_size as disk_total_size, coalesce(s.total_size, 0) as db_total_size,
          n.file_count as disk_file_count, coalesce(s.file_count, 0) as db_file_count
@@ -144,21 +157,24 @@ SNAPSHOT = [
            on n.folder_path = o.folder_path and n.name = o.name
          where o.name is null or n.name is null or n.size <> o.size)""",
     """upserted as (select s.id, s.path, coalesce(d.disk_total_size, s.total_size) as total_size,
-              coalesce(d.disk_file_count, s.file_count) as file_count
+              coalesce(d.disk_file_count, s.file_count) as file_count, s.created_time
          from stored_folders s left join (select * from fdiff where folder_id <> 0) d on d.folder_id = s.id
          union all
          select (select max(id) from stored_folders) + row_number() over (order by path) as id, path,
-                disk_total_size as total_size, disk_file_count as file_count
+                disk_total_size as total_size, disk_file_count as file_count,
+                (select n.created_time from new_stats n where n.folder_path = fdiff.path) as created_time
          from fdiff where folder_id = 0 and path not in (select path from stored_folders))""",
     """applied_files as (select f.id, f.folder_id, f.folder_path, f.name,
-              case when c.change_type = 'modified' then c.disk_size else f.size end as size
+              case when c.change_type = 'modified' then c.disk_size else f.size end as size,
+              f.created_time
          from snap_files f left join (select * from fchanges where change_type <> 'added') c
            on c.folder_path = f.folder_path and c.name = f.name
          where c.change_type is null or c.change_type <> 'removed'
          union all
          select (select max(id) from snap_files) + row_number() over (order by a.folder_path, a.name) as id,
-                u.id as folder_id, a.folder_path, a.name, a.disk_size as size
-         from (select * from fchanges where change_type = 'added') a left join upserted u on u.path = a.folder_path)""",
+                u.id as folder_id, a.folder_path, a.name, a.disk_size as size, n.created_time
+         from (select * from fchanges where change_type = 'added') a left join upserted u on u.path = a.folder_path
+         join docs_new n on n.folder_path = a.folder_path and n.name = a.name)""",
 ]
 
 
@@ -170,11 +186,11 @@ def base_ctes(*extra: str) -> str:
         f"events_l as ({EVENTS})",
         f"docs_old as ({DOCS_OLD})",
         f"docs_new as ({DOCS_NEW})",
-        f"folders_old as ({FOLDERS_OLD})",
+        f"docs_all as ({DOCS_ALL})",
         f"rules as ({RULES})",
         f"catalog as ({CATALOG})",
-        "all_l as (select * from catalog union all select * from docs_new)",
-        "blk as (select * from catalog union all select * from docs_old)",
+        "all_l as (select * from catalog union all select folder_path, name, size from docs_all)",
+        "blk as (select * from all_l)",
     ]
     return "with " + ",\n".join(ctes + list(extra)) + "\n"
 
@@ -193,7 +209,7 @@ def grouping_ctes(src: str = "catalog", only_valid: bool = False) -> list[str]:
                  group by folder_path, row_key, col_key, expected)""",
         f"""rows_{src} as (select folder_path, row_key, expected, count(*) as n_cols,
                  min(first_ord) as first_seen from cells_{src} group by folder_path, row_key, expected)""",
-        f"""valid_{src} as (select *, cast(row_number() over (partition by folder_path order by first_seen) - 1 as integer)
+        f"""valid_{src} as (select *, cast(row_number() over (partition by folder_path order by first_seen) - 1 as bigint)
                  as row_number from rows_{src} where n_cols = expected)""",
         f"""vcells_{src} as (select c.*, v.row_number from cells_{src} c join valid_{src} v
                  using (folder_path, row_key, expected))""",
@@ -236,28 +252,29 @@ where regexp_full_match(name, '[^/]*_R1_[^/]*\\.fastq\\.gz')
 """)
 ORACLE["folders_missing_file"] = q("""
 select d.folder_path, coalesce(p.has, false) as has_file
-from (select distinct folder_path from docs_new) d
-left join (select distinct folder_path, true as has from docs_new where name = 'doc_10.txt') p
+from (select distinct folder_path from docs_all) d
+left join (select distinct folder_path, true as has from docs_all where name = 'doc_10.txt') p
   on p.folder_path = d.folder_path
 """)
 ORACLE["rules_by_folder"] = q("""
 select d.folder_path, fr.folder_prefix, fr.version, cast(len(coalesce(fr.header, [])) as integer) as n_header
 from (select distinct folder_path from all_l) d left join fr_all_l fr on fr.folder_path = d.folder_path
 """, *keyed_ctes("all_l")[:1])
-ORACLE["snapshot_folders"] = q("select * from snap_folders", *SNAPSHOT)
-ORACLE["snapshot_files"] = q("select * from snap_files", *SNAPSHOT)
+ORACLE["snapshot_folders"] = q("select * from all_folders", *SNAP_ALL)
+ORACLE["snapshot_files"] = q("select * from all_files", *SNAP_ALL)
 ORACLE["runs_snapshot"] = q("""
 select row_number() over (order by r.folder_path, r.name) as id, f.id as folder_id, r.folder_path, r.name, r.size
 from runs r join (select row_number() over (order by folder_path) as id, folder_path
                   from (select distinct folder_path from runs)) f on f.folder_path = r.folder_path
 """)
 ORACLE["files_for_folder"] = q("""
-select f.id, f.folder_id, f.name, f.size from snap_files f join snap_folders fo on f.folder_id = fo.id
-where fo.path = '/corpus/src13/en'
-""", *SNAPSHOT)
+select f.id, f.folder_id, f.name, f.size, f.created_time from all_files f
+where f.folder_id = (select id from all_folders order by file_count desc, path limit 1)
+""", *SNAP_ALL)
 ORACLE["folder_id_lookup"] = q("""
-select c.change_type, c.folder_path, c.name, u.id as folder_id
-from fchanges c left join upserted u on u.path = c.folder_path
+select c.change_type, c.folder_path, c.name, u.id as folder_id,
+       case when u.id is null then 'no stored folder' end as reject
+from fchanges c left join stored_folders u on u.path = c.folder_path
 """, *SNAPSHOT)
 ORACLE["datablock_read"] = q("""
 select folder_path as block_id, row_number, col_key, name from vcells_catalog
@@ -297,10 +314,10 @@ select folder_path, concat({BASE_NAME}, 'files.pb') as block_file from (select d
 """)
 ORACLE["generate_rows"] = q("""
 select row_number, 'type' as header, event_type as cell from
-  (select cast(row_number() over (order by event_id) as integer) as row_number, event_type from events)
+  (select row_number() over (order by event_id) as row_number, event_type from events)
 union all
 select row_number, 'user' as header, cell from
-  (select cast(row_number() over (order by event_id) as integer) as row_number, cast(user_id as varchar) as cell
+  (select row_number() over (order by event_id) as row_number, cast(user_id as varchar) as cell
    from events)
 """)
 
@@ -320,27 +337,27 @@ ORACLE["folder_stats"] = q("""
 select folder_path, cast(sum(size) as bigint) as total_size, count(*) as file_count from all_l group by folder_path
 """)
 FILE_TOTALS = """(select folder_id, cast(sum(size) as bigint) as current_size, count(*) as current_count
-                  from snap_files group by folder_id)"""
+                  from all_files group by folder_id)"""
 ORACLE["folder_stats_refresh"] = q(f"""
-select s.id, s.path, coalesce(t.current_size, 0) as total_size, coalesce(t.current_count, 0) as file_count
-from stored_folders s left join {FILE_TOTALS} t on t.folder_id = s.id
-""", *SNAPSHOT)
+select s.id, s.path, coalesce(t.current_size, 0) as total_size, coalesce(t.current_count, 0) as file_count, s.created_time
+from all_stored s left join {FILE_TOTALS} t on t.folder_id = s.id
+""", *SNAP_ALL)
 ORACLE["stat_drift"] = q(f"""
 select * from (
   select s.path, s.total_size, s.file_count, coalesce(t.current_size, 0) as current_size,
          coalesce(t.current_count, 0) as current_count
-  from stored_folders s left join {FILE_TOTALS} t on t.folder_id = s.id)
+  from all_stored s left join {FILE_TOTALS} t on t.folder_id = s.id)
 where total_size <> current_size or file_count <> current_count
-""", *SNAPSHOT)
+""", *SNAP_ALL)
 ORACLE["group_files_long"] = q("select folder_path, row_key, col_key, name, n_names from cells_catalog",
                                *grouping_ctes("catalog"))
 ORACLE["group_files"] = q("""
-select folder_path, cast(row_number() over (partition by folder_path order by first_seen) - 1 as integer) as row_index,
+select folder_path, cast(row_number() over (partition by folder_path order by first_seen) - 1 as bigint) as row_index,
        row_key, n_cols, first_seen as first_name
 from rows_catalog
 """, *grouping_ctes("catalog"))
 ORACLE["column_keys"] = q("""
-select folder_path, col_key, cast(row_number() over (partition by folder_path order by col_key) - 1 as integer) as key_pos
+select folder_path, col_key, cast(row_number() over (partition by folder_path order by col_key) - 1 as bigint) as key_pos
 from (select distinct folder_path, col_key from vcells_catalog)
 """, *grouping_ctes("catalog"))
 ORACLE["rule_conflicts"] = q("""
@@ -351,7 +368,7 @@ from (select *, list_concat(row_parts, col_parts) as idx from fr_all_l)
 """, *keyed_ctes("all_l")[:1])
 ORACLE["change_summary"] = q("""
 select k.kind, coalesce(c.n, 0) as n
-from (values ('folder_new'), ('folder_changed'), ('added'), ('modified'), ('removed')) k(kind)
+from (values ('folder_new'), ('folder_changed'), ('folder_removed'), ('added'), ('modified'), ('removed')) k(kind)
 left join (select kind, count(*) as n from (
              select case when folder_id = 0 then 'folder_new' else 'folder_changed' end as kind from fdiff
              union all select change_type as kind from fchanges) group by kind) c on c.kind = k.kind
@@ -378,9 +395,9 @@ where not exists (select 1 from valid_catalog v where v.folder_path = c.folder_p
                   and v.expected = c.expected)
 """, *grouping_ctes("catalog"))
 ORACLE["insert_if_absent"] = q("""
-select * from docs_old
+select folder_path, name, size from docs_old
 union all
-select n.* from docs_new n where not exists (select 1 from docs_old o where o.folder_path = n.folder_path
+select n.folder_path, n.name, n.size from docs_new n where not exists (select 1 from docs_old o where o.folder_path = n.folder_path
                                                                           and o.name = n.name)
 """)
 
@@ -403,15 +420,19 @@ select folder_path as block_id, row_number, col_key, name from vcells_docs_new
 """, *grouping_ctes("docs_new", True))
 
 # ------------------------------------------------------------ snapshot DML
-ORACLE["initial_snapshot"] = q("select * from snap_files", *SNAPSHOT)
+ORACLE["initial_snapshot"] = q("select * from all_files", *SNAP_ALL)
 ORACLE["apply_folder_diffs"] = q("select * from upserted", *SNAPSHOT)
 ORACLE["apply_file_changes"] = q("select * from applied_files", *SNAPSHOT)
 ORACLE["snapshot_apply"] = q("select * from applied_files", *SNAPSHOT)
 ORACLE["clear_snapshot"] = q("""
-select 'folders' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from snap_folders
+select 'folders' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from all_folders
 union all
-select 'files' as table_name, count(*) as rows_before, cast(0 as bigint) as rows_after from snap_files
-""", *SNAPSHOT)
+select 'files', count(*), 0 from all_files
+union all
+select 'block_heads', count(*), 0 from heads_docs_all
+union all
+select 'block_rows', count(*), 0 from valid_docs_all
+""", *SNAP_ALL, *grouping_ctes("docs_all", True), heads_cte("docs_all"))
 
 # ------------------------------------------------------------------- sinks
 CAT_BLOCKS = grouping_ctes("catalog", True) + [heads_cte("catalog")]
@@ -431,13 +452,15 @@ group by r.folder_path, r.row_number
 """, *CAT_BLOCKS)
 
 # ----------------------------------------------------- versioning and jobs
-ORACLE["version_gate"] = q(f"""
-select user_id as client_id, client_updated_at,
-       case when client_updated_at is null or client_updated_at < {PUBLISHED_AT} then 'send'
-            when client_updated_at = {PUBLISHED_AT} then 'no_update' else 'error' end as status,
-       coalesce(client_updated_at = {PUBLISHED_AT}, false) as no_update
-from (select user_id, max(ts) as client_updated_at from events group by user_id)
-""")
+ORACLE["version_gate"] = """
+with clients as (select user_id, max(ts) as stamp from events group by user_id
+                 union all select max(user_id) + 1, null from events),
+server as (select stamp as published from clients order by user_id limit 1)
+select user_id as client_id, stamp as client_updated_at,
+       case when stamp is null or stamp < published then 'send' when stamp = published then 'no_update' else 'error' end as status,
+       coalesce(stamp = published, false) as no_update
+from clients, server
+"""
 ORACLE["diff_all"] = q("""
 select 'folder' as kind, case when folder_id = 0 then 'new' else 'changed' end as change_type,
        path as folder_path, cast(null as varchar) as name, disk_total_size as disk_size, db_total_size as db_size
@@ -446,20 +469,64 @@ union all
 select 'file' as kind, change_type, folder_path, name, disk_size, db_size from fchanges
 """, *SNAPSHOT)
 
-# nested blocks serialised as JSON (same text in both engines: no spaces,
-# struct fields and map entries in order)
-ORACLE["datablock_dump"] = q("""
-select h.block_id,
-       cast(to_json({'block_id': h.block_id, 'column_headers': h.column_headers, 'rows': coalesce(r.rows, [])})
-            as varchar) as json
-from heads_runs h left join (
-  select folder_path as block_id,
-         list({'row_number': row_number, 'cell_columns': cells} order by row_number) as rows
-  from (select folder_path, row_number,
-               map_from_entries(list({'k': col_key, 'v': name} order by col_key, name)) as cells
-        from vcells_runs group by folder_path, row_number)
-  group by folder_path) r on r.block_id = h.block_id
-""", *(grouping_ctes("runs", True) + [heads_cte("runs")]))
+# dump lines as JSON (same text in both engines: no spaces, struct fields and
+# map entries in order)
+DUMP = """
+select block_id, cast(0 as bigint) as line_no, cast(to_json({{'block_id': block_id, 'column_headers': column_headers}}) as varchar) as json
+from heads_runs where {which}
+union all
+select block_id, row_number + 1, cast(to_json({{'row_number': row_number, 'cell_columns': cells}}) as varchar)
+from (select folder_path as block_id, row_number, map_from_entries(list({{'k': col_key, 'v': name}} order by col_key, name)) as cells
+      from vcells_runs group by folder_path, row_number)
+where {which}
+"""
+RUN_BLOCKS = grouping_ctes("runs", True) + [heads_cte("runs")]
+ORACLE["datablock_dump"] = q(DUMP.format(which="true"), *RUN_BLOCKS)
+ORACLE["fileblock_dump"] = q(DUMP.format(which="block_id = '/data/run_03'"), *RUN_BLOCKS)
+
+# the new corpus's blocks replace the old one's
+ORACLE["merged_blocks"] = q(f"""
+select block_id, row_number, col_key, name, {PUBLISHED_AT} as updated_at from (
+  select folder_path as block_id, row_number, col_key, name from vcells_catalog
+  union all select folder_path, row_number, col_key, name from vcells_docs_new
+  union all select folder_path, row_number, col_key, name from vcells_docs_old
+  where folder_path not in (select folder_path from fr_docs_new where ok))
+""", *grouping_ctes("catalog", True), *grouping_ctes("docs_new", True), *grouping_ctes("docs_old", True))
+
+ORACLE["folder_names"] = q("""
+select folder_path, string_agg(name, ',' order by name) as names from docs_new group by folder_path
+""")
+
+
+def read_back(folders: str, files: str, cells: str) -> str:
+    """What a synced store holds: folder totals, files and block cells."""
+    return f"""
+select 'folder' as kind, path as folder_path, cast(null as varchar) as name, total_size, file_count from {folders}
+union all select 'file', folder_path, name, size, null from {files}
+union all select 'block', folder_path, name, row_number, null from {cells}
+"""
+
+
+ORACLE["sync_emptied_folder"] = q(read_back("""(
+  select a.path, cast(coalesce(sum(l.size), 0) as bigint) as total_size, count(l.name) as file_count
+  from all_folders a left join left_l l on l.folder_path = a.path group by a.path)""", "left_l", "vcells_left_l"),
+    *SNAP_ALL, "left_l as (select * from docs_all where folder_path not like '%/en')", *grouping_ctes("left_l", True))
+
+ORACLE["sync_rule_edit"] = q(read_back("all_folders", "all_files", "(select * from vcells_docs_all where false)") + """
+union all select 'head', folder_path, 'txt,csv', 0, null from fr_docs_all where ok
+""", *SNAP_ALL, *grouping_ctes("docs_all", True))
+
+ORACLE["sync_excluded"] = q(read_back("""(
+  select folder_path as path, cast(coalesce(sum(size), 0) as bigint) as total_size, count(name) as file_count
+  from (select n.folder_path, s.name, s.size from (select distinct folder_path from docs_new where folder_path not like '%/en') n
+        left join seen_l s using (folder_path)) group by folder_path)""", "seen_l", "vcells_seen_l"),
+    "seen_l as (select * from docs_new where folder_path not like '%/en' and name <> 'doc_10.txt')", *grouping_ctes("seen_l", True))
+
+ORACLE["sync_forced"] = q("""
+select true as updated, v as version, cast(0 as bigint) as folder_diffs, cast(0 as bigint) as file_changes,
+       (select count(*) from fr_docs_all where ok) as blocks, TIMESTAMP '2024-01-15 12:00:00' + to_days(cast(v as integer)) as updated_at
+from (values (cast(0 as bigint)), (cast(1 as bigint))) x(v)
+""", *keyed_ctes("docs_all")[:1])
 
 # three syncs: first load of the old corpus, the new corpus, the new corpus
 # again (nothing changed: not updated, current version and stamp)

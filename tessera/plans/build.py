@@ -67,7 +67,7 @@ class BlockBuild:
                 .select(F.col("folder_path").alias("block_id"),
                         F.coalesce("header", F.array().cast("array<string>")).alias("column_headers"),
                         F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
-                        F.col("version").alias("rule_version"),
+                        F.col("version").alias("rule_version"), "rule_hash",
                         F.concat(base_name("folder_path"), F.lit("files.pb")).alias("block_file")))
 
     def check_strict(self) -> None:
@@ -86,13 +86,12 @@ def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False) ->
 def incremental_blocks(old_heads: DataFrame, old_rows: DataFrame, listing: DataFrame,
                        rules: DataFrame, changed_folders: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Reuse the blocks of folders that did not change (same files, same
-    rule version), rebuild the rest from the listing. Blocks of folders no
-    longer in the listing are dropped. Returns (heads, rows)."""
+    rule in every field), rebuild the rest from the listing. Blocks of folders
+    no longer in the listing are dropped. Returns (heads, rows)."""
     plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
     live = listing.select("folder_path").distinct()
-    live_rules = folder_rules(live, plan).select(F.col("folder_path").alias("block_id"),
-                                                  F.col("version").alias("rule_version"))
-    reuse = (old_heads.join(live_rules, ["block_id", "rule_version"], "left_semi")
+    live_rules = folder_rules(live, plan).select(F.col("folder_path").alias("block_id"), "rule_hash")
+    reuse = (old_heads.join(live_rules, ["block_id", "rule_hash"], "left_semi")
              .join(changed_folders.select(F.col("folder_path").alias("block_id")), "block_id", "left_anti"))
     rebuild_listing = listing.join(reuse.select(F.col("block_id").alias("folder_path")),
                                    "folder_path", "left_anti")

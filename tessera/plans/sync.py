@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ..operators.apply import (apply_file_changes, apply_folder_diffs, cascade_delete,
                                drop_folders, initial_snapshot)
 from ..operators.diff import file_changes, folder_diff
+from ..functions.names import DEFAULT_FILE_EXCLUSIONS, base_name, file_excluded, folder_excluded
 from ..operators.stats import folder_stats
-from ..session import materialize
+from ..session import materialize, scratch_job
+from ..sources.rules import RulePlan, folder_rules, plan_rules
 from ..sources.store import VersionedStore
 from .build import build_blocks, incremental_blocks
 
@@ -29,53 +31,88 @@ def _status(spark, updated, version, n_fd, n_ch, n_blocks, stamp) -> DataFrame:
     return spark.createDataFrame([(updated, version, n_fd, n_ch, n_blocks, stamp)], STATUS_SCHEMA)
 
 
+def _scanned(listing: DataFrame, folders: DataFrame | None, file_exclusions, folder_exclusions):
+    """(listing, folders) that a scan sees: files and folders that aren't
+    excluded by name, and all folders, with or without files."""
+    paths = listing.select("folder_path")
+    paths = (paths if folders is None else paths.union(folders.select("folder_path"))).distinct()
+    paths = paths.where(~folder_excluded(base_name("folder_path"), folder_exclusions))
+    seen = listing.where(~folder_excluded(base_name("folder_path"), folder_exclusions) & ~file_excluded("name", file_exclusions))
+    return seen, paths
+
+
 def initial_load(store: VersionedStore, listing: DataFrame, rules: DataFrame,
-                 updated_at: dt.datetime | None = None) -> DataFrame:
-    """Version 0: snapshot of the listing plus all its blocks."""
+                 updated_at: dt.datetime | None = None, *, folders: DataFrame | None = None,
+                 file_exclusions=DEFAULT_FILE_EXCLUSIONS, folder_exclusions=()) -> DataFrame:
+    """Version 0: snapshot of the listing plus all its blocks. Raises if the
+    store has a committed version. ``folders`` and exclusions: see sync()."""
+    if store.current() is not None:
+        raise FileExistsError(f"{store.root} has a committed version")
     stamp = updated_at or _now()
-    folders, files = initial_snapshot(listing)
-    b = build_blocks(listing, rules)
-    heads = materialize(b.block_heads)
-    version = store.commit({"folders": folders, "files": files, "block_heads": heads,
-                            "block_rows": b.block_rows}, stamp, version=0)
-    return _status(store.spark, True, version, 0, 0, heads.count(), stamp)
+    listing, paths = _scanned(listing, folders, file_exclusions, folder_exclusions)
+    with scratch_job(store.spark):
+        new_folders, files = initial_snapshot(listing, paths)
+        b = build_blocks(listing, rules)
+        heads = materialize(b.block_heads)
+        version = store.commit({"folders": new_folders, "files": files, "block_heads": heads,
+                                "block_rows": b.block_rows}, stamp, version=0)
+        return _status(store.spark, True, version, 0, 0, heads.count(), stamp)
 
 
 def sync(store: VersionedStore, listing: DataFrame, rules: DataFrame, *, force: bool = False,
          updated_at: dt.datetime | None = None, detect_removed: bool = False,
-         compare: tuple[str, ...] = ("size",)) -> DataFrame:
+         compare: tuple[str, ...] = ("size",), folders: DataFrame | None = None,
+         file_exclusions=DEFAULT_FILE_EXCLUSIONS, folder_exclusions=()) -> DataFrame:
     """Compare the listing with the current version; when anything changed
     (or on the first run, or with ``force``) write the next version:
     snapshot tables rewritten with the changes, blocks of changed folders
     rebuilt, the rest reused, one publish stamp for the whole version.
-    ``compare=("size", "mtime")`` also sees same-size edits when the listing
-    carries ``mtime``. Returns a one-row status frame."""
+
+    ``folders`` (folder_path): the folders that exist; those without files are
+    stored with totals 0, and files of a folder that was emptied are removed.
+    Folders of the listing are always among them. Excluded folders count as
+    not there; excluded files are not seen. An edited rule is a change: its
+    folders' blocks are rebuilt. ``compare=("size", "mtime")`` also sees
+    same-size edits when the listing carries ``mtime``. Returns a one-row
+    status frame."""
     spark = store.spark
     cur = store.current()
     if cur is None:
-        return initial_load(store, listing, rules, updated_at)
+        return initial_load(store, listing, rules, updated_at, folders=folders,
+                            file_exclusions=file_exclusions, folder_exclusions=folder_exclusions)
     version = cur[0]
-    folders, files = store.read("folders", version), store.read("files", version)
-    fdiff = materialize(folder_diff(folder_stats(listing), folders, detect_removed))
-    changes = materialize(file_changes(listing, files, detect_removed, compare))
-    n_fd, n_ch = fdiff.count(), changes.count()
-    if not force and n_fd == 0 and n_ch == 0:
-        return _status(spark, False, version, 0, 0, 0, cur[1])
-    stamp = updated_at or _now()
-    new_folders = apply_folder_diffs(folders, fdiff)
-    new_files = apply_file_changes(files, changes, new_folders)
-    if detect_removed:
-        gone = fdiff.where(F.col("disk_file_count") == 0).select(F.col("path").alias("folder_path"))
-        new_folders = drop_folders(new_folders, gone)
-        new_files = cascade_delete(new_files, new_folders)
-    changed = (changes.select("folder_path")
-               .unionByName(fdiff.select(F.col("path").alias("folder_path"))).distinct())
-    heads, rows = incremental_blocks(store.read("block_heads", version), store.read("block_rows", version),
-                                     listing, rules, changed)
-    heads = materialize(heads)
-    new_version = store.commit({"folders": new_folders, "files": new_files,
-                                "block_heads": heads, "block_rows": rows}, stamp)
-    return _status(spark, True, new_version, n_fd, n_ch, heads.count(), stamp)
+    listing, paths = _scanned(listing, folders, file_exclusions, folder_exclusions)
+    plan = plan_rules(rules)
+    old_folders, files = store.read("folders", version), store.read("files", version)
+    with scratch_job(spark):
+        fdiff = materialize(folder_diff(folder_stats(listing, paths), old_folders, detect_removed))
+        changes = materialize(file_changes(listing, files, detect_removed, compare, live=paths))
+        n_fd, n_ch = fdiff.count(), changes.count()
+        old_heads = store.read("block_heads", version)
+        if not force and n_fd == 0 and n_ch == 0 and not _rules_changed(old_heads, listing, plan):
+            return _status(spark, False, version, 0, 0, 0, cur[1])
+        stamp = updated_at or _now()
+        new_folders = apply_folder_diffs(old_folders, fdiff)
+        new_files = apply_file_changes(files, changes, new_folders)
+        if detect_removed:
+            new_folders = drop_folders(new_folders, fdiff.where("vanished").select(F.col("path").alias("folder_path")))
+            new_files = cascade_delete(new_files, new_folders)
+        changed = (changes.select("folder_path")
+                   .unionByName(fdiff.select(F.col("path").alias("folder_path"))).distinct())
+        heads, rows = incremental_blocks(old_heads, store.read("block_rows", version), listing, plan, changed)
+        heads = materialize(heads)
+        new_version = store.commit({"folders": new_folders, "files": new_files,
+                                    "block_heads": heads, "block_rows": rows}, stamp)
+        return _status(spark, True, new_version, n_fd, n_ch, heads.count(), stamp)
+
+
+def _rules_changed(heads: DataFrame, listing: DataFrame, plan: RulePlan) -> bool:
+    """Whether a folder of the listing has a valid rule that its block wasn't
+    built with, or a block but no valid rule any more."""
+    now = folder_rules(listing.select("folder_path").distinct(), plan).where("rule_ok").select(
+        F.col("folder_path").alias("block_id"), "rule_hash")
+    before = heads.select("block_id", "rule_hash")
+    return not now.exceptAll(before).union(before.exceptAll(now)).isEmpty()
 
 
 def gate_status(client_updated_at: Column, server_updated_at) -> Column:
@@ -102,4 +139,4 @@ def get_datablock(store: VersionedStore, client_updated_at: dt.datetime | None =
                 store.read("block_rows", version), False)
     if client_updated_at == server:
         return None, None, True
-    raise ValueError("client datablock is newer than server version")
+    raise ValueError("the client's block set is newer than the published one")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from .functions.names import (BLOCK_DIR_EXCLUSIONS, DEFAULT_FILE_EXCLUSIONS, bas
 from .operators import apply as dml
 from .operators.blocks import datablock as stamp_blocks
 from .operators.blocks import generate_rows as rows_from_cells
-from .operators.blocks import long_cells, nested_blocks, override_headers
+from .operators.blocks import long_cells, merge_blocks, override_headers
 from .operators.diff import change_summary as summarize_changes
 from .operators.diff import file_changes as diff_files
 from .operators.diff import folder_diff as diff_folders
@@ -30,15 +31,15 @@ from .plans.build import build_blocks
 from .plans.build import incremental_blocks as rebuild_changed
 from .plans.sync import gate_status, initial_load
 from .plans.sync import sync as run_sync
-from .session import scratch_path
+from .session import materialize, scratch_path
 from .sinks.files import csv_lines, json_dump
 from .sources import derived
 from .sources.listing import (folders_with_file, scan_files, scan_folders)
 from .sources.listing import glob_search as search_glob
 from .sources.listing import listed_names as explode_lists
-from .sources.rules import assign_rules, folder_rules, plan_rules, rules_frame
+from .sources.rules import FIXTURE_RULES, assign_rules, folder_rules, plan_rules, rules_frame
 from .sources.rules import rule_conflicts as conflicts_of
-from .sources.store import VersionedStore
+from .sources.store import TABLES, VersionedStore
 from .sources.tables import Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,7 +49,6 @@ QUERIES: dict[str, Query] = {}
 FOLDER_EXCLUSIONS = ("f3", "g7", "run_15")
 GLOB_PATTERN = "*_R1_*.fastq.gz"
 REQUIRED_NAME = "doc_10.txt"
-LOOKUP_FOLDER = "/corpus/src13/en"
 READ_BLOCK = "/data/run_03"
 OVERRIDE_HEADERS = ["left", "right"]
 ROW_HEADERS = ["type", "user"]
@@ -72,7 +72,7 @@ def catalog(t: Tables) -> DataFrame:
 
 
 def all_listings(t: Tables) -> DataFrame:
-    return catalog(t).unionByName(derived.docs_new(t))
+    return catalog(t).unionByName(derived.docs_all(t).drop("created_time"))
 
 
 def _t(spark, sf_dir) -> Tables:
@@ -89,12 +89,24 @@ def _joined(arr, field: str | None = None, sep: str = ","):
     return F.array_join(arr, sep)
 
 
-def _stored_old(t: Tables):
-    """Previous snapshot: stored folders (ids by path; totals as stored,
+def _stored(listing: DataFrame):
+    """A listing's snapshot: stored folders (ids by path; totals as stored,
     some stale) and stored files (ids by folder path, name)."""
-    folders, files = dml.initial_snapshot(derived.docs_old(t))
-    stored = derived.folders_old(t).join(folders.select("id", "path"), "path").select(*dml.FOLDER_COLUMNS)
-    return stored, files
+    folders, files = (materialize(x) for x in dml.initial_snapshot(listing))
+    stored = derived.stored_totals(listing).join(folders.select("id", "path", "created_time"), "path")
+    return stored.select(*dml.FOLDER_COLUMNS, "created_time"), files
+
+
+def _stored_old(t: Tables):
+    return _stored(derived.docs_old(t))
+
+
+def _stored_all(t: Tables):
+    return _stored(derived.docs_all(t))
+
+
+def _file_diff(new: DataFrame, files: DataFrame) -> DataFrame:
+    return materialize(diff_files(new, files))
 
 
 # ---------------------------------------------------------------- scans
@@ -121,7 +133,7 @@ def glob_search(spark, sf_dir):
 
 @query
 def folders_missing_file(spark, sf_dir):
-    listing = derived.docs_new(_t(spark, sf_dir))
+    listing = derived.docs_all(_t(spark, sf_dir))
     return folders_with_file(listing.select("folder_path").distinct(), listing, REQUIRED_NAME)
 
 
@@ -137,14 +149,14 @@ def rules_by_folder(spark, sf_dir):
 @query
 def snapshot_folders(spark, sf_dir):
     store = VersionedStore(spark, scratch_path(spark, "snapshot"))
-    initial_load(store, derived.docs_old(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    initial_load(store, derived.docs_all(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
     return store.read("folders")
 
 
 @query
 def snapshot_files(spark, sf_dir):
     store = VersionedStore(spark, scratch_path(spark, "snapshot"))
-    initial_load(store, derived.docs_old(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    initial_load(store, derived.docs_all(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
     return store.read("files")
 
 
@@ -160,20 +172,19 @@ def runs_snapshot(spark, sf_dir):
 
 @query
 def files_for_folder(spark, sf_dir):
-    folders, files = dml.initial_snapshot(derived.docs_old(_t(spark, sf_dir)))
-    f = folders.where(F.col("path") == LOOKUP_FOLDER).select(F.col("id").alias("folder_id"))
-    return files.join(f, "folder_id").select("id", "folder_id", "name", "size")
+    """Files of the folder with the most files, looked up by its path."""
+    folders, files = (materialize(x) for x in dml.initial_snapshot(derived.docs_all(_t(spark, sf_dir))))
+    largest = folders.orderBy(F.col("file_count").desc(), "path").select("path").first()
+    f = folders.where(F.col("path") == (largest[0] if largest else None)).select(F.col("id").alias("folder_id"))
+    return files.join(f, "folder_id").select("id", "folder_id", "name", "size", "created_time")
 
 
 @query
 def folder_id_lookup(spark, sf_dir):
     t = _t(spark, sf_dir)
     folders, files = _stored_old(t)
-    new = derived.docs_new(t)
-    fdiff = diff_folders(stats_of(new), folders)
-    changes = diff_files(new, files)
-    upserted = dml.apply_folder_diffs(folders, fdiff)
-    return dml.lookup_folder_ids(changes, upserted).select("change_type", "folder_path", "name", "folder_id")
+    changes = _file_diff(derived.docs_new(t), files)
+    return dml.lookup_folder_ids(changes, folders).select("change_type", "folder_path", "name", "folder_id", "reject")
 
 
 @query
@@ -261,14 +272,14 @@ def generate_rows_of(e: DataFrame) -> DataFrame:
 def folder_diff(spark, sf_dir):
     t = _t(spark, sf_dir)
     folders, _ = _stored_old(t)
-    return diff_folders(stats_of(derived.docs_new(t)), folders)
+    return diff_folders(stats_of(derived.docs_new(t)), folders).drop("vanished", "created_time")
 
 
 @query
 def file_changes(spark, sf_dir):
     t = _t(spark, sf_dir)
     _, files = _stored_old(t)
-    return diff_files(derived.docs_new(t), files)
+    return diff_files(derived.docs_new(t), files).drop("disk_created_time", "db_created_time")
 
 
 @query
@@ -295,13 +306,13 @@ def folder_stats(spark, sf_dir):
 
 @query
 def folder_stats_refresh(spark, sf_dir):
-    folders, files = _stored_old(_t(spark, sf_dir))
+    folders, files = _stored_all(_t(spark, sf_dir))
     return stats_refresh(folders, files)
 
 
 @query
 def stat_drift(spark, sf_dir):
-    folders, files = _stored_old(_t(spark, sf_dir))
+    folders, files = _stored_all(_t(spark, sf_dir))
     return drift_of(folders, files)
 
 
@@ -313,7 +324,7 @@ def group_files_long(spark, sf_dir):
 @query
 def group_files(spark, sf_dir):
     r = _grouping(spark, sf_dir).numbered_rows()
-    return r.select("folder_path", r["row_index"].cast("int").alias("row_index"), "row_key", "n_cols",
+    return r.select("folder_path", "row_index", "row_key", "n_cols",
                     F.col("first_seen").alias("first_name"))
 
 
@@ -365,14 +376,14 @@ def invalid_files(spark, sf_dir):
 @query
 def insert_if_absent(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return dml.insert_if_absent(derived.docs_old(t), derived.docs_new(t), ["folder_path", "name"])
+    return dml.insert_if_absent(derived.docs_old(t), derived.docs_new(t), ["folder_path", "name"]).drop("created_time")
 
 
 # ------------------------------------------------------------ blocks
 
 def _blocks(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return build_blocks(catalog(t).unionByName(derived.docs_old(t)), rules_frame(spark))
+    return build_blocks(catalog(t).unionByName(derived.docs_all(t).drop("created_time")), rules_frame(spark))
 
 
 @query
@@ -421,14 +432,37 @@ def incremental_blocks(spark, sf_dir):
 @query
 def datablock_dump(spark, sf_dir):
     b = build_blocks(derived.runs_listing(_t(spark, sf_dir)), rules_frame(spark))
-    return json_dump(nested_blocks(b.block_rows, b.block_heads))
+    return json_dump(b.block_rows, b.block_heads)
+
+
+@query
+def fileblock_dump(spark, sf_dir):
+    """Text dump of one published block."""
+    store = VersionedStore(spark, scratch_path(spark, "publish"))
+    initial_load(store, derived.runs_listing(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    return json_dump(store.read_block(READ_BLOCK), store.read("block_heads"), READ_BLOCK)
+
+
+@query
+def merged_blocks(spark, sf_dir):
+    """One set from three published ones: the old corpus, the catalog, and the
+    new corpus, whose blocks replace the old corpus's."""
+    t = _t(spark, sf_dir)
+    sets = []
+    for listing in (derived.docs_old(t), catalog(t), derived.docs_new(t)):
+        store = VersionedStore(spark, scratch_path(spark, "publish"))
+        initial_load(store, listing, rules_frame(spark), PUBLISHED_AT)
+        sets.append((store.read("block_heads"), store.read("block_rows")))
+    heads, rows = merge_blocks(sets)
+    stamped = stamp_blocks(heads, PUBLISHED_AT).select("block_id", "updated_at")
+    return long_cells(rows).join(stamped, "block_id")
 
 
 # -------------------------------------------------------- snapshot DML
 
 @query
 def initial_snapshot(spark, sf_dir):
-    _, files = dml.initial_snapshot(derived.docs_old(_t(spark, sf_dir)))
+    _, files = dml.initial_snapshot(derived.docs_all(_t(spark, sf_dir)))
     return files
 
 
@@ -460,16 +494,16 @@ def snapshot_apply(spark, sf_dir):
 
 @query
 def clear_snapshot(spark, sf_dir):
-    t = _t(spark, sf_dir)
-    folders, files = dml.initial_snapshot(derived.docs_old(t))
-    empty_folders = folders.limit(0)
-    before = (folders.select(F.lit("folders").alias("table_name"))
-              .unionByName(files.select(F.lit("files").alias("table_name"))))
-    after = dml.cascade_delete(files, empty_folders).select(F.lit("files").alias("table_name"))
-    b = before.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_before"))
-    a = after.groupBy("table_name").agg(F.count(F.lit(1)).alias("rows_after"))
-    return b.join(a, "table_name", "left").select(
-        "table_name", "rows_before", F.coalesce("rows_after", F.lit(0)).cast("bigint").alias("rows_after"))
+    """Rows of each stored table before and after a clear, read back by version."""
+    store = VersionedStore(spark, scratch_path(spark, "clear"))
+    initial_load(store, derived.docs_all(_t(spark, sf_dir)), rules_frame(spark), PUBLISHED_AT)
+    cleared = store.clear(PUBLISHED_AT + dt.timedelta(days=1))
+
+    def counted(version, name):
+        tables = [store.read(table, version).agg(F.lit(table).alias("table_name"), F.count(F.lit(1)).alias(name)) for table in TABLES]
+        return reduce(DataFrame.unionByName, tables)
+
+    return counted(cleared - 1, "rows_before").join(counted(cleared, "rows_after"), "table_name")
 
 
 # ------------------------------------------------------------- sinks
@@ -485,9 +519,13 @@ def csv_layout(spark, sf_dir):
 
 @query
 def version_gate(spark, sf_dir):
+    """Clients' stamps against a block set published at the stamp of the client
+    with the least id; a client that has nothing yet comes with no stamp."""
     e = _t(spark, sf_dir).events
     clients = e.groupBy("user_id").agg(F.max("ts").alias("client_updated_at"))
-    status = gate_status(F.col("client_updated_at"), PUBLISHED_AT)
+    clients = clients.unionByName(clients.agg((F.max("user_id") + 1).alias("user_id"), F.lit(None).cast("timestamp_ntz").alias("client_updated_at")))
+    published = clients.agg(F.min_by("client_updated_at", "user_id")).first()[0]
+    status = gate_status(F.col("client_updated_at"), published)
     return clients.select(F.col("user_id").alias("client_id"), "client_updated_at",
                           status.alias("status"), (status == "no_update").alias("no_update"))
 
@@ -507,6 +545,72 @@ def diff_all(spark, sf_dir):
     return fd.unionByName(fc)
 
 
+@query
+def folder_names(spark, sf_dir):
+    """The files that a diff of all folders sees, as one list per folder."""
+    new = kept(derived.docs_new(_t(spark, sf_dir)))
+    return new.groupBy("folder_path").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
+def _read_back(store: VersionedStore) -> DataFrame:
+    """Files, folder totals and block rows of the current version, long."""
+    folders = store.read("folders").select(F.lit("folder").alias("kind"), F.col("path").alias("folder_path"), F.lit(None).cast("string").alias("name"),
+                                           "total_size", "file_count")
+    files = store.read("files").select(F.lit("file").alias("kind"), "folder_path", "name", F.col("size").alias("total_size"),
+                                       F.lit(None).cast("bigint").alias("file_count"))
+    blocks = long_cells(store.read("block_rows")).select(F.lit("block").alias("kind"), F.col("block_id").alias("folder_path"), "name",
+                                                         F.col("row_number").alias("total_size"), F.lit(None).cast("bigint").alias("file_count"))
+    return folders.unionByName(files).unionByName(blocks)
+
+
+@query
+def sync_emptied_folder(spark, sf_dir):
+    """The files of one language go, its folders stay: they are synced as
+    empty, their files and blocks are gone."""
+    t = _t(spark, sf_dir)
+    store = VersionedStore(spark, scratch_path(spark, "emptied"))
+    before = derived.docs_all(t)
+    run_sync(store, before, rules_frame(spark), updated_at=PUBLISHED_AT)
+    after = before.where(~F.col("folder_path").like("%/en"))
+    run_sync(store, after, rules_frame(spark), updated_at=PUBLISHED_AT + dt.timedelta(days=1), folders=before.select("folder_path").distinct())
+    return _read_back(store)
+
+
+@query
+def sync_rule_edit(spark, sf_dir):
+    """The corpus rule is edited under the same version: with a second column
+    expected, no row is complete any more."""
+    t = _t(spark, sf_dir)
+    store = VersionedStore(spark, scratch_path(spark, "edited"))
+    run_sync(store, derived.docs_all(t), rules_frame(spark), updated_at=PUBLISHED_AT)
+    edited = [(*rule[:3], ["txt", "csv"], *rule[4:]) if rule[0] == "/corpus" else rule for rule in FIXTURE_RULES]
+    run_sync(store, derived.docs_all(t), rules_frame(spark, edited), updated_at=PUBLISHED_AT + dt.timedelta(days=1))
+    return _read_back(store).unionByName(store.read("block_heads").select(
+        F.lit("head").alias("kind"), F.col("block_id").alias("folder_path"), _joined("column_headers").alias("name"),
+        F.col("n_rows").alias("total_size"), F.lit(None).cast("bigint").alias("file_count")))
+
+
+@query
+def sync_excluded(spark, sf_dir):
+    """A sync that excludes folders by name and files by pattern."""
+    t = _t(spark, sf_dir)
+    store = VersionedStore(spark, scratch_path(spark, "excluded"))
+    skip = {"folder_exclusions": ("en",), "file_exclusions": ("doc_10.txt", "*.json")}
+    run_sync(store, derived.docs_old(t), rules_frame(spark), updated_at=PUBLISHED_AT, **skip)
+    run_sync(store, derived.docs_new(t), rules_frame(spark), updated_at=PUBLISHED_AT + dt.timedelta(days=1), detect_removed=True, **skip)
+    return _read_back(store)
+
+
+@query
+def sync_forced(spark, sf_dir):
+    """A forced sync of an unchanged listing writes the next version."""
+    t = _t(spark, sf_dir)
+    store = VersionedStore(spark, scratch_path(spark, "forced"))
+    first = run_sync(store, derived.docs_all(t), rules_frame(spark), updated_at=PUBLISHED_AT)
+    second = run_sync(store, derived.docs_all(t), rules_frame(spark), updated_at=PUBLISHED_AT + dt.timedelta(days=1), force=True)
+    return first.unionByName(second)
+
+
 @query
 def sync(spark, sf_dir):
     t = _t(spark, sf_dir)

@@ -6,6 +6,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,8 +37,7 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8,
     return spark
 
 
-def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
-               max_shuffle_partitions: int = 200_000) -> dict[str, str]:
+def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Partition sizing for a run over ``input_bytes`` of listing data.
 
     Scan splits and shuffle partitions aim at ``target_partition_bytes``
@@ -44,7 +45,7 @@ def scale_conf(input_bytes: int, target_partition_bytes: int = 256 << 20,
     coalesces small shuffle partitions and splits skewed join partitions.
     Apply with ``SparkSession.builder.config(map=scale_conf(...))``.
     """
-    parts = max(200, min(max_shuffle_partitions, -(-input_bytes // target_partition_bytes)))
+    parts = max(200, -(-input_bytes // target_partition_bytes))
     return {
         **DEFAULT_CONF,
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
@@ -92,4 +93,25 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
+    for job in _SCRATCH:
+        job.append(path)
     return spark.read.parquet(path)
+
+
+_SCRATCH: list[list[str]] = []
+
+
+@contextmanager
+def scratch_job(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that ``materialize`` writes inside the block when it
+    ends, so a job whose results are committed elsewhere leaves nothing. Frames
+    that still read those tables must not be used afterwards."""
+    written: list[str] = []
+    _SCRATCH.append(written)
+    try:
+        yield
+    finally:
+        _SCRATCH.remove(written)
+        for path in written:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -55,9 +55,14 @@ def write_invalid(invalid: DataFrame, out_dir: str, stamp=None, mode: str = "ove
     return target
 
 
-def json_dump(nested: DataFrame) -> DataFrame:
-    """(block_id, json) readable dump of nested blocks."""
-    rows = F.transform("rows", lambda r: F.struct(r["row_number"].alias("row_number"),
-                                                  F.map_from_entries(r["entries"]).alias("cell_columns")))
-    return nested.select("block_id", F.to_json(F.struct(
-        F.col("block_id"), F.col("column_headers"), rows.alias("rows"))).alias("json"))
+def json_dump(block_rows: DataFrame, block_heads: DataFrame, block_id: str | None = None) -> DataFrame:
+    """(block_id, line_no, json) readable dump of all blocks, or of one: line 0
+    is the block's head, line r + 1 its row r, so a block of any size is spread
+    over many lines."""
+    if block_id is not None:
+        block_rows, block_heads = (df.where(F.col("block_id") == block_id) for df in (block_rows, block_heads))
+    heads = block_heads.select("block_id", F.lit(0).cast("bigint").alias("line_no"),
+                               F.to_json(F.struct("block_id", "column_headers")).alias("json"))
+    rows = block_rows.select("block_id", (F.col("row_number") + 1).alias("line_no"), F.to_json(F.struct(
+        "row_number", F.map_from_entries("entries").alias("cell_columns"))).alias("json"))
+    return heads.unionByName(rows)

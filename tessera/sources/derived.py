@@ -3,8 +3,9 @@
 A listing is ``(folder_path STRING, name STRING, size BIGINT)``: one row
 per file. These derivations turn the TPC-H-ish tables into file trees with
 the shapes the catalog works on (complete and incomplete FASTQ runs, messy
-names, two versions of a document corpus). Every row of the source table
-flows into a listing, so the work grows with the data.
+names, a document corpus and two versions of it). Incomplete runs lack one
+file of a pair, and each corpus version lacks a tenth of the documents: that
+is what the change queries work on. All other corpus queries use ``docs_all``.
 """
 
 from __future__ import annotations
@@ -58,6 +59,22 @@ def messy_listing(t: Tables) -> DataFrame:
                     name.alias("name"), (k % 1000).alias("size"))
 
 
+def _created(doc_id: str = "doc_id"):
+    """Time of a document's file: a fixed function of its id."""
+    return (F.lit("2020-01-01 00:00:00").cast("timestamp_ntz")
+            + F.make_dt_interval(mins=(F.col(doc_id) % 500000).cast("int")))
+
+
+def docs_all(t: Tables) -> DataFrame:
+    """Corpus listing with every document."""
+    d = t.documents.select("doc_id", "lang", "source", "n_chars")
+    folder = (F.when(F.col("doc_id") % 89 == 0, F.concat(F.lit("/corpus/old/"), F.col("lang")))
+              .when(F.col("doc_id") % 97 == 0, F.concat(F.lit("/corpus/new/"), F.col("lang")))
+              .otherwise(F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("lang"))))
+    return d.select(folder.alias("folder_path"), F.concat(F.lit("doc_"), _s("doc_id"), F.lit(".txt")).alias("name"),
+                    F.col("n_chars").alias("size"), _created().alias("created_time"))
+
+
 def docs_old(t: Tables) -> DataFrame:
     """Corpus listing as stored in the previous snapshot."""
     d = t.documents.select("doc_id", "lang", "source", "n_chars").where(F.col("doc_id") % 10 != 3)
@@ -65,7 +82,7 @@ def docs_old(t: Tables) -> DataFrame:
               .otherwise(F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("lang"))))
     return d.select(folder.alias("folder_path"),
                     F.concat(F.lit("doc_"), _s("doc_id"), F.lit(".txt")).alias("name"),
-                    F.col("n_chars").alias("size"))
+                    F.col("n_chars").alias("size"), _created().alias("created_time"))
 
 
 def docs_new(t: Tables) -> DataFrame:
@@ -77,12 +94,11 @@ def docs_new(t: Tables) -> DataFrame:
     size = F.col("n_chars") + F.when(F.col("doc_id") % 5 == 0, 1).otherwise(0)
     return d.select(folder.alias("folder_path"),
                     F.concat(F.lit("doc_"), _s("doc_id"), F.lit(".txt")).alias("name"),
-                    size.alias("size"))
+                    size.alias("size"), _created().alias("created_time"))
 
 
-def folders_old(t: Tables) -> DataFrame:
-    """Stored folder totals of the previous snapshot; some are off by one."""
-    d = docs_old(t)
+def stored_totals(d: DataFrame) -> DataFrame:
+    """Folder totals as an earlier run stored them; some are off by one."""
     return (d.groupBy("folder_path")
             .agg((F.sum("size") + F.when(F.length("folder_path") % 3 == 0, 1).otherwise(0)).alias("total_size"),
                  F.count(F.lit(1)).alias("file_count"))
@@ -98,8 +114,3 @@ def events_listing(t: Tables) -> DataFrame:
         F.concat(F.lit("u"), _s("user_id"), F.lit("_d"), _s("d"), F.lit("_"), F.col("event_type"),
                  F.lit(".log")).alias("name"),
         F.col("n").alias("size"))
-
-
-def catalog_listing(t: Tables) -> DataFrame:
-    """All rule-driven listings together (runs, messy, events)."""
-    return runs_listing(t).unionByName(messy_listing(t)).unionByName(events_listing(t))

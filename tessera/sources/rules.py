@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import prefixes_at
-from ..operators.joins import MAX_BROADCAST_ROWS, broadcast_if_small
 
 RULES_SCHEMA = T.StructType([
     T.StructField("folder_prefix", T.StringType(), False),
@@ -68,88 +67,92 @@ def rules_frame(spark: SparkSession, rows=None) -> DataFrame:
 def load_rules_json(spark: SparkSession, paths) -> DataFrame:
     """Read ``rule.json`` files; each file's folder becomes its prefix.
 
-    Missing fields become empty arrays / zero, like a plain JSON decode.
-    ``paths`` may be a glob such as ``root + '/*/rule.json'``.
+    Missing fields become empty arrays / zero, like a plain JSON decode. A file
+    that is not JSON gives a rule that fails the rule check, so its folder is
+    rejected. ``paths`` may be a glob such as ``root + '/*/rule.json'``.
     """
-    raw = (spark.read.schema(RULE_JSON_SCHEMA).option("multiLine", True).json(paths)
+    schema = T.StructType([*RULE_JSON_SCHEMA.fields, T.StructField("_corrupt", T.StringType())])
+    raw = (spark.read.schema(schema).option("multiLine", True).option("columnNameOfCorruptRecord", "_corrupt").json(paths)
            .select("*", F.col("_metadata.file_path").alias("_file")))
-    folder = F.regexp_replace(F.regexp_replace(F.col("_file"), r"^file:(//)?", ""), r"/[^/]*$", "")
+    # the path is percent-encoded, but for "+", which a decoder would read as a space
+    decoded = F.url_decode(F.replace("_file", F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_replace(F.regexp_replace(decoded, r"^file:(//)?", ""), r"/[^/]*$", "")
+    bad = F.col("_corrupt").isNotNull()
     return raw.select(
         folder.alias("folder_prefix"),
-        F.coalesce("version", F.lit("")).alias("version"),
+        F.when(bad, F.lit(MALFORMED)).otherwise(F.coalesce("version", F.lit(""))).alias("version"),
         F.coalesce("delimiter", F.array().cast("array<string>")).alias("delimiter"),
         F.coalesce("header", F.array().cast("array<string>")).alias("header"),
-        F.coalesce("rowRules.matchParts", F.array().cast("array<int>")).alias("row_parts"),
+        F.when(bad, F.array(F.lit(-1))).otherwise(F.coalesce("rowRules.matchParts", F.array().cast("array<int>"))).alias("row_parts"),
         F.coalesce("columnRules.matchParts", F.array().cast("array<int>")).alias("col_parts"),
         F.coalesce("sizeRules.minSize", F.lit(0).cast("bigint")).alias("min_size"),
         F.coalesce("sizeRules.maxSize", F.lit(0).cast("bigint")).alias("max_size"),
     )
 
 
+MALFORMED = "(malformed)"  # version of a rule whose file is not JSON
+
+
 @dataclass
 class RulePlan:
-    """A rules table prepared for attachment to a listing.
-
-    ``table`` holds the rules plus ``deeper`` (prefixes of rules nested
-    under each rule) and ``rule_ok``; it is broadcast when its row count is
-    within ``MAX_BROADCAST_ROWS``. ``depths``, ``max_delimiters`` and
-    ``max_indexes`` bound the per-name expressions so they unroll into
-    generated code instead of per-row lambdas.
-    """
+    """A rules table prepared for attachment to a listing: one row per
+    prefix, with ``rule_ok`` and ``rule_hash``. ``depths``, ``max_delimiters``
+    and ``max_indexes`` bound the per-name expressions so they unroll into
+    generated code instead of per-row lambdas."""
     table: DataFrame
     depths: list[int]
     max_delimiters: int
     max_indexes: int
-    n_rules: int
+
+    def resolve(self, folders: DataFrame) -> DataFrame:
+        """The nearest rule of each different ``folder_path``: its prefixes at
+        the rule depths are joined to the rules and the longest match stays.
+        Folders without a rule drop out."""
+        x = folders.select("folder_path").distinct().select(
+            "folder_path", F.explode(prefixes_at("folder_path", self.depths)).alias("folder_prefix"))
+        nearest = F.max_by(F.struct(*RESOLVED), F.length("folder_prefix"))
+        return (x.join(self.table, "folder_prefix").groupBy("folder_path").agg(nearest.alias("_rule"))
+                .select("folder_path", "_rule.*"))
 
     def attach(self, df: DataFrame) -> DataFrame:
-        """Map-side rule attachment: each row's folder prefixes at the rule
-        depths are exploded and equi-joined to the (broadcast) rules; the
-        match with no deeper rule among those prefixes is the nearest rule.
-        ``df`` is streamed, never shuffled; folders without a rule drop
-        out."""
-        x = df.withColumn("_anc", prefixes_at("folder_path", self.depths))
-        x = x.select("*", F.explode("_anc").alias("folder_prefix"))
-        m = x.join(self.table, "folder_prefix").where(~F.arrays_overlap("_anc", "deeper"))
-        return m.drop("_anc", "deeper")
-
-
-def plan_rules(rules: DataFrame, max_broadcast_rows: int = MAX_BROADCAST_ROWS) -> RulePlan:
-    """One small aggregate over the rules table gives its size (the
-    broadcast check) and the bounds of the per-name expressions."""
-    r = rules.select("folder_prefix", *RULE_COLUMNS)
+        """``df`` with its folders' rules. Rules are resolved once per folder,
+        so the work per file is one join; Spark broadcasts the folders' rules
+        if they are small and splits a large folder if they are not."""
+        return df.join(self.resolve(df), "folder_path")
+
+
+RESOLVED = ["folder_prefix", *RULE_COLUMNS, "rule_ok", "rule_hash"]
+
+
+def plan_rules(rules: DataFrame) -> RulePlan:
+    """Trailing slashes of prefixes go (``/`` is every folder's ancestor); a
+    prefix that several rules name is one rule that fails the rule check. One
+    small aggregate gives the bounds of the per-name expressions."""
+    r = rules.select(F.regexp_replace("folder_prefix", "/+$", "").alias("folder_prefix"), *RULE_COLUMNS)
+    r = r.groupBy("folder_prefix").agg(F.min(F.struct(*RULE_COLUMNS)).alias("_rule"), F.count(F.lit(1)).alias("_n"))
+    r = r.select("folder_prefix", "_rule.*", "_n")
     empty_i, empty_s = F.array().cast("array<int>"), F.array().cast("array<string>")
     slashes = F.size(F.split("folder_prefix", "/")) - 1
-    st = r.agg(F.count(F.lit(1)).alias("n"),
-               F.array_sort(F.collect_set(slashes + 1)).alias("depths"),
+    st = r.agg(F.array_sort(F.collect_set(slashes + 1)).alias("depths"),
                F.max(F.size(F.coalesce("delimiter", empty_s))).alias("kd"),
                F.max(F.greatest(F.size(F.coalesce("row_parts", empty_i)),
                                 F.size(F.coalesce("col_parts", empty_i)))).alias("kp")).first()
-    n, depths = int(st["n"]), [int(d) for d in (st["depths"] or [])]
-    nested = (r.select(F.col("folder_prefix").alias("child"),
-                       F.explode(prefixes_at("folder_prefix", depths)).alias("folder_prefix"))
-              .where(F.col("child") != F.col("folder_prefix"))
-              .join(r.select("folder_prefix"), "folder_prefix")
-              .groupBy("folder_prefix").agg(F.collect_set("child").alias("deeper")))
-    table = (r.join(nested, "folder_prefix", "left")
-             .withColumn("deeper", F.coalesce("deeper", empty_s))
-             .withColumn("rule_ok", rule_is_valid()))
-    table = broadcast_if_small(table, n, max_broadcast_rows)
-    return RulePlan(table, depths, int(st["kd"] or 0), int(st["kp"] or 0), n)
+    # the whole rule as text: blocks are reused only under an unchanged rule
+    table = r.select("folder_prefix", *RULE_COLUMNS, (rule_is_valid() & (F.col("_n") == 1)).alias("rule_ok"),
+                     F.sha2(F.to_json(F.struct("folder_prefix", *RULE_COLUMNS)), 256).alias("rule_hash"))
+    return RulePlan(table, [int(d) for d in (st["depths"] or [])], int(st["kd"] or 0), int(st["kp"] or 0))
 
 
 def folder_rules(folders: DataFrame, rules) -> DataFrame:
     """Nearest-ancestor rule (and ``rule_ok``) for each row of ``folders``
     (``folder_path``); folders without a rule are absent."""
     plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
-    return plan.attach(folders.select("folder_path")).select(
-        "folder_path", "folder_prefix", *RULE_COLUMNS, "rule_ok")
+    return plan.resolve(folders)
 
 
 def assign_rules(listing: DataFrame, rules) -> DataFrame:
-    """Attach each file's nearest folder rule in one map-side pass (the
-    listing is streamed, the rules are broadcast). Files whose folder has
-    no rule are dropped; ``plans.build`` reports those folders."""
+    """Attach each file's nearest folder rule. Files whose folder has no rule
+    are dropped; ``plans.build`` reports those folders."""
     plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
     return plan.attach(listing)
 

@@ -4,7 +4,7 @@ Layout under ``root``::
 
     folders/v=N/      id, path, total_size, file_count
     files/v=N/        id, folder_id, folder_path, name, size
-    block_heads/v=N/  block_id, column_headers, n_rows, rule_version, block_file
+    block_heads/v=N/  block_id, column_headers, n_rows, rule_version, rule_hash, block_file
     block_rows/v=N/   block_id, row_number, cells, entries   (range-sorted by block_id)
     _commits/v=N/     version, updated_at                    (written last)
 
@@ -21,7 +21,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize
+ROWS_PER_PART = 100_000  # consecutive rows of a block that are written together
 
 TABLES = ("folders", "files", "block_heads", "block_rows")
 
@@ -37,7 +37,9 @@ class VersionedStore:
     def commits(self) -> DataFrame | None:
         try:
             return self.spark.read.parquet(f"{self.root}/_commits")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
             return None
 
     def current(self) -> tuple[int, dt.datetime] | None:
@@ -64,19 +66,23 @@ class VersionedStore:
     def commit(self, tables: dict[str, DataFrame], updated_at: dt.datetime,
                version: int | None = None) -> int:
         """Write the given tables as the next version, then the commit row."""
+        c = self.commits()
         if version is None:
             cur = self.current()
             version = 0 if cur is None else cur[0] + 1
+        elif c is not None and not c.where(F.col("version") == version).isEmpty():
+            raise FileExistsError(f"version {version} under {self.root} is committed")
         for name, df in tables.items():
             if name == "block_rows":
-                # range partitioning samples its input before the shuffle:
-                # read a written copy so the rows are computed once
-                df = (materialize(df, "block-rows")
-                      .repartitionByRange("block_id", "row_number")
-                      .sortWithinPartitions("block_id", "row_number"))
+                # blocks in key order, so a one-block read skips row groups; hashed
+                # parts of a block keep a large one in many tasks without the
+                # sampling pass of a range partitioning
+                part = F.pmod(F.floor(F.col("row_number") / ROWS_PER_PART), F.lit(1 << 20))
+                df = (df.repartition("block_id", part).sortWithinPartitions("block_id", "row_number"))
             df.write.mode("overwrite").parquet(self._path(name, version))
         marker = self.spark.createDataFrame([(version, updated_at)], "version long, updated_at timestamp_ntz")
-        marker.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/_commits/v={version}")
+        # create-only: of two writers of one version, the second fails here
+        marker.coalesce(1).write.mode("errorifexists").parquet(f"{self.root}/_commits/v={version}")
         return version
 
     def clear(self, updated_at: dt.datetime) -> int:
