@@ -127,7 +127,6 @@ _SPACED_AT, _SPACED_DOT = r"\s{0,3}@\s{0,3}", r"\s{0,3}\.\s{0,3}"
 class Normaliser:
     def __init__(self):
         self.alike = look_alikes()
-        self.odd = re.compile("[" + re.escape("".join(self.alike)) + "]")
         word = "|".join(sorted(SPELLED, key=len, reverse=True))
         self.run = re.compile(rf"(?i)\b(?:plus[\s,-]{{1,3}})?(?:(?:{word})\b[\s,.-]{{1,3}}){{{SPELLED_RUN - 1},}}(?:{word})\b")
         self.part = re.compile(rf"(?i)\b(?:plus|{word})\b")
@@ -143,9 +142,10 @@ class Normaliser:
 
     def __call__(self, text: str) -> Traced | None:
         """None: nothing to normalise."""
-        out = Traced(text) if not text.isascii() and self.odd.search(text) else None
-        if out:
-            out.rewrite([(*m.span(), self.alike[m.group()]) for m in self.odd.finditer(text)])
+        out = None
+        if not text.isascii() and not self.alike.keys().isdisjoint(set(text)):
+            out = Traced(text)
+            out.rewrite([(i, i + 1, self.alike[c]) for i, c in enumerate(text) if c in self.alike])
             text = out.text
         low = text.lower()
         flags = bytes(map(SPELLED.__contains__, low.replace("-", " ").replace(",", " ").replace(".", " ").split()))
