@@ -118,7 +118,7 @@ def test_forced_ranged_numbering_in_grouping(spark):
     lst = listing(spark, "/d", names)
     rs = rules(spark, ("/d",) + FASTQ)
     a = valid_set(NameGrouping(lst, rs))
-    b = valid_set(NameGrouping(lst, rs, window_limit=0))
+    b = valid_set(NameGrouping(lst, rs, reuse=False))
     assert a == b and len(a) == 59
 
 

@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_mod
-from tessera.operators.blocks import datablock, nested_blocks, override_headers
+from conftest import SF_SMALL
+from tessera.registry import QUERIES
+from tessera.operators.blocks import datablock, merge_blocks, override_headers
 from tessera.operators.stats import folder_stats
 from tessera.plans.build import build_blocks
 from tessera.sinks.files import csv_lines, json_dump, write_csv, write_invalid
@@ -16,6 +18,10 @@ from tessera.sources.listing import listing_from_dir, scan_files
 from tessera.sources.rules import load_rules_json, rules_frame
 
 
+CHEAP = ("folder_scan", "glob_search", "rules_by_folder", "files_for_folder", "folder_diff", "file_changes", "change_summary", "rule_conflicts",
+         "invalid_files", "cell_collisions", "block_rejects", "stat_drift", "fileblock_dump")
+
+
 def make_tree(root, n_dirs=5, n_files=10, rule=None):
     for i in range(n_dirs):
         d = os.path.join(root, f"dir_{i}")
@@ -70,17 +76,54 @@ def test_csv_and_invalid_sinks(spark, tmpdir_path):
     assert [r[0] for r in spark.read.text(tmpdir_path + "/inv").collect()] == ["e_A.txt"]
 
 
-def test_nested_export_and_guards(spark):
+def test_odd_folder_names_and_malformed_rules(spark, tmpdir_path):
+    """Folders whose names a URI encodes, and a rule file that is not JSON."""
+    names = ["my run 1", "a#b", "50%", "x+y"]
+    rule = {"version": "1", "delimiter": ["_", "."], "header": ["A", "B"], "rowRules": {"matchParts": [0]}, "columnRules": {"matchParts": [1]}}
+    for n in [*names, "broken"]:
+        os.makedirs(os.path.join(tmpdir_path, n))
+        for f in ("a_A.txt", "a_B.txt"):
+            open(os.path.join(tmpdir_path, n, f), "w").close()
+        with open(os.path.join(tmpdir_path, n, "rule.json"), "w") as f:
+            f.write(json.dumps(rule) if n != "broken" else json.dumps(rule)[:40])
+    paths = [os.path.join(tmpdir_path, n) for n in [*names, "broken"]]
+    lst = spark.createDataFrame([(p, f, 0) for p in paths for f in ("a_A.txt", "a_B.txt")], "folder_path string, name string, size long")
+    rules = load_rules_json(spark, [os.path.join(p, "rule.json") for p in paths])
+    b = build_blocks(lst, rules)
+    assert {r["block_id"]: r["n_rows"] for r in b.block_heads.collect()} == dict.fromkeys(paths[:-1], 1)
+    assert [(r["folder_path"], r["reason"]) for r in b.rejects.collect()] == [(paths[-1], "invalid rule")]
+
+
+def test_rule_prefixes(spark):
+    """Trailing slashes go, the root is everyone's ancestor, and a prefix named
+    twice is reported."""
+    lst = spark.createDataFrame([(d, f"a_{c}.txt", 1) for d in ("/data/x", "/twice", "/other/y") for c in "AB"], "folder_path string, name string, size long")
+    rule = ("1", ["_", "."], ["A", "B"], [0], [1], 0, 0)
+    b = build_blocks(lst, rules_frame(spark, [("/data/",) + rule, ("/twice",) + rule, ("/twice/",) + rule, ("/",) + rule]))
+    assert {r["block_id"]: r["n_rows"] for r in b.block_heads.collect()} == {"/data/x": 1, "/other/y": 1}
+    assert [tuple(r) for r in b.rejects.collect()] == [("/twice", "invalid rule")]
+
+
+def test_one_rule_per_folder_under_a_top_rule(spark):
+    rule = ("1", ["_", "."], ["A", "B"], [0], [1], 0, 0)
+    rules = rules_frame(spark, [("/top",) + rule] + [(f"/top/f{i}", str(i)) + rule[1:] for i in range(2000)])
+    lst = spark.range(2100).selectExpr("concat('/top/f', id) as folder_path", "explode(array('a_A.txt', 'a_B.txt')) as name", "1L as size")
+    got = {r["block_id"]: (r["rule_version"], r["n_rows"]) for r in build_blocks(lst, rules).block_heads.collect()}
+    assert got == {f"/top/f{i}": (str(i) if i < 2000 else "1", 1) for i in range(2100)}
+
+
+def test_dump_merge_and_guards(spark):
     lst = spark.createDataFrame([("/x", n, 1) for n in ["a_A.txt", "a_B.txt", "c_A.txt", "c_B.txt"]],
                                 "folder_path string, name string, size long")
     b = build_blocks(lst, rules_frame(spark, [("/x", "1", ["_", "."], ["A", "B"], [0], [1], 0, 0)]))
-    (blk,) = nested_blocks(b.block_rows, b.block_heads).collect()
-    assert [r["row_number"] for r in blk["rows"]] == [0, 1]
-    dump = json.loads(json_dump(nested_blocks(b.block_rows, b.block_heads)).first()["json"])
-    assert dump["rows"][0]["cell_columns"] == {"A": "a_A.txt", "B": "a_B.txt"}
-    with pytest.raises(ValueError):
-        nested_blocks(b.block_rows, b.block_heads, max_rows=1)
-    with pytest.raises(ValueError, match="no input"):
+    dump = [json.loads(r["json"]) for r in json_dump(b.block_rows, b.block_heads).orderBy("line_no").collect()]
+    assert dump[0] == {"block_id": "/x", "column_headers": ["A", "B"]}
+    assert dump[1] == {"row_number": 0, "cell_columns": {"A": "a_A.txt", "B": "a_B.txt"}} and len(dump) == 3
+    assert json_dump(b.block_rows, b.block_heads, "/y").count() == 0
+    other = b.block_heads.withColumn("column_headers", F.array(F.lit("Z"))), b.block_rows.limit(0)
+    heads, rows = merge_blocks([(b.block_heads, b.block_rows), other])
+    assert heads.first()["column_headers"] == ["Z"] and heads.count() == 1 and rows.count() == 0
+    with pytest.raises(ValueError, match="empty block set"):
         datablock(b.block_heads.limit(0), "2024-01-01 00:00:00")
     assert override_headers(b.block_heads, ["L", "R"]).first()["column_headers"] == ["L", "R"]
 
@@ -91,5 +134,16 @@ def test_entry_contract(spark):
     assert df.count() > 0
     qs, oracle = entry_mod.queries(), entry_mod.oracle_sql()
     assert set(oracle) <= set(qs)
-    assert set(qs) == set(oracle)
-    assert len(qs) >= 53
+    assert set(QUERIES) <= set(oracle)
+    assert len(QUERIES) >= 60
+
+
+def test_every_registered_query_has_rows(spark):
+    """No query passes by comparing nothing with nothing."""
+    empty = [name for name, fn in QUERIES.items() if name in CHEAP and fn(spark, SF_SMALL).isEmpty()]
+    assert not empty
+    status = {r["status"] for r in QUERIES["version_gate"](spark, SF_SMALL).collect()}
+    assert status == {"send", "no_update", "error"}
+    rejects = {r["reject"] for r in QUERIES["folder_id_lookup"](spark, SF_SMALL).collect()}
+    assert rejects == {None, "no stored folder"}
+    assert all(r["rows_before"] > 0 and r["rows_after"] == 0 for r in QUERIES["clear_snapshot"](spark, SF_SMALL).collect())

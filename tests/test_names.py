@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions.names import (base_name, csv_field, file_excluded, format_time, glob_to_regex,
+from tessera.functions.names import (base_name, csv_field, file_excluded, format_time, glob_match, glob_to_regex,
                                      parts_key, parts_key_upto, prefixes_at, split_name,
                                      split_name_upto, DEFAULT_FILE_EXCLUSIONS)
 
@@ -96,3 +96,14 @@ def test_time_formats(spark):
     df = spark.createDataFrame([(dt.datetime(2024, 3, 5, 7, 8, 9),)], "ts timestamp_ntz")
     assert df.select(format_time("ts")).first()[0] == "2024-03-05 07:08:09"
     assert invalid_files_name(dt.datetime(2024, 3, 5, 7, 8, 9)) == "invalid_files_20240305070809"
+
+
+def test_glob_classes(spark):
+    cases = [("a[\\]]b", "a]b", True), ("a[[]b", "a[b", True), ("a[b&&c]d", "a&d", True), ("a[b&&c]d", "acd", True), ("a[a-c]z", "abz", True),
+             ("a[^a-c]z", "abz", False), ("a[^a-c]z", "adz", True), ("[.]x", ".x", True), ("[.]x", "ax", False), ("a[\\-x]b", "a-b", True), ("[c-a]", "b", False)]
+    for pattern, name, want in cases:
+        df = spark.createDataFrame([(name,)], "name string")
+        assert df.select(glob_match("name", pattern)).first()[0] is want, (pattern, name)
+    for bad in ("[", "[]a]", "[a", "[-a]", "[a-]"):
+        with pytest.raises(ValueError, match="bad glob"):
+            glob_to_regex(bad)

@@ -20,19 +20,26 @@ def plan_text(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_rule_attachment_streams_the_listing(spark):
+def test_rules_are_resolved_per_folder(spark):
     t = Tables(spark, SF_SMALL)
     plan = plan_rules(rules_frame(spark))
-    attached = plan.attach(derived.runs_listing(t))
-    text = plan_text(attached)
-    assert "BroadcastHashJoin" in text and "BuildRight" in text
-    # the only exchanges are the fixture's own dedupe and the broadcast of the
-    # rules; the listing itself is never shuffled for the rule join
-    assert "Exchange hashpartitioning(folder_path" not in text
+    text = plan_text(plan.attach(derived.messy_listing(t)))
+    # prefixes are exploded for the distinct folders only
+    generate = text.index("Generate explode")
+    assert "HashAggregate(keys=[folder_path" in text[generate:]
     # per-name work is built-in expressions, no Python
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
 
+def test_no_window_without_partition_over_growing_rows(spark):
+    """Numbering uses windows over counts per partition only."""
+    t = Tables(spark, SF_SMALL)
+    for df in (NameGrouping(catalog(t), rules_frame(spark)).numbered_rows(), dml.initial_snapshot(derived.docs_all(t))[1]):
+        for line in plan_text(df).splitlines():
+            if "Window [" in line:
+                assert "_cnt" in line
+
+
 def test_cells_aggregate_partially_before_the_shuffle(spark):
     t = Tables(spark, SF_SMALL)
     g = NameGrouping(catalog(t), rules_frame(spark), reuse=False)

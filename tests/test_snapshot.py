@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.operators import apply as dml
 from tessera.operators.diff import change_summary, file_changes, folder_diff
 from tessera.operators.stats import folder_stats, stat_drift, stats_refresh
-from tessera.plans.sync import get_datablock, sync
+from tessera.functions.names import format_time
+from tessera.plans.sync import get_datablock, initial_load, sync
 from tessera.sources import derived
 from tessera.sources.rules import rules_frame
 from tessera.sources.store import VersionedStore
@@ -37,7 +38,7 @@ def test_change_types(spark):
     assert fd["/b"][0] == 0 and fd["/a"][1:] == (13, 6)
     summary = {r["kind"]: r["n"] for r in change_summary(folder_diff(folder_stats(new), folders),
                                                          file_changes(new, files)).collect()}
-    assert summary == {"folder_new": 1, "folder_changed": 1, "added": 2, "modified": 1, "removed": 1}
+    assert summary == {"folder_new": 1, "folder_changed": 1, "added": 2, "modified": 1, "removed": 1, "folder_removed": 0}
 
 
 def test_round_trip_on_corpus(spark):
@@ -152,3 +153,56 @@ def test_mtime_comparison_sees_same_size_edits(spark):
     applied = dml.apply_file_changes(files, ch, folders)
     got = {(r["name"], r["size"], r["mtime"]) for r in applied.collect()}
     assert got == {(r["name"], r["size"], r["mtime"]) for r in new.collect()}
+
+
+def test_emptied_folder_is_synced(spark, tmpdir_path):
+    rules = rules_frame(spark, [("/data", "1", ["_", "."], ["A"], [0], [1], 0, 0)])
+    store = VersionedStore(spark, tmpdir_path + "/store")
+    both = L(spark, [("/data/a", "x_A.txt", 1), ("/data/b", "y_A.txt", 2)])
+    folders = both.select("folder_path")
+    sync(store, both, rules, folders=folders, updated_at=dt.datetime(2024, 1, 1))
+    assert store.read("block_heads").count() == 2
+    status = sync(store, both.where("folder_path = '/data/a'"), rules, folders=folders, updated_at=dt.datetime(2024, 1, 2)).first()
+    assert status["updated"] and status["file_changes"] == 1
+    assert [r["name"] for r in store.read("files").collect()] == ["x_A.txt"]
+    assert {(r["path"], r["total_size"], r["file_count"]) for r in store.read("folders").collect()} == {("/data/a", 1, 1), ("/data/b", 0, 0)}
+    # an emptied folder that still exists is not a vanished one
+    sync(store, both.where("folder_path = '/data/a'"), rules, folders=folders, detect_removed=True, force=True, updated_at=dt.datetime(2024, 1, 3))
+    assert store.read("folders").count() == 2
+
+
+def test_rule_edit_rebuilds_blocks(spark, tmpdir_path):
+    store = VersionedStore(spark, tmpdir_path + "/store")
+    lst = L(spark, [("/data/a", n, 1) for n in ("s_R1.txt", "t_R1.txt")])
+    two = rules_frame(spark, [("/data", "1", ["_", "."], ["R1", "R2"], [0], [1], 0, 0)])
+    one = rules_frame(spark, [("/data", "1", ["_", "."], ["R1"], [0], [1], 0, 0)])
+    sync(store, lst, two, updated_at=dt.datetime(2024, 1, 1))
+    assert store.read("block_rows").count() == 0
+    assert sync(store, lst, one, updated_at=dt.datetime(2024, 1, 2)).first()["updated"]
+    assert store.read("block_heads").first()["column_headers"] == ["R1"] and store.read("block_rows").count() == 2
+    assert not sync(store, lst, one, updated_at=dt.datetime(2024, 1, 3)).first()["updated"]
+
+
+def test_committed_versions_are_never_overwritten(spark, tmpdir_path):
+    store = VersionedStore(spark, tmpdir_path + "/store")
+    rules = rules_frame(spark)
+    lst = L(spark, [("/data/a", "x", 1)])
+    sync(store, lst, rules, updated_at=dt.datetime(2024, 1, 1))
+    with pytest.raises(FileExistsError):
+        initial_load(store, lst, rules)
+    with pytest.raises(FileExistsError):
+        store.commit({"folders": store.read("folders")}, dt.datetime(2024, 1, 2), version=0)
+
+
+def test_created_time_stays_and_is_formatted(spark):
+    t = Tables(spark, SF_SMALL)
+    old, new = derived.docs_old(t), derived.docs_new(t)
+    folders, files = dml.initial_snapshot(old)
+    upserted = dml.apply_folder_diffs(folders, folder_diff(folder_stats(new), folders))
+    applied = dml.apply_file_changes(files, file_changes(new, files), upserted)
+    live = new.select("folder_path").distinct()
+    got = applied.join(live, "folder_path", "left_semi").select("folder_path", "name", "created_time")
+    assert got.exceptAll(new.select("folder_path", "name", "created_time")).isEmpty()
+    assert upserted.where("created_time is null").isEmpty()
+    first = new.orderBy("created_time").select(format_time("created_time").alias("t")).first()
+    assert first["t"].startswith("2020-01-01 00:")
