@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +20,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.components import components
 from tessera.llm.frames import quoted, set_aside
-from tessera.llm.text import U, _BASE, each_chunk, grams, mix, seeds
+from tessera.llm.text import U, _BASE, each_chunk, grams, mix, seeds, utf8, words
 from tessera.session import materialize
 
 SHINGLE = 5
 SIMILARITY = 0.8
-# (shingles per element, elements): texts of similarity 0.8 share an element with
-# probability 1 - (1 - 0.8 ** take) ** elements, over 0.9998 in each row
-LEVELS = ((3, 12), (6, 28), (12, 120))
+# (shingles per element, elements, shared): texts of similarity 0.8 share so many
+# elements or more with a probability of over 0.9995 in each row
+LEVELS = ((3, 12, 1), (12, 150, 2))
 SMALL = 16  # texts of an element that are compared in pairs at once
+LEADERS = 16
+FIRST = 4   # elements of the first level that are compared before the others
 
 
 def labelled(hashes: np.ndarray) -> np.ndarray:
@@ -98,118 +101,146 @@ def _worded(text: Column) -> Column:
 
 
 def sketches(texts: DataFrame, take: int, elements: int) -> DataFrame:
-    """(node, n, keys) of ``texts`` (node, text); wordless texts have none."""
+    """(node, doc, n, element, key) of ``texts`` (node, doc, text): ``elements`` rows for
+    each text with ``n`` shingles; wordless texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, w in each_chunk(batch):
-                nodes = batch.column("node").slice(lo, hi - lo)
-                size = np.diff(w.first)
-                rows = np.flatnonzero(size)
-                keys = [sketch(labelled(w.hash[w.first[r]:w.first[r + 1]]), take, elements).view(np.int64) for r in rows]
-                flat = np.concatenate([np.zeros(0, np.int64), *keys])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * elements, pa.int32()), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([nodes.take(pa.array(rows)), pa.array(size[rows], pa.int64()), lists], names=["node", "n", "keys"])
+                nodes, ids = (batch.column(c).slice(lo, hi - lo) for c in ("node", "doc"))
+                rows = np.flatnonzero(np.diff(w.first))
+                if not len(rows):
+                    continue
+                own = [labelled(w.hash[w.first[r]:w.first[r + 1]]) for r in rows]
+                keys = np.concatenate([sketch(x, take, elements) for x in own])
+                each = pa.array(np.repeat(rows, elements))
+                yield pa.RecordBatch.from_arrays(
+                    [nodes.take(each), ids.take(each), pa.array(np.repeat([len(x) for x in own], elements), pa.int64()),
+                     pa.array(np.tile(np.arange(elements, dtype=np.int32), len(own))), pa.array(keys.view(np.int64))], names=["node", "doc", "n", "element", "key"])
 
-    return texts.mapInArrow(run, "node binary, n long, keys array<long>")
+    return texts.mapInArrow(run, "node binary, doc long, n long, element int, key long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, similarity) of the pairs whose aligned similarity is SIMILARITY or
-    more. ``texts``: (node, text), one row per node."""
+    """(a, b) of the pairs whose aligned similarity is SIMILARITY or more. ``texts``: (node, text), one row per node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[bytes, np.ndarray] = {}
+
+        def shingles(node: bytes, text: str) -> np.ndarray:
+            if node not in kept:
+                while len(kept) >= 200:
+                    kept.pop(next(iter(kept)))
+                data, offsets = utf8(pa.array([text], pa.string()))
+                kept[node] = labelled(words(data, offsets).hash)
+            return kept[node]
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sides = []
-                for column in ("text_a", "text_b"):
-                    sides.append([labelled(w.hash[w.first[r]:w.first[r + 1]]) for lo, hi, w in each_chunk(part, column) for r in range(hi - lo)])
-                score = np.array([similarity(x, y) for x, y in zip(*sides)])
-                good = pa.array(np.flatnonzero(score >= SIMILARITY))
-                yield pa.RecordBatch.from_arrays([part.column("a").take(good), part.column("b").take(good), pa.array(score).take(good)],
-                                                 names=["a", "b", "similarity"])
+                score = [similarity(shingles(a, x), shingles(b, y)) for a, b, x, y in zip(*(part.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")))]
+                yield part.select(["a", "b"]).take(pa.array(np.flatnonzero(np.array(score) >= SIMILARITY)))
 
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
-
-
-def _pairs(buckets: DataFrame, every: bool) -> DataFrame:
-    """Candidates (a, b), a < b, of ``buckets`` (key, node, label). Elements of up
-    to SMALL texts, or all with ``every``, give their pairs; larger ones give a
-    pair of each text with the least, which finds a group of copies in as many
-    pairs as it has texts. Texts of one label are linked already."""
-    least = buckets.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("texts")).where("texts > 1")
-    named = buckets.join(least, "key")
-    small = F.lit(True) if every else F.col("texts") <= SMALL
-    star = named.where(~small).select("a", F.col("node").alias("b"), "label").where("a < b")
-    own = named.where(small).select("key", "node", "label")
-    pairs = own.select("key", F.col("node").alias("a"), F.col("label").alias("la")).join(
-        own.select("key", F.col("node").alias("b"), F.col("label").alias("lb")), "key").where("a < b and la <> lb").select("a", "b")
-    return pairs.union(star.select("a", "b")).distinct()
-
-
-def links(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(links, labels): verified links (a, b, similarity) between different
-    texts, by their digests, and the (node, label) of their components.
-
-    Elements that more than SMALL texts share, and whose texts are not all in
-    one component after the comparison with the least of them, are short texts
-    about one common passage, or groups that their least text does not bind. Their
-    texts are sketched again with twice the shingles per element, which only
-    texts alike all over still share, and are compared once more. What the last level
-    leaves is compared pair by pair, so no candidate is dropped.
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+
+
+def _close(a: str, b: str) -> Column:
+    """Whether texts of so many shingles can have SIMILARITY at all."""
+    return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
+
+
+def _stars(buckets: DataFrame, leaders: int) -> DataFrame:
+    """Candidates (a, b): each text of an element with its earliest text, or
+    with the earliest of each of ``leaders`` hashed parts."""
+    part = F.pmod(F.xxhash64("node"), F.lit(leaders))
+    least = buckets.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "n", "label"), F.struct("doc", "node")).alias("least"))
+    both = buckets.join(least, "key").where((F.col("node") != F.col("least.node")) & (F.col("label") != F.col("least.label")) & _close("n", "least.n"))
+    a, b = F.col("least.node"), F.col("node")
+    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+
+def _pairs(buckets: DataFrame, shared: int) -> DataFrame:
+    """Candidates (a, b): all pairs of texts that share ``shared`` elements."""
+    left = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
+    right = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
+    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("na", "nb")).groupBy("a", "b").agg(
+        F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
+
+
+def _sized(buckets: DataFrame) -> DataFrame:
+    return buckets.join(buckets.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key")
+
+
+def _labelled(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    return buckets.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(node, label): the components of the verified links between different
+    texts, by their digests; texts without links are absent.
+
+    Texts that share an element are compared with its earliest text first, which
+    binds copies to their original in as many comparisons as there are copies.
+    What is in one component then needs no more comparisons. Other texts are
+    compared in all pairs if their element has up to SMALL, or else with the earliest
+    of each of LEADERS parts. Large elements whose texts are still in several
+    components are texts about one common passage, or groups that their leaders
+    don't bind: their texts are sketched again with more shingles per element,
+    which only texts alike all over still share. What the last level
+    leaves is compared pair by pair, so no candidate is dropped. Pairs whose
+    lengths exclude the similarity aren't compared.
     """
-    texts = docs.select(_digest(F.col(quoted(text))).alias("node"), F.col(quoted(text)).alias("text")).where("text is not null")
-    found = labels = None
-    left = None
-    for level, (take, elements) in enumerate(LEVELS):
-        last = level == len(LEVELS) - 1
-        own = texts if left is None else texts.join(left, "node", "left_semi")
-        marks = sketches(own, take, elements).groupBy("node").agg(F.first("keys").alias("keys"))
-        buckets = materialize(marks.select("node", F.explode("keys").alias("key")), "buckets")
-        shared = buckets.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-        buckets = buckets.join(shared, "key")
+    doc = F.coalesce(F.col(quoted(key)).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
+    texts = docs.select(_digest(F.col(quoted(text))).alias("node"), doc, F.col(quoted(text)).alias("text")).where("text is not null")
+    found, labels, own = [], None, texts
+    for level, (take, elements, shared) in enumerate(LEVELS):
+        buckets = sketches(own, take, elements)
+        if level == 0:  # copies; later levels have a text once
+            buckets = buckets.groupBy("node", "n", "element", "key").agg(F.min("doc").alias("doc"))
+        buckets = buckets.withColumn("label", F.col("node"))
         if labels is not None:
-            buckets = buckets.join(labels, "node", "left")
+            buckets = _labelled(buckets, labels)
+        buckets = materialize(_sized(buckets), "buckets")
+        if level == 0:
+            known = buckets.select("node", "doc").distinct()
+            own = texts = materialize(texts.join(known, ["node", "doc"], "left_semi").dropDuplicates(["node"]), "texts")
+            # a few elements first: most of a group's texts are then known to be in it
+            found.append(materialize(verified(_stars(buckets.where(F.col("element") < FIRST), 1), texts), "verified"))
+            buckets = _labelled(buckets, components(found[0]))
+        large = F.col("texts") > SMALL
+        if level == len(LEVELS) - 1:
+            pairs = _pairs(buckets, shared)
         else:
-            buckets = buckets.withColumn("label", F.lit(None).cast("binary"))
-        buckets = materialize(buckets.select("key", "node", F.coalesce("label", "node").alias("label")), "buckets")
-        pairs = materialize(_pairs(buckets, last), "pairs")
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        one = texts.join(nodes, "node", "left_semi").dropDuplicates(["node"])
-        new = materialize(verified(pairs, materialize(one, "texts")), "verified")
-        found = new if found is None else materialize(found.union(new).distinct(), "verified")
-        labels = components(found)
-        if last:
+            pairs = _stars(buckets.where(large), LEADERS).union(_pairs(buckets.where(~large), shared)).distinct()
+        found.append(materialize(verified(pairs, texts), "verified"))
+        labels = components(reduce(DataFrame.union, found))
+        if level == len(LEVELS) - 1:
             break
-        known = buckets.drop("label").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-        open_ = known.groupBy("key").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high"))
-        open_ = open_.where((F.col("texts") > SMALL) & (F.col("low") != F.col("high"))).select("key")
-        left = materialize(known.join(open_, "key").select("node").distinct(), "open")
+        known = _labelled(buckets.where(large), labels)
+        several = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")
+        left = materialize(known.join(several, "key").select("node").distinct(), "open")
         if left.isEmpty():
             break
-    return found, labels
+        own = texts.join(left, "node", "left_semi")
+    return labels
 
 
 def _members(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc_id, digest, label, n_links, least, size), one row per document."""
-    found, labels = links(docs, text)
+    """(doc_id, digest, label, least, size), one row per document."""
+    labels = links(docs, key, text).withColumnRenamed("node", "digest")
     column = F.col(quoted(text))
     rows = docs.select(F.col(quoted(key)).alias("doc_id"), F.when(_worded(column), _digest(column)).alias("digest"))
-    degree = found.select(F.explode(F.array("a", "b")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n_links"))
-    known = labels.withColumnRenamed("node", "digest").join(degree, "digest")
-    rows = rows.join(known, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"), "n_links")
+    rows = rows.join(labels, "digest", "left").select("doc_id", "digest", F.coalesce("label", "digest").alias("label"))
     rows = materialize(rows, "members")
     sizes = rows.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"), F.count("*").alias("size"))
     return rows.join(sizes, "label", "left")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its key, ``class_id`` (the least key of its class),
-    ``class_size`` (documents) and ``n_links`` (verified links of its text to
-    different texts).
+    """One row per document: its key, ``class_id`` (the least key of its class)
+    and ``class_size`` (documents).
 
     A class is a connected component under equality of texts and links. Texts
     are linked if their aligned similarity over five-word shingles is SIMILARITY
@@ -222,7 +253,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     """
     return _members(docs, key, text).select(
         F.col("doc_id").alias(key), F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("class_id"),
-        F.coalesce("size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+        F.coalesce("size", F.lit(1).cast("long")).alias("class_size"))
 
 
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
