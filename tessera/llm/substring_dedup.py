@@ -27,10 +27,11 @@ from tessera.llm.text import U, Words, each_chunk, grams, within
 
 WINDOW = 13
 ANCHOR = 5       # words of a minimiser
+SLICE = 256      # rows whose texts are unpacked at a time
 CROWDED = 1000   # documents of a shard; beyond, its windows are shards of their own, in salted parts
 
-SEGMENT = "route long, salt long, doc_id long, tag long, at int, tokens binary"
-PASSED = "route long, doc_id long, tag long, at int, until int, tokens binary"
+SEGMENT = "route long, salt long, doc_id long, tag int, at int, tokens binary"
+PASSED = "route long, doc_id long, tag int, at int, until int, tokens binary"
 
 
 class Automaton:
@@ -108,25 +109,54 @@ def minimisers(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _marks(docs: DataFrame) -> DataFrame:
-    """(mark, doc_id): the minimisers of each document's windows."""
+    """(mark, doc_id): the different minimisers of each document's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").to_numpy()
             for lo, _, w in each_chunk(batch):
                 first, _, mark = minimisers(w)
-                yield pa.RecordBatch.from_arrays([pa.array(mark.view(np.int64)), pa.array(ids[lo + w.row[first]])], names=["mark", "doc_id"])
+                row = w.row[first]
+                order = np.lexsort((mark, row))
+                row, mark = row[order], mark[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (row[1:] != row[:-1]) | (mark[1:] != mark[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(mark[new].view(np.int64)), pa.array(ids[lo + row[new]])], names=["mark", "doc_id"])
 
     return docs.mapInArrow(run, "mark long, doc_id long")
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with their texts compressed, for shuffles of whole texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                raw = [t.as_buffer() for t in part.column("text").fill_null("")]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("tag"), pa.array([len(t) for t in raw], pa.int64()),
+                     pa.array([pa.compress(t, codec="zstd", asbytes=True) for t in raw], pa.binary())], names=["doc_id", "tag", "size", "packed"])
+
+    return docs.select("doc_id", "tag", "text").mapInArrow(run, "doc_id long, tag int, size long, packed binary")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, with the texts' bytes as ``text``."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            texts = [pa.decompress(p.as_buffer(), n.as_py(), codec="zstd", asbytes=True) for p, n in zip(part.column("packed"), part.column("size"))]
+            yield part.append_column("text", pa.array(texts, pa.binary()))
+
+
 def _segments(docs: DataFrame) -> DataFrame:
-    """Segments of (doc_id, tag, text, wanted) for their shards: the words of
+    """Segments of (doc_id, tag, packed, wanted) for their shards: the words of
     each run of windows whose minimiser is wanted."""
-    schema = pa.schema([("route", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("route", pa.int64()), ("salt", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches):
             batch = batch.filter(batch.column("wanted").is_valid())
             ids, tags = batch.column("doc_id").to_numpy(), batch.column("tag").to_numpy()
             wanted = batch.column("wanted")
@@ -146,9 +176,9 @@ def _segments(docs: DataFrame) -> DataFrame:
                 known[inverse[:len(marks)]] = docs_of
                 crowd = known[inverse[len(marks):]]
                 good = np.flatnonzero(crowd)
-                yield from _packed(w, ids[lo:hi], tags[lo:hi], first[good], end[good], mark[good], crowd[good])
+                yield from _pieces(w, ids[lo:hi], tags[lo:hi], first[good], end[good], mark[good], crowd[good])
 
-    def _packed(w, ids, tags, first, end, mark, crowd):
+    def _pieces(w, ids, tags, first, end, mark, crowd):
         tokens = (w.hash >> U(32)).astype(np.uint32)
         raw = tokens.tobytes()
         # crowded shards: every window on its own, under its own hash
@@ -189,7 +219,7 @@ def _streamed(segments: DataFrame, final: bool) -> DataFrame:
     """Runs each shard's segments, in the order of doc_id, through its automaton.
     Returns covered word ranges (``until`` above 0). Salted parts of a shard see
     a part of its documents; what none of those cover goes on with its tokens."""
-    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("at", pa.int32()), ("until", pa.int32()), ("tokens", pa.binary())])
+    schema = pa.schema([("route", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int32()), ("at", pa.int32()), ("until", pa.int32()), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, automaton, seen, doc, pending = None, None, None, None, []
@@ -229,15 +259,14 @@ def _streamed(segments: DataFrame, final: bool) -> DataFrame:
     return segments.mapInArrow(run, PASSED)
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, packed: DataFrame) -> DataFrame:
     """(doc_id, spans) of the documents (doc_id, tag, text) that have words to
     remove; ``spans``: (tag, at, until) ranges of words."""
     named = docs.where("doc_id is not null").select("doc_id", "text")
     marks = _marks(named)
-    shared = marks.groupBy("mark").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n"))
-    shared = shared.where("low < high").select("mark", "n")
+    shared = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1")
     wanted = marks.join(shared, "mark").groupBy("doc_id").agg(F.collect_set(F.struct("mark", "n")).alias("wanted"))
-    segments = _segments(docs.join(wanted, "doc_id", "left").select("doc_id", "tag", "text", "wanted"))
+    segments = _segments(packed.join(wanted, "doc_id", "left").select("doc_id", "tag", "size", "packed", "wanted"))
     segments = segments.repartition("route", "salt").sortWithinPartitions("route", "salt", "doc_id")
     passed = _streamed(segments, final=False)
     passed = passed.withColumn("by", F.when(F.col("until") > 0, F.xxhash64("doc_id")).otherwise(F.col("route")))
@@ -263,25 +292,24 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     parts of about CROWDED documents, then among the parts' first holders. A
     task holds the different segments of one shard.
     """
-    own = docs.select(F.col(quoted(key)).alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("tag"), F.col(quoted(text)).alias("text"))
-    spans = covered(own)
+    own = docs.select(F.col(quoted(key)).alias("doc_id"), F.hash(F.col(quoted(text))).alias("tag"), F.col(quoted(text)).alias("text"))
+    packed = _packed(own)  # its shuffle serves both joins by doc_id
+    spans = covered(own, packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                counts, gone, kept = [], [], []
-                for tag, text, ranges in zip(*(part.column(c).to_pylist() for c in ("tag", "text", "spans"))):
-                    w = (text or "").encode().split()
-                    counts.append(len(w))
-                    bad = np.zeros(len(w), bool)
-                    for r in ranges or ():
-                        if r["tag"] == tag:
-                            bad[r["at"]:r["until"]] = True
-                    gone.append(int(bad.sum()))
-                    kept.append(b" ".join(w if not gone[-1] else [w[i] for i in np.flatnonzero(~bad)]).decode())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
-                                                 names=["doc_id", "n_words", "n_removed", "kept"])
-
-    rows = own.join(spans, "doc_id", "left").select("doc_id", "tag", "text", "spans")
+        for part in _unpacked(batches):
+            counts, gone, kept = [], [], []
+            for tag, text, ranges in zip(*(part.column(c).to_pylist() for c in ("tag", "text", "spans"))):
+                w = text.split()
+                counts.append(len(w))
+                bad = np.zeros(len(w), bool)
+                for r in ranges or ():
+                    if r["tag"] == tag:
+                        bad[r["at"]:r["until"]] = True
+                gone.append(int(bad.sum()))
+                kept.append(b" ".join(w if not gone[-1] else [w[i] for i in np.flatnonzero(~bad)]).decode())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())],
+                                             names=["doc_id", "n_words", "n_removed", "kept"])
+
+    rows = packed.join(spans, "doc_id", "left").select("doc_id", "tag", "size", "packed", "spans")
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
