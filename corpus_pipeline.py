@@ -26,6 +26,10 @@ from tessera.session import materialize
 
 SHARDS = 24
 
+#: Rows that a Python worker gets at a time. Rows hold whole texts, and workers keep
+#: their peak memory from stage to stage.
+BATCH_ROWS = "500"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -35,6 +39,7 @@ def _counted(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return _counted(line_quality.judge(docs, cut=True).where("kept"), docs.columns)
 
 

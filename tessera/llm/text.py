@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 
 _BASE = 0x9E3779B97F4A7C13  # odd and 3 modulo 8, so powers differ in their low bits
