@@ -26,8 +26,13 @@ from tessera.session import materialize
 SHINGLE = 5
 SIMILARITY = 0.8
 # (shingles per element, elements, shared): texts of similarity 0.8 share so many
-# elements or more with a probability of over 0.9995 in each row
+# elements or more with a probability of over 0.9995 in each row, counted without
+# replacement: texts of up to TINY shingles have MORE elements, the last row is for
+# texts of over SIMILARITY * SHORT
 LEVELS = ((3, 12, 1), (12, 150, 2))
+TINY, MORE = 16, 4
+SHORT = 400  # shingles of the texts that are compared by their rarest shingles last, which misses no pair
+BITS = 512   # of a text's parity map
 SMALL = 16  # texts of an element that are compared in pairs at once
 LEADERS = 16
 FIRST = 4   # elements of the first level that are compared before the others
@@ -100,9 +105,9 @@ def _worded(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
 
 
-def sketches(texts: DataFrame, take: int, elements: int) -> DataFrame:
-    """(node, doc, n, element, key) of ``texts`` (node, doc, text): ``elements`` rows for
-    each text with ``n`` shingles; wordless texts have none."""
+def sketches(texts: DataFrame, take: int, elements: int, least: int = 0) -> DataFrame:
+    """(node, doc, n, element, key) of ``texts`` (node, doc, text): ``elements`` rows, or MORE for
+    TINY texts, for each text with ``n`` shingles; wordless texts and those of up to ``least`` have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,15 +117,44 @@ def sketches(texts: DataFrame, take: int, elements: int) -> DataFrame:
                 if not len(rows):
                     continue
                 own = [labelled(w.hash[w.first[r]:w.first[r + 1]]) for r in rows]
-                keys = np.concatenate([sketch(x, take, elements) for x in own])
-                each = pa.array(np.repeat(rows, elements))
+                rows, own = rows[[len(x) > least for x in own]], [x for x in own if len(x) > least]
+                if not own:
+                    continue
+                count = np.array([elements + MORE * (len(x) <= TINY) for x in own])
+                keys = np.concatenate([sketch(x, take, k) for x, k in zip(own, count)])
+                each = pa.array(np.repeat(rows, count))
                 yield pa.RecordBatch.from_arrays(
-                    [nodes.take(each), ids.take(each), pa.array(np.repeat([len(x) for x in own], elements), pa.int64()),
-                     pa.array(np.tile(np.arange(elements, dtype=np.int32), len(own))), pa.array(keys.view(np.int64))], names=["node", "doc", "n", "element", "key"])
+                    [nodes.take(each), ids.take(each), pa.array(np.repeat([len(x) for x in own], count), pa.int64()),
+                     pa.array(np.concatenate([np.arange(k, dtype=np.int32) for k in count])), pa.array(keys.view(np.int64))],
+                    names=["node", "doc", "n", "element", "key"])
 
     return texts.mapInArrow(run, "node binary, doc long, n long, element int, key long")
 
 
+def profiles(texts: DataFrame) -> DataFrame:
+    """(node, n, own, bits) of ``texts`` (node, text) of up to SHORT shingles: the shingles,
+    and for each of BITS buckets whether an odd number of them falls into it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in each_chunk(batch):
+                own = [(r, labelled(w.hash[w.first[r]:w.first[r + 1]])) for r in np.flatnonzero(np.diff(w.first))]
+                own = [(r, x) for r, x in own if len(x) <= SHORT]
+                if not own:
+                    continue
+                odd = np.array([np.bincount((x % U(BITS)).astype(np.int64), minlength=BITS) & 1 for _, x in own], bool)
+                bits = np.packbits(odd, axis=1).view(np.int64)
+                size = np.array([len(x) for _, x in own])
+                at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(lo, hi - lo).take(pa.array([r for r, _ in own])), pa.array(size, pa.int64()),
+                     pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x for _, x in own]).view(np.int64))),
+                     pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * (BITS // 64)).astype(np.int32)), pa.array(bits.ravel()))],
+                    names=["node", "n", "own", "bits"])
+
+    return texts.mapInArrow(run, "node binary, n long, own array<long>, bits array<long>")
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b) of the pairs whose aligned similarity is SIMILARITY or more. ``texts``: (node, text), one row per node."""
 
@@ -169,6 +203,32 @@ def _pairs(buckets: DataFrame, shared: int) -> DataFrame:
         F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
 
 
+def _rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates (a, b): all pairs of ``texts`` of up to SHORT shingles that can
+    have SIMILARITY, but for those of one label.
+
+    Such a pair has SIMILARITY of each one's shingles in common, so it has one in
+    common among the (1 - SIMILARITY) * n + 1 of each that come first in an order
+    of all shingles; here those that the fewest texts hold. It differs in (n + m)
+    / 9 shingles at most, and so in no more bits of the parity maps."""
+    every = materialize(_labelled(profiles(texts), labels), "profiles")
+    tokens = every.select("node", "n", F.explode("own").alias("key"))
+    held = tokens.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
+    listed = tokens.join(held, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))
+    # what one text alone holds comes first
+    first = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1 - (F.col("n") - F.size("keys"))
+    listed = listed.withColumn("first", first.cast("int")).where("first > 0")
+    keys = listed.select("node", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("node", "k.key")
+    keys = materialize(keys.join(every.drop("own"), "node"), "rare")
+    left, right = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label")),
+                               *(F.col("bits")[i].alias(f"{side}{i}") for i in range(BITS // 64))) for side in "ab")
+    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITS // 64)])
+    most = (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    both = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
+                     & _close("n_a", "n_b") & (apart <= most))
+    return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+
+
 def _sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(buckets.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key")
 
@@ -187,16 +247,18 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     compared in all pairs if their element has up to SMALL, or else with the earliest
     of each of LEADERS parts. Large elements whose texts are still in several
     components are texts about one common passage, or groups that their leaders
-    don't bind: their texts are sketched again with more shingles per element,
-    which only texts alike all over still share. What the last level
-    leaves is compared pair by pair, so no candidate is dropped. Pairs whose
-    lengths exclude the similarity aren't compared.
+    don't bind. Of these, texts of up to SHORT shingles are joined on their rarest
+    shingles, which finds all their pairs; longer ones are sketched again with more
+    shingles per element, which only texts alike all over still share. What the last
+    level leaves is compared pair by pair, so no candidate is dropped. Pairs whose
+    lengths or parity maps exclude the similarity aren't compared.
     """
     doc = F.coalesce(F.col(quoted(key)).cast("long"), F.lit((1 << 63) - 1)).alias("doc")
     texts = docs.select(_digest(F.col(quoted(text))).alias("node"), doc, F.col(quoted(text)).alias("text")).where("text is not null")
     found, labels, own = [], None, texts
     for level, (take, elements, shared) in enumerate(LEVELS):
-        buckets = sketches(own, take, elements)
+        last = level == len(LEVELS) - 1
+        buckets = sketches(own, take, elements, int(SIMILARITY * SHORT) if last else 0)
         if level == 0:  # copies; later levels have a text once
             buckets = buckets.groupBy("node", "n", "element", "key").agg(F.min("doc").alias("doc"))
         buckets = buckets.withColumn("label", F.col("node"))
@@ -210,13 +272,13 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
             found.append(materialize(verified(_stars(buckets.where(F.col("element") < FIRST), 1), texts), "verified"))
             buckets = _labelled(buckets, components(found[0]))
         large = F.col("texts") > SMALL
-        if level == len(LEVELS) - 1:
-            pairs = _pairs(buckets, shared)
+        if last:
+            pairs = _pairs(buckets, shared).union(_rare_pairs(own, labels)).distinct()
         else:
             pairs = _stars(buckets.where(large), LEADERS).union(_pairs(buckets.where(~large), shared)).distinct()
         found.append(materialize(verified(pairs, texts), "verified"))
         labels = components(reduce(DataFrame.union, found))
-        if level == len(LEVELS) - 1:
+        if last:
             break
         known = _labelled(buckets.where(large), labels)
         several = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("key")

@@ -106,6 +106,20 @@ def test_later_levels_and_small_elements(spark, monkeypatch):
     test_groups_passages_and_odd_rows(spark)
 
 
+def test_chains_of_short_variants(spark):
+    """Groups of one template whose variants are linked with the next one only."""
+    rows = []
+    for g, size in enumerate((13, 17, 22, 31, 50)):
+        core = [f"g{g}c{i}" for i in range(size - 2)]
+        edge = 1 if size < 30 else size // 14  # so many words differ at an end
+        for i in range(150):
+            head, tail = [f"g{g}h{(i + 1) // 2}x{k}" for k in range(edge)], [f"g{g}t{i // 2}x{k}" for k in range(edge)]
+            rows.append((10000 * g + i * 7919 % 1000, " ".join(head + core[edge - 1:len(core) - edge + 1] + tail)))
+    want = expected(rows)
+    assert sorted({n for _, _, n in want}) == [150]
+    assert got(order_minhash.classes(spark.createDataFrame(rows, "doc_id long, text string"))) == want
+
+
 def test_alignment_is_exact_above_the_limit():
     rng = random.Random(2)
     for _ in range(300):
