@@ -4,6 +4,10 @@ Two lines are within one word edit if one is the other without a word, or if
 both without their words at one place are equal. So every line emits itself
 and its variants without each word as hashed keys; lines with equal keys are
 candidates, the edit distance verifies them, and the earliest line stays.
+
+Longer lines may differ in more words. Each edit touches GRAM of a line's
+word runs of that length, so lines within k edits have one in common among the
+GRAM * k + 1 that come first in a fixed order of all runs (a prefix join).
 """
 
 from __future__ import annotations
@@ -18,10 +22,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frames import quoted, set_aside
 from tessera.llm.line_quality import lines_of
-from tessera.llm.text import U, each_chunk, mix, seeds, spans, without_each
+from tessera.llm.text import U, each_chunk, grams, mix, seeds, spans, without_each
 from tessera.session import materialize
 
-MIN_WORDS = 8  # shorter lines are removed only if equal
+MIN_WORDS = 8    # shorter lines are removed only if equal
+EDIT_WORDS = 10  # words of the shorter line for each edit between near lines; one edit is always allowed
+GRAM = 5
 
 OCCURRENCES = "row long, doc_id long, tag long, line int, content long, halves array<long>"
 
@@ -77,6 +83,46 @@ def occurrences(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, OCCURRENCES)
 
 
+def _first_runs(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the GRAM * k + 1 runs of GRAM words with the least hashes
+    of each line that k > 1 edits are allowed in; equal runs of a line count apart."""
+    n = tail - head
+    own = grams(w.hash, GRAM)
+    line = np.repeat(np.arange(len(head)), n)[:len(own)]
+    at = np.flatnonzero((np.arange(len(own)) + GRAM <= tail[line]) & (n[line] >= 2 * EDIT_WORDS)) if len(own) else np.zeros(0, np.int64)
+    if not len(at):
+        return np.zeros(0, np.int64), np.zeros(0, U)
+    line, key = line[at], own[at]
+    for again in (True, False):
+        order = np.lexsort((key, line))
+        line, key = line[order], key[order]
+        same = np.concatenate([[False], (key[1:] == key[:-1]) & (line[1:] == line[:-1])])
+        if not (again and same.any()):
+            break
+        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+        number = (np.arange(len(key)) - first).astype(U)
+        key = np.where(same, mix(key + number * U(0xD6E8FEB86659FD93)), key)
+    rank = np.arange(len(line)) - np.searchsorted(line, line)
+    use = rank <= GRAM * (n[line] // EDIT_WORDS)
+    return line[use], key[use]
+
+
+def first_runs(docs: DataFrame) -> DataFrame:
+    """(key, content, n) of the lines of (text) with 2 * EDIT_WORDS words or more; ``n`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in each_chunk(batch):
+                _, head, tail, _, _ = lines_of(w, w.data)
+                line, key = _first_runs(w, head, tail)
+                if len(line):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(key.view(np.int64)), pa.array(spans(w.hash, head, tail).view(np.int64)[line]), pa.array((tail - head)[line].astype(np.int32))],
+                        names=["key", "content", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, content long, n int")
+
+
 def _tokens(docs: DataFrame) -> DataFrame:
     """(content, tokens) of the wanted lines of (text, wanted)."""
 
@@ -137,10 +183,40 @@ def within_one(a: np.ndarray, b: np.ndarray) -> bool:
     return np.array_equal(a[i + 1:], b[i + (len(a) == len(b)):])
 
 
+def within(a: np.ndarray, b: np.ndarray, k: int) -> bool:
+    """Whether two word sequences are within ``k`` edits: the furthest word of
+    ``a`` that each diagonal reaches with so many edits."""
+    n, m = len(a), len(b)
+    if abs(n - m) > k:
+        return False
+    x, y = a.tolist(), b.tolist()
+    before: dict[int, int] = {}
+    for e in range(k + 1):
+        reach: dict[int, int] = {}
+        for d in range(-e, e + 1):
+            i = max(before.get(d, -2) + 1, before.get(d - 1, -2), before.get(d + 1, -2) + 1) if e else 0
+            if i < max(0, -d):
+                continue
+            i = min(i, n, m - d)
+            while i < n and i + d < m and x[i] == y[i + d]:
+                i += 1
+            if i == n and i + d == m:
+                return True
+            reach[d] = i
+        before = reach
+    return False
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two lines are within the edits allowed for the shorter one."""
+    k = min(len(a), len(b)) // EDIT_WORDS
+    return within(a, b, k) if k > 1 else within_one(a, b)
+
+
 def _verified(pairs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [within_one(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
+            good = [alike(np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32))
                     for a, b in zip(batch.column("tokens").to_pylist(), batch.column("other").to_pylist())]
             yield batch.select(["content"]).filter(pa.array(good, pa.bool_()))
 
@@ -160,8 +236,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     numbers).
 
     A line is a part between line feeds; its words are compared. It goes if an
-    earlier line, by doc_id and then line number, is equal, or within one word
-    edit and both have MIN_WORDS words or more; whether that line stays itself
+    earlier line, by doc_id and then line number, is equal, or both have
+    MIN_WORDS words or more and are within one word edit for each EDIT_WORDS words of
+    the shorter one, or within one at least; whether that line stays itself
     doesn't matter.
 
     Null texts have no lines; null keys come last; lines at one place (repeated
@@ -170,7 +247,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     their earliest places, then to those that share half their words with another
     content: no pair within one edit is lost. Only these emit variants. A variant's earliest
     lines are found with partial minima, so no pairs of a crowded variant are
-    listed: the earliest line with it is enough to remove all others.
+    listed: the earliest line with it is enough to remove all others. Lines that
+    more edits are allowed in are compared with the earliest line of each of their
+    first runs, and what then stays with every earlier line of them.
     """
     own = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("tag"), F.col(quoted(text)).alias("text"))
     every = materialize(occurrences(own), "lines")
@@ -178,18 +257,35 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     contents = materialize(lines.groupBy("content").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "contents")
     halves = contents.select("content", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    near = halves.join(shared, "half").select("content").distinct()
+    near = halves.join(shared, "half").select("content", F.lit(True).alias("half")).distinct()
+    runs = first_runs(own)
+    several = runs.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low != high").select("key")
+    runs = materialize(runs.join(several, "key").distinct(), "runs")
+    near = near.union(runs.select("content", F.lit(False))).groupBy("content").agg(F.max("half").alias("half"))
     near = materialize(near.join(contents.select("content", "place"), "content"), "near")
     where = lines.select("content", "place", "doc_id", "tag").join(near, ["content", "place"]).groupBy("doc_id", "tag").agg(F.collect_set("content").alias("wanted"))
     found = own.join(where, own["doc_id"].eqNullSafe(where["doc_id"]) & (own["tag"] == where["tag"])).select("text", "wanted")
     tokens = materialize(_tokens(found).dropDuplicates(["content"]).join(near, "content"), "tokens")
 
-    keys = variants(tokens)
+    keys = variants(tokens.where("half"))
     first = keys.groupBy("key").agg(F.min("place").alias("any"), F.min(F.when(F.col("whole"), F.col("place"))).alias("line"), F.count("*").alias("n")).where("n > 1")
     earlier = keys.join(first, "key").select("content", "place", F.when(F.col("whole"), F.col("any")).otherwise(F.col("line")).alias("earliest"))
     earlier = earlier.where("earliest < place").groupBy("content").agg(F.min("earliest").alias("earliest"))
     pairs = tokens.join(earlier, "content").join(tokens.select(F.col("place").alias("earliest"), F.col("tokens").alias("other")), "earliest")
-    gone = _verified(pairs).distinct().withColumn("near", F.lit(True))
+
+    runs = materialize(runs.join(contents.select("content", "place"), "content"), "runs")
+    fits = F.abs(F.col("n") - F.col("least.n")) <= F.floor(F.least("n", "least.n") / EDIT_WORDS)
+    before = (F.col("least.place") < F.col("place")) & fits
+
+    def compared(candidates: DataFrame) -> DataFrame:
+        listed = candidates.where(before).select("content", F.col("least.content").alias("before")).distinct()
+        return _verified(listed.join(tokens, "content").join(tokens.select(F.col("content").alias("before"), F.col("tokens").alias("other")), "before"))
+
+    earliest = runs.groupBy("key").agg(F.min(F.struct("place", "content", "n")).alias("least"))
+    gone = materialize(_verified(pairs).union(compared(runs.join(earliest, "key"))).distinct(), "gone")
+    stays = runs.join(gone, "content", "left_anti")
+    rest = compared(stays.join(runs.select("key", F.struct("place", "content", "n").alias("least")), "key"))
+    gone = gone.union(rest).distinct().withColumn("near", F.lit(True))
 
     first = contents.select("content", F.col("place").alias("least")).join(gone, "content", "left")
     judged = every.withColumn("place", _place().cast("decimal(38,0)")).join(first, "content", "left")

@@ -95,5 +95,43 @@ def test_within_one():
         assert line_dedup.within_one(np.array(a), np.array(b)) == (distance_up_to_one(tuple(a), tuple(b)) < 2)
 
 
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        before, row = row, [i + 1]
+        for j, y in enumerate(b):
+            row.append(min(before[j] + (x != y), before[j + 1] + 1, row[-1] + 1))
+    return row[-1]
+
+
+def test_more_edits_in_longer_lines(spark):
+    rng = random.Random(9)
+    word = lambda: f"w{rng.randrange(400)}"
+    pool = [[word() for _ in range(n)] for n in (8, 19, 20, 21, 30, 57, 90, 120)] + [["x", "y"] * 15]
+    rows = []
+    for d in range(100):
+        w = list(rng.choice(pool))
+        for _ in range(rng.randrange(0, len(w) // 8 + 2)):
+            at, kind = rng.randrange(len(w) + 1), rng.randrange(3)
+            w[at:at + (kind > 0)] = [word()] if kind < 2 else []
+        rows.append((d, " ".join(w)))
+    seen, want = [], {}
+    for d, text in rows:
+        w = text.split()
+        most = lambda v: max(1, min(len(v), len(w)) // 10)
+        want[d] = w in seen or any(abs(len(v) - len(w)) <= most(v) and distance(v, w) <= most(v) for v in seen if min(len(v), len(w)) >= 8)
+        seen.append(w)
+    found = {r.doc_id: bool(r.removed) for r in line_dedup.repeated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == want and sum(want.values()) > 20 and not all(list(want.values())[20:])
+
+
+def test_within():
+    rng = random.Random(10)
+    for _ in range(2000):
+        a, b = ([rng.randrange(3) for _ in range(rng.randrange(0, 12))] for _ in range(2))
+        k = rng.randrange(0, 6)
+        assert line_dedup.within(np.array(a, int), np.array(b, int), k) == (distance(a, b) <= k)
+
+
 def test_empty_table(spark, docs):
     assert line_dedup.repeated(docs.where(F.lit(False))).count() == 0
