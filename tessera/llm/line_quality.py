@@ -1,6 +1,6 @@
 """Quality rules with cross-document line frequency.
 
-Normalised lines are hashed and counted over the documents of each host.
+Normalised lines are hashed and counted over the different documents of each host.
 Lines above the limit are boilerplate and go; a document that loses most of
 its words, or fails the base rules, is rejected.
 """
@@ -15,11 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm import order_minhash
 from tessera.llm.frames import quoted, set_aside
 from tessera.llm.text import U, _BASE, _INVERSE, _powers, chunks, grams, mix, range_hashes, utf8, within, words
 from tessera.session import materialize
 
-LIMIT = 20           # documents of one host that may hold a line
+LIMIT = 20           # different documents of one host that may hold a line
 MIN_WORDS = 50       # base rule: words of a document
 REPEAT_PERCENT = 50  # base rule: share of repeated words
 KEPT_PERCENT = 30    # words that must be left of a document
@@ -58,7 +59,7 @@ def normal_hashes(w, data, head, tail) -> np.ndarray:
 
 
 def _measured(data: np.ndarray, offsets: np.ndarray):
-    """Counts per row, and its different normalised lines with their context."""
+    """Counts per row, and its different normalised lines."""
     w = words(data, offsets)
     data, offsets, n = w.data, w.offsets, len(w.first) - 1
 
@@ -93,22 +94,16 @@ def _measured(data: np.ndarray, offsets: np.ndarray):
     counts = [np.diff(w.first), per_row(chars), per_row(symbols[data]), dup, np.bincount(w.row[repeat], minlength=n)]
 
     line = normal_hashes(w, data, head, tail)
-    inner = row[1:] == row[:-1]
-    before, after = np.zeros(len(line), U), np.zeros(len(line), U)
-    before[1:][inner] = line[:-1][inner]
-    after[:-1][inner] = line[1:][inner]
-    context = mix(before + U(3) * after)
     _, first, again = np.unique(line ^ apart[row], return_index=True, return_inverse=True)
     size = np.bincount(again, weights=tail - head, minlength=len(first)).astype(np.int32)
     order = np.argsort(first)
     first, size = first[order], size[order]
-    lines = pa.StructArray.from_arrays([pa.array(line[first].view(np.int64)), pa.array(context[first].view(np.int64)), pa.array(size)],
-                                       names=["line", "context", "words"])
+    lines = pa.StructArray.from_arrays([pa.array(line[first].view(np.int64)), pa.array(size)], names=["line", "words"])
     at = np.concatenate([[0], np.cumsum(np.bincount(row[first], minlength=n))]).astype(np.int32)
     return counts, pa.ListArray.from_arrays(pa.array(at), lines)
 
 
-LINES = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("context", T.LongType()), T.StructField("words", T.IntegerType())]))
+LINES = T.ArrayType(T.StructType([T.StructField("line", T.LongType()), T.StructField("words", T.IntegerType())]))
 
 
 def measure(docs: DataFrame, text: str = "text", drop_text: bool = True) -> DataFrame:
@@ -154,6 +149,23 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", cut("text", "gone"))
 
 
+def _common(lines: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
+    """(key) of the lines (key, digest) that more than ``limit`` different
+    documents hold. ``texts``: (digest, text). Only documents with a line that so many
+    different texts hold are compared with one another."""
+    often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
+    held = materialize(lines.join(often, "key").select("key", "digest").distinct(), "held")
+    over = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
+    held = materialize(held.join(over, "key"), "held")
+    if held.isEmpty():
+        return held.select("key")
+    holders = texts.join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
+    near = order_minhash.links(materialize(holders.select(F.lit(0).alias("doc_id"), "text"), "holders"))
+    held = held.join(near.withColumnRenamed("node", "digest"), "digest", "left")
+    different = held.select("key", F.coalesce("label", "digest").alias("document")).distinct()
+    return different.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
+
+
 def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: int = LIMIT, cut: bool = False) -> DataFrame:
     """``docs`` without its text, with the base counts, ``base_failed``,
     ``n_common_lines`` and ``common_words`` (different lines above the limit
@@ -161,29 +173,29 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: int
     those lines.
 
     A line is its words with ASCII case, digits and spacing levelled. It is
-    above the limit if more than ``limit`` documents of the host hold it and no
-    single context (the line before and the line after) accounts for half of
-    them: lines that stand in the same place in copies of one document are that
-    document's text, not boilerplate, and are left to deduplication. A document
-    is depleted if under ``KEPT_PERCENT`` of its words or under ``LEFT_WORDS``
-    are left.
-
-    A null text is empty and fails the base rules; a null host is a host; each
-    row counts as a document, repeated rows too; an empty table gives an empty
+    above the limit if more than ``limit`` different documents of the host hold
+    it, whatever its neighbours. Copies and near copies, as order_minhash links
+    them among the documents with such lines, are one document: their text is
+    not boilerplate, and is left to deduplication. A document is depleted if
+    under ``KEPT_PERCENT`` of its words or under ``LEFT_WORDS`` are left.
+
+    A null text is empty and fails the base rules; a null host is a host;
+    repeated rows are copies; an empty table gives an empty
     result; other columns pass through, those named like added ones are
-    replaced. The text is read once; the lines' hashes are written to the
-    shared folder and grouped with partial counts, so a line that a third of
-    all documents hold is one partial row per task.
+    replaced. The lines' hashes are written to the shared folder and grouped
+    with partial counts, so a line that a third of all documents hold is one
+    partial row per task; texts are read again only to compare documents with
+    lines above the limit.
     """
     added = [*COUNTS, "base_failed", "n_common_lines", "common_words", "kept"]
     aside, back = set_aside(docs, text, *added)
-    rows = docs.select(*aside, F.xxhash64(F.lit("host"), F.col(quoted(host))).alias("host"), F.col(quoted(text)).alias("text"))
+    digest = F.unhex(F.md5(F.col(quoted(text)))).alias("digest")
+    texts = docs.select(digest, F.col(quoted(text)).alias("text"))
+    rows = docs.select(*aside, F.xxhash64(F.lit("host"), F.col(quoted(host))).alias("host"), digest, F.col(quoted(text)).alias("text"))
     rows = materialize(measure(rows, drop_text=not cut), "lines").withColumn("row", F.monotonically_increasing_id())
-    lines = rows.select("row", "host", F.explode("lines").alias("l")).select(
-        "row", F.xxhash64("host", "l.line").alias("key"), "l.line", "l.context", "l.words")
-    common = (lines.groupBy("key", "context").agg(F.count("*").alias("n"))
-              .groupBy("key").agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-              .where((F.col("n") > limit) & (2 * F.col("most") < F.col("n"))).select("key"))
+    lines = rows.select("row", "host", "digest", F.explode("lines").alias("l")).select(
+        "row", "digest", F.xxhash64("host", "l.line").alias("key"), "l.line", "l.words")
+    common = _common(lines.select("key", "digest"), texts, limit)
     gone = lines.join(common, "key").groupBy("row").agg(
         F.count("*").alias("n_common_lines"), F.sum("words").cast("long").alias("common_words"),
         *([F.collect_set("line").alias("gone")] if cut else []))

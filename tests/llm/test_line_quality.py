@@ -69,5 +69,23 @@ def test_common_lines_and_odd_rows(spark):
     assert cut[100] == f"{body(0)}\n{body(500)}\n" and cut[300] == f"{body(999)}\n{body(998)}" and cut[1] is None
 
 
+def test_lines_with_fixed_neighbours(spark):
+    """A footer of three lines and a line that one copied document holds most often
+    go; the text of near copies stays."""
+    name = lambda i: "".join("abcdefghij"[int(c)] for c in str(i))
+    body = lambda i: " ".join(f"w{name(i)}x{name(j)}" for j in range(60))
+    footer = "all rights reserved\nterms of use\nback to top"
+    rows = [(i, f"{body(i)}\n{footer}", "a") for i in range(30)]
+    rows += [(100 + i, f"{body(100 + i)}\nread more here\n{body(200 + i)}", "b") for i in range(25)]
+    rows += [(300 + i, f"{body(300)}\nread more here\n{body(301)}", "b") for i in range(26)]
+    rows += [(400 + i, f"{body(400)}\n{body(401)}\n{body(402)} last{name(i)}", "c") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = {r.doc_id: r for r in line_quality.judge(df, cut=True).collect()}
+    assert all(r.kept for r in out.values())
+    assert all(out[i].n_common_lines == 3 and out[i].text == body(i) + "\n" for i in range(30))
+    assert all(out[i].n_common_lines == 1 for k in (100, 300) for i in range(k, k + 25))
+    assert all(out[400 + i].n_common_lines == 0 for i in range(30))
+
+
 def test_empty_table(spark, docs):
     assert line_quality.judge(docs.where(F.lit(False))).count() == 0
