@@ -49,9 +49,10 @@ def simhash(sums: np.ndarray) -> np.ndarray:
 
 class Index:
     """A bounded set of benchmark items: their shingles, weights, fingerprints
-    and the table of near block values."""
+    and the table of near block values. ``n`` items are in the whole benchmark;
+    ``repeated`` are its shingles that ``held`` items, two or more, hold."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int, bytes]], n: int, repeated: np.ndarray, held: np.ndarray):
         self.ids, self.sizes, shingles = [], [], []
         for item, text in items:
             data = np.frombuffer(text, np.uint8)
@@ -67,12 +68,9 @@ class Index:
         self.short = [(i, shingles[i][0]) for i in range(self.n) if self.sizes[i] < SHINGLE]
         every = np.unique(np.concatenate([np.zeros(0, U), *shingles]))
         self.shingles = every
-        # shingle weights: what few items hold counts for more
-        held = np.zeros(len(every))
-        for own in shingles:
-            held[np.searchsorted(every, np.unique(own))] += 1
-        self.weights = 1.0 + np.log(max(self.n, 1) / np.maximum(held, 1))
-        self.outside = 1.0 + np.log(max(self.n, 1))  # of a shingle in no item: as one that a single item holds
+        # shingle weights: what few items of all hold counts for more
+        self.repeated, self.weights = repeated, 1.0 + np.log(max(n, 1) / held)
+        self.single = 1.0 + np.log(max(n, 1))  # of a shingle in no item too
         self.vectors, prints = [], []
         for own in shingles:
             key, count = np.unique(own, return_counts=True)
@@ -83,10 +81,10 @@ class Index:
         self.member[(every & U((1 << 22) - 1)).astype(np.int64)] = True
 
     def weight(self, hashes: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.shingles, hashes), max(len(self.shingles) - 1, 0))
-        if not len(self.shingles):
-            return np.full(len(hashes), self.outside)
-        return np.where(self.shingles[at] == hashes, self.weights[at], self.outside)
+        if not len(self.repeated):
+            return np.full(len(hashes), self.single)
+        at = np.minimum(np.searchsorted(self.repeated, hashes), len(self.repeated) - 1)
+        return np.where(self.repeated[at] == hashes, self.weights[at], self.single)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Positions of shingles that an item holds."""
@@ -158,6 +156,29 @@ class Index:
                     best[i] = (s, int(starts[lo + w]))
 
 
+def _held(items: DataFrame, key: str, text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """Number of items with a word in the whole benchmark, and its shingles that
+    two items or more hold, in order, with the number of these items."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, w in each_chunk(batch, "text", fold()):
+                sizes = np.diff(w.first)
+                own = [np.unique(grams(w.hash[w.first[r]:w.first[r + 1]], min(SHINGLE, sizes[r]))) for r in np.flatnonzero(sizes)]
+                # a row without a shingle for each item
+                values = pa.array(np.concatenate([*own, np.zeros(len(own), U)]).view(np.int64))
+                single = pa.array(np.arange(len(values)) >= len(values) - len(own))
+                yield pa.RecordBatch.from_arrays([values, single], names=["shingle", "item"])
+
+    different = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("text is not null").distinct()
+    held = different.select("text").mapInArrow(run, "shingle long, item boolean").groupBy("shingle", "item").agg(F.count("*").alias("n"))
+    rows = held.where("item or n > 1").toArrow()
+    item, shingle, n = (rows.column(c).to_numpy() for c in ("item", "shingle", "n"))
+    item = item.astype(bool)
+    order = np.argsort(shingle[~item].view(U))
+    return int(n[item].sum()), shingle[~item].view(U)[order], n[~item][order].astype(np.int64)
+
+
 def _blocks(items: DataFrame, key: str, text: str) -> list[list[tuple[int, bytes]]]:
     """All items in blocks of at most ITEMS_BYTES or one item."""
     out, part, size = [], [], 0
@@ -185,18 +206,22 @@ def matched(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str
     repeated item ids are separate items; empty tables give empty results;
     other columns pass through, one named ``leaks`` is replaced. The documents
     are read once and not shuffled. The benchmark is a stated set: it is read in
-    blocks of bounded size, each broadcast on its own.
+    blocks of bounded size, each broadcast on its own. Shingles are weighted by all
+    items, so results do not depend on the blocks; the shingles that several items
+    hold are broadcast once.
     """
     rows = docs.drop("leaks") if "leaks" in [c.lower() for c in docs.columns] else docs
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("from_word", pa.int64()), ("n_words", pa.int64())]))
     fields = ", ".join(x.replace(" ", ":") for x in MATCHES.split(", "))
     empty = f"array<struct<{fields}>>"
     result = rows.withColumn("leaks", F.array().cast(empty))
-    for block in _blocks(items, item_key, item_text):
+    blocks = _blocks(items, item_key, item_text)
+    counts = docs.sparkSession.sparkContext.broadcast(_held(items, item_key, item_text)) if blocks else None
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = Index(shared.value)
+            index = Index(shared.value, *counts.value)
             for batch in batches:
                 before = batch.column("leaks").to_pylist()
                 leaks = []

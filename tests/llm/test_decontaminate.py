@@ -78,6 +78,25 @@ def test_several_blocks_of_items(spark, docs, monkeypatch):
     assert set(got(decontaminate.matched(docs, items))) == set(one) and one
 
 
+def test_similarities_do_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    stem = [[word() for _ in range(12)] for _ in range(3)]  # several items each hold one
+    items = [(i, " ".join(rng.choice(stem) + [word() for _ in range(20)] + rng.choice(stem)[:8])) for i in range(40)] + [(90, " "), (91, None)]
+    docs = []
+    for d in range(80):
+        own = rng.choice(items[:40])[1].split()
+        for _ in range(rng.choice([0, 1, 1])):
+            own[rng.randrange(len(own))] = word()
+        docs.append((d, " ".join([word()] * rng.randrange(3) + own[rng.randrange(4):] + rng.choice(stem))))
+    expected = brute(docs, items)
+    assert len(expected) > 20 and min(expected.values()) < 0.9
+    df, wanted = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for size in (4 << 20, 500):
+        monkeypatch.setattr(decontaminate, "ITEMS_BYTES", size)
+        assert same(got(decontaminate.matched(df, wanted)), expected)
+
+
 def test_planted_passages_are_found(spark, docs):
     items = [tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/benchmark.parquet").select("item_id", "text").collect()]
     texts = docs.select("doc_id", "text").collect()
