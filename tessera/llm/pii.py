@@ -115,7 +115,7 @@ def look_alikes() -> dict[str, str]:
 SPELLED = {w: str(i) for words in ("zero one two three four five six seven eight nine", "null eins zwei drei vier fünf sechs sieben acht neun",
                                    "zéro un deux trois quatre cinq six sept huit neuf", "cero uno dos tres cuatro cinco seis siete ocho nueve")
            for i, w in enumerate(words.split())} | {"oh": "0"}
-SPELLED_RUN = 4  # digit words in a row
+SPELLED_RUN = 4  # digits of digit words and figures in a row
 
 _OPEN, _SHUT = r"[\(\[\{<]\s{0,3}", r"\s{0,3}[\)\]\}>]"
 _AT = rf"\s{{0,3}}{_OPEN}(?:at|@){_SHUT}\s{{0,3}}"
@@ -128,8 +128,8 @@ class Normaliser:
     def __init__(self):
         self.alike = look_alikes()
         word = "|".join(sorted(SPELLED, key=len, reverse=True))
-        self.run = re.compile(rf"(?i)\b(?:plus[\s,-]{{1,3}})?(?:(?:{word})\b[\s,.-]{{1,3}}){{{SPELLED_RUN - 1},}}(?:{word})\b")
-        self.part = re.compile(rf"(?i)\b(?:plus|{word})\b")
+        self.run = re.compile(rf"(?i)\b(?:plus[\s,-]{{1,3}})?(?:(?:{word}|[0-9]++)\b[\s,.-]{{1,3}})+(?:{word}|[0-9]++)\b")
+        self.part = re.compile(rf"(?i)\b(?:plus|{word})\b|[0-9]+")
         octet = rf"(?:{word}|[0-9]{{1,3}})(?:[\s-]{{1,3}}(?:{word}|[0-9]{{1,3}})){{0,2}}"
         self.number = re.compile(rf"(?i)(?<!\w){octet}(?:{_BARE_DOT}{octet}){{3}}(?!\w)")
         label = r"[A-Za-z0-9-]{1,63}"
@@ -148,12 +148,14 @@ class Normaliser:
             out.rewrite([(i, i + 1, self.alike[c]) for i, c in enumerate(text) if c in self.alike])
             text = out.text
         low = text.lower()
-        flags = bytes(map(SPELLED.__contains__, low.replace("-", " ").replace(",", " ").replace(".", " ").split()))
-        digits = b"\1" * SPELLED_RUN in flags or (" dot " in low and 1 in flags)
+        parts = low.replace("-", " ").replace(",", " ").replace(".", " ").split()
+        flags = bytes(map(SPELLED.__contains__, parts))
+        digits = b"\1" * SPELLED_RUN in flags or (" dot " in low and 1 in flags) or (
+            1 in flags and any(f and any(x[-1:].isdigit() or x[:1].isdigit() for x in (*parts[max(0, i - 1):i], *parts[i + 1:i + 2])) for i, f in enumerate(flags)))
         hidden = "dot" in low or "@" in low or self.wrapped.search(low)
         if not (digits or hidden):
             return out
-        edits = [e for m in (self.run.finditer(text) if digits else ()) for e in self._digits(text, *m.span())]
+        edits = [e for a, b in (self._runs(text) if digits else ()) for e in self._digits(text, a, b)]
         if digits:  # address parts in words, joined by the word dot
             busy = {a for a, _, _ in edits}
             edits += [e for m in self.number.finditer(text) for e in self._digits(text, *m.span()) if e[0] not in busy]
@@ -175,15 +177,33 @@ class Normaliser:
             out.rewrite(sorted(edits))
         return out
 
+    def _runs(self, text: str) -> Iterator[tuple[int, int]]:
+        """Ranges of digit words, or of them and figures, with SPELLED_RUN digits
+        or more. A single digit word beside a number that stands as it is
+        is an ordinary word."""
+        plain = None
+        for m in self.run.finditer(text):
+            parts = [x.group() for x in self.part.finditer(text, *m.span())]
+            figures = [x for x in parts if x[0].isdigit()]
+            n = sum(x.lower() in SPELLED for x in parts)
+            if not n or n + sum(map(len, figures)) < SPELLED_RUN:
+                continue
+            if figures and n == 1:
+                plain = detect(text) if plain is None else plain
+                if any(kind and a < m.end() and m.start() < b for kind, a, b in plain):
+                    continue
+            yield m.span()
+
     def _digits(self, text: str, a: int, b: int) -> list[tuple[int, int, str]]:
-        """One digit for each word; what stands between two of them goes."""
-        out, last = [], a
+        """One digit for each word; what stands between two of them, or one and a figure, goes."""
+        out, last, figure = [], a, False
         for m in self.part.finditer(text, a, b):
-            between = text[last:m.start()]
-            if m.start() > last and not between.strip(" \t\n,-"):
+            between, word = text[last:m.start()], m.group().lower()
+            both, figure = figure and word[0].isdigit(), word[0].isdigit()
+            if m.start() > last and not both and not between.strip(" \t\n,-"):
                 out.append((last, m.start(), ""))
-            word = m.group().lower()
-            out.append((*m.span(), "+" if word == "plus" else SPELLED[word]))
+            if not figure:
+                out.append((*m.span(), "+" if word == "plus" else SPELLED[word]))
             last = m.end()
         return out
 

@@ -100,3 +100,18 @@ def test_odd_rows(spark, docs):
     found = next(r for r in rows if r.doc_id == 9)
     assert pii.masked("a@b.c d@e.f", found.spans) == "[EMAIL] [EMAIL]"
     assert pii.find(docs.where(F.lit(False))).count() == 0
+
+
+def test_words_and_figures_mixed():
+    normalise = pii.Normaliser()
+    whole = lambda t, kind: [t[a:b] for k, a, b, _ in pii.spans_of(t, normalise) if pii.KINDS[k] == kind]
+    for number in ("+1 555 two three four 567 eight", "plus one five five five 2 three four 5 six seven eight", "+1 (555) two three four 56 78",
+                   "plus 44 two zero 7946 zero 958"):
+        assert number in whole(f"Call {number} or write.", "phone"), number
+    for number in ("4 " + " 1 ".join(["one"] * 8), "4111 one one one one 1111 1111", "four 111-1111-1111-1111", "4111-1111-one 111-1111"):
+        assert number in whole(f"Card: {number}, thanks.", "card"), number
+    assert whole("It has room 12, 4 one 1 one 1 one 1 one 1 one 1 one 1 one 1 one.", "card")
+    for clean in ("one of 12 and 3 of four", "In 1999 two 20 three men", "page 5, one 7", "7 one-time codes", "1 2 3 four 5 6"):
+        assert not pii.spans_of(clean, normalise), clean
+    t = "Call +44 20 7946 0958 one day."
+    assert [t[a:b] for _, a, b, _ in pii.spans_of(t, normalise)] == ["+44 20 7946 0958"]
