@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import chat, decontaminate, jump_shards, line_dedup, line_quality, mix, order_minhash, pii, substring_dedup, url_rules
+from tessera.llm import (
+    chat,
+    decontaminate,
+    jump_shards,
+    line_dedup,
+    line_quality,
+    mix,
+    neighbour_votes,
+    order_minhash,
+    periodic_runs,
+    pii,
+    substring_dedup,
+    token_align,
+    url_rules,
+)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -102,6 +116,63 @@ def repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_line_dedup"] = repeated_lines
 
 
+#: Score from which a document is predicted to be of label 1.
+GOOD = 0.3
+
+
+def quality_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = neighbour_votes.score(docs, neighbour_votes.fit(docs, _read(spark, sf_dir, "labels")))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= GOOD).cast("int").alias("predicted"))
+
+
+QUERIES["op11_neighbour_votes"] = quality_votes
+
+#: The folder of the public tokenizers' vocabulary files.
+TOKENIZERS = "/opt/tokenizers"
+
+
+def token_groups(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    files = token_align.Files.read(f"{tokenizers}/byte_bpe_50k.json", f"{tokenizers}/piece_bpe_32k.model")
+    return token_align.aligned(_read(spark, sf_dir, "documents").select("doc_id", "text"), files)
+
+
+QUERIES["op12_token_align"] = token_groups
+
+
+def with_planted_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): by its key, about every tenth document repeats a stretch of
+    its words up to its end."""
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string")).alias("h"))
+    rows = rows.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words")).withColumn("g", F.expr("h div 10"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, F.expr("cast(g % n as int)")))
+    rows = rows.withColumn("p", F.expr("cast(1 + (n - a) div (3 + g % 8) as int)"))
+    again = F.expr("concat(slice(words, 1, a), slice(flatten(array_repeat(slice(words, a + 1, p), cast(ceil((n - a) / p) as int))), 1, n - a))")
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.array_join(again, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def planted_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_period(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periodic_runs.collapse(docs)
+
+    def sign(x):
+        return F.when(x < 0, F.lit(-1)).when(x > 0, F.lit(1)).otherwise(F.lit(0))
+
+    def before(x, y):
+        ratio = sign(y["length"] * x["period"] - x["length"] * y["period"])
+        return F.when(ratio != 0, ratio).when(x["start"] != y["start"], sign(x["start"] - y["start"])).otherwise(sign(x["period"] - y["period"]))
+
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]), F.lit("\n")))
+    most = found.withColumn("most", F.get(F.array_sort("runs", before), F.lit(0)))
+    return most.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "most.start", "most.length", "most.period",
+                       F.expr("1000 * most.length div most.period").alias("exponent_milli"),
+                       F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES["op13_periodic_runs"] = planted_runs
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
