@@ -23,6 +23,9 @@ WHITESPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                     + "\u2028\u2029\u202f\u205f\u3000")
 
+# Characters among which all other white space is.
+MAYBE_OTHER_SPACE = r"[\t-\r\x{80}-\x{10FFFF}]"
+
 # Default file exclusions of a scan, and the exclusions used
 # when a block is built straight from a folder.
 DEFAULT_FILE_EXCLUSIONS = ("*.json", "invalid_files", "*.csv", "*.pb")
@@ -45,18 +48,16 @@ def split_name(name, delimiters) -> Column:
 def split_name_upto(name, delimiters, max_delimiters: int) -> Column:
     """``split_name`` for delimiter lists of at most ``max_delimiters``
     entries, as a chain of built-ins that stays in generated code: the
-    replaces are unrolled (an empty or missing delimiter is a no-op), the
-    name is trimmed of white space at both ends and split on white-space
-    runs, so no empty part can appear."""
-    x, delimiters = _col(name), _col(delimiters)
+    replaces are unrolled (an empty or missing delimiter is a no-op) and the
+    name is split at single spaces, of which empty parts are dropped. Only names
+    with white space other than spaces, or with characters beyond ASCII, pay for
+    having every character looked up."""
+    name, delimiters = _col(name), _col(delimiters)
+    x = name
     for i in range(max_delimiters):
         x = F.replace(x, F.coalesce(F.get(delimiters, i), F.lit("")), F.lit(" "))
-    # every white-space character becomes a plain space, runs collapse to
-    # one, ends are trimmed; a one-space split avoids a per-row regex
-    spaced = F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))
-    trimmed = F.trim(F.regexp_replace(spaced, "  +", " "))
-    return (F.when(trimmed == "", F.array().cast("array<string>"))
-            .otherwise(F.split(trimmed, " ")))
+    plain = F.when(name.rlike(MAYBE_OTHER_SPACE), F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))).otherwise(x)
+    return F.array_remove(F.split(plain, " "), "")
 
 
 def parts_key_upto(parts, indexes, max_indexes: int) -> Column:

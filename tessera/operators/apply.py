@@ -58,9 +58,9 @@ def insert_if_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFra
     return old.unionByName(fresh.select(*old.columns))
 
 
-def apply_folder_diffs(folders: DataFrame, diffs: DataFrame) -> DataFrame:
+def apply_folder_diffs(folders: DataFrame, diffs: DataFrame, max_id: int | None = None) -> DataFrame:
     """Changed folders take their live totals; new folders (folder_id 0)
-    are inserted with fresh ids."""
+    are inserted with fresh ids above ``max_id`` (default: that of ``folders``)."""
     upd = diffs.where(F.col("folder_id") != 0).select(
         F.col("folder_id").alias("id"), F.col("disk_total_size").alias("_ts"),
         F.col("disk_file_count").alias("_fc"))
@@ -73,14 +73,15 @@ def apply_folder_diffs(folders: DataFrame, diffs: DataFrame) -> DataFrame:
         F.col("disk_file_count").alias("file_count"),
         *[F.col(c) if c in diffs.columns else F.lit(None).cast(folders.schema[c].dataType).alias(c) for c in extra])
     new = new.join(folders.select("path"), "path", "left_anti")
-    new = with_new_ids(new, ["path"], _max_id(folders) + 1).select(*FOLDER_COLUMNS, *extra)
+    new = with_new_ids(new, ["path"], (_max_id(folders) if max_id is None else max_id) + 1).select(*FOLDER_COLUMNS, *extra)
     return kept.select(*FOLDER_COLUMNS, *extra).unionByName(new)
 
 
-def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame) -> DataFrame:
+def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame, max_id: int | None = None) -> DataFrame:
     """removed -> deleted, modified -> size replaced, added -> inserted with
     its folder's id (looked up by path in the already-updated ``folders``)
-    and a fresh id. Any other change type fails the job."""
+    and a fresh id above ``max_id`` (default: that of ``files``). Any other change
+    type fails the job."""
     checked = changes.withColumn(
         "change_type",
         F.when(F.col("change_type").isin(*KNOWN_CHANGES), F.col("change_type"))
@@ -107,7 +108,7 @@ def apply_file_changes(files: DataFrame, changes: DataFrame, folders: DataFrame)
     added = added.join(files.select("folder_path", "name"), ["folder_path", "name"], "left_anti")
     added = added.join(folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")),
                        "folder_path", "left")
-    added = with_new_ids(added, ["folder_path", "name"], _max_id(files) + 1).select(*cols)
+    added = with_new_ids(added, ["folder_path", "name"], (_max_id(files) if max_id is None else max_id) + 1).select(*cols)
     return kept.unionByName(added)
 
 

@@ -92,10 +92,10 @@ class NameGrouping:
 
     @cached_property
     def rows(self) -> DataFrame:
-        """One row per row key: ``n_cols`` and ``first_seen``."""
-        rows = (self.cells.groupBy(*ROW)
+        """One row per row key: ``n_cols`` and ``first_seen``. One partial row per
+        key and task is shuffled, so it is computed from the cells where needed."""
+        return (self.cells.groupBy(*ROW)
                 .agg(F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen")))
-        return materialize(rows) if self.reuse else rows
 
     def number(self, rows: DataFrame, out: str) -> DataFrame:
         """0-based position per folder by first appearance."""
@@ -118,11 +118,18 @@ class NameGrouping:
         """Cells of rows whose column count differs from the header size."""
         return self.cells.join(self.valid_rows.select(*ROW), ROW, "left_anti")
 
+    @cached_property
+    def numbered_valid(self) -> DataFrame:
+        """Valid rows with their ``row_number``, without cells."""
+        return self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols")
+
     def valid_groups(self) -> DataFrame:
         """Valid rows numbered 0.. per folder by first appearance, with their
-        cells as a map (at most ``expected`` entries per row)."""
-        numbered = self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols")
-        per_row = (self.cells.join(numbered, ROW)
+        cells as a map (at most ``expected`` entries per row). Only the rows' keys
+        are numbered. Cells of other rows drop out in the join, before any are
+        collected, so a row key with very many columns is never one row; the
+        join's partitioning by row serves the collecting too."""
+        per_row = (self.cells.select(*CELL, "name").join(self.numbered_valid, ROW)
                    .groupBy(*ROW, "row_number", "first_seen", "n_cols")
                    .agg(F.array_sort(F.collect_list(F.struct("col_key", "name"))).alias("entries")))
         return per_row.select("folder_path", "row_number",

@@ -48,6 +48,21 @@ def stats_refresh(folders: DataFrame, files: DataFrame) -> DataFrame:
                     F.coalesce("current_count", F.lit(0)).cast("bigint").alias("file_count"), *times)
 
 
+def totals_by_changes(folders: DataFrame, changes: DataFrame) -> DataFrame:
+    """(path, total_size, file_count) kept by adding the signed deltas of a change
+    set to the stored totals: the work follows the changes, not the files. New
+    folders start from zero; equals a full refresh after the changes are applied."""
+    sign = F.when(F.col("change_type") == "added", 1).when(F.col("change_type") == "removed", -1).otherwise(0)
+    delta = changes.groupBy(F.col("folder_path").alias("path")).agg(
+        F.sum(F.col("disk_size") - F.col("db_size")).cast("bigint").alias("_size"), F.sum(sign).cast("bigint").alias("_count"))
+
+    def plus(a, b):
+        return (F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))).cast("bigint").alias(a)
+
+    return folders.select("path", "total_size", "file_count").join(delta, "path", "full_outer").select(
+        "path", plus("total_size", "_size"), plus("file_count", "_count"))
+
+
 def stat_drift(folders: DataFrame, files: DataFrame) -> DataFrame:
     """Folders whose stored totals differ from the totals of their files."""
     t = _file_totals(files)

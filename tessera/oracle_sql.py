@@ -342,6 +342,11 @@ ORACLE["folder_stats_refresh"] = q(f"""
 select s.id, s.path, coalesce(t.current_size, 0) as total_size, coalesce(t.current_count, 0) as file_count, s.created_time
 from all_stored s left join {FILE_TOTALS} t on t.folder_id = s.id
 """, *SNAP_ALL)
+ORACLE["folder_totals_incremental"] = q("""
+select folder_path as path, total_size, file_count from new_stats
+union all
+select path, total_size, file_count from snap_folders where path not in (select folder_path from docs_new)
+""", *SNAPSHOT)
 ORACLE["stat_drift"] = q(f"""
 select * from (
   select s.path, s.total_size, s.file_count, coalesce(t.current_size, 0) as current_size,
@@ -512,6 +517,18 @@ ORACLE["sync_emptied_folder"] = q(read_back("""(
   from all_folders a left join left_l l on l.folder_path = a.path group by a.path)""", "left_l", "vcells_left_l"),
     *SNAP_ALL, "left_l as (select * from docs_all where folder_path not like '%/en')", *grouping_ctes("left_l", True))
 
+# vanished folders stay as they were, or go with files and blocks
+STAYED = read_back("all_folders", "all_files", "vcells_docs_all")
+LEFT = read_back("(select * from all_folders where path not like '%/en')", "(select * from all_files where folder_path not like '%/en')",
+                 "(select * from vcells_docs_all where folder_path not like '%/en')")
+ORACLE["sync_vanished_folder"] = q(f"""
+select 'default' as run, x.* from ({STAYED}) x
+union all select 'detect_removed', x.* from ({LEFT}) x
+union all select 'default', 'status', null, 'false', 0, 0
+union all select 'detect_removed', 'status', null, 'true', (select count(*) from all_folders where path like '%/en'),
+                 (select count(*) from all_files where folder_path like '%/en')
+""", *SNAP_ALL, *grouping_ctes("docs_all", True))
+
 ORACLE["sync_rule_edit"] = q(read_back("all_folders", "all_files", "(select * from vcells_docs_all where false)") + """
 union all select 'head', folder_path, 'txt,csv', 0, null from fr_docs_all where ok
 """, *SNAP_ALL, *grouping_ctes("docs_all", True))
@@ -529,7 +546,8 @@ from (values (cast(0 as bigint)), (cast(1 as bigint))) x(v)
 """, *keyed_ctes("docs_all")[:1])
 
 # three syncs: first load of the old corpus, the new corpus, the new corpus
-# again (nothing changed: not updated, current version and stamp)
+# again (nothing changed: not updated, current version and stamp). Folders that
+# vanished keep their blocks
 ORACLE["sync"] = q("""
 select true as updated, cast(0 as bigint) as version, cast(0 as bigint) as folder_diffs,
        cast(0 as bigint) as file_changes, (select count(*) from fr_docs_old where ok) as blocks,
@@ -538,7 +556,8 @@ union all
 select true, cast(1 as bigint),
        (select count(*) from new_stats n left join snap_folders s on s.path = n.folder_path
         where s.id is null or n.total_size <> s.total_size or n.file_count <> s.file_count),
-       (select count(*) from fchanges), (select count(*) from fr_docs_new where ok),
+       (select count(*) from fchanges),
+       (select count(*) from fr_docs_new where ok) + (select count(*) from fr_docs_old where ok and folder_path not in (select folder_path from docs_new)),
        TIMESTAMP '2024-01-16 12:00:00'
 union all
 select false, cast(1 as bigint), cast(0 as bigint), cast(0 as bigint), cast(0 as bigint),

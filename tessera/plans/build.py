@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import base_name
 from ..operators.grouping import NameGrouping, name_keys
+from ..session import materialize
 from ..sources.rules import RulePlan, folder_rules, plan_rules
 
 
@@ -61,7 +62,7 @@ class BlockBuild:
         """One head per folder with a valid rule (such a folder has at least
         one file, so its folders are read from the materialized cells)."""
         g = self.grouping
-        counts = g.valid_rows.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
+        counts = g.numbered_valid.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
         folders = g.cells.select("folder_path").distinct()
         return (folder_rules(folders, self.plan).join(counts, "folder_path", "left")
                 .select(F.col("folder_path").alias("block_id"),
@@ -84,15 +85,21 @@ def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False) ->
 
 
 def incremental_blocks(old_heads: DataFrame, old_rows: DataFrame, listing: DataFrame,
-                       rules: DataFrame, changed_folders: DataFrame) -> tuple[DataFrame, DataFrame]:
+                       rules: DataFrame, changed_folders: DataFrame,
+                       existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Reuse the blocks of folders that did not change (same files, same
     rule in every field), rebuild the rest from the listing. Blocks of folders
-    no longer in the listing are dropped. Returns (heads, rows)."""
+    no longer in the listing are dropped; with ``existing`` (folder_path: the
+    folders that exist, with or without files) only those of folders that exist
+    are, and a vanished folder keeps its block. Returns (heads, rows)."""
     plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
     live = listing.select("folder_path").distinct()
     live_rules = folder_rules(live, plan).select(F.col("folder_path").alias("block_id"), "rule_hash")
     reuse = (old_heads.join(live_rules, ["block_id", "rule_hash"], "left_semi")
              .join(changed_folders.select(F.col("folder_path").alias("block_id")), "block_id", "left_anti"))
+    if existing is not None:
+        reuse = reuse.unionByName(old_heads.join(existing.select(F.col("folder_path").alias("block_id")), "block_id", "left_anti"))
+    reuse = materialize(reuse, "reused-heads")
     rebuild_listing = listing.join(reuse.select(F.col("block_id").alias("folder_path")),
                                    "folder_path", "left_anti")
     fresh = build_blocks(rebuild_listing, plan)

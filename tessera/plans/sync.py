@@ -11,12 +11,11 @@ from pyspark.sql import functions as F
 
 from ..operators.apply import (apply_file_changes, apply_folder_diffs, cascade_delete,
                                drop_folders, initial_snapshot)
-from ..operators.diff import file_changes, folder_diff
+from ..operators.diff import diff_pass, of_kind
 from ..functions.names import DEFAULT_FILE_EXCLUSIONS, base_name, file_excluded, folder_excluded
-from ..operators.stats import folder_stats
 from ..session import materialize, scratch_job
 from ..sources.rules import RulePlan, folder_rules, plan_rules
-from ..sources.store import VersionedStore
+from ..sources.store import TABLES, ConcurrentCommit, VersionedStore
 from .build import build_blocks, incremental_blocks
 
 STATUS_SCHEMA = ("updated boolean, version long, folder_diffs long, file_changes long, "
@@ -64,55 +63,79 @@ def sync(store: VersionedStore, listing: DataFrame, rules: DataFrame, *, force:
          compare: tuple[str, ...] = ("size",), folders: DataFrame | None = None,
          file_exclusions=DEFAULT_FILE_EXCLUSIONS, folder_exclusions=()) -> DataFrame:
     """Compare the listing with the current version; when anything changed
-    (or on the first run, or with ``force``) write the next version:
-    snapshot tables rewritten with the changes, blocks of changed folders
-    rebuilt, the rest reused, one publish stamp for the whole version.
+    (or on the first run, or with ``force``) write the next version: only the
+    buckets of folders that changed are read, changed and written, blocks of
+    changed folders are rebuilt, and one publish stamp holds for the whole version.
 
     ``folders`` (folder_path): the folders that exist; those without files are
     stored with totals 0, and files of a folder that was emptied are removed.
     Folders of the listing are always among them. Excluded folders count as
-    not there; excluded files are not seen. An edited rule is a change: its
-    folders' blocks are rebuilt. ``compare=("size", "mtime")`` also sees
+    not there; excluded files are not seen. A folder that is not there any more keeps
+    its files and its block, unreported, unless ``detect_removed``. An edited rule is
+    a change: its folders' blocks are rebuilt. ``compare=("size", "mtime")`` also sees
     same-size edits when the listing carries ``mtime``. Returns a one-row
-    status frame."""
-    spark = store.spark
-    cur = store.current()
-    if cur is None:
-        return initial_load(store, listing, rules, updated_at, folders=folders,
-                            file_exclusions=file_exclusions, folder_exclusions=folder_exclusions)
-    version = cur[0]
+    status frame.
+
+    Another writer that commits meanwhile: if it changed none of the buckets
+    that this sync touches, the sync starts again from its version; else
+    ConcurrentCommit is raised and nothing is written."""
+    while True:
+        cur = store.current()
+        if cur is None:
+            return initial_load(store, listing, rules, updated_at, folders=folders,
+                                file_exclusions=file_exclusions, folder_exclusions=folder_exclusions)
+        touched: list[int] = []
+        try:
+            return _sync_from(store, cur, listing, rules, touched, force, updated_at, detect_removed, compare, folders,
+                              file_exclusions, folder_exclusions)
+        except ConcurrentCommit as e:
+            if e.buckets & set(touched):
+                raise
+
+
+def _sync_from(store, cur, listing, rules, touched, force, updated_at, detect_removed, compare, folders, file_exclusions, folder_exclusions):
+    spark, (version, published) = store.spark, cur
+    given = folders
     listing, paths = _scanned(listing, folders, file_exclusions, folder_exclusions)
+    if given is not None:
+        given = given.select("folder_path").distinct().where(~folder_excluded(base_name("folder_path"), folder_exclusions))
     plan = plan_rules(rules)
-    old_folders, files = store.read("folders", version), store.read("files", version)
     with scratch_job(spark):
-        fdiff = materialize(folder_diff(folder_stats(listing, paths), old_folders, detect_removed))
-        changes = materialize(file_changes(listing, files, detect_removed, compare, live=paths))
-        n_fd, n_ch = fdiff.count(), changes.count()
-        old_heads = store.read("block_heads", version)
-        if not force and n_fd == 0 and n_ch == 0 and not _rules_changed(old_heads, listing, plan):
-            return _status(spark, False, version, 0, 0, 0, cur[1])
+        diff, seen = materialize(
+            diff_pass(listing, store.read("folders", version), store.read("files", version), given, detect_removed, compare), "diff",
+            n_fd=F.count_if(F.col("kind") == "folder"), n_ch=F.count_if(F.col("kind") == "file"))
+        fdiff, changes = of_kind(diff, "folder"), of_kind(diff, "file")
+        edited = materialize(_edited_rules(store.read("block_heads", version), listing, plan), "edited-rules")
+        changed = (changes.select("folder_path").union(fdiff.select("path"))).distinct()
+        touched += store.buckets_of(changed.union(edited))
+        if not force and not touched:
+            return _status(spark, False, version, 0, 0, 0, published)
         stamp = updated_at or _now()
-        new_folders = apply_folder_diffs(old_folders, fdiff)
-        new_files = apply_file_changes(files, changes, new_folders)
-        if detect_removed:
-            new_folders = drop_folders(new_folders, fdiff.where("vanished").select(F.col("path").alias("folder_path")))
-            new_files = cascade_delete(new_files, new_folders)
-        changed = (changes.select("folder_path")
-                   .unionByName(fdiff.select(F.col("path").alias("folder_path"))).distinct())
-        heads, rows = incremental_blocks(old_heads, store.read("block_rows", version), listing, plan, changed)
-        heads = materialize(heads)
-        new_version = store.commit({"folders": new_folders, "files": new_files,
-                                    "block_heads": heads, "block_rows": rows}, stamp)
-        return _status(spark, True, new_version, n_fd, n_ch, heads.count(), stamp)
-
-
-def _rules_changed(heads: DataFrame, listing: DataFrame, plan: RulePlan) -> bool:
-    """Whether a folder of the listing has a valid rule that its block wasn't
-    built with, or a block but no valid rule any more."""
-    now = folder_rules(listing.select("folder_path").distinct(), plan).where("rule_ok").select(
-        F.col("folder_path").alias("block_id"), "rule_hash")
-    before = heads.select("block_id", "rule_hash")
-    return not now.exceptAll(before).union(before.exceptAll(now)).isEmpty()
+        tables = {}
+        if touched:
+            stored = store.tables(version)
+            old_folders, files, old_heads, old_rows = (store.read(t, version, touched) for t in TABLES)
+            new_folders = apply_folder_diffs(old_folders, fdiff, stored["folders"].max_id)
+            new_files = apply_file_changes(files, changes, new_folders, stored["files"].max_id)
+            if detect_removed:
+                new_folders = drop_folders(new_folders, fdiff.where("vanished").select(F.col("path").alias("folder_path")))
+                new_files = cascade_delete(new_files, new_folders)
+            heads, rows = incremental_blocks(old_heads, old_rows, listing.where(store.inside("folder_path", touched)), plan, changed,
+                                             existing=None if detect_removed else paths)
+            tables = {"folders": new_folders, "files": new_files, "block_heads": heads, "block_rows": rows}
+        new_version = store.commit(tables, stamp, base=version, touched=touched)
+        # parquet footers give the number of blocks
+        return _status(spark, True, new_version, seen["n_fd"], seen["n_ch"], store.read("block_heads", new_version).count(), stamp)
+
+
+def _edited_rules(heads: DataFrame, listing: DataFrame, plan: RulePlan) -> DataFrame:
+    """(folder_path) of the listing's folders with a valid rule that their block
+    wasn't built with, or a block but no valid rule any more."""
+    live = listing.select("folder_path").distinct()
+    now = folder_rules(live, plan).where("rule_ok").select("folder_path", F.col("rule_hash").alias("_now"))
+    before = heads.select(F.col("block_id").alias("folder_path"), "rule_hash").join(live, "folder_path", "left_semi")
+    return (now.join(before, "folder_path", "full_outer")
+            .where(~F.col("_now").eqNullSafe(F.col("rule_hash"))).select("folder_path"))
 
 
 def gate_status(client_updated_at: Column, server_updated_at) -> Column:

@@ -21,12 +21,13 @@ from .operators.blocks import datablock as stamp_blocks
 from .operators.blocks import generate_rows as rows_from_cells
 from .operators.blocks import long_cells, merge_blocks, override_headers
 from .operators.diff import change_summary as summarize_changes
+from .operators.diff import diff_pass
 from .operators.diff import file_changes as diff_files
 from .operators.diff import folder_diff as diff_folders
 from .operators.grouping import NameGrouping, name_keys, name_parts
 from .operators.stats import folder_stats as stats_of
 from .operators.stats import stat_drift as drift_of
-from .operators.stats import stats_refresh
+from .operators.stats import stats_refresh, totals_by_changes
 from .plans.build import build_blocks
 from .plans.build import incremental_blocks as rebuild_changed
 from .plans.sync import gate_status, initial_load
@@ -79,8 +80,14 @@ def _t(spark, sf_dir) -> Tables:
     return Tables(spark, sf_dir)
 
 
-def _grouping(spark, sf_dir) -> NameGrouping:
-    return NameGrouping(catalog(_t(spark, sf_dir)), rules_frame(spark))
+def written(listing: DataFrame) -> DataFrame:
+    """A derived listing as a table, as a crawler would leave it: the folder list and
+    the names are read from it without deriving it again."""
+    return materialize(listing, "listing")
+
+
+def _grouping(spark, sf_dir, **options) -> NameGrouping:
+    return NameGrouping(written(catalog(_t(spark, sf_dir))), rules_frame(spark), **options)
 
 
 def _joined(arr, field: str | None = None, sep: str = ","):
@@ -310,6 +317,14 @@ def folder_stats_refresh(spark, sf_dir):
     return stats_refresh(folders, files)
 
 
+@query
+def folder_totals_incremental(spark, sf_dir):
+    """Totals of the old corpus's folders, carried to the new corpus by its changes."""
+    t = _t(spark, sf_dir)
+    folders, files = (materialize(x) for x in dml.initial_snapshot(derived.docs_old(t)))
+    return totals_by_changes(folders, diff_files(derived.docs_new(t), files))
+
+
 @query
 def stat_drift(spark, sf_dir):
     folders, files = _stored_all(_t(spark, sf_dir))
@@ -362,8 +377,7 @@ def valid_groups(spark, sf_dir):
 
 @query
 def cell_collisions(spark, sf_dir):
-    g = NameGrouping(catalog(_t(spark, sf_dir)), rules_frame(spark), keep_keyed=True)
-    return g.collisions()
+    return _grouping(spark, sf_dir, keep_keyed=True).collisions()
 
 
 # ---------------------------------------------------------- set ops
@@ -383,7 +397,7 @@ def insert_if_absent(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return build_blocks(catalog(t).unionByName(derived.docs_all(t).drop("created_time")), rules_frame(spark))
+    return build_blocks(written(all_listings(t)), rules_frame(spark))
 
 
 @query
@@ -431,7 +445,7 @@ def incremental_blocks(spark, sf_dir):
 
 @query
 def datablock_dump(spark, sf_dir):
-    b = build_blocks(derived.runs_listing(_t(spark, sf_dir)), rules_frame(spark))
+    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark))
     return json_dump(b.block_rows, b.block_heads)
 
 
@@ -510,7 +524,7 @@ def clear_snapshot(spark, sf_dir):
 
 @query
 def csv_layout(spark, sf_dir):
-    b = build_blocks(catalog(_t(spark, sf_dir)), rules_frame(spark))
+    b = build_blocks(written(catalog(_t(spark, sf_dir))), rules_frame(spark))
     keys = b.grouping.valid_cells.select("folder_path", "col_key").distinct()
     return csv_lines(b.valid, keys, b.block_heads)
 
@@ -535,14 +549,13 @@ def diff_all(spark, sf_dir):
     t = _t(spark, sf_dir)
     folders, files = _stored_old(t)
     new = derived.docs_new(t)
-    fd = diff_folders(stats_of(new), folders).select(
-        F.lit("folder").alias("kind"),
-        F.when(F.col("folder_id") == 0, "new").otherwise("changed").alias("change_type"),
-        F.col("path").alias("folder_path"), F.lit(None).cast("string").alias("name"),
-        F.col("disk_total_size").alias("disk_size"), F.col("db_total_size").alias("db_size"))
-    fc = diff_files(new, files).select(F.lit("file").alias("kind"), "change_type", "folder_path",
-                                       "name", "disk_size", "db_size")
-    return fd.unionByName(fc)
+    diff = diff_pass(new, folders, files)
+    is_folder = F.col("kind") == "folder"
+    kind = F.when(~is_folder, F.col("change_type")).when(F.col("folder_id") == 0, "new").otherwise("changed")
+    return diff.select(
+        "kind", kind.alias("change_type"), F.when(is_folder, F.col("path")).otherwise(F.col("folder_path")).alias("folder_path"), "name",
+        F.when(is_folder, F.col("disk_total_size")).otherwise(F.col("disk_size")).alias("disk_size"),
+        F.when(is_folder, F.col("db_total_size")).otherwise(F.col("db_size")).alias("db_size"))
 
 
 @query
@@ -576,6 +589,25 @@ def sync_emptied_folder(spark, sf_dir):
     return _read_back(store)
 
 
+@query
+def sync_vanished_folder(spark, sf_dir):
+    """All folders of one language vanish. By default they keep their files and
+    blocks and are not reported; with ``detect_removed`` they go. ``run`` tells the
+    two apart."""
+    t = _t(spark, sf_dir)
+    out = []
+    for run, detect in (("default", False), ("detect_removed", True)):
+        store = VersionedStore(spark, scratch_path(spark, "vanished"))
+        before = derived.docs_all(t)
+        run_sync(store, before, rules_frame(spark), updated_at=PUBLISHED_AT)
+        status = run_sync(store, before.where(~F.col("folder_path").like("%/en")), rules_frame(spark),
+                          updated_at=PUBLISHED_AT + dt.timedelta(days=1), detect_removed=detect)
+        status = status.select(F.lit("status").alias("kind"), F.lit(None).cast("string").alias("folder_path"), F.col("updated").cast("string").alias("name"),
+                               F.col("folder_diffs").alias("total_size"), F.col("file_changes").alias("file_count"))
+        out.append(_read_back(store).unionByName(status).withColumn("run", F.lit(run)))
+    return out[0].unionByName(out[1])
+
+
 @query
 def sync_rule_edit(spark, sf_dir):
     """The corpus rule is edited under the same version: with a second column

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 # Settings a batch job wants on any cluster: AQE re-plans joins and
 # partition counts at runtime and splits skewed join partitions.
@@ -83,19 +83,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/tessera/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialize(df: DataFrame, name: str = "stage", **measures: Column) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared checkpoint folder
     and read it back. Cuts lineage (a lost executor re-reads files instead
     of recomputing the plan) and fixes the rows, so a table that is read
     several times (count pass, numbering pass, several outputs) is computed
     once. Unlike ``Dataset.checkpoint``, which runs its input twice (the
-    eager count, then the file write), this runs it once."""
+    eager count, then the file write), this runs it once. ``measures``: aggregates
+    that the write observes as it passes the rows; then (table, their values)
+    is returned."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    if measures:
+        seen = Observation(path)
+        df = df.observe(seen, *[c.alias(k) for k, c in measures.items()])
     df.write.mode("overwrite").parquet(path)
     for job in _SCRATCH:
         job.append(path)
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    return (table, seen.get) if measures else table
 
 
 _SCRATCH: list[list[str]] = []

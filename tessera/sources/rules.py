@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.names import prefixes_at
+from ..session import materialize
 
 RULES_SCHEMA = T.StructType([
     T.StructField("folder_prefix", T.StringType(), False),
@@ -114,11 +115,15 @@ class RulePlan:
         return (x.join(self.table, "folder_prefix").groupBy("folder_path").agg(nearest.alias("_rule"))
                 .select("folder_path", "_rule.*"))
 
-    def attach(self, df: DataFrame) -> DataFrame:
-        """``df`` with its folders' rules. Rules are resolved once per folder,
-        so the work per file is one join; Spark broadcasts the folders' rules
-        if they are small and splits a large folder if they are not."""
-        return df.join(self.resolve(df), "folder_path")
+    def attach(self, df: DataFrame, folders: DataFrame | None = None) -> DataFrame:
+        """``df`` with its folders' rules. Rules are resolved once per folder and
+        written, so the work per file is one join with a table whose size Spark
+        knows: it broadcasts the folders' rules, and never the files, where they are
+        small, and splits a large folder where they are not. ``folders``
+        (folder_path): the folders, where they are known already; else they are
+        read from ``df``, which should then be a table and not a costly plan."""
+        resolved = materialize(self.resolve(df if folders is None else folders), "folder-rules")
+        return df.join(resolved, "folder_path")
 
 
 RESOLVED = ["folder_prefix", *RULE_COLUMNS, "rule_ok", "rule_hash"]
