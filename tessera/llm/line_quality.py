@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm import order_minhash
 from tessera.llm.frames import quoted, set_aside
 from tessera.llm.text import U, _BASE, _INVERSE, _powers, chunks, grams, mix, range_hashes, utf8, within, words
 from tessera.session import materialize
@@ -149,21 +148,12 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", cut("text", "gone"))
 
 
-def _common(lines: DataFrame, texts: DataFrame, limit: int) -> DataFrame:
-    """(key) of the lines (key, digest) that more than ``limit`` different
-    documents hold. ``texts``: (digest, text). Only documents with a line that so many
-    different texts hold are compared with one another."""
-    often = lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
-    held = materialize(lines.join(often, "key").select("key", "digest").distinct(), "held")
-    over = held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
-    held = materialize(held.join(over, "key"), "held")
-    if held.isEmpty():
-        return held.select("key")
-    holders = texts.join(held.select("digest").distinct(), "digest", "left_semi").dropDuplicates(["digest"])
-    near = order_minhash.links(materialize(holders.select(F.lit(0).alias("doc_id"), "text"), "holders"))
-    held = held.join(near.withColumnRenamed("node", "digest"), "digest", "left")
-    different = held.select("key", F.coalesce("label", "digest").alias("document")).distinct()
-    return different.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
+def _common(lines: DataFrame, limit: int) -> DataFrame:
+    """(key) of the lines (key, digest) that more than ``limit`` different texts hold.
+    Equal pairs are combined before the shuffle and dealt out by both columns, so a
+    line that very many documents hold is counted by many tasks."""
+    held = lines.groupBy("key", "digest").agg(F.lit(1).alias("one"))
+    return held.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > limit).select("key")
 
 
 def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: int = LIMIT, cut: bool = False) -> DataFrame:
@@ -174,28 +164,27 @@ def judge(docs: DataFrame, host: str = "source", text: str = "text", limit: int
 
     A line is its words with ASCII case, digits and spacing levelled. It is
     above the limit if more than ``limit`` different documents of the host hold
-    it, whatever its neighbours. Copies and near copies, as order_minhash links
-    them among the documents with such lines, are one document: their text is
-    not boilerplate, and is left to deduplication. A document is depleted if
-    under ``KEPT_PERCENT`` of its words or under ``LEFT_WORDS`` are left.
+    it, whatever its neighbours. Equal texts are one document, so a text that is
+    copied often is left to deduplication; texts that differ at all are different
+    documents, so pages that are nearly only boilerplate are depleted by it, and
+    so are more than ``limit`` edited copies of one text in one host. A document is
+    depleted if under ``KEPT_PERCENT`` of its words or under ``LEFT_WORDS`` are left.
 
     A null text is empty and fails the base rules; a null host is a host;
     repeated rows are copies; an empty table gives an empty
     result; other columns pass through, those named like added ones are
     replaced. The lines' hashes are written to the shared folder and grouped
     with partial counts, so a line that a third of all documents hold is one
-    partial row per task; texts are read again only to compare documents with
-    lines above the limit.
+    partial row per task.
     """
     added = [*COUNTS, "base_failed", "n_common_lines", "common_words", "kept"]
     aside, back = set_aside(docs, text, *added)
-    digest = F.unhex(F.md5(F.col(quoted(text)))).alias("digest")
-    texts = docs.select(digest, F.col(quoted(text)).alias("text"))
+    digest = F.xxhash64(F.col(quoted(text))).alias("digest")
     rows = docs.select(*aside, F.xxhash64(F.lit("host"), F.col(quoted(host))).alias("host"), digest, F.col(quoted(text)).alias("text"))
     rows = materialize(measure(rows, drop_text=not cut), "lines").withColumn("row", F.monotonically_increasing_id())
     lines = rows.select("row", "host", "digest", F.explode("lines").alias("l")).select(
         "row", "digest", F.xxhash64("host", "l.line").alias("key"), "l.line", "l.words")
-    common = _common(lines.select("key", "digest"), texts, limit)
+    common = _common(lines.select("key", "digest"), limit)
     gone = lines.join(common, "key").groupBy("row").agg(
         F.count("*").alias("n_common_lines"), F.sum("words").cast("long").alias("common_words"),
         *([F.collect_set("line").alias("gone")] if cut else []))

@@ -54,7 +54,7 @@ select t.doc_id, len(ws)::bigint as n_words, (select count(*) from gone where go
 from t left join kept on kept.doc_id = t.doc_id
 """
 
-# the quality rules: base counts, and lines above the limit of documents per source
+# the quality rules: base counts, and lines that more than 20 different texts of a source hold
 LINES = rf"""
 with t as (select doc_id, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '{WORD}') as ws from documents),
 windows as (select doc_id, i, array_to_string(ws[i:i + 2], ' ') as g
@@ -68,11 +68,8 @@ lines as (select doc_id, source, l, row_number() over (partition by doc_id order
 dup as (select doc_id, count(*) - count(distinct l) as n from lines group by doc_id),
 normal as (select doc_id, source, k, array_to_string(ws, ' ') as line, len(ws) as words from (
              select *, regexp_extract_all(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000'), '{WORD}') as ws from lines)),
-placed as (select *, lag(line) over w as before, lead(line) over w as after from normal window w as (partition by doc_id order by k)),
-own as (select doc_id, source, line, sum(words) as words, arg_min(struct_pack(b := before, a := after), k) as context
-        from placed group by doc_id, source, line),
-common as (select source, line from (select source, line, context, count(*) as n from own group by source, line, context)
-           group by source, line having sum(n) > 20 and 2 * max(n) < sum(n)),
+own as (select doc_id, source, line, sum(words) as words from normal group by doc_id, source, line),
+common as (select o.source, o.line from own o join t using (doc_id) group by o.source, o.line having count(distinct t.text) > 20),
 gone as (select doc_id, count(*) as n, sum(words) as words from own o
          where exists (select 1 from common c where c.source is not distinct from o.source and c.line = o.line) group by doc_id),
 counted as (select t.doc_id, len(ws)::bigint as n_words, length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g'))::bigint as word_chars,
