@@ -441,20 +441,43 @@ select 'block_rows', count(*), 0 from valid_docs_all
 
 # ------------------------------------------------------------------- sinks
 CAT_BLOCKS = grouping_ctes("catalog", True) + [heads_cte("catalog")]
-ORACLE["csv_layout"] = q(f"""
+def csv_sql(listing: str) -> str:
+    return f"""
 select block_id as folder_path, cast(0 as bigint) as line_no,
        array_to_string(list_concat(['Row'], list_transform(column_headers, lambda h: {csv_field('h')})), ',') as line
-from heads_catalog
+from heads_{listing}
 union all
 select r.folder_path, cast(r.row_number + 1 as bigint) as line_no,
        concat('Row', r.row_number, ',',
               string_agg({csv_field("coalesce(c.name, '')")}, ',' order by k.key_pos)) as line
-from valid_catalog r
+from valid_{listing} r
 join (select folder_path, col_key, row_number() over (partition by folder_path order by col_key) as key_pos
-      from (select distinct folder_path, col_key from vcells_catalog)) k on k.folder_path = r.folder_path
-left join vcells_catalog c on c.folder_path = r.folder_path and c.row_key = r.row_key and c.col_key = k.col_key
+      from (select distinct folder_path, col_key from vcells_{listing})) k on k.folder_path = r.folder_path
+left join vcells_{listing} c on c.folder_path = r.folder_path and c.row_key = r.row_key and c.col_key = k.col_key
 group by r.folder_path, r.row_number
-""", *CAT_BLOCKS)
+"""
+
+
+ORACLE["csv_layout"] = q(csv_sql("catalog"), *CAT_BLOCKS)
+# of a user's and day's logs, those with two types make a row
+ORACLE["header_mismatch"] = """
+with e as (select distinct user_id, day(ts) as d, event_type from events),
+r as (select user_id, d from e group by user_id, d having count(*) = 2)
+select concat('/events/g', user_id % 8) as folder_path, cast(2 as bigint) as n_header, count(distinct event_type) as n_keys
+from e join r using (user_id, d) group by 1 having count(distinct event_type) <> 2
+"""
+ORACLE["folder_files"] = q(f"""
+select 'csv' as kind, folder_path, line from ({csv_sql('edited')})
+union all
+select 'invalid', c.folder_path, c.name from cells_edited c
+where not exists (select 1 from valid_edited v where v.folder_path = c.folder_path and v.row_key = c.row_key and v.expected = c.expected)
+""", "edited as (select * from messy_kept where folder_path <> '/messy/f1' or not contains(name, 'notes'))",
+    *grouping_ctes("edited", True), heads_cte("edited"))
+ORACLE["scan_with_times"] = q("""
+select folder_path, name, size, strftime(created_time, '%Y-%m-%d %H:%M:%S') as created_time from docs_all where name <> 'doc_10.txt'
+union all
+select folder_path, null, 0, strftime(max(created_time), '%Y-%m-%d %H:%M:%S') from docs_all group by folder_path
+""")
 
 # ----------------------------------------------------- versioning and jobs
 ORACLE["version_gate"] = """
@@ -487,6 +510,7 @@ where {which}
 """
 RUN_BLOCKS = grouping_ctes("runs", True) + [heads_cte("runs")]
 ORACLE["datablock_dump"] = q(DUMP.format(which="true"), *RUN_BLOCKS)
+ORACLE["dump_files"] = q("select json from (" + DUMP.format(which="true") + ")", *RUN_BLOCKS)
 ORACLE["fileblock_dump"] = q(DUMP.format(which="block_id = '/data/run_03'"), *RUN_BLOCKS)
 
 # the new corpus's blocks replace the old one's
@@ -499,7 +523,7 @@ select block_id, row_number, col_key, name, {PUBLISHED_AT} as updated_at from (
 """, *grouping_ctes("catalog", True), *grouping_ctes("docs_new", True), *grouping_ctes("docs_old", True))
 
 ORACLE["folder_names"] = q("""
-select folder_path, string_agg(name, ',' order by name) as names from docs_new group by folder_path
+select folder_path, row_number() over (partition by folder_path order by name) - 1 as ord, name from docs_new
 """)
 
 

@@ -25,6 +25,7 @@ from .operators.diff import diff_pass
 from .operators.diff import file_changes as diff_files
 from .operators.diff import folder_diff as diff_folders
 from .operators.grouping import NameGrouping, name_keys, name_parts
+from .operators.indexing import ranged_index
 from .operators.stats import folder_stats as stats_of
 from .operators.stats import stat_drift as drift_of
 from .operators.stats import stats_refresh, totals_by_changes
@@ -33,9 +34,9 @@ from .plans.build import incremental_blocks as rebuild_changed
 from .plans.sync import gate_status, initial_load
 from .plans.sync import sync as run_sync
 from .session import materialize, scratch_path
-from .sinks.files import csv_lines, json_dump
+from .sinks.files import csv_lines, header_widths, json_dump, read_lines, write_csv, write_dump, write_invalid
 from .sources import derived
-from .sources.listing import (folders_with_file, scan_files, scan_folders)
+from .sources.listing import folders_with_file, scan_files, scan_folders, scan_times
 from .sources.listing import glob_search as search_glob
 from .sources.listing import listed_names as explode_lists
 from .sources.rules import FIXTURE_RULES, assign_rules, folder_rules, plan_rules, rules_frame
@@ -128,6 +129,11 @@ def file_scan(spark, sf_dir):
     return scan_files(derived.messy_listing(_t(spark, sf_dir)))
 
 
+@query
+def scan_with_times(spark, sf_dir):
+    return scan_times(derived.docs_all(_t(spark, sf_dir)), (REQUIRED_NAME, *DEFAULT_FILE_EXCLUSIONS))
+
+
 @query
 def name_scan(spark, sf_dir):
     return kept(derived.messy_listing(_t(spark, sf_dir)), BLOCK_DIR_EXCLUSIONS).select("folder_path", "name")
@@ -529,6 +535,46 @@ def csv_layout(spark, sf_dir):
     return csv_lines(b.valid, keys, b.block_heads)
 
 
+#: A rule whose header has two columns, for rows that may hold any two of five.
+TWO_OF_FIVE = ("/events", "1.0.0", ["_", "."], ["first", "second"], [0, 1], [2], 0, 0)
+
+
+@query
+def header_mismatch(spark, sf_dir):
+    """Folders whose CSV is not as wide as its header."""
+    b = build_blocks(written(derived.events_listing(_t(spark, sf_dir))), rules_frame(spark, [TWO_OF_FIVE]))
+    return header_widths(b.grouping.valid_cells, b.block_heads)
+
+
+EDITED = "/messy/f1"
+
+
+@query
+def folder_files(spark, sf_dir):
+    """CSV files and invalid lists of all folders, written; then the names of one
+    folder change, only its files are written again, and all are read back."""
+    out, stamp = scratch_path(spark, "folder-files"), PUBLISHED_AT
+    before = written(kept(derived.messy_listing(_t(spark, sf_dir))))
+    after = written(before.where((F.col("folder_path") != EDITED) | ~F.col("name").contains("notes")))
+    changed = spark.createDataFrame([(EDITED,)], "folder_path string")
+    target = None
+    for listing, only in ((before, None), (after.where(F.col("folder_path") == EDITED), changed)):
+        b = build_blocks(listing, rules_frame(spark))
+        write_csv(csv_lines(b.valid, b.grouping.valid_cells.select("folder_path", "col_key").distinct(), b.block_heads), f"{out}/csv", changed=only)
+        target = write_invalid(b.grouping.invalid_files(), out, stamp, changed=only)
+    return (read_lines(spark, f"{out}/csv").withColumn("kind", F.lit("csv"))
+            .unionByName(read_lines(spark, target).withColumn("kind", F.lit("invalid"))))
+
+
+@query
+def dump_files(spark, sf_dir):
+    """The text dump of the published blocks, written and read back."""
+    out = scratch_path(spark, "dump")
+    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark))
+    write_dump(json_dump(b.block_rows, b.block_heads), out)
+    return spark.read.text(out).select(F.col("value").alias("json"))
+
+
 # ------------------------------------------------ versioning and jobs
 
 @query
@@ -560,9 +606,9 @@ def diff_all(spark, sf_dir):
 
 @query
 def folder_names(spark, sf_dir):
-    """The files that a diff of all folders sees, as one list per folder."""
-    new = kept(derived.docs_new(_t(spark, sf_dir)))
-    return new.groupBy("folder_path").agg(F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+    """The files that a diff of all folders sees, in each folder's order."""
+    new = kept(derived.docs_new(_t(spark, sf_dir))).select("folder_path", "name")
+    return ranged_index(new, ["folder_path"], ["name"], out="ord")
 
 
 def _read_back(store: VersionedStore) -> DataFrame:

@@ -5,7 +5,7 @@ files, read in part order, are the file in line order)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import csv_field
@@ -33,11 +33,41 @@ def csv_lines(valid: DataFrame, column_keys: DataFrame, heads: DataFrame) -> Dat
     return header.unionByName(data)
 
 
-def write_csv(lines: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
-    (lines.repartitionByRange("folder_path", "line_no")
-     .sortWithinPartitions("folder_path", "line_no")
-     .select("folder_path", "line")
-     .write.mode(mode).partitionBy("folder_path").text(out_dir))
+def _folder_dir(spark, out_dir: str, folder: str):
+    """The partition directory of a folder's lines, and its file system."""
+    name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(folder)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out_dir.rstrip('/')}/folder_path={name}")
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def replace_folders(lines: DataFrame, out_dir: str, changed: DataFrame) -> None:
+    """Puts ``lines`` (folder_path, line) of the ``changed`` folders (folder_path) in
+    the place of what ``out_dir`` holds of them: folders with lines are overwritten
+    one by one, those that have none any more lose theirs, and the files of all
+    other folders are not touched. Lines of folders that didn't change are left out."""
+    spark = lines.sparkSession
+    changed = changed.select("folder_path").distinct()
+    mine = lines.join(changed, "folder_path", "left_semi")
+    (mine.select("folder_path", "line").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("folder_path").text(out_dir))
+    for row in changed.join(lines.select("folder_path"), "folder_path", "left_anti").toLocalIterator():
+        path, fs = _folder_dir(spark, out_dir, row["folder_path"])
+        fs.delete(path, True)
+
+
+def write_csv(lines: DataFrame, out_dir: str, mode: str = "overwrite", changed: DataFrame | None = None) -> None:
+    """Each folder's CSV as text files below ``out_dir/folder_path=<folder>``. With
+    ``changed`` (folder_path) only these folders' files are replaced."""
+    ordered = lines.repartitionByRange("folder_path", "line_no").sortWithinPartitions("folder_path", "line_no").select("folder_path", "line")
+    if changed is not None:
+        replace_folders(ordered, out_dir, changed)
+    else:
+        ordered.write.mode(mode).partitionBy("folder_path").text(out_dir)
+
+
+def read_lines(spark: SparkSession, out_dir: str) -> DataFrame:
+    """(folder_path, line) of all files that ``write_csv`` or ``write_invalid`` left."""
+    return spark.read.schema("line string, folder_path string").text(out_dir).select("folder_path", "line")
 
 
 def invalid_files_name(stamp) -> str:
@@ -45,16 +75,37 @@ def invalid_files_name(stamp) -> str:
     return f"invalid_files_{stamp:%Y%m%d%H%M%S}"
 
 
-def write_invalid(invalid: DataFrame, out_dir: str, stamp=None, mode: str = "overwrite") -> str:
+def write_invalid(invalid: DataFrame, out_dir: str, stamp=None, mode: str = "overwrite", changed: DataFrame | None = None) -> str:
     """One name per line per folder; folders without invalid names get no
-    file. With ``stamp`` the output goes to ``out_dir/invalid_files_<stamp>``.
+    file. With ``stamp`` the output goes to ``out_dir/invalid_files_<stamp>``. With
+    ``changed`` (folder_path) only these folders' lists are replaced, and the
+    list of a folder that has no invalid name any more goes.
     Returns the folder written."""
     target = out_dir if stamp is None else f"{out_dir.rstrip('/')}/{invalid_files_name(stamp)}"
-    (invalid.select("folder_path", "name").repartitionByRange("folder_path", "name")
-     .write.mode(mode).partitionBy("folder_path").text(target))
+    ordered = invalid.select("folder_path", F.col("name").alias("line")).repartitionByRange("folder_path", "line").sortWithinPartitions("folder_path", "line")
+    if changed is not None:
+        replace_folders(ordered, target, changed)
+    else:
+        ordered.write.mode(mode).partitionBy("folder_path").text(target)
     return target
 
 
+def write_dump(dump: DataFrame, out_dir: str, mode: str = "overwrite") -> None:
+    """The text dump as files of lines, blocks in order of their ids and lines in
+    theirs; a large block spans files."""
+    (dump.repartitionByRange("block_id", "line_no").sortWithinPartitions("block_id", "line_no")
+     .select("json").write.mode(mode).text(out_dir))
+
+
+def header_widths(column_keys: DataFrame, heads: DataFrame) -> DataFrame:
+    """(folder_path, n_header, n_keys) of blocks whose rows have more or fewer
+    different column keys than their header has columns: their CSV's records are not
+    as wide as its header. ``column_keys``: (folder_path, col_key) of the valid rows."""
+    keys = column_keys.select("folder_path", "col_key").distinct().groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_keys"))
+    return (heads.where("n_rows > 0").select(F.col("block_id").alias("folder_path"), F.size("column_headers").cast("bigint").alias("n_header"))
+            .join(keys, "folder_path").where("n_header <> n_keys"))
+
+
 def json_dump(block_rows: DataFrame, block_heads: DataFrame, block_id: str | None = None) -> DataFrame:
     """(block_id, line_no, json) readable dump of all blocks, or of one: line 0
     is the block's head, line r + 1 its row r, so a block of any size is spread

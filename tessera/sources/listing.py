@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import (DEFAULT_FILE_EXCLUSIONS, base_name, file_excluded,
-                               folder_excluded, glob_match, join_path)
+                               folder_excluded, format_time, glob_match, join_path)
 
 
 def listing_from_dir(spark: SparkSession, root: str, recursive: bool = False,
@@ -50,6 +50,16 @@ def scan_folders(listing: DataFrame, exclusions=()) -> DataFrame:
     return f.where(~folder_excluded("folder_name", exclusions))
 
 
+def scan_times(listing: DataFrame, exclusions=DEFAULT_FILE_EXCLUSIONS) -> DataFrame:
+    """Files kept after the name exclusions, and their folders (``name`` null), each
+    with its time to the second as text: a folder's is that of its latest file."""
+    seen = listing.where(~file_excluded("name", exclusions))
+    files = seen.select("folder_path", "name", "size", format_time("created_time").alias("created_time"))
+    folders = listing.groupBy("folder_path").agg(F.max("created_time").alias("t")).select(
+        "folder_path", F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("size"), format_time("t").alias("created_time"))
+    return files.unionByName(folders)
+
+
 def glob_search(listing: DataFrame, pattern: str) -> DataFrame:
     """Files whose name matches a shell glob (``*``, ``?``, ``[...]``)."""
     return (listing.where(glob_match("name", pattern))

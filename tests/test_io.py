@@ -1,6 +1,7 @@
 """Sources and sinks on real files: binaryFile listing, rule.json, CSV,
 invalid lists, nested export, entry contract."""
 
+import datetime as dt
 import json
 import os
 
@@ -13,13 +14,13 @@ from tessera.registry import QUERIES
 from tessera.operators.blocks import datablock, merge_blocks, override_headers
 from tessera.operators.stats import folder_stats
 from tessera.plans.build import build_blocks
-from tessera.sinks.files import csv_lines, json_dump, write_csv, write_invalid
+from tessera.sinks.files import csv_lines, header_widths, json_dump, read_lines, write_csv, write_dump, write_invalid
 from tessera.sources.listing import listing_from_dir, scan_files
 from tessera.sources.rules import load_rules_json, rules_frame
 
 
 CHEAP = ("folder_scan", "glob_search", "rules_by_folder", "files_for_folder", "folder_diff", "file_changes", "change_summary", "rule_conflicts",
-         "invalid_files", "cell_collisions", "block_rejects", "stat_drift", "fileblock_dump")
+         "invalid_files", "cell_collisions", "block_rejects", "stat_drift", "fileblock_dump", "header_mismatch", "folder_totals_incremental")
 
 
 def make_tree(root, n_dirs=5, n_files=10, rule=None):
@@ -76,6 +77,38 @@ def test_csv_and_invalid_sinks(spark, tmpdir_path):
     assert [r[0] for r in spark.read.text(tmpdir_path + "/inv").collect()] == ["e_A.txt"]
 
 
+def test_changed_folders_are_replaced(spark, tmpdir_path):
+    """Files of changed folders are overwritten, a list without names any more goes,
+    and the files of other folders are the same as before."""
+    rs = rules_frame(spark, [("/x", "1", ["_", "."], ["A", "B"], [0], [1], 0, 0)])
+
+    def put(names, changed):
+        rows = [(d, n, 1) for d, ns in names.items() for n in ns]
+        b = build_blocks(spark.createDataFrame(rows, "folder_path string, name string, size long"), rs)
+        only = None if changed is None else spark.createDataFrame([(d,) for d in changed], "folder_path string")
+        write_csv(csv_lines(b.valid, b.grouping.column_keys(), b.block_heads), tmpdir_path + "/csv", changed=only)
+        return write_invalid(b.grouping.invalid_files(), tmpdir_path, dt.datetime(2024, 1, 2, 3, 4, 5), changed=only)
+
+    target = put({"/x/a b": ["p_A.txt", "p_B.txt", "q_A.txt"], "/x/c": ["r_A.txt"], "/x/gone": ["s_A.txt"]}, None)
+    assert target.endswith("/invalid_files_20240102030405")
+    other = {f for f in read_lines(spark, tmpdir_path + "/csv").inputFiles() if "Fx%252Fc/" in f}
+    put({"/x/a b": ["p_A.txt", "p_B.txt"], "/x/c": ["ignored_A.txt"]}, ["/x/a b", "/x/gone"])
+    assert {tuple(r) for r in read_lines(spark, target).collect()} == {("/x/c", "r_A.txt")}
+    lines = {tuple(r) for r in read_lines(spark, tmpdir_path + "/csv").collect()}
+    assert lines == {("/x/a b", "Row,A,B"), ("/x/a b", "Row0,p_A.txt,p_B.txt"), ("/x/c", "Row,A,B")}
+    assert other and other <= set(read_lines(spark, tmpdir_path + "/csv").inputFiles())
+
+
+def test_header_widths_and_dump_files(spark, tmpdir_path):
+    lst = spark.createDataFrame([("/x", n, 1) for n in ["a_A.txt", "a_B.txt", "c_A.txt", "c_C.txt"]] + [("/x/y", n, 1) for n in ["a_A.txt", "a_B.txt"]],
+                                "folder_path string, name string, size long")
+    b = build_blocks(lst, rules_frame(spark, [("/x", "1", ["_", "."], ["A", "B"], [0], [1], 0, 0)]))
+    assert [tuple(r) for r in header_widths(b.grouping.valid_cells, b.block_heads).collect()] == [("/x", 2, 3)]
+    write_dump(json_dump(b.block_rows, b.block_heads), tmpdir_path + "/dump")
+    lines = [json.loads(r[0]) for r in spark.read.text(tmpdir_path + "/dump").collect()]
+    assert len(lines) == 5 and sum("column_headers" in x for x in lines) == 2
+
+
 def test_odd_folder_names_and_malformed_rules(spark, tmpdir_path):
     """Folders whose names a URI encodes, and a rule file that is not JSON."""
     names = ["my run 1", "a#b", "50%", "x+y"]
