@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -8,6 +9,16 @@ from tessera.llm import line_dedup
 from tessera.llm.queries import QUERIES
 
 
+def near_lines(a, b):
+    """Whether two different lines are within the edits that the shorter one allows:
+    one for each EDIT_WORDS words, one at least."""
+    k = max(1, min(len(a), len(b)) // line_dedup.EDIT_WORDS)
+    if min(len(a), len(b)) < line_dedup.MIN_WORDS or abs(len(a) - len(b)) > k:
+        return False
+    # an edit changes one word of a line, so no more words can lack a partner
+    return sum((Counter(a) - Counter(b)).values()) <= k and distance(a, b) <= k
+
+
 def distance_up_to_one(a, b):
     if a == b:
         return 0
@@ -32,15 +43,7 @@ def removed(rows):
     first = {}
     for place, w, _, _ in lines:
         first[w] = min(place, first.get(w, place))
-    by_size = {}
-    for w in first:
-        by_size.setdefault(len(w), []).append(w)
-    near = set()
-    for w in first:
-        if len(w) >= line_dedup.MIN_WORDS:
-            others = [x for n in (len(w) - 1, len(w), len(w) + 1) if n >= line_dedup.MIN_WORDS for x in by_size.get(n, ())]
-            if any(first[x] < first[w] and distance_up_to_one(w, x) == 1 for x in others):
-                near.add(w)
+    near = {w for w in first if len(w) >= line_dedup.MIN_WORDS and any(first[x] < first[w] and near_lines(w, x) for x in first)}
     out = [[k, 0, 0, 0, []] for k, _ in rows]
     for place, w, r, i in lines:
         equal = place > first[w]
