@@ -7,13 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.grouping import NameGrouping
+from ..session import materialize
 from ..sources.derived import runs_listing
 from ..sources.rules import rules_frame
 from ..sources.tables import Tables
 
 
 def runs_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = NameGrouping(runs_listing(Tables(spark, sf_dir)), rules_frame(spark))
+    g = NameGrouping(materialize(runs_listing(Tables(spark, sf_dir)), "listing"), rules_frame(spark))
     v = g.valid_groups()
     return v.select("folder_path", "row_number", "row_key",
                     F.try_element_at("cells", F.lit("R1")).alias("R1"),

@@ -14,7 +14,8 @@ from conftest import SF_SMALL
 
 SUBSET = ["valid_groups", "invalid_files", "cell_collisions", "group_files", "column_keys",
           "csv_layout", "file_changes", "folder_diff", "apply_file_changes", "rule_conflicts",
-          "split_names", "glob_search", "generate_rows", "version_gate", "incremental_blocks"]
+          "split_names", "glob_search", "generate_rows", "version_gate", "incremental_blocks",
+          "diff_all", "folder_totals_incremental", "folder_files", "header_mismatch", "scan_with_times", "folder_names"]
 
 
 def _norm(v):

@@ -23,10 +23,14 @@ def plan_text(df):
 def test_rules_are_resolved_per_folder(spark):
     t = Tables(spark, SF_SMALL)
     plan = plan_rules(rules_frame(spark))
-    text = plan_text(plan.attach(derived.messy_listing(t)))
     # prefixes are exploded for the distinct folders only
+    text = plan_text(plan.resolve(derived.messy_listing(t)))
     generate = text.index("Generate explode")
     assert "HashAggregate(keys=[folder_path" in text[generate:]
+    # the files are joined with the written result, whose size Spark knows, and it
+    # is that side which is broadcast
+    text = plan_text(plan.attach(derived.messy_listing(t)))
+    assert "explode" not in text and "BuildRight" in text and "BuildLeft" not in text
     # per-name work is built-in expressions, no Python
     assert "BatchEvalPython" not in text and "ArrowEvalPython" not in text
 
