@@ -5,14 +5,17 @@ both without their words at one place are equal. So every line emits itself
 and its variants without each word as hashed keys; lines with equal keys are
 candidates, the edit distance verifies them, and the earliest line stays.
 
-Longer lines may differ in more words. Each edit touches GRAM of a line's
-word runs of that length, so lines within k edits have one in common among the
-GRAM * k + 1 that come first in a fixed order of all runs (a prefix join).
+The variants of a whole line without k words grow with the k-th power of its
+length, so longer lines, which may differ in more words, are cut into segments
+before words chosen by their hash. An edit changes at most two segments of either
+line, so lines within k edits have an unchanged segment in common among the 2 * k
++ 1 of each that come first in any fixed order of all segments; here the longest.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,22 +25,24 @@ from pyspark.sql import functions as F
 
 from tessera.llm.frames import quoted, set_aside
 from tessera.llm.line_quality import lines_of
-from tessera.llm.text import U, each_chunk, grams, mix, seeds, spans, without_each
+from tessera.llm.text import U, each_chunk, mix, seeds, spans, without_each
 from tessera.session import materialize
 
 MIN_WORDS = 8    # shorter lines are removed only if equal
 EDIT_WORDS = 10  # words of the shorter line for each edit between near lines; one edit is always allowed
-GRAM = 5
+CUTS = (4, 2, 1)  # words per segment start on average; the next for lines with too few segments
+BITS = 512       # of a line's parity map
 
-OCCURRENCES = "row long, doc_id long, tag long, line int, content long, halves array<long>"
+OCCURRENCES = "row long, doc_id long, tag long, line int, content long, n int, halves array<long>, segments array<long>, bits array<long>"
 
 
 def _halves(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the starts and ends that lines within one edit share: at
     the edit, one side of at least half the shorter line's words is equal. A line
-    gives the halves of its own length and of one word less."""
+    gives the halves of its own length and of one word less. Pairs of longer lines
+    are found by their segments."""
     n = tail - head
-    lines = np.flatnonzero(n >= MIN_WORDS)
+    lines = np.flatnonzero((n >= MIN_WORDS) & (n <= 2 * EDIT_WORDS))
     out = []
     for side in (0, 1):
         for less in (0, 1):
@@ -55,9 +60,75 @@ def _numbers(w, row, start) -> np.ndarray:
     return breaks[start] - breaks[w.offsets[row]]
 
 
+def _places(head, tail, lines) -> tuple[np.ndarray, np.ndarray]:
+    """(index in ``lines``, word) of every word of some lines."""
+    size = (tail - head)[lines]
+    of = np.repeat(np.arange(len(lines)), size)
+    before = np.cumsum(size) - size
+    return of, np.arange(len(of)) - before[of] + head[lines][of]
+
+
+def _segments(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key) of the segments that long lines within the allowed edits share.
+
+    A segment goes from a word whose hash the level chooses, or the line's first,
+    to before the next. Substituting, adding or deleting a word leaves all but two
+    segments of either line as they were. So of two lines within k edits each has at
+    most 2 * k segments that the other lacks, equal ones counted apart, and if one
+    has more than 2 * k, the first 2 * k + 1 of both in one order of all segments
+    hold a common one. A line with no more gives the next level's as well; if both
+    lines are such, both do. On the last level each word is a segment, which is
+    over 2 * k of them."""
+    n = tail - head
+    lines = np.flatnonzero(n >= 2 * EDIT_WORDS)
+    found, keys = [np.zeros(0, np.int64)], [np.zeros(0, U)]
+    for level, salt in zip(CUTS, seeds(len(CUTS), 21)):
+        if not len(lines):
+            break
+        most = 2 * (n[lines] // EDIT_WORDS) + 1
+        of, at = _places(head, tail, lines)
+        cut = (mix(w.hash[at] ^ salt) % U(level) == 0) | (at == head[lines][of])
+        line, a = of[cut], at[cut]
+        last = np.append(line[1:] != line[:-1], True)
+        b = np.where(last, tail[lines][line], np.append(a[1:], 0))
+        key, length = mix(spans(w.hash, a, b) ^ salt), b - a
+        for again in (True, False):
+            order = np.lexsort((key, -length, line))
+            line, key, length = line[order], key[order], length[order]
+            same = np.concatenate([[False], (key[1:] == key[:-1]) & (line[1:] == line[:-1])])
+            if not (again and same.any()):
+                break
+            first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
+            number = (np.arange(len(key)) - first).astype(U)
+            key = np.where(same, mix(key + number * U(0xD6E8FEB86659FD93)), key)
+        use = np.arange(len(line)) - np.searchsorted(line, line) < most[line]
+        found.append(lines[line[use]])
+        keys.append(key[use])
+        lines = lines[np.bincount(line, minlength=len(lines)) < most]
+    return np.concatenate(found), np.concatenate(keys)
+
+
+def _parities(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
+    """(line, BITS / 64 numbers) of long lines: whether an odd number of the
+    words falls into each bucket. An edit changes two of these bits at most."""
+    lines = np.flatnonzero(tail - head >= 2 * EDIT_WORDS)
+    of, at = _places(head, tail, lines)
+    bucket = mix(w.hash[at] ^ seeds(1, 23)[0]) % U(BITS)
+    bits = np.zeros((len(lines), BITS // 64), U)
+    np.bitwise_xor.at(bits, (of, (bucket >> U(6)).astype(np.int64)), U(1) << (bucket & U(63)))
+    return lines, bits
+
+
+def _lists(line: np.ndarray, values: np.ndarray, rows: int) -> pa.Array:
+    """Lists of 64-bit values by line, for so many rows."""
+    order = np.argsort(line, kind="stable")
+    at = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(values[order].view(np.int64)))
+
+
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Lines with a word of (doc_id, tag, text): their contents' hashes and half
-    keys. A text without lines gives one row whose line is null."""
+    """Lines with a word of (doc_id, tag, text): their contents' hashes, words, half and
+    segment keys and parity maps. A text without lines gives one row whose line is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = TaskContext.get().partitionId() << 40
@@ -66,63 +137,25 @@ def occurrences(docs: DataFrame) -> DataFrame:
             for lo, hi, w in each_chunk(batch):
                 row, head, tail, start, _ = lines_of(w, w.data)
                 bare = np.flatnonzero(np.diff(w.first) == 0)
-                line, key = _halves(w, head, tail) if len(row) else (np.zeros(0, np.int64), np.zeros(0, U))
-                order = np.argsort(line, kind="stable")
-                at = np.concatenate([[0], np.cumsum(np.bincount(line, minlength=len(row))), np.full(len(bare), len(line))]).astype(np.int32)
                 rows = np.concatenate([row, bare])
+                none = np.zeros(0, np.int64), np.zeros(0, U)
+                lists = [_lists(*(f(w, head, tail) if len(row) else none), len(rows)) for f in (_halves, _segments)]
+                long, bits = _parities(w, head, tail) if len(row) else (none[0], np.zeros((0, BITS // 64), U))
+                lists.append(_lists(np.repeat(long, BITS // 64), bits.ravel(), len(rows)))
                 take = pa.array(lo + rows)
                 missing = np.arange(len(rows)) >= len(row)
                 number = np.concatenate([_numbers(w, row, start), bare * 0])
                 content = np.concatenate([spans(w.hash, head, tail).view(np.int64), bare * 0])
+                size = np.concatenate([tail - head, bare * 0]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(count + rows), ids.take(take), tags.take(take), pa.array(number.astype(np.int32), mask=missing),
-                     pa.array(content, mask=missing), pa.ListArray.from_arrays(pa.array(at), pa.array(key[order].view(np.int64)))],
-                    names=["row", "doc_id", "tag", "line", "content", "halves"])
+                     pa.array(content, mask=missing), pa.array(size), *lists],
+                    names=["row", "doc_id", "tag", "line", "content", "n", "halves", "segments", "bits"])
                 count += hi - lo
 
     return docs.mapInArrow(run, OCCURRENCES)
 
 
-def _first_runs(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
-    """(line, key) of the GRAM * k + 1 runs of GRAM words with the least hashes
-    of each line that k > 1 edits are allowed in; equal runs of a line count apart."""
-    n = tail - head
-    own = grams(w.hash, GRAM)
-    line = np.repeat(np.arange(len(head)), n)[:len(own)]
-    at = np.flatnonzero((np.arange(len(own)) + GRAM <= tail[line]) & (n[line] >= 2 * EDIT_WORDS)) if len(own) else np.zeros(0, np.int64)
-    if not len(at):
-        return np.zeros(0, np.int64), np.zeros(0, U)
-    line, key = line[at], own[at]
-    for again in (True, False):
-        order = np.lexsort((key, line))
-        line, key = line[order], key[order]
-        same = np.concatenate([[False], (key[1:] == key[:-1]) & (line[1:] == line[:-1])])
-        if not (again and same.any()):
-            break
-        first = np.maximum.accumulate(np.where(same, 0, np.arange(len(key))))
-        number = (np.arange(len(key)) - first).astype(U)
-        key = np.where(same, mix(key + number * U(0xD6E8FEB86659FD93)), key)
-    rank = np.arange(len(line)) - np.searchsorted(line, line)
-    use = rank <= GRAM * (n[line] // EDIT_WORDS)
-    return line[use], key[use]
-
-
-def first_runs(docs: DataFrame) -> DataFrame:
-    """(key, content, n) of the lines of (text) with 2 * EDIT_WORDS words or more; ``n`` words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, w in each_chunk(batch):
-                _, head, tail, _, _ = lines_of(w, w.data)
-                line, key = _first_runs(w, head, tail)
-                if len(line):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(spans(w.hash, head, tail).view(np.int64)[line]), pa.array((tail - head)[line].astype(np.int32))],
-                        names=["key", "content", "n"])
-
-    return docs.select("text").mapInArrow(run, "key long, content long, n int")
-
-
 def _tokens(docs: DataFrame) -> DataFrame:
     """(content, tokens) of the wanted lines of (text, wanted)."""
 
@@ -223,6 +256,39 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("content", "tokens", "other").mapInArrow(run, "content long")
 
 
+LINE = ("place", "content", "n", "bits")
+
+
+def _shared_segments(lines: DataFrame, contents: DataFrame) -> DataFrame:
+    """(key, place, content, n, bits) of the segment keys that several different lines
+    have, by their earliest places. Keys are counted alone first, so that the
+    others aren't shuffled with their lines."""
+    keys = lines.select("content", F.explode("segments").alias("key"))
+    several = keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+    some = materialize(keys.join(several, "key"), "segments").distinct()  # copies of a line go
+    some = materialize(some, "segments")
+    several = some.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
+    long = lines.where(F.size("bits") > 0).groupBy("content").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return materialize(some.join(several, "key").join(long, "content").select("key", *LINE), "segments")
+
+
+def _apart(other: str) -> Column:
+    """Bits in which the parity maps of two lines differ."""
+    return reduce(Column.__add__, [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col(f"{other}bits")[i])) for i in range(BITS // 64)])
+
+
+def _allowed(other: str) -> Column:
+    """Whether the other line comes before, and lengths and parity maps don't exclude the allowed edits."""
+    edits = F.floor(F.least("n", f"{other}n") / EDIT_WORDS)
+    return (F.col(f"{other}place") < F.col("place")) & (F.abs(F.col("n") - F.col(f"{other}n")) <= edits) & (_apart(other) <= 2 * edits)
+
+
+def _compared(candidates: DataFrame, tokens_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(content) of the pairs (content, before) within the allowed edits."""
+    tokens = tokens_of(candidates.select("content").union(candidates.select("before")).distinct()).select("content", "tokens")
+    return _verified(candidates.join(tokens, "content").join(tokens.select(F.col("content").alias("before"), F.col("tokens").alias("other")), "before")).distinct()
+
+
 def _place(doc_id: str = "doc_id", line: str = "line") -> Column:
     """Order of a line as one number: by document, then line; null keys last."""
     return F.coalesce(F.col(doc_id).cast("decimal(20,0)"), F.lit("99999999999999999999").cast("decimal(20,0)")).cast("decimal(38,0)") * F.lit(
@@ -243,49 +309,47 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Null texts have no lines; null keys come last; lines at one place (repeated
     rows) don't remove each other; an empty table gives an empty result; other
-    columns are ignored. Lines are first reduced to different contents with
-    their earliest places, then to those that share half their words with another
-    content: no pair within one edit is lost. Only these emit variants. A variant's earliest
-    lines are found with partial minima, so no pairs of a crowded variant are
-    listed: the earliest line with it is enough to remove all others. Lines that
-    more edits are allowed in are compared with the earliest line of each of their
-    first runs, and what then stays with every earlier line of them.
+    columns are ignored. Lines of up to 2 * EDIT_WORDS words are first reduced to
+    different contents with their earliest places, then to those that share half their
+    words with another content: no pair within one edit is lost. Only these emit
+    variants. A variant's earliest lines are found with partial minima, so no pairs of a
+    crowded variant are listed: the earliest line with it is enough to remove all
+    others. Longer lines are compared with the nearest of the earliest lines of their
+    segments, by parity maps, and what then stays with every earlier line of a segment
+    that lengths and parity maps allow. Texts are read again only for lines to compare.
     """
     own = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("tag"), F.col(quoted(text)).alias("text"))
     every = materialize(occurrences(own), "lines")
     lines = every.where("line is not null").withColumn("place", _place().cast("decimal(38,0)"))
     contents = materialize(lines.groupBy("content").agg(F.min("place").alias("place"), F.first("halves").alias("halves")), "contents")
+
+    def tokens_of(wanted: DataFrame) -> DataFrame:
+        """(content, place, tokens) of (content), each once."""
+        at = lines.select("content", "place", "doc_id", "tag").join(contents.select("content", "place").join(wanted, "content"), ["content", "place"])
+        at = at.groupBy("doc_id", "tag").agg(F.collect_set("content").alias("wanted"))
+        found = own.join(at, own["doc_id"].eqNullSafe(at["doc_id"]) & (own["tag"] == at["tag"])).select("text", "wanted")
+        return materialize(_tokens(found).dropDuplicates(["content"]).join(contents.select("content", "place"), "content"), "tokens")
+
     halves = contents.select("content", F.explode(F.array_distinct("halves")).alias("half"))
     shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half")
-    near = halves.join(shared, "half").select("content", F.lit(True).alias("half")).distinct()
-    runs = first_runs(own)
-    several = runs.groupBy("key").agg(F.min("content").alias("low"), F.max("content").alias("high")).where("low != high").select("key")
-    runs = materialize(runs.join(several, "key").distinct(), "runs")
-    near = near.union(runs.select("content", F.lit(False))).groupBy("content").agg(F.max("half").alias("half"))
-    near = materialize(near.join(contents.select("content", "place"), "content"), "near")
-    where = lines.select("content", "place", "doc_id", "tag").join(near, ["content", "place"]).groupBy("doc_id", "tag").agg(F.collect_set("content").alias("wanted"))
-    found = own.join(where, own["doc_id"].eqNullSafe(where["doc_id"]) & (own["tag"] == where["tag"])).select("text", "wanted")
-    tokens = materialize(_tokens(found).dropDuplicates(["content"]).join(near, "content"), "tokens")
-
-    keys = variants(tokens.where("half"))
+    tokens = tokens_of(halves.join(shared, "half").select("content").distinct())
+    keys = variants(tokens)
     first = keys.groupBy("key").agg(F.min("place").alias("any"), F.min(F.when(F.col("whole"), F.col("place"))).alias("line"), F.count("*").alias("n")).where("n > 1")
     earlier = keys.join(first, "key").select("content", "place", F.when(F.col("whole"), F.col("any")).otherwise(F.col("line")).alias("earliest"))
     earlier = earlier.where("earliest < place").groupBy("content").agg(F.min("earliest").alias("earliest"))
     pairs = tokens.join(earlier, "content").join(tokens.select(F.col("place").alias("earliest"), F.col("tokens").alias("other")), "earliest")
-
-    runs = materialize(runs.join(contents.select("content", "place"), "content"), "runs")
-    fits = F.abs(F.col("n") - F.col("least.n")) <= F.floor(F.least("n", "least.n") / EDIT_WORDS)
-    before = (F.col("least.place") < F.col("place")) & fits
-
-    def compared(candidates: DataFrame) -> DataFrame:
-        listed = candidates.where(before).select("content", F.col("least.content").alias("before")).distinct()
-        return _verified(listed.join(tokens, "content").join(tokens.select(F.col("content").alias("before"), F.col("tokens").alias("other")), "before"))
-
-    earliest = runs.groupBy("key").agg(F.min(F.struct("place", "content", "n")).alias("least"))
-    gone = materialize(_verified(pairs).union(compared(runs.join(earliest, "key"))).distinct(), "gone")
-    stays = runs.join(gone, "content", "left_anti")
-    rest = compared(stays.join(runs.select("key", F.struct("place", "content", "n").alias("least")), "key"))
-    gone = gone.union(rest).distinct().withColumn("near", F.lit(True))
+    gone = _verified(pairs)
+
+    cut = _shared_segments(lines, contents)
+    least = cut.groupBy("key").agg(F.min(F.struct(*LINE)).alias("least"))
+    near = cut.join(least, "key").where(_allowed("least.")).groupBy("content").agg(F.min_by("least.content", F.struct(_apart("least."), "least.place")).alias("before"))
+    near = materialize(near, "nearest")
+    gone_long = materialize(_compared(near, tokens_of), "gone")
+    stays = cut.join(gone_long, "content", "left_anti").select("key", *LINE)
+    before = cut.select("key", F.struct(*LINE).alias("least"))
+    rest = stays.join(before, (stays["key"] == before["key"]) & _allowed("least.")).select("content", F.col("least.content").alias("before")).distinct()
+    rest = materialize(rest.join(near, ["content", "before"], "left_anti"), "rest")
+    gone = gone.union(gone_long).union(_compared(rest, tokens_of)).distinct().withColumn("near", F.lit(True))
 
     first = contents.select("content", F.col("place").alias("least")).join(gone, "content", "left")
     judged = every.withColumn("place", _place().cast("decimal(38,0)")).join(first, "content", "left")

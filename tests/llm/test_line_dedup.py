@@ -2,11 +2,13 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, odd_docs
 from tessera.llm import line_dedup
 from tessera.llm.queries import QUERIES
+from tessera.llm.text import utf8, words
 
 
 def near_lines(a, b):
@@ -136,5 +138,30 @@ def test_within():
         assert line_dedup.within(np.array(a, int), np.array(b, int), k) == (distance(a, b) <= k)
 
 
+def test_near_lines_share_a_segment():
+    """Every pair within the allowed edits has a common key, with many words, few, or one; and parity maps allow it."""
+    rng = random.Random(12)
+    shared = 0
+    for trial in range(400):
+        vocabulary = [f"w{i}" for i in range(rng.choice([1, 2, 3, 8, 50, 5000]))]
+        a = rng.choices(vocabulary, k=rng.choice([20, 21, 29, 30, 55, 140]))
+        b = list(a)
+        for _ in range(rng.randrange(1, len(a) // 10 + 1)):
+            at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[at:at + (kind > 0)] = [rng.choice(vocabulary + ["new"])] if kind < 2 else []
+        k = min(len(a), len(b)) // 10
+        if a == b or distance(a, b) > k or len(b) < 20:
+            continue
+        data, offsets = utf8(pa.array([" ".join(a) + "\n" + " ".join(b)]))
+        w = words(data, offsets)
+        _, head, tail, _, _ = line_dedup.lines_of(w, w.data)
+        line, key = line_dedup._segments(w, head, tail)
+        assert set(key[line == 0]) & set(key[line == 1])
+        _, bits = line_dedup._parities(w, head, tail)
+        assert sum(int(x).bit_count() for x in bits[0] ^ bits[1]) <= 2 * k
+        shared += 1
+    assert shared > 150
+
+
 def test_empty_table(spark, docs):
     assert line_dedup.repeated(docs.where(F.lit(False))).count() == 0
