@@ -31,9 +31,9 @@ from tessera.session import materialize
 MIN_WORDS = 8    # shorter lines are removed only if equal
 EDIT_WORDS = 10  # words of the shorter line for each edit between near lines; one edit is always allowed
 CUTS = (4, 2, 1)  # words per segment start on average; the next for lines with too few segments
-BITS = 512       # of a line's parity map
+BITS = 256       # of a line's parity map
 
-OCCURRENCES = "row long, doc_id long, tag long, line int, content long, n int, halves array<long>, segments array<long>, bits array<long>"
+OCCURRENCES = "row long, id long, doc_id long, tag long, line int, content long, n int, halves array<long>, segments array<long>, bits array<long>"
 
 
 def _halves(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +131,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
     segment keys and parity maps. A text without lines gives one row whose line is null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = TaskContext.get().partitionId() << 40
+        count = number_of = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, tags = batch.column("doc_id"), batch.column("tag")
             for lo, hi, w in each_chunk(batch):
@@ -148,10 +148,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 content = np.concatenate([spans(w.hash, head, tail).view(np.int64), bare * 0])
                 size = np.concatenate([tail - head, bare * 0]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(count + rows), ids.take(take), tags.take(take), pa.array(number.astype(np.int32), mask=missing),
+                    [pa.array(count + rows), pa.array(number_of + np.arange(len(rows))), ids.take(take), tags.take(take), pa.array(number.astype(np.int32), mask=missing),
                      pa.array(content, mask=missing), pa.array(size), *lists],
-                    names=["row", "doc_id", "tag", "line", "content", "n", "halves", "segments", "bits"])
+                    names=["row", "id", "doc_id", "tag", "line", "content", "n", "halves", "segments", "bits"])
                 count += hi - lo
+                number_of += len(rows)
 
     return docs.mapInArrow(run, OCCURRENCES)
 
@@ -259,17 +260,18 @@ def _verified(pairs: DataFrame) -> DataFrame:
 LINE = ("place", "content", "n", "bits")
 
 
-def _shared_segments(lines: DataFrame, contents: DataFrame) -> DataFrame:
+def _shared_segments(lines: DataFrame) -> DataFrame:
     """(key, place, content, n, bits) of the segment keys that several different lines
-    have, by their earliest places. Keys are counted alone first, so that the
-    others aren't shuffled with their lines."""
-    keys = lines.select("content", F.explode("segments").alias("key"))
+    have, by their earliest places. Keys are counted alone first; only lines with a key
+    that counts twice are looked at again, and copies of a line then go."""
+    keys = lines.select("id", F.explode("segments").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    some = materialize(keys.join(several, "key"), "segments").distinct()  # copies of a line go
-    some = materialize(some, "segments")
+    some = materialize(keys.join(several, "key"), "segments")
+    own = lines.select("id", "place", "content", "n", "bits").join(materialize(some.select("id").distinct(), "ids"), "id")
+    own = own.groupBy("content").agg(F.min(F.struct("place", "id", "n", "bits")).alias("first")).select("first.*", "content")
+    some = materialize(some.join(materialize(own, "long"), "id").select("key", *LINE), "segments")
     several = some.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    long = lines.where(F.size("bits") > 0).groupBy("content").agg(F.min("place").alias("place"), F.first("n").alias("n"), F.first("bits").alias("bits"))
-    return materialize(some.join(several, "key").join(long, "content").select("key", *LINE), "segments")
+    return materialize(some.join(several, "key"), "segments")
 
 
 def _apart(other: str) -> Column:
@@ -325,8 +327,10 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     def tokens_of(wanted: DataFrame) -> DataFrame:
         """(content, place, tokens) of (content), each once."""
-        at = lines.select("content", "place", "doc_id", "tag").join(contents.select("content", "place").join(wanted, "content"), ["content", "place"])
-        at = at.groupBy("doc_id", "tag").agg(F.collect_set("content").alias("wanted"))
+        # written, so that Spark sees their sizes before it chooses to shuffle lines and texts
+        wanted = materialize(contents.select("content", "place").join(materialize(wanted, "wanted"), "content"), "wanted")
+        at = lines.select("content", "place", "doc_id", "tag").join(wanted, ["content", "place"])
+        at = materialize(at.groupBy("doc_id", "tag").agg(F.collect_set("content").alias("wanted")), "wanted")
         found = own.join(at, own["doc_id"].eqNullSafe(at["doc_id"]) & (own["tag"] == at["tag"])).select("text", "wanted")
         return materialize(_tokens(found).dropDuplicates(["content"]).join(contents.select("content", "place"), "content"), "tokens")
 
@@ -340,7 +344,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     pairs = tokens.join(earlier, "content").join(tokens.select(F.col("place").alias("earliest"), F.col("tokens").alias("other")), "earliest")
     gone = _verified(pairs)
 
-    cut = _shared_segments(lines, contents)
+    cut = _shared_segments(lines)
     least = cut.groupBy("key").agg(F.min(F.struct(*LINE)).alias("least"))
     near = cut.join(least, "key").where(_allowed("least.")).groupBy("content").agg(F.min_by("least.content", F.struct(_apart("least."), "least.place")).alias("before"))
     near = materialize(near, "nearest")
