@@ -31,9 +31,10 @@ from tessera.session import materialize
 MIN_WORDS = 8    # shorter lines are removed only if equal
 EDIT_WORDS = 10  # words of the shorter line for each edit between near lines; one edit is always allowed
 CUTS = (4, 2, 1)  # words per segment start on average; the next for lines with too few segments
-BITS = 256       # of a line's parity map
+BITS = 256       # of the parity map of a line of WIDE words or more
+WIDE = 160       # shorter lines have the map of 64 bits alone
 
-OCCURRENCES = "row long, id long, doc_id long, tag long, line int, content long, n int, halves array<long>, segments array<long>, bits array<long>"
+OCCURRENCES = "row long, id long, doc_id long, tag long, line int, content long, n int, halves array<long>, segments array<long>, small long, bits array<long>"
 
 
 def _halves(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
@@ -72,8 +73,9 @@ def _segments(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
     """(line, key) of the segments that long lines within the allowed edits share.
 
     A segment goes from a word whose hash the level chooses, or the line's first,
-    to before the next. Substituting, adding or deleting a word leaves all but two
-    segments of either line as they were. So of two lines within k edits each has at
+    up to the next such word, which it includes. A word is in two segments at most and
+    the place between two words in one, so substituting, adding or deleting a word
+    leaves all but two segments of either line as they were. So of two lines within k edits each has at
     most 2 * k segments that the other lacks, equal ones counted apart, and if one
     has more than 2 * k, the first 2 * k + 1 of both in one order of all segments
     hold a common one. A line with no more gives the next level's as well; if both
@@ -90,7 +92,7 @@ def _segments(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
         cut = (mix(w.hash[at] ^ salt) % U(level) == 0) | (at == head[lines][of])
         line, a = of[cut], at[cut]
         last = np.append(line[1:] != line[:-1], True)
-        b = np.where(last, tail[lines][line], np.append(a[1:], 0))
+        b = np.where(last, tail[lines][line], np.append(a[1:], 0) + 1)
         key, length = mix(spans(w.hash, a, b) ^ salt), b - a
         for again in (True, False):
             order = np.lexsort((key, -length, line))
@@ -110,7 +112,8 @@ def _segments(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
 
 def _parities(w, head, tail) -> tuple[np.ndarray, np.ndarray]:
     """(line, BITS / 64 numbers) of long lines: whether an odd number of the
-    words falls into each bucket. An edit changes two of these bits at most."""
+    words falls into each bucket. An edit changes two of these bits at most, and as
+    few of the 64 bits that the numbers give combined."""
     lines = np.flatnonzero(tail - head >= 2 * EDIT_WORDS)
     of, at = _places(head, tail, lines)
     bucket = mix(w.hash[at] ^ seeds(1, 23)[0]) % U(BITS)
@@ -141,7 +144,10 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 none = np.zeros(0, np.int64), np.zeros(0, U)
                 lists = [_lists(*(f(w, head, tail) if len(row) else none), len(rows)) for f in (_halves, _segments)]
                 long, bits = _parities(w, head, tail) if len(row) else (none[0], np.zeros((0, BITS // 64), U))
-                lists.append(_lists(np.repeat(long, BITS // 64), bits.ravel(), len(rows)))
+                small = np.zeros(len(rows), U)
+                small[long] = np.bitwise_xor.reduce(bits, axis=1)
+                wide = (tail - head)[long] >= WIDE
+                lists += pa.array(small.view(np.int64)), _lists(np.repeat(long[wide], BITS // 64), bits[wide].ravel(), len(rows))
                 take = pa.array(lo + rows)
                 missing = np.arange(len(rows)) >= len(row)
                 number = np.concatenate([_numbers(w, row, start), bare * 0])
@@ -150,7 +156,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(count + rows), pa.array(number_of + np.arange(len(rows))), ids.take(take), tags.take(take), pa.array(number.astype(np.int32), mask=missing),
                      pa.array(content, mask=missing), pa.array(size), *lists],
-                    names=["row", "id", "doc_id", "tag", "line", "content", "n", "halves", "segments", "bits"])
+                    names=["row", "id", "doc_id", "tag", "line", "content", "n", "halves", "segments", "small", "bits"])
                 count += hi - lo
                 number_of += len(rows)
 
@@ -257,32 +263,35 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.select("content", "tokens", "other").mapInArrow(run, "content long")
 
 
-LINE = ("place", "content", "n", "bits")
+LINE = ("place", "content", "n", "small", "bits")
 
 
 def _shared_segments(lines: DataFrame) -> DataFrame:
-    """(key, place, content, n, bits) of the segment keys that several different lines
+    """(key, place, content, n, small, bits) of the segment keys that several different lines
     have, by their earliest places. Keys are counted alone first; only lines with a key
     that counts twice are looked at again, and copies of a line then go."""
     keys = lines.select("id", F.explode("segments").alias("key"))
     several = keys.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
     some = materialize(keys.join(several, "key"), "segments")
-    own = lines.select("id", "place", "content", "n", "bits").join(materialize(some.select("id").distinct(), "ids"), "id")
-    own = own.groupBy("content").agg(F.min(F.struct("place", "id", "n", "bits")).alias("first")).select("first.*", "content")
-    some = materialize(some.join(materialize(own, "long"), "id").select("key", *LINE), "segments")
+    own = lines.select("id", "place", "content", "n", "small", "bits").join(materialize(some.select("id").distinct(), "ids"), "id")
+    own = own.groupBy("content").agg(F.min(F.struct("place", "id", "n", "small", "bits")).alias("first")).select("first.*", "content")
+    own = materialize(own, "long")
+    some = materialize(some.join(own.select("id"), "id"), "segments")
     several = some.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1").select("key")
-    return materialize(some.join(several, "key"), "segments")
+    return materialize(some.join(several, "key").join(own, "id").select("key", *LINE), "segments")
 
 
 def _apart(other: str) -> Column:
-    """Bits in which the parity maps of two lines differ."""
-    return reduce(Column.__add__, [F.bit_count(F.col("bits")[i].bitwiseXOR(F.col(f"{other}bits")[i])) for i in range(BITS // 64)])
+    """Bits in which the 64-bit parity maps of two lines differ."""
+    return F.bit_count(F.col("small").bitwiseXOR(F.col(f"{other}small")))
 
 
 def _allowed(other: str) -> Column:
     """Whether the other line comes before, and lengths and parity maps don't exclude the allowed edits."""
     edits = F.floor(F.least("n", f"{other}n") / EDIT_WORDS)
-    return (F.col(f"{other}place") < F.col("place")) & (F.abs(F.col("n") - F.col(f"{other}n")) <= edits) & (_apart(other) <= 2 * edits)
+    fits = (F.col(f"{other}place") < F.col("place")) & (F.abs(F.col("n") - F.col(f"{other}n")) <= edits) & (_apart(other) <= 2 * edits)
+    wide = reduce(Column.__add__, [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get(f"{other}bits", F.lit(i)))) for i in range(BITS // 64)])
+    return fits & ((F.least("n", f"{other}n") < WIDE) | (wide <= 2 * edits))
 
 
 def _compared(candidates: DataFrame, tokens_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
