@@ -33,8 +33,12 @@ LEVELS = ((3, 12, 1), (12, 150, 2))
 TINY, MORE = 16, 4
 SHORT = 400  # shingles of the texts that are compared by their rarest shingles last, which misses no pair
 BITS = 512   # of a text's parity map
+SAMPLED = 16  # one in so many open texts tells which shingles are common
+RARE = 256    # a shingle that fewer than one in so many of these hold isn't
+CROWD = 64    # texts that are joined on one shingle without exact counts
 SMALL = 16  # texts of an element that are compared in pairs at once
-LEADERS = 16
+LEADERS = 16  # hashed parts of a larger element
+MEETS = 4     # parts whose earliest text a text is compared with
 FIRST = 4   # elements of the first level that are compared before the others
 
 
@@ -185,12 +189,17 @@ def _close(a: str, b: str) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _stars(buckets: DataFrame, leaders: int) -> DataFrame:
-    """Candidates (a, b): each text of an element with its earliest text, or
-    with the earliest of each of ``leaders`` hashed parts."""
-    part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-    least = buckets.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "n", "label"), F.struct("doc", "node")).alias("least"))
-    both = buckets.join(least, "key").where((F.col("node") != F.col("least.node")) & (F.col("label") != F.col("least.label")) & _close("n", "least.n"))
+def _stars(buckets: DataFrame, leaders: int, meets: int = 1) -> DataFrame:
+    """Candidates (a, b): each text of an element with the earliest texts of ``meets`` of ``leaders``
+    hashed parts, and these with the earliest of all. An element deals its texts to parts
+    in its own way, so a text meets other leaders in each of its elements."""
+    dealt = buckets.withColumn("part", F.pmod(F.xxhash64("node", "key"), F.lit(leaders)))
+    least = dealt.groupBy("key", "part").agg(F.min_by(F.struct("node", "n", "label"), F.struct("doc", "node")).alias("least"), F.min("doc").alias("doc"))
+    top = least.groupBy("key").agg(F.min_by("least", F.struct("doc", "least.node")).alias("top"))
+    near = F.transform(F.sequence(F.lit(0), F.lit(meets - 1)), lambda i: F.pmod(F.col("part") + i, F.lit(leaders)))
+    both = dealt.join(least.select("key", F.explode(near).alias("part"), "least"), ["key", "part"]).select("node", "n", "label", "least")
+    both = both.union(least.join(top, "key").select("least.node", "least.n", "least.label", "top"))
+    both = both.where((F.col("node") != F.col("least.node")) & (F.col("label") != F.col("least.label")) & _close("n", "least.n"))
     a, b = F.col("least.node"), F.col("node")
     return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
@@ -203,22 +212,49 @@ def _pairs(buckets: DataFrame, shared: int) -> DataFrame:
         F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
 
 
-def _rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
-    """Candidates (a, b): all pairs of ``texts`` of up to SHORT shingles that can
-    have SIMILARITY, but for those of one label.
+def _common(every: DataFrame) -> np.ndarray:
+    """Shingles that many texts of a sample hold, in order: a share of 1 / RARE of it or more, so
+    there are RARE * SHORT of them at most, whatever the input. They only choose an order."""
+    sample = every.where(F.pmod(F.xxhash64("node"), F.lit(SAMPLED)) == 0).select("own")
+    least = max(3, -(-sample.count() // RARE))
+    held = sample.select(F.explode("own").alias("key")).groupBy("key").agg(F.count("*").alias("texts")).where(F.col("texts") >= least)
+    return np.sort(held.select("key").toPandas()["key"].to_numpy(np.int64))
 
-    Such a pair has SIMILARITY of each one's shingles in common, so it has one in
-    common among the (1 - SIMILARITY) * n + 1 of each that come first in an order
-    of all shingles; here those that the fewest texts hold. It differs in (n + m)
-    / 9 shingles at most, and so in no more bits of the parity maps."""
-    every = materialize(_labelled(profiles(texts), labels), "profiles")
-    tokens = every.select("node", "n", F.explode("own").alias("key"))
-    held = tokens.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1")
-    listed = tokens.join(held, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key"))).alias("keys"))
+
+def _prefixes(every: DataFrame, common: np.ndarray) -> DataFrame:
+    """(node, label, key) of the shingles of which a pair of SIMILARITY has one in common, if all
+    are ordered by their hash, with the ``common`` ones last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("own")
+            size, own = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            row = np.repeat(np.arange(len(size)), size)
+            order = np.lexsort((own, np.isin(own, common), row))
+            at = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
+            use = at < (size - np.ceil(SIMILARITY * size - 1e-6) + 1)[row]
+            each = pa.array(row[use])
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(each), batch.column("label").take(each), pa.array(own[order][use])],
+                                             names=["node", "label", "key"])
+
+    return every.select("node", "label", "own").mapInArrow(run, "node binary, label binary, key long")
+
+
+def _by_rarity(every: DataFrame) -> DataFrame:
+    """(node, key) as of _prefixes, but ordered by how many of the texts hold a shingle."""
+    tokens = every.select("node", "label", "n", F.explode("own").alias("key"))
+    held = tokens.groupBy("key").agg(F.count("*").alias("texts"), (F.min("label") != F.max("label")).alias("several")).where("texts > 1")
+    listed = tokens.join(held, "key").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("texts", "key", "several"))).alias("keys"))
     # what one text alone holds comes first
     first = F.col("n") - F.ceil(SIMILARITY * F.col("n") - 1e-6) + 1 - (F.col("n") - F.size("keys"))
     listed = listed.withColumn("first", first.cast("int")).where("first > 0")
-    keys = listed.select("node", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k")).select("node", "k.key")
+    keys = listed.select("node", F.explode(F.slice("keys", F.lit(1), F.col("first"))).alias("k"))
+    return keys.where("k.several").select("node", "k.key")
+
+
+def _near_on(keys: DataFrame, every: DataFrame) -> DataFrame:
+    """Candidates (a, b) with a key of (node, key) in common, of different labels; they
+    differ in (n + m) / 9 shingles at most, and so in no more bits of the parity maps."""
     keys = materialize(keys.join(every.drop("own"), "node"), "rare")
     left, right = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label")),
                                *(F.col("bits")[i].alias(f"{side}{i}") for i in range(BITS // 64))) for side in "ab")
@@ -229,6 +265,26 @@ def _rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def _rare_pairs(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """Candidates (a, b): all pairs of ``texts`` of up to SHORT shingles that can
+    have SIMILARITY, but for those of one label.
+
+    Such a pair has SIMILARITY of each one's shingles in common, so it has one in
+    common among the (1 - SIMILARITY) * n + 1 of each that come first in any one order
+    of all shingles. The first order needs no counts: by hash, with what many texts
+    of a sample hold last. Pairs are joined on such shingles if up to CROWD texts have them
+    there. A pair without one has a crowded one in common, so both its texts are
+    among those with a crowded one; these are joined again, ordered by exact counts."""
+    every = materialize(_labelled(profiles(texts), labels), "profiles")
+    keys = materialize(_prefixes(every, _common(every)), "prefixes")
+    held = keys.groupBy("key").agg(F.count("*").alias("texts"), F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+    keys = materialize(keys.join(held.select("key", "texts"), "key").select("node", "key", "texts"), "prefixes")
+    pairs = _near_on(keys.where(F.col("texts") <= CROWD).select("node", "key"), every)
+    crowded = every.join(keys.where(F.col("texts") > CROWD).select("node").distinct(), "node", "left_semi")
+    crowded = materialize(crowded, "crowded")
+    return pairs.union(_near_on(_by_rarity(crowded), crowded))
+
+
 def _sized(buckets: DataFrame) -> DataFrame:
     return buckets.join(buckets.groupBy("key").agg(F.count("*").alias("texts")).where("texts > 1"), "key")
 
@@ -245,7 +301,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     binds copies to their original in as many comparisons as there are copies.
     What is in one component then needs no more comparisons. Other texts are
     compared in all pairs if their element has up to SMALL, or else with the earliest
-    of each of LEADERS parts. Large elements whose texts are still in several
+    of MEETS of LEADERS parts. Large elements whose texts are still in several
     components are texts about one common passage, or groups that their leaders
     don't bind. Of these, texts of up to SHORT shingles are joined on their rarest
     shingles, which finds all their pairs; longer ones are sketched again with more
@@ -275,7 +331,7 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if last:
             pairs = _pairs(buckets, shared).union(_rare_pairs(own, labels)).distinct()
         else:
-            pairs = _stars(buckets.where(large), LEADERS).union(_pairs(buckets.where(~large), shared)).distinct()
+            pairs = _stars(buckets.where(large), LEADERS, MEETS).union(_pairs(buckets.where(~large), shared)).distinct()
         found.append(materialize(verified(pairs, texts), "verified"))
         labels = components(reduce(DataFrame.union, found))
         if last:

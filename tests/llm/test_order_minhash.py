@@ -143,3 +143,17 @@ def test_components(spark):
 def test_empty_table(spark, docs):
     none = docs.where(F.lit(False))
     assert order_minhash.classes(none).count() == 0 and order_minhash.one_of_each(none).count() == 0
+
+
+def test_crowded_shingles_need_exact_counts(spark, monkeypatch):
+    """Passages of a sample come last, and any shingle that several texts still have first is crowded."""
+    for name, value in (("CROWD", 1), ("RARE", 2), ("SAMPLED", 2)):
+        monkeypatch.setattr(order_minhash, name, value)
+    test_groups_passages_and_odd_rows(spark)
+
+
+def test_common_shingles_come_last(spark):
+    own = [[bytearray(b"a"), bytearray(b"a"), list(range(1, 11))], [bytearray(b"b"), bytearray(b"b"), [3, 20]], [bytearray(b"c"), bytearray(b"c"), [7]]]
+    every = spark.createDataFrame(own, "node binary, label binary, own array<long>")
+    found = sorted((bytes(r.node).decode(), r.key) for r in order_minhash._prefixes(every, np.array([1, 2, 3])).collect())
+    assert found == [("a", 4), ("a", 5), ("a", 6), ("b", 20), ("c", 7)]
