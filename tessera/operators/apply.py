@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .indexing import ranged_index
 from .stats import folder_stats
 
@@ -43,11 +44,13 @@ def initial_snapshot(listing: DataFrame, paths: DataFrame | None = None) -> tupl
     folders = with_new_ids(stats, ["folder_path"], 1).select(
         "id", F.col("folder_path").alias("path"), "total_size", "file_count",
         *[c for c in OPTIONAL_FOLDER_COLUMNS if c in stats.columns])
+    folders = materialize(folders, "folders")  # of a known size, so the files are joined where they are
     extra = [c for c in OPTIONAL_FILE_COLUMNS if c in listing.columns]
     files = listing.select("folder_path", "name", "size", *extra).join(
         folders.select(F.col("id").alias("folder_id"), F.col("path").alias("folder_path")),
         "folder_path")
-    files = with_new_ids(files, ["folder_path", "name"], 1).select(*FILE_COLUMNS, *extra)
+    # folder ids follow the paths, and are cheaper to compare
+    files = with_new_ids(files, ["folder_id", "name"], 1).select(*FILE_COLUMNS, *extra)
     return folders, files
 
 

@@ -4,16 +4,24 @@ Pipeline (all folders in one job, each folder with its own rule):
 
     keyed   : one row per file  (folder_path, name, row_key, col_key, expected)
     cells   : one row per (folder, row_key, col_key); the later file in
-              listing order wins the cell, earlier ones are collisions
+              listing order wins the cell, earlier ones are collisions; it
+              carries its row's count, and one per row the row's cells
     rows    : one row per (folder, row_key): number of distinct column keys
               and the first file seen
     valid   : rows whose column count equals the header size, numbered from
               0 per folder in order of first appearance
 
-Both aggregations are plain ``groupBy`` with map-side partial aggregation,
-so a hot row key (an empty rule puts a whole folder in one row) collapses
-before the shuffle. Cells are collected into a row only for *valid* rows,
-whose width is bounded by the header size; invalid rows stay long.
+The keys are written once. Files whose row has few files (at most ``CROWDED``)
+are shuffled once, by row: their cells, the row's column count and first file
+and its collected cells come from that one sorted pass. Files of crowded rows
+(an empty rule puts a whole folder in one row) are aggregated with plain
+``groupBy`` instead, whose map-side partial aggregation collapses a hot key
+before the shuffle; of these, cells are collected only for valid rows, whose
+width is bounded by the header size. Invalid rows stay long.
+
+Least and greatest names are texts, which Spark aggregates over sorted rows. So
+a hash of the keys leads the keys: it decides nearly all comparisons of the
+sort, which long equal paths would make costly.
 
 Listing order is name order (a directory listing is sorted by name) unless
 the listing carries an explicit ``ord`` column (names given as a list).
@@ -21,9 +29,9 @@ the listing carries an explicit ``ord`` column (names given as a list).
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.names import parts_key_upto, split_name_upto
@@ -33,6 +41,7 @@ from .indexing import ranged_index
 
 ROW = ["folder_path", "row_key", "expected"]
 CELL = ["folder_path", "row_key", "col_key", "expected"]
+CROWDED = 100  # files of a row above which it is aggregated before it is shuffled
 
 
 def _order_col(df: DataFrame) -> str:
@@ -71,31 +80,62 @@ class NameGrouping:
             cols = ["folder_path", "name"] + (["ord"] if "ord" in listing.columns else [])
             plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
             keyed = name_keys(plan.attach(listing.select(*cols)), plan)
-        # keep_keyed: the per-file keys are read twice (cells + collisions)
-        self.keyed = materialize(keyed) if keep_keyed else keyed
+        hashed = keyed.select(F.xxhash64(*ROW).alias("_row"), "*")
+        # the per-file keys are read for the hot rows, the cells and the collisions
+        self.hashed = materialize(hashed, "keyed") if reuse or keep_keyed else hashed
+        self.keyed = self.hashed.drop("_row")
         self.order = _order_col(keyed)
         self.reuse = reuse
 
-    @cached_property
-    def cells(self) -> DataFrame:
-        """One row per cell: winner ``name``, ``first_ord`` (earliest file
-        of the cell in listing order) and ``n_names``."""
+    def _collapsed(self, keyed: DataFrame, *keys) -> DataFrame:
         o = self.order
         winner = F.max("name") if o == "name" else F.max_by("name", o)
-        cells = (self.keyed.groupBy(*CELL)
-                 .agg(winner.alias("name"), F.min(o).alias("first_ord"),
-                      F.count(F.lit(1)).alias("n_names")))
+        return keyed.groupBy(*keys).agg(winner.alias("name"), F.min(o).alias("first_ord"), F.count(F.lit(1)).alias("n_names"))
+
+    def _few(self, keyed: DataFrame) -> DataFrame:
+        """Cells of rows of at most ``CROWDED`` files, by one shuffle."""
+        cells = self._collapsed(keyed.repartition("_row", *ROW), "_row", *ROW, "col_key")
+        w = Window.partitionBy("_row", *ROW)
+        return cells.select(*CELL, "name", "n_names", F.count(F.lit(1)).over(w).alias("n_cols"), F.min("first_ord").over(w).alias("first_seen"),
+                            F.min("col_key").over(w).alias("_least"), F.collect_list(F.struct("col_key", "name")).over(w).alias("entries"))
+
+    def _many(self, keyed: DataFrame) -> DataFrame:
+        """The same of rows of any size: no row's files or cells meet in one task
+        before they are aggregated, and only valid rows' cells are collected."""
+        cells = materialize(self._collapsed(keyed, F.xxhash64(*CELL).alias("_hash"), *CELL).drop("_hash"), "crowded-cells")
+        rows = materialize(cells.groupBy(F.xxhash64(*ROW).alias("_hash"), *ROW).agg(
+            F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen"), F.min("col_key").alias("_least")).drop("_hash"), "crowded-rows")
+        entries = (cells.join(rows.where(F.col("n_cols") == F.col("expected")).select(*ROW), ROW, "left_semi")
+                   .groupBy(*ROW).agg(F.collect_list(F.struct("col_key", "name")).alias("entries")))
+        # the entries of a row go to one of its cells
+        rows = rows.join(entries, ROW, "left")
+        return (cells.join(rows.select(*ROW, "n_cols", "first_seen", "_least"), ROW)
+                .join(rows.select(*ROW, F.col("_least").alias("col_key"), "entries"), CELL, "left"))
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """One row per cell: winner ``name`` (the last file of the cell in listing
+        order), ``n_names`` and its row's ``n_cols``. One cell of each row stands for
+        it (``stands``): it has ``first_seen`` (earliest file of the row) and, if the
+        row is valid, its ``entries``."""
+        crowded = self.hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
+        crowded = materialize(crowded.select("_row"), "crowded")
+        if crowded.isEmpty():
+            parts = [self._few(self.hashed)]
+        else:
+            parts = [self._few(self.hashed.join(crowded, "_row", "left_anti")), self._many(self.hashed.join(crowded, "_row", "left_semi"))]
+        stands = F.col("col_key") == F.col("_least")
+        parts = [p.select(*CELL, "name", "n_names", "n_cols", stands.alias("stands"), F.when(stands, F.col("first_seen")).alias("first_seen"),
+                          F.when(stands & (F.col("n_cols") == F.col("expected")), F.array_sort("entries")).alias("entries")) for p in parts]
+        cells = reduce(DataFrame.unionByName, parts)
         # rows, valid, invalid and the CSV all read the cells: write them
-        # once (a parquet table in the checkpoint folder) instead of re-running
-        # the name split
+        # once (a parquet table in the checkpoint folder)
         return materialize(cells) if self.reuse else cells
 
     @cached_property
     def rows(self) -> DataFrame:
-        """One row per row key: ``n_cols`` and ``first_seen``. One partial row per
-        key and task is shuffled, so it is computed from the cells where needed."""
-        return (self.cells.groupBy(*ROW)
-                .agg(F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen")))
+        """One row per row key: ``n_cols`` and ``first_seen``."""
+        return self.cells.where("stands").select(*ROW, "n_cols", "first_seen")
 
     def number(self, rows: DataFrame, out: str) -> DataFrame:
         """0-based position per folder by first appearance."""
@@ -107,34 +147,31 @@ class NameGrouping:
 
     @cached_property
     def valid_rows(self) -> DataFrame:
-        return self.rows.where(F.col("n_cols") == F.col("expected"))
+        """Rows whose column count equals the header size, with their cells as
+        sorted ``entries``."""
+        return (self.cells.where(F.col("stands") & (F.col("n_cols") == F.col("expected")))
+                .select(*ROW, "n_cols", "first_seen", "entries"))
 
     @cached_property
     def valid_cells(self) -> DataFrame:
-        return self.cells.join(self.valid_rows.select(*ROW), ROW, "left_semi")
+        return self.cells.where(F.col("n_cols") == F.col("expected")).select(*CELL, "name")
 
     @cached_property
     def invalid_cells(self) -> DataFrame:
         """Cells of rows whose column count differs from the header size."""
-        return self.cells.join(self.valid_rows.select(*ROW), ROW, "left_anti")
+        return self.cells.where(F.col("n_cols") != F.col("expected"))
 
     @cached_property
     def numbered_valid(self) -> DataFrame:
-        """Valid rows with their ``row_number``, without cells."""
-        return self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols")
+        """Valid rows with their ``row_number``."""
+        return self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols", "entries")
 
     def valid_groups(self) -> DataFrame:
         """Valid rows numbered 0.. per folder by first appearance, with their
-        cells as a map (at most ``expected`` entries per row). Only the rows' keys
-        are numbered. Cells of other rows drop out in the join, before any are
-        collected, so a row key with very many columns is never one row; the
-        join's partitioning by row serves the collecting too."""
-        per_row = (self.cells.select(*CELL, "name").join(self.numbered_valid, ROW)
-                   .groupBy(*ROW, "row_number", "first_seen", "n_cols")
-                   .agg(F.array_sort(F.collect_list(F.struct("col_key", "name"))).alias("entries")))
-        return per_row.select("folder_path", "row_number",
-                              "row_key", "first_seen", "n_cols", "expected",
-                              F.map_from_entries("entries").alias("cells"), "entries")
+        cells as a map (at most ``expected`` entries per row)."""
+        return self.numbered_valid.select("folder_path", "row_number",
+                                          "row_key", "first_seen", "n_cols", "expected",
+                                          F.map_from_entries("entries").alias("cells"), "entries")
 
     def invalid_files(self) -> DataFrame:
         """Names kept in invalid rows (cell winners), long form."""

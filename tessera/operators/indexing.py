@@ -13,8 +13,9 @@ then sort a third of the data on one core. ``ranged_index`` instead:
    differently on a second evaluation;
 3. counts rows per (partition, group) - a table no larger than
    partitions + groups - and turns the counts into per-group offsets with a
-   running sum over partitions;
-4. joins the offsets back: index = offset + position - first position.
+   running sum over partitions, written so that Spark knows their size;
+4. joins the offsets back: index = offset + position - first position. Where
+   the offsets are small they are broadcast and the rows stay where they are.
 
 The result equals ``row_number() - 1`` over the window when the order keys
 are unique within a group.
@@ -55,8 +56,8 @@ def ranged_index(df: DataFrame, group_by: Sequence[str], order_by: Sequence[str]
     if group_by:
         w = Window.partitionBy(*group_by).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     stats = stats.withColumn("_offset", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-    joined = ranged.join(stats.select("_pid", *group_by, "_offset", "_first"),
-                         ["_pid", *group_by])
+    stats = materialize(stats.select("_pid", *group_by, "_offset", "_first"), "offsets")
+    joined = ranged.join(stats, ["_pid", *group_by])
     idx = F.col("_offset") + F.col("_pos") - F.col("_first") + F.lit(base)
     return joined.withColumn(out, idx).drop("_pid", "_pos", "_offset", "_first")
 

@@ -48,8 +48,9 @@ def initial_load(store: VersionedStore, listing: DataFrame, rules: DataFrame,
     if store.current() is not None:
         raise FileExistsError(f"{store.root} has a committed version")
     stamp = updated_at or _now()
-    listing, paths = _scanned(listing, folders, file_exclusions, folder_exclusions)
     with scratch_job(store.spark):
+        # read for the paths, totals, files, folder rules and cells: derived once
+        listing, paths = _scanned(materialize(listing, "listing"), folders, file_exclusions, folder_exclusions)
         new_folders, files = initial_snapshot(listing, paths)
         b = build_blocks(listing, rules)
         heads = materialize(b.block_heads)

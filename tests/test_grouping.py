@@ -193,3 +193,31 @@ def test_listed_names_use_list_order(spark):
     assert got == want
     assert got == {(0, (("A", "z_A.txt"), ("B", "z_B.txt"))),
                    (1, (("A", "a_A.txt"), ("B", "a_B.txt")))}
+
+
+def test_crowded_rows_match_the_plain_grouping(spark):
+    """Rows of more files than are shuffled by row: one cell of many names, a row
+    of many columns, a valid row as wide as its header, beside small rows."""
+    wide = [f"c{i:03d}" for i in range(150)]
+    lst = (listing(spark, "/one", [f"a_x_{i}.txt" for i in range(300)] + ["a_y_0.txt", "b_x_0.txt"])
+           .unionByName(listing(spark, "/cols", [f"a_{c}.txt" for c in wide] + ["b_x.txt", "b_y.txt"]))
+           .unionByName(listing(spark, "/wide", [f"a_{c}.txt" for c in wide] + ["b_c001.txt"])))
+    g = NameGrouping(lst, rules(spark, ("/one", "1", ["_", "."], ["x", "y"], [0], [1], 0, 0), ("/cols", "1", ["_", "."], ["x", "y"], [0], [1], 0, 0),
+                                ("/wide", "1", ["_", "."], wide, [0], [1], 0, 0)))
+    got = {(r["folder_path"], r["row_number"], r["row_key"], r["first_seen"]): r["cells"] for r in g.valid_groups().collect()}
+    assert got == {("/one", 0, "a", "a_x_0.txt"): {"x": "a_x_99.txt", "y": "a_y_0.txt"},
+                   ("/cols", 0, "b", "b_x.txt"): {"x": "b_x.txt", "y": "b_y.txt"},
+                   ("/wide", 0, "a", "a_c000.txt"): {c: f"a_{c}.txt" for c in wide}}
+    assert {(r["folder_path"], r["row_key"], r["n_cols"]) for r in g.rows.collect()} == {
+        ("/one", "a", 2), ("/one", "b", 1), ("/cols", "a", 150), ("/cols", "b", 2), ("/wide", "a", 150), ("/wide", "b", 1)}
+    assert g.cells.count() == 2 + 1 + 150 + 2 + 150 + 1
+    assert sorted(r["name"] for r in g.invalid_files().collect()) == sorted([f"a_{c}.txt" for c in wide] + ["b_x_0.txt", "b_c001.txt"])
+    assert g.collisions().count() == 299
+
+
+def test_valid_rows_are_not_joined_with_their_cells(spark):
+    names = [f"sample{s}_S{s}_L001_R{r}_001.fastq.gz" for s in range(1, 60) for r in (1, 2)]
+    g = NameGrouping(listing(spark, "/d", names), rules(spark, ("/d",) + FASTQ))
+    text = g.valid_groups()._jdf.queryExecution().executedPlan().toString()
+    # the one join is that of the numbering's offsets, which are written
+    assert text.count("Join") == 1 and "Window" not in text

@@ -173,3 +173,17 @@ def test_incremental_totals_equal_a_refresh(spark):
         want = stats_refresh(upserted, dml.apply_file_changes(files, changes, upserted)).select("path", "total_size", "file_count")
         got = totals_by_changes(folders, changes)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_the_first_load_derives_its_listing_once(spark, tmpdir_path):
+    read = spark.sparkContext.accumulator(0)
+    rows = [(f"/data/d{i % 3}", f"{i}_A.txt", i) for i in range(40)]
+
+    def seen(row):
+        read.add(1)
+        return row
+
+    lst = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).map(seen), "folder_path string, name string, size long")
+    store = VersionedStore(spark, tmpdir_path + "/store")
+    sync_module.initial_load(store, lst, rules_frame(spark, RULES), DAY[0])
+    assert read.value == len(rows) == store.read("files").count()
