@@ -23,8 +23,8 @@ WHITESPACE_CLASS = (r"[\t\n\x{0B}\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
 WHITESPACE_CHARS = ("\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
                     + "\u2028\u2029\u202f\u205f\u3000")
 
-# Characters among which all other white space is.
-MAYBE_OTHER_SPACE = r"[\t-\r\x{80}-\x{10FFFF}]"
+# ASCII white space other than the space itself.
+OTHER_ASCII_SPACE = "\t\n\x0b\x0c\r"
 
 # Default file exclusions of a scan, and the exclusions used
 # when a block is built straight from a folder.
@@ -56,7 +56,8 @@ def split_name_upto(name, delimiters, max_delimiters: int) -> Column:
     x = name
     for i in range(max_delimiters):
         x = F.replace(x, F.coalesce(F.get(delimiters, i), F.lit("")), F.lit(" "))
-    plain = F.when(name.rlike(MAYBE_OTHER_SPACE), F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))).otherwise(x)
+    other = reduce(Column.__or__, [name.contains(c) for c in OTHER_ASCII_SPACE], F.octet_length(name) != F.char_length(name))
+    plain = F.when(other, F.translate(x, WHITESPACE_CHARS, " " * len(WHITESPACE_CHARS))).otherwise(x)
     return F.array_remove(F.split(plain, " "), "")
 
 
@@ -124,7 +125,7 @@ def csv_field(value) -> Column:
     empty; quote when it holds a comma, quote, CR or LF, starts with white
     space, or is exactly backslash-dot; quotes inside are doubled."""
     v = _col(value)
-    needs = (v.rlike(r'[,"\r\n]') | v.rlike("^" + WHITESPACE_CLASS) | (v == F.lit("\\.")))
+    needs = reduce(Column.__or__, [v.contains(c) for c in ',"\r\n']) | F.substring(v, 1, 1).isin(*WHITESPACE_CHARS) | (v == F.lit("\\."))
     return (F.when(v == "", F.lit(""))
             .when(needs, F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"')))
             .otherwise(v))

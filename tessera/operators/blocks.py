@@ -22,8 +22,8 @@ from .indexing import ranged_index
 
 def long_cells(block_rows: DataFrame) -> DataFrame:
     """(block_id, row_number, col_key, name): one row per cell."""
-    return block_rows.select("block_id", "row_number",
-                             F.explode("cells").alias("col_key", "name"))
+    cells = F.inline("entries") if "entries" in block_rows.columns else F.explode("cells").alias("col_key", "name")
+    return block_rows.select("block_id", "row_number", cells)
 
 
 def override_headers(block_heads: DataFrame, headers: list[str]) -> DataFrame:

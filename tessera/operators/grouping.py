@@ -4,16 +4,16 @@ Pipeline (all folders in one job, each folder with its own rule):
 
     keyed   : one row per file  (folder_path, name, row_key, col_key, expected)
     cells   : one row per (folder, row_key, col_key); the later file in
-              listing order wins the cell, earlier ones are collisions; it
-              carries its row's count, and one per row the row's cells
-    rows    : one row per (folder, row_key): number of distinct column keys
-              and the first file seen
+              listing order wins the cell, earlier ones are collisions
+    rows    : one row per (folder, row_key): number of distinct column keys,
+              the first file seen and its cells; this is what is written
     valid   : rows whose column count equals the header size, numbered from
               0 per folder in order of first appearance
 
 The keys are written once. Files whose row has few files (at most ``CROWDED``)
 are shuffled once, by row: their cells, the row's column count and first file
-and its collected cells come from that one sorted pass. Files of crowded rows
+and its collected cells come from that one sorted pass, which writes a row for
+each row key. Files of crowded rows
 (an empty rule puts a whole folder in one row) are aggregated with plain
 ``groupBy`` instead, whose map-side partial aggregation collapses a hot key
 before the shuffle; of these, cells are collected only for valid rows, whose
@@ -29,7 +29,7 @@ the listing carries an explicit ``ord`` column (names given as a list).
 
 from __future__ import annotations
 
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -93,49 +93,54 @@ class NameGrouping:
         return keyed.groupBy(*keys).agg(winner.alias("name"), F.min(o).alias("first_ord"), F.count(F.lit(1)).alias("n_names"))
 
     def _few(self, keyed: DataFrame) -> DataFrame:
-        """Cells of rows of at most ``CROWDED`` files, by one shuffle."""
+        """Rows of at most ``CROWDED`` files with their cells, by one shuffle."""
         cells = self._collapsed(keyed.repartition("_row", *ROW), "_row", *ROW, "col_key")
-        w = Window.partitionBy("_row", *ROW)
-        return cells.select(*CELL, "name", "n_names", F.count(F.lit(1)).over(w).alias("n_cols"), F.min("first_ord").over(w).alias("first_seen"),
-                            F.min("col_key").over(w).alias("_least"), F.collect_list(F.struct("col_key", "name")).over(w).alias("entries"))
+        w = Window.partitionBy("_row", *ROW).orderBy("col_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        rows = cells.select(*ROW, F.count(F.lit(1)).over(w).alias("n_cols"), F.min("first_ord").over(w).alias("first_seen"),
+                            F.collect_list(F.struct("col_key", "name", "n_names")).over(w).alias("own"),
+                            (F.col("col_key") == F.first("col_key").over(w)).alias("_stands"))
+        return rows.where("_stands").drop("_stands")
 
-    def _many(self, keyed: DataFrame) -> DataFrame:
+    def _many(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The same of rows of any size: no row's files or cells meet in one task
-        before they are aggregated, and only valid rows' cells are collected."""
+        before they are aggregated, and only valid rows' cells are collected. Also
+        the cells of the others, long."""
         cells = materialize(self._collapsed(keyed, F.xxhash64(*CELL).alias("_hash"), *CELL).drop("_hash"), "crowded-cells")
         rows = materialize(cells.groupBy(F.xxhash64(*ROW).alias("_hash"), *ROW).agg(
-            F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen"), F.min("col_key").alias("_least")).drop("_hash"), "crowded-rows")
-        entries = (cells.join(rows.where(F.col("n_cols") == F.col("expected")).select(*ROW), ROW, "left_semi")
-                   .groupBy(*ROW).agg(F.collect_list(F.struct("col_key", "name")).alias("entries")))
-        # the entries of a row go to one of its cells
-        rows = rows.join(entries, ROW, "left")
-        return (cells.join(rows.select(*ROW, "n_cols", "first_seen", "_least"), ROW)
-                .join(rows.select(*ROW, F.col("_least").alias("col_key"), "entries"), CELL, "left"))
+            F.count(F.lit(1)).alias("n_cols"), F.min("first_ord").alias("first_seen")).drop("_hash"), "crowded-rows")
+        valid = rows.where(F.col("n_cols") == F.col("expected"))
+        own = F.array_sort(F.collect_list(F.struct("col_key", "name", "n_names")))
+        own = cells.join(valid.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(own.alias("own"))
+        other = rows.where(F.col("n_cols") != F.col("expected")).select(*ROW, "n_cols")
+        return rows.join(own, ROW, "left"), cells.join(other, ROW).select(*CELL, "name", "n_names", "n_cols")
 
     @cached_property
-    def cells(self) -> DataFrame:
-        """One row per cell: winner ``name`` (the last file of the cell in listing
-        order), ``n_names`` and its row's ``n_cols``. One cell of each row stands for
-        it (``stands``): it has ``first_seen`` (earliest file of the row) and, if the
-        row is valid, its ``entries``."""
+    def _grouped(self) -> tuple[DataFrame, DataFrame | None]:
+        """One row per row key: ``n_cols``, ``first_seen`` (earliest file) and ``own`` (its cells
+        by column key); and the cells of crowded invalid rows, whose ``own`` is null."""
         crowded = self.hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
         crowded = materialize(crowded.select("_row"), "crowded")
         if crowded.isEmpty():
-            parts = [self._few(self.hashed)]
+            rows, long = self._few(self.hashed), None
         else:
-            parts = [self._few(self.hashed.join(crowded, "_row", "left_anti")), self._many(self.hashed.join(crowded, "_row", "left_semi"))]
-        stands = F.col("col_key") == F.col("_least")
-        parts = [p.select(*CELL, "name", "n_names", "n_cols", stands.alias("stands"), F.when(stands, F.col("first_seen")).alias("first_seen"),
-                          F.when(stands & (F.col("n_cols") == F.col("expected")), F.array_sort("entries")).alias("entries")) for p in parts]
-        cells = reduce(DataFrame.unionByName, parts)
-        # rows, valid, invalid and the CSV all read the cells: write them
+            many, long = self._many(self.hashed.join(crowded, "_row", "left_semi"))
+            rows = self._few(self.hashed.join(crowded, "_row", "left_anti")).unionByName(many)
+        # rows, valid, invalid and the CSV all read the rows: write them
         # once (a parquet table in the checkpoint folder)
-        return materialize(cells) if self.reuse else cells
+        return (materialize(rows, "rows") if self.reuse else rows), long
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        """One row per cell: winner ``name`` (the last file of the cell in listing
+        order), ``n_names`` and its row's ``n_cols``."""
+        rows, long = self._grouped
+        own = rows.select(*ROW, "n_cols", F.inline("own")).select(*CELL, "name", "n_names", "n_cols")
+        return own if long is None else own.unionByName(long)
 
     @cached_property
     def rows(self) -> DataFrame:
         """One row per row key: ``n_cols`` and ``first_seen``."""
-        return self.cells.where("stands").select(*ROW, "n_cols", "first_seen")
+        return self._grouped[0].select(*ROW, "n_cols", "first_seen")
 
     def number(self, rows: DataFrame, out: str) -> DataFrame:
         """0-based position per folder by first appearance."""
@@ -149,8 +154,8 @@ class NameGrouping:
     def valid_rows(self) -> DataFrame:
         """Rows whose column count equals the header size, with their cells as
         sorted ``entries``."""
-        return (self.cells.where(F.col("stands") & (F.col("n_cols") == F.col("expected")))
-                .select(*ROW, "n_cols", "first_seen", "entries"))
+        entries = F.arrays_zip(F.col("own.col_key").alias("col_key"), F.col("own.name").alias("name"))
+        return self._grouped[0].where(F.col("n_cols") == F.col("expected")).select(*ROW, "n_cols", "first_seen", entries.alias("entries"))
 
     @cached_property
     def valid_cells(self) -> DataFrame:
@@ -163,15 +168,15 @@ class NameGrouping:
 
     @cached_property
     def numbered_valid(self) -> DataFrame:
-        """Valid rows with their ``row_number``."""
-        return self.number(self.valid_rows, "row_number").select(*ROW, "row_number", "first_seen", "n_cols", "entries")
+        """Valid rows' cells with their ``row_number``, without what only ``valid_groups``
+        shows of them: (folder_path, row_number, entries)."""
+        return self.number(self.valid_rows.select("folder_path", "first_seen", "entries"), "row_number").select("folder_path", "row_number", "entries")
 
     def valid_groups(self) -> DataFrame:
         """Valid rows numbered 0.. per folder by first appearance, with their
         cells as a map (at most ``expected`` entries per row)."""
-        return self.numbered_valid.select("folder_path", "row_number",
-                                          "row_key", "first_seen", "n_cols", "expected",
-                                          F.map_from_entries("entries").alias("cells"), "entries")
+        return self.number(self.valid_rows, "row_number").select(
+            "folder_path", "row_number", "row_key", "first_seen", "n_cols", "expected", F.map_from_entries("entries").alias("cells"), "entries")
 
     def invalid_files(self) -> DataFrame:
         """Names kept in invalid rows (cell winners), long form."""

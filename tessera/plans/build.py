@@ -24,6 +24,7 @@ from ..sources.rules import RulePlan, folder_rules, plan_rules
 class BlockBuild:
     listing: DataFrame
     rules: DataFrame
+    folders: DataFrame | None = None  # (folder_path) of the listing, where they are known
 
     @cached_property
     def plan(self) -> RulePlan:
@@ -45,12 +46,13 @@ class BlockBuild:
     @cached_property
     def grouping(self) -> NameGrouping:
         cols = ["folder_path", "name"] + (["ord"] if "ord" in self.listing.columns else [])
-        attached = self.plan.attach(self.listing.select(*cols)).where(F.col("rule_ok"))
+        attached = self.plan.attach(self.listing.select(*cols), self.folders).where(F.col("rule_ok"))
         return NameGrouping(None, keyed=name_keys(attached, self.plan))
 
     @cached_property
     def valid(self) -> DataFrame:
-        return self.grouping.valid_groups()
+        """Valid rows: (folder_path, row_number, cells, entries)."""
+        return self.grouping.numbered_valid.select("folder_path", "row_number", F.map_from_entries("entries").alias("cells"), "entries")
 
     @cached_property
     def block_rows(self) -> DataFrame:
@@ -60,10 +62,10 @@ class BlockBuild:
     @cached_property
     def block_heads(self) -> DataFrame:
         """One head per folder with a valid rule (such a folder has at least
-        one file, so its folders are read from the materialized cells)."""
+        one file, so its folders are read from the written rows)."""
         g = self.grouping
         counts = g.numbered_valid.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
-        folders = g.cells.select("folder_path").distinct()
+        folders = g.rows.select("folder_path").distinct()
         return (folder_rules(folders, self.plan).join(counts, "folder_path", "left")
                 .select(F.col("folder_path").alias("block_id"),
                         F.coalesce("header", F.array().cast("array<string>")).alias("column_headers"),
@@ -77,8 +79,8 @@ class BlockBuild:
             raise ValueError(f"folder {bad[0]['folder_path']!r}: {bad[0]['reason']}")
 
 
-def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False) -> BlockBuild:
-    b = BlockBuild(listing, rules)
+def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False, folders: DataFrame | None = None) -> BlockBuild:
+    b = BlockBuild(listing, rules, folders)
     if strict:
         b.check_strict()
     return b

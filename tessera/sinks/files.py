@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import csv_field
+from ..session import materialize
 
 
 def csv_lines(valid: DataFrame, column_keys: DataFrame, heads: DataFrame) -> DataFrame:
@@ -21,6 +22,7 @@ def csv_lines(valid: DataFrame, column_keys: DataFrame, heads: DataFrame) -> Dat
     header width."""
     keys = (column_keys.groupBy("folder_path")
             .agg(F.array_sort(F.collect_list("col_key")).alias("keys")))
+    keys = materialize(keys, "csv-keys")  # of a known size, so the rows are joined where they are
     data = valid.join(keys, "folder_path").select(
         "folder_path",
         (F.col("row_number") + 1).cast("bigint").alias("line_no"),

@@ -6,7 +6,7 @@ belongs to. Layout under ``root``::
     folders/<dir>/bucket=B/      id, path, total_size, file_count
     files/<dir>/bucket=B/        id, folder_id, folder_path, name, size
     block_heads/<dir>/bucket=B/  block_id, column_headers, n_rows, rule_version, rule_hash, block_file
-    block_rows/<dir>/bucket=B/   block_id, row_number, cells, entries   (sorted by block_id in each file)
+    block_rows/<dir>/bucket=B/   block_id, row_number, entries   (sorted by block_id in each file; read with ``cells``, their map)
     _commits/v=N/                a row per table: its schema and the directory of each bucket (written last)
 
 A commit writes only the buckets that it touches, to a directory of its own, and
@@ -39,6 +39,12 @@ COMMIT = ("version long, updated_at timestamp_ntz, n_buckets int, table_name str
           "parts array<struct<bucket:int,dir:string>>")
 
 
+def _stored(columns: list[str]) -> list[str]:
+    """The columns of a table that its files hold: a map of entries that are there
+    is made from them when it is read."""
+    return [c for c in columns if c != "cells" or "entries" not in columns]
+
+
 class ConcurrentCommit(FileExistsError):
     """Another writer committed the version first. ``buckets``: those that it
     changed since the version that this writer started from."""
@@ -120,7 +126,11 @@ class VersionedStore:
             raise FileNotFoundError(f"version {version} under {self.root} has no {table}")
         some = part.dirs if buckets is None else {b: part.dirs[b] for b in buckets if b in part.dirs}
         paths = [f"{self.root}/{table}/{d}/bucket={b}" for b, d in sorted(some.items())]
-        return self.spark.read.schema(part.schema).parquet(*paths) if paths else self.spark.createDataFrame([], part.schema)
+        if not paths:
+            return self.spark.createDataFrame([], part.schema)
+        own = _stored(part.schema.names)
+        df = self.spark.read.schema(T.StructType([part.schema[c] for c in own])).parquet(*paths)
+        return df if own == part.schema.names else df.withColumn("cells", F.map_from_entries("entries")).select(*part.schema.names)
 
     def read_block(self, block_id: str, version: int | None = None) -> DataFrame:
         """Rows of one block: only its bucket is listed, and of that the row groups
@@ -128,12 +138,15 @@ class VersionedStore:
         one = self.spark.range(1).select(F.lit(block_id).alias("folder_path"))
         return self.read("block_rows", version, self.buckets_of(one)).where(F.col("block_id") == F.lit(block_id))
 
-    def _write(self, table: str, df: DataFrame, dir: str) -> Part:
+    def _write(self, table: str, df: DataFrame, dir: str, ordered: bool = False) -> Part:
         """Writes a table's rows by bucket. A large bucket spans many tasks and
-        files. The largest id is observed by the write itself."""
+        files. The largest id is observed by the write itself. The rows of an
+        ``ordered`` table are not shuffled first: each task has few folders already."""
         ids = "id" in df.columns
         plain = T.StructType([T.StructField(f.name, f.dataType) for f in df.schema.fields])
-        placed = df.withColumn("bucket", self.bucket(FOLDER_OF[table])).hint("rebalance", F.col("bucket"))
+        placed = df.select(*_stored(df.columns)).withColumn("bucket", self.bucket(FOLDER_OF[table]))
+        if not ordered:
+            placed = placed.hint("rebalance", F.col("bucket"))
         placed = placed.sortWithinPartitions("bucket", *SORTED_BY[table])
         seen = Observation(f"{table}-{dir}")
         if ids:
@@ -148,14 +161,14 @@ class VersionedStore:
         return Part(plain, held, int(seen.get["max_id"] or 0) if ids else 0)
 
     def commit(self, tables: dict[str, DataFrame], updated_at: dt.datetime, version: int | None = None, *,
-               base: int | None = None, touched: Iterable[int] | None = None) -> int:
+               base: int | None = None, touched: Iterable[int] | None = None, ordered: Iterable[str] = ()) -> int:
         """Write the given tables as the next version, then its commit rows.
 
         With ``touched`` the tables hold the rows of these buckets only, and all
         other buckets are those of version ``base``; else a table is replaced as a
         whole. ``base``: the version that the tables were made from; if another
         one has been committed since, nothing is, and ConcurrentCommit says which
-        buckets it changed."""
+        buckets it changed. ``ordered``: large tables that come in order of their folders."""
         cur = self.current()
         before = self.tables(base if base is not None else cur[0]) if cur is not None else {}
         if version is None:
@@ -166,7 +179,7 @@ class VersionedStore:
         gone = None if touched is None else set(touched)
         parts = dict(before) if gone is not None else {}
         for name, df in tables.items():
-            part = self._write(name, df, dir)
+            part = self._write(name, df, dir, name in ordered)
             old = before.get(name)
             if gone is not None and old is not None:
                 part.dirs |= {b: d for b, d in old.dirs.items() if b not in gone}

@@ -221,3 +221,20 @@ def test_valid_rows_are_not_joined_with_their_cells(spark):
     text = g.valid_groups()._jdf.queryExecution().executedPlan().toString()
     # the one join is that of the numbering's offsets, which are written
     assert text.count("Join") == 1 and "Window" not in text
+
+
+def test_rows_are_written_once_each(spark):
+    """One written row per row key, with its cells; blocks number only what they show."""
+    names = [f"sample{s}_S{s}_L001_R{r}_001.fastq.gz" for s in range(1, 60) for r in (1, 2)] + ["sample60_S60_L001_R1_001.fastq.gz"]
+    g = NameGrouping(listing(spark, "/d", names), rules(spark, ("/d",) + FASTQ))
+    written = spark.read.parquet(*g.cells.inputFiles())
+    assert written.count() == g.rows.count() == 60 and g.cells.count() == 119
+    assert "row_key" not in g.numbered_valid._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_counts_of_collisions_stay_with_their_cells(spark):
+    g = NameGrouping(listing(spark, "/c", ["a_x_1.txt", "a_x_2.txt", "a_y_1.txt", "b_x_1.txt", "b_y_1.txt", "b_y_2.txt", "b_y_2.txt"]),
+                     rules(spark, ("/c", "1", ["_", "."], ["x", "y"], [0], [1], 0, 0)))
+    assert {(r["row_key"], r["col_key"], r["name"], r["n_names"], r["n_cols"]) for r in g.cells.collect()} == {
+        ("a", "x", "a_x_2.txt", 2, 2), ("a", "y", "a_y_1.txt", 1, 2), ("b", "x", "b_x_1.txt", 1, 2), ("b", "y", "b_y_2.txt", 3, 2)}
+    assert [r["entries"] for r in g.valid_rows.orderBy("row_key").collect()] == [[("x", "a_x_2.txt"), ("y", "a_y_1.txt")], [("x", "b_x_1.txt"), ("y", "b_y_2.txt")]]

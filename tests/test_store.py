@@ -187,3 +187,27 @@ def test_the_first_load_derives_its_listing_once(spark, tmpdir_path):
     store = VersionedStore(spark, tmpdir_path + "/store")
     sync_module.initial_load(store, lst, rules_frame(spark, RULES), DAY[0])
     assert read.value == len(rows) == store.read("files").count()
+
+
+def test_a_large_first_load_is_written_in_its_own_order(spark, tmpdir_path, monkeypatch):
+    """Numbered tables are in order of their folders, so they aren't shuffled by bucket
+    again; block rows keep their entries only, and are read with the map of them."""
+    lst = many(spark)
+    stores = []
+    for name, least in (("small", 1 << 40), ("large", 1)):
+        monkeypatch.setattr(sync_module, "ORDERED", least)
+        hints, hint = [], type(lst).hint
+        monkeypatch.setattr(type(lst), "hint", lambda df, *a: hints.append(a[0]) or hint(df, *a))
+        store = VersionedStore(spark, f"{tmpdir_path}/{name}", buckets=8)
+        sync_module.initial_load(store, lst, rules_frame(spark, RULES), DAY[0])
+        monkeypatch.undo()
+        stores.append((store, len(hints)))
+    (small, four), (large, two) = stores
+    assert (four, two) == (4, 2)
+    for table in ("folders", "files", "block_heads"):
+        assert sorted(map(str, small.read(table).collect())) == sorted(map(str, large.read(table).collect()))
+    rows = large.read("block_rows")
+    assert rows.columns == ["block_id", "row_number", "cells", "entries"]
+    assert "cells" not in spark.read.parquet(*rows.inputFiles()).columns
+    assert {(r["block_id"], r["row_number"], tuple(r["cells"].items())) for r in rows.collect()} == {
+        (r["block_id"], r["row_number"], tuple(map(tuple, r["entries"]))) for r in small.read("block_rows").collect()}
