@@ -111,8 +111,8 @@ class NameGrouping:
         valid = rows.where(F.col("n_cols") == F.col("expected"))
         own = F.array_sort(F.collect_list(F.struct("col_key", "name", "n_names")))
         own = cells.join(valid.select(*ROW), ROW, "left_semi").groupBy(*ROW).agg(own.alias("own"))
-        other = rows.where(F.col("n_cols") != F.col("expected")).select(*ROW, "n_cols")
-        return rows.join(own, ROW, "left"), cells.join(other, ROW).select(*CELL, "name", "n_names", "n_cols")
+        other = rows.where(F.col("n_cols") != F.col("expected")).select(*ROW, "n_cols", "first_seen")
+        return rows.join(own, ROW, "left"), cells.drop("first_ord").join(other, ROW).select(*CELL, "name", "n_names", "n_cols", "first_seen")
 
     @cached_property
     def _grouped(self) -> tuple[DataFrame, DataFrame | None]:
@@ -132,9 +132,9 @@ class NameGrouping:
     @cached_property
     def cells(self) -> DataFrame:
         """One row per cell: winner ``name`` (the last file of the cell in listing
-        order), ``n_names`` and its row's ``n_cols``."""
+        order), ``n_names`` and its row's ``n_cols`` and ``first_seen`` (earliest file)."""
         rows, long = self._grouped
-        own = rows.select(*ROW, "n_cols", F.inline("own")).select(*CELL, "name", "n_names", "n_cols")
+        own = rows.select(*ROW, "n_cols", "first_seen", F.inline("own")).select(*CELL, "name", "n_names", "n_cols", "first_seen")
         return own if long is None else own.unionByName(long)
 
     @cached_property
