@@ -183,19 +183,27 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def _close(a: str, b: str) -> Column:
+def _close(a: str | Column, b: str | Column) -> Column:
     """Whether texts of so many shingles can have SIMILARITY at all."""
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
-def _stars(buckets: DataFrame, leaders: int) -> DataFrame:
-    """Candidates (a, b): each text of an element with its earliest text, or
-    with the earliest of each of ``leaders`` hashed parts."""
+def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
+    """(key, leaders): one row per element with the earliest text of each of ``leaders`` hashed parts."""
     part = F.pmod(F.xxhash64("node"), F.lit(leaders))
     least = buckets.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "n", "label"), F.struct("doc", "node")).alias("least"))
-    both = buckets.join(least, "key").where((F.col("node") != F.col("least.node")) & (F.col("label") != F.col("least.label")) & _close("n", "least.n"))
-    a, b = F.col("least.node"), F.col("node")
-    return both.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+    return least.groupBy("key").agg(F.collect_list("least").alias("leaders"))
+
+
+def _stars(buckets: DataFrame, leaders: int) -> DataFrame:
+    """Candidates (a, b): each text of an element with its earliest text, or
+    with the earliest of each of ``leaders`` hashed parts. A leader that a text meets
+    in several elements is one candidate before any pair becomes a row."""
+    others = F.filter("leaders", lambda x: (F.col("node") != x["node"]) & (F.col("label") != x["label"]) & _close(F.col("n"), x["n"]))
+    both = buckets.join(_leaders(buckets, leaders), "key").select("node", F.transform(others, lambda x: x["node"]).alias("others"))
+    met = both.where(F.size("others") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    pairs = met.select("node", F.explode("others").alias("other"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def _pairs(buckets: DataFrame, shared: int) -> DataFrame:

@@ -157,3 +157,27 @@ def test_common_shingles_come_last(spark):
     every = spark.createDataFrame(own, "node binary, label binary, own array<long>")
     found = sorted((bytes(r.node).decode(), r.key) for r in order_minhash._prefixes(every, np.array([1, 2, 3])).collect())
     assert found == [("a", 4), ("a", 5), ("a", 6), ("b", 20), ("c", 7)]
+
+
+def test_leaders_of_crowded_elements(spark):
+    """200 unlinked texts that share ten elements: one row per element joins them, and
+    a pair that meets in every element is one candidate."""
+    rng = random.Random(5)
+    size = {bytes([i]) * 16: rng.choice([90, 100, 130]) for i in range(200)}
+    label = {x: x if i % 10 else b"l" * 16 for i, x in enumerate(size)}
+    rows = [(key, x, n, i * 7 % 50, label[x]) for key in range(10) for i, (x, n) in enumerate(size.items()) if key < 9 or i % 3]
+    buckets = spark.createDataFrame(rows, "key long, node binary, n long, doc long, label binary")
+    lead = order_minhash._leaders(buckets, 16).collect()
+    assert sorted(r.key for r in lead) == list(range(10))
+    want = set()
+    for r in lead:
+        assert 1 < len(r.leaders) <= 16
+        for x in r.leaders:
+            for key, y, n, _, own in rows:
+                if key == r.key and y != x.node and own != x.label and min(n, x.n) >= order_minhash.SIMILARITY * max(n, x.n):
+                    want.add(tuple(sorted((bytes(x.node), y))))
+    found = [(bytes(r.a), bytes(r.b)) for r in order_minhash._stars(buckets, 16).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    first = {r.key: bytes(r.leaders[0].node) for r in order_minhash._leaders(buckets, 1).collect()}
+    for key in range(10):
+        assert first[key] == min((doc, x) for k, x, _, doc, _ in rows if k == key)[1]
