@@ -11,9 +11,8 @@ Pipeline (all folders in one job, each folder with its own rule):
               0 per folder in order of first appearance
 
 The keys are written once. Files whose row has few files (at most ``CROWDED``)
-are shuffled once, by row: their cells, the row's column count and first file
-and its collected cells come from that one sorted pass, which writes a row for
-each row key. Files of crowded rows
+are shuffled once, by row, and sorted once: the row's files are collected in order,
+and its cells, column count and first file come from that list. Files of crowded rows
 (an empty rule puts a whole folder in one row) are aggregated with plain
 ``groupBy`` instead, whose map-side partial aggregation collapses a hot key
 before the shuffle; of these, cells are collected only for valid rows, whose
@@ -71,11 +70,14 @@ class NameGrouping:
 
     ``listing`` is ``(folder_path, name[, size][, ord])``; ``rules`` is a
     rules DataFrame (see ``sources.rules``). Folders without a rule are
-    skipped here (``plans.build`` reports them).
+    skipped here (``plans.build`` reports them). With ``valid_only`` just what numbered
+    blocks show is written of the rows: valid ones' folder, first file and entries;
+    other outputs can't be read then.
     """
 
     def __init__(self, listing: DataFrame, rules: DataFrame | None = None, *,
-                 keyed: DataFrame | None = None, reuse: bool = True, keep_keyed: bool = False):
+                 keyed: DataFrame | None = None, reuse: bool = True, keep_keyed: bool = False,
+                 valid_only: bool = False):
         if keyed is None:
             cols = ["folder_path", "name"] + (["ord"] if "ord" in listing.columns else [])
             plan = rules if isinstance(rules, RulePlan) else plan_rules(rules)
@@ -86,6 +88,7 @@ class NameGrouping:
         self.keyed = self.hashed.drop("_row")
         self.order = _order_col(keyed)
         self.reuse = reuse
+        self.valid_only = valid_only
 
     def _collapsed(self, keyed: DataFrame, *keys) -> DataFrame:
         o = self.order
@@ -93,13 +96,26 @@ class NameGrouping:
         return keyed.groupBy(*keys).agg(winner.alias("name"), F.min(o).alias("first_ord"), F.count(F.lit(1)).alias("n_names"))
 
     def _few(self, keyed: DataFrame) -> DataFrame:
-        """Rows of at most ``CROWDED`` files with their cells, by one shuffle."""
-        cells = self._collapsed(keyed.repartition("_row", *ROW), "_row", *ROW, "col_key")
-        w = Window.partitionBy("_row", *ROW).orderBy("col_key").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        rows = cells.select(*ROW, F.count(F.lit(1)).over(w).alias("n_cols"), F.min("first_ord").over(w).alias("first_seen"),
-                            F.collect_list(F.struct("col_key", "name", "n_names")).over(w).alias("own"),
-                            (F.col("col_key") == F.first("col_key").over(w)).alias("_stands"))
-        return rows.where("_stands").drop("_stands")
+        """Rows of at most ``CROWDED`` files with their cells, by one shuffle and one sort:
+        a row's files are collected by column key and listing order, and its cells made of
+        that list, which is done file by file only for rows in which a cell has several."""
+        o = self.order
+        w = Window.partitionBy("_row", *ROW).orderBy("col_key", o)
+        files = F.collect_list(F.struct(*dict.fromkeys(["col_key", "name", o]))).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+        rows = keyed.repartition("_row", *ROW).select(*ROW, files.alias("files"), (F.row_number().over(w) == 1).alias("_stands")).where("_stands")
+        keys = F.array_distinct("files.col_key")
+
+        def cell(key):
+            held = F.filter("files", lambda f: f["col_key"].eqNullSafe(key))
+            last = F.element_at(held, -1)
+            return F.struct(key.alias("col_key"), F.when(last[o].isNotNull(), last["name"]).alias("name"), F.size(held).cast("bigint").alias("n_names"))
+
+        own = F.transform(keys, cell)
+        if o == "name":
+            single = F.arrays_zip(F.col("files.col_key").alias("col_key"), F.col("files.name").alias("name"),
+                                  F.array_repeat(F.lit(1).cast("bigint"), F.size("files")).alias("n_names"))
+            own = F.when(F.size(keys) == F.size("files"), single).otherwise(own)
+        return rows.select(*ROW, F.size(keys).cast("bigint").alias("n_cols"), F.array_min(f"files.{o}").alias("first_seen"), own.alias("own"))
 
     def _many(self, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
         """The same of rows of any size: no row's files or cells meet in one task
@@ -114,8 +130,7 @@ class NameGrouping:
         other = rows.where(F.col("n_cols") != F.col("expected")).select(*ROW, "n_cols", "first_seen")
         return rows.join(own, ROW, "left"), cells.drop("first_ord").join(other, ROW).select(*CELL, "name", "n_names", "n_cols", "first_seen")
 
-    @cached_property
-    def _grouped(self) -> tuple[DataFrame, DataFrame | None]:
+    def _by_row(self) -> tuple[DataFrame, DataFrame | None]:
         """One row per row key: ``n_cols``, ``first_seen`` (earliest file) and ``own`` (its cells
         by column key); and the cells of crowded invalid rows, whose ``own`` is null."""
         crowded = self.hashed.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CROWDED)
@@ -125,6 +140,13 @@ class NameGrouping:
         else:
             many, long = self._many(self.hashed.join(crowded, "_row", "left_semi"))
             rows = self._few(self.hashed.join(crowded, "_row", "left_anti")).unionByName(many)
+        return rows, long
+
+    @cached_property
+    def _grouped(self) -> tuple[DataFrame, DataFrame | None]:
+        if self.valid_only:
+            raise ValueError("only the valid rows of this grouping are kept")
+        rows, long = self._by_row()
         # rows, valid, invalid and the CSV all read the rows: write them
         # once (a parquet table in the checkpoint folder)
         return (materialize(rows, "rows") if self.reuse else rows), long
@@ -154,8 +176,24 @@ class NameGrouping:
     def valid_rows(self) -> DataFrame:
         """Rows whose column count equals the header size, with their cells as
         sorted ``entries``."""
+        return self._valid(self._grouped[0])
+
+    @staticmethod
+    def _valid(rows: DataFrame) -> DataFrame:
         entries = F.arrays_zip(F.col("own.col_key").alias("col_key"), F.col("own.name").alias("name"))
-        return self._grouped[0].where(F.col("n_cols") == F.col("expected")).select(*ROW, "n_cols", "first_seen", entries.alias("entries"))
+        return rows.where(F.col("n_cols") == F.col("expected")).select(*ROW, "n_cols", "first_seen", entries.alias("entries"))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        """What numbered blocks show of valid rows: (folder_path, first_seen, entries)."""
+        rows = self._valid(self._by_row()[0]) if self.valid_only else self.valid_rows
+        rows = rows.select("folder_path", "first_seen", "entries")
+        return materialize(rows, "valid") if self.valid_only and self.reuse else rows
+
+    @cached_property
+    def folders(self) -> DataFrame:
+        """(folder_path) of all rows, valid or not."""
+        return (self.keyed if self.valid_only else self.rows).select("folder_path").distinct()
 
     @cached_property
     def valid_cells(self) -> DataFrame:
@@ -170,7 +208,15 @@ class NameGrouping:
     def numbered_valid(self) -> DataFrame:
         """Valid rows' cells with their ``row_number``, without what only ``valid_groups``
         shows of them: (folder_path, row_number, entries)."""
-        return self.number(self.valid_rows.select("folder_path", "first_seen", "entries"), "row_number").select("folder_path", "row_number", "entries")
+        return self.number(self.entries, "row_number").select("folder_path", "row_number", "entries")
+
+    @cached_property
+    def numbered_heads(self) -> DataFrame:
+        """(folder_path, row_number) of valid rows: those of ``numbered_valid`` where they
+        are numbered already, or else numbered without their cells."""
+        if "numbered_valid" in self.__dict__:
+            return self.numbered_valid.select("folder_path", "row_number")
+        return self.number(self.entries.drop("entries"), "row_number").select("folder_path", "row_number")
 
     def valid_groups(self) -> DataFrame:
         """Valid rows numbered 0.. per folder by first appearance, with their

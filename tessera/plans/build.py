@@ -25,6 +25,7 @@ class BlockBuild:
     listing: DataFrame
     rules: DataFrame
     folders: DataFrame | None = None  # (folder_path) of the listing, where they are known
+    valid_only: bool = False  # only blocks and rejects are read, not the grouping's other outputs
 
     @cached_property
     def plan(self) -> RulePlan:
@@ -47,7 +48,7 @@ class BlockBuild:
     def grouping(self) -> NameGrouping:
         cols = ["folder_path", "name"] + (["ord"] if "ord" in self.listing.columns else [])
         attached = self.plan.attach(self.listing.select(*cols), self.folders).where(F.col("rule_ok"))
-        return NameGrouping(None, keyed=name_keys(attached, self.plan))
+        return NameGrouping(None, keyed=name_keys(attached, self.plan), valid_only=self.valid_only)
 
     @cached_property
     def valid(self) -> DataFrame:
@@ -62,11 +63,11 @@ class BlockBuild:
     @cached_property
     def block_heads(self) -> DataFrame:
         """One head per folder with a valid rule (such a folder has at least
-        one file, so its folders are read from the written rows)."""
+        one file, so its folders are read from what the grouping wrote). Rows are
+        numbered with their cells only where ``valid`` was read before."""
         g = self.grouping
-        counts = g.numbered_valid.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
-        folders = g.rows.select("folder_path").distinct()
-        return (folder_rules(folders, self.plan).join(counts, "folder_path", "left")
+        counts = g.numbered_heads.groupBy("folder_path").agg(F.count(F.lit(1)).alias("n_rows"))
+        return (folder_rules(g.folders, self.plan).join(counts, "folder_path", "left")
                 .select(F.col("folder_path").alias("block_id"),
                         F.coalesce("header", F.array().cast("array<string>")).alias("column_headers"),
                         F.coalesce("n_rows", F.lit(0)).cast("bigint").alias("n_rows"),
@@ -79,8 +80,9 @@ class BlockBuild:
             raise ValueError(f"folder {bad[0]['folder_path']!r}: {bad[0]['reason']}")
 
 
-def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False, folders: DataFrame | None = None) -> BlockBuild:
-    b = BlockBuild(listing, rules, folders)
+def build_blocks(listing: DataFrame, rules: DataFrame, strict: bool = False, folders: DataFrame | None = None,
+                 valid_only: bool = False) -> BlockBuild:
+    b = BlockBuild(listing, rules, folders, valid_only)
     if strict:
         b.check_strict()
     return b
@@ -104,8 +106,9 @@ def incremental_blocks(old_heads: DataFrame, old_rows: DataFrame, listing: DataF
     reuse = materialize(reuse, "reused-heads")
     rebuild_listing = listing.join(reuse.select(F.col("block_id").alias("folder_path")),
                                    "folder_path", "left_anti")
-    fresh = build_blocks(rebuild_listing, plan)
+    fresh = build_blocks(rebuild_listing, plan, valid_only=True)
+    fresh_rows = fresh.block_rows  # numbered once, for the heads too
     heads = reuse.select(*fresh.block_heads.columns).unionByName(fresh.block_heads)
     rows = (old_rows.join(reuse.select("block_id"), "block_id", "left_semi")
-            .select(*fresh.block_rows.columns).unionByName(fresh.block_rows))
+            .select(*fresh_rows.columns).unionByName(fresh_rows))
     return heads, rows

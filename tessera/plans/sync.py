@@ -55,11 +55,12 @@ def initial_load(store: VersionedStore, listing: DataFrame, rules: DataFrame,
         # read for the paths, totals, files, folder rules and cells: derived once
         listing, paths = _scanned(materialize(listing, "listing"), folders, file_exclusions, folder_exclusions)
         new_folders, files = initial_snapshot(listing, paths)
-        b = build_blocks(listing, rules, folders=new_folders.select(F.col("path").alias("folder_path")))
+        b = build_blocks(listing, rules, folders=new_folders.select(F.col("path").alias("folder_path")), valid_only=True)
+        rows = b.block_rows  # numbered once, for the heads too
         heads = materialize(b.block_heads, "heads")
         # both tables come numbered in order of their folders
         sizes = {"files": new_folders.agg(F.sum("file_count")).first()[0], "block_rows": heads.agg(F.sum("n_rows")).first()[0]}
-        version = store.commit({"folders": new_folders, "files": files, "block_heads": heads, "block_rows": b.block_rows}, stamp, version=0,
+        version = store.commit({"folders": new_folders, "files": files, "block_heads": heads, "block_rows": rows}, stamp, version=0,
                                ordered={table for table, n in sizes.items() if (n or 0) >= ORDERED})
         return _status(store.spark, True, version, 0, 0, heads.count(), stamp)
 

@@ -403,7 +403,7 @@ def insert_if_absent(spark, sf_dir):
 
 def _blocks(spark, sf_dir):
     t = _t(spark, sf_dir)
-    return build_blocks(written(all_listings(t)), rules_frame(spark))
+    return build_blocks(written(all_listings(t)), rules_frame(spark), valid_only=True)
 
 
 @query
@@ -440,18 +440,19 @@ def incremental_blocks(spark, sf_dir):
     t = _t(spark, sf_dir)
     rules = rules_frame(spark)
     old, new = derived.docs_old(t), derived.docs_new(t)
-    before = build_blocks(old, rules)
+    before = build_blocks(old, rules, valid_only=True)
+    old_rows = before.block_rows  # numbered once, for the heads too
     folders, files = _stored_old(t)
     changed = (diff_files(new, files).select("folder_path")
                .unionByName(diff_folders(stats_of(new), folders).select(F.col("path").alias("folder_path")))
                .distinct())
-    _, rows = rebuild_changed(before.block_heads, before.block_rows, new, before.plan, changed)
+    _, rows = rebuild_changed(before.block_heads, old_rows, new, before.plan, changed)
     return long_cells(rows)
 
 
 @query
 def datablock_dump(spark, sf_dir):
-    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark))
+    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark), valid_only=True)
     return json_dump(b.block_rows, b.block_heads)
 
 
@@ -570,7 +571,7 @@ def folder_files(spark, sf_dir):
 def dump_files(spark, sf_dir):
     """The text dump of the published blocks, written and read back."""
     out = scratch_path(spark, "dump")
-    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark))
+    b = build_blocks(written(derived.runs_listing(_t(spark, sf_dir))), rules_frame(spark), valid_only=True)
     write_dump(json_dump(b.block_rows, b.block_heads), out)
     return spark.read.text(out).select(F.col("value").alias("json"))
 

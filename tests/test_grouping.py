@@ -3,6 +3,7 @@ pure-Python model of the same semantics (used only here)."""
 
 import string
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -103,6 +104,41 @@ def test_nearest_rule_and_rejects(spark):
         ("/q", "missing rule"), ("/r/bad", "invalid rule")}
 
 
+def test_blocks_alone_write_and_number_valid_rows_only(spark):
+    """Heads are numbered without cells, and once with them if the rows were read before."""
+    names = [f"sample{s}_S{s}_L001_R{r}_001.fastq.gz" for s in range(1, 30) for r in (1, 2) if (s, r) != (7, 2)] + ["odd.txt"]
+    lst = listing(spark, "/d", names).unionByName(listing(spark, "/e", ["one.txt", "two.txt"]))
+    rs = rules(spark, ("/d",) + FASTQ, ("/e", "", [], [], [], [], 0, 0))
+    whole, blocks = build_blocks(lst, rs), build_blocks(lst, rs, valid_only=True)
+    heads = sorted(map(str, whole.block_heads.collect()))
+    assert sorted(map(str, blocks.block_heads.collect())) == heads and "n_rows=28" in heads[0] and "n_rows=0" in heads[1]
+    assert "numbered_valid" not in blocks.grouping.__dict__
+    assert set(blocks.grouping.entries.columns) == {"folder_path", "first_seen", "entries"}
+    assert blocks.grouping.entries.count() == 28
+    assert sorted(map(str, blocks.block_rows.collect())) == sorted(map(str, whole.block_rows.collect()))
+    assert "row_number" in blocks.grouping.numbered_heads.columns
+    again = build_blocks(lst, rs, valid_only=True)
+    assert again.block_rows.count() == 28
+    assert sorted(map(str, again.block_heads.collect())) == heads
+    for output in ("rows", "cells", "valid_rows"):
+        with pytest.raises(ValueError):
+            getattr(blocks.grouping, output)
+
+
+def test_cells_of_listed_order_and_repeated_files(spark):
+    """The last file of a cell in listing order wins, whatever its name; repeated files count."""
+    rows = [("/l", n, i) for i, n in enumerate(["a_x_9.t", "a_x_1.t", "b_y_1.t", "a_z_1.t", "a_x_5.t", "a_z_1.t"])]
+    rule = rules(spark, ("/l", "1", ["_", "."], ["x", "z"], [0], [1], 0, 0))
+    def cells(g):
+        return sorted((r["row_key"], r["col_key"], r["name"], r["n_names"], r["n_cols"], r["first_seen"]) for r in g.cells.collect())
+    listed = spark.createDataFrame(rows, "folder_path string, name string, ord long")
+    assert cells(NameGrouping(listed, rule)) == [("a", "x", "a_x_5.t", 3, 2, 0), ("a", "z", "a_z_1.t", 2, 2, 0), ("b", "y", "b_y_1.t", 1, 1, 2)]
+    assert cells(NameGrouping(listed.drop("ord"), rule)) == [
+        ("a", "x", "a_x_9.t", 3, 2, "a_x_1.t"), ("a", "z", "a_z_1.t", 2, 2, "a_x_1.t"), ("b", "y", "b_y_1.t", 1, 1, "b_y_1.t")]
+    plan = NameGrouping(listed.drop("ord"), rule)
+    assert "SortAggregate" not in plan._few(plan.hashed)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ranged_index_equals_window(spark):
     rows = [("hot", f"k{i:05d}") for i in range(3000)] + [(f"f{i % 7}", f"k{i:05d}") for i in range(500)]
     df = spark.createDataFrame(rows, "folder_path string, first_seen string")
