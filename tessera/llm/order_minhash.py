@@ -33,6 +33,7 @@ LEVELS = ((3, 12, 1), (12, 150, 2))
 TINY, MORE = 16, 4
 SHORT = 400  # shingles of the texts that are compared by their rarest shingles last, which misses no pair
 BITS = 512   # of a text's parity map
+LONG = 4096  # of the maps on the last level, where texts of over SIMILARITY * SHORT shingles are compared in all pairs
 SAMPLED = 16  # one in so many open texts tells which shingles are common
 RARE = 256    # a shingle that fewer than one in so many of these hold isn't
 CROWD = 64    # texts that are joined on one shingle without exact counts
@@ -134,9 +135,29 @@ def sketches(texts: DataFrame, take: int, elements: int, least: int = 0) -> Data
     return texts.mapInArrow(run, "node binary, doc long, n long, element int, key long")
 
 
+def _parities(own: list[np.ndarray], size: int) -> pa.Array:
+    """For each text's shingles and each of ``size`` buckets, whether an odd number of them falls into it."""
+    odd = np.array([(np.bincount((x % U(size)).astype(np.int64), minlength=size) & 1).astype(bool) for x in own])
+    bits = np.packbits(odd, axis=1).view(np.int64)
+    return pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * (size // 64)).astype(np.int32)), pa.array(bits.ravel()))
+
+
+def maps(texts: DataFrame, size: int) -> DataFrame:
+    """(node, bits) of ``texts`` (node, text): their parity maps, whatever their length; wordless texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, w in each_chunk(batch):
+                rows = np.flatnonzero(np.diff(w.first))
+                if len(rows):
+                    own = [labelled(w.hash[w.first[r]:w.first[r + 1]]) for r in rows]
+                    yield pa.RecordBatch.from_arrays([batch.column("node").slice(lo, hi - lo).take(pa.array(rows)), _parities(own, size)], names=["node", "bits"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, bits array<long>")
+
+
 def profiles(texts: DataFrame) -> DataFrame:
-    """(node, n, own, bits) of ``texts`` (node, text) of up to SHORT shingles: the shingles,
-    and for each of BITS buckets whether an odd number of them falls into it."""
+    """(node, n, own, bits) of ``texts`` (node, text) of up to SHORT shingles: the shingles and the parity map."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,14 +166,12 @@ def profiles(texts: DataFrame) -> DataFrame:
                 own = [(r, x) for r, x in own if len(x) <= SHORT]
                 if not own:
                     continue
-                odd = np.array([np.bincount((x % U(BITS)).astype(np.int64), minlength=BITS) & 1 for _, x in own], bool)
-                bits = np.packbits(odd, axis=1).view(np.int64)
                 size = np.array([len(x) for _, x in own])
                 at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("node").slice(lo, hi - lo).take(pa.array([r for r, _ in own])), pa.array(size, pa.int64()),
                      pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([x for _, x in own]).view(np.int64))),
-                     pa.ListArray.from_arrays(pa.array((np.arange(len(own) + 1) * (BITS // 64)).astype(np.int32)), pa.array(bits.ravel()))],
+                     _parities([x for _, x in own], BITS)],
                     names=["node", "n", "own", "bits"])
 
     return texts.mapInArrow(run, "node binary, n long, own array<long>, bits array<long>")
@@ -188,30 +207,53 @@ def _close(a: str | Column, b: str | Column) -> Column:
     return F.least(a, b) >= SIMILARITY * F.greatest(a, b)
 
 
+def _alike(n_a: Column, n_b: Column, bits_a: list[Column], bits_b: list[Column]) -> Column:
+    """Whether parity maps allow SIMILARITY: such texts differ in (n + m) / 9 shingles at
+    most, and so in no more bits."""
+    apart = reduce(Column.__add__, [F.bit_count(x.bitwiseXOR(y)) for x, y in zip(bits_a, bits_b)])
+    return apart <= (n_a + n_b) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+
+
+def _map(bits: Column, size: int = BITS) -> list[Column]:
+    return [bits[i] for i in range(size // 64)]
+
+
+def _own(buckets: DataFrame) -> list[str]:
+    """What candidates are judged by; ``buckets`` may lack the parity maps."""
+    return [c for c in ("node", "n", "label", "bits") if c in buckets.columns]
+
+
 def _leaders(buckets: DataFrame, leaders: int) -> DataFrame:
     """(key, leaders): one row per element with the earliest text of each of ``leaders`` hashed parts."""
     part = F.pmod(F.xxhash64("node"), F.lit(leaders))
-    least = buckets.groupBy("key", part.alias("part")).agg(F.min_by(F.struct("node", "n", "label"), F.struct("doc", "node")).alias("least"))
+    least = buckets.groupBy("key", part.alias("part")).agg(F.min_by(F.struct(*_own(buckets)), F.struct("doc", "node")).alias("least"))
     return least.groupBy("key").agg(F.collect_list("least").alias("leaders"))
 
 
 def _stars(buckets: DataFrame, leaders: int) -> DataFrame:
     """Candidates (a, b): each text of an element with its earliest text, or
     with the earliest of each of ``leaders`` hashed parts. A leader that a text meets
-    in several elements is one candidate before any pair becomes a row."""
-    others = F.filter("leaders", lambda x: (F.col("node") != x["node"]) & (F.col("label") != x["label"]) & _close(F.col("n"), x["n"]))
+    in several elements is one candidate before any pair becomes a row, and pairs that
+    lengths or parity maps exclude never become one."""
+    def possible(x: Column) -> Column:
+        found = (F.col("node") != x["node"]) & (F.col("label") != x["label"]) & _close(F.col("n"), x["n"])
+        return found & _alike(F.col("n"), x["n"], _map(F.col("bits")), _map(x["bits"])) if "bits" in buckets.columns else found
+
+    others = F.filter("leaders", possible)
     both = buckets.join(_leaders(buckets, leaders), "key").select("node", F.transform(others, lambda x: x["node"]).alias("others"))
     met = both.where(F.size("others") > 0).groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
     pairs = met.select("node", F.explode("others").alias("other"))
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
-def _pairs(buckets: DataFrame, shared: int) -> DataFrame:
-    """Candidates (a, b): all pairs of texts that share ``shared`` elements."""
-    left = buckets.select("key", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    right = buckets.select("key", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _close("na", "nb")).groupBy("a", "b").agg(
-        F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
+def _pairs(buckets: DataFrame, shared: int, size: int = BITS) -> DataFrame:
+    """Candidates (a, b): all pairs of texts that share ``shared`` elements, but for
+    those that lengths or parity maps exclude."""
+    left, right = (buckets.select("key", *(F.col(c).alias(f"{c}_{side}") for c in _own(buckets))) for side in "ab")
+    both = left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & _close("n_a", "n_b"))
+    if "bits" in buckets.columns:
+        both = both.where(_alike(F.col("n_a"), F.col("n_b"), _map(F.col("bits_a"), size), _map(F.col("bits_b"), size)))
+    return both.groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b")).agg(F.count("*").alias("n")).where(F.col("n") >= shared).select("a", "b")
 
 
 def _common(every: DataFrame) -> np.ndarray:
@@ -255,15 +297,14 @@ def _by_rarity(every: DataFrame) -> DataFrame:
 
 
 def _near_on(keys: DataFrame, every: DataFrame) -> DataFrame:
-    """Candidates (a, b) with a key of (node, key) in common, of different labels; they
-    differ in (n + m) / 9 shingles at most, and so in no more bits of the parity maps."""
+    """Candidates (a, b) with a key of (node, key) in common, of different labels, that
+    lengths and parity maps allow."""
     keys = materialize(keys.join(every.drop("own"), "node"), "rare")
     left, right = (keys.select("key", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "label")),
                                *(F.col("bits")[i].alias(f"{side}{i}") for i in range(BITS // 64))) for side in "ab")
-    apart = reduce(Column.__add__, [F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(BITS // 64)])
-    most = (F.col("n_a") + F.col("n_b")) * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6
+    bits_a, bits_b = ([F.col(f"{side}{i}") for i in range(BITS // 64)] for side in "ab")
     both = left.join(right, (left["key"] == right["key"]) & (F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b"))
-                     & _close("n_a", "n_b") & (apart <= most))
+                     & _close("n_a", "n_b") & _alike(F.col("n_a"), F.col("n_b"), bits_a, bits_b))
     return both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -326,14 +367,17 @@ def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         if level == 0:
             known = buckets.select("node", "doc").distinct()
             own = texts = materialize(texts.join(known, ["node", "doc"], "left_semi").dropDuplicates(["node"]), "texts")
+            bits = materialize(maps(texts, BITS), "maps")
             # a few elements first: most of a group's texts are then known to be in it
-            found.append(materialize(verified(_stars(buckets.where(F.col("element") < FIRST), 1), texts), "verified"))
+            found.append(materialize(verified(_stars(buckets.where(F.col("element") < FIRST).join(bits, "node"), 1), texts), "verified"))
             buckets = _labelled(buckets, components(found[0]))
-        large = F.col("texts") > SMALL
+        else:
+            bits = materialize(maps(own, LONG), "maps")
+        large, mapped = F.col("texts") > SMALL, buckets.join(bits, "node")
         if last:
-            pairs = _pairs(buckets, shared).union(_rare_pairs(own, labels)).distinct()
+            pairs = _pairs(mapped, shared, LONG).union(_rare_pairs(own, labels)).distinct()
         else:
-            pairs = _stars(buckets.where(large), LEADERS).union(_pairs(buckets.where(~large), shared)).distinct()
+            pairs = _stars(mapped.where(large), LEADERS).union(_pairs(mapped.where(~large), shared)).distinct()
         found.append(materialize(verified(pairs, texts), "verified"))
         labels = components(reduce(DataFrame.union, found))
         if last:

@@ -181,3 +181,24 @@ def test_leaders_of_crowded_elements(spark):
     first = {r.key: bytes(r.leaders[0].node) for r in order_minhash._leaders(buckets, 1).collect()}
     for key in range(10):
         assert first[key] == min((doc, x) for k, x, _, doc, _ in rows if k == key)[1]
+
+
+def test_maps_keep_links_and_exclude_a_common_passage(spark):
+    """60 texts about one passage in one element: pairs that the parity maps exclude never
+    become candidates, and every linked pair does, among all pairs and with leaders."""
+    rng = random.Random(14)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    for passage, rest, size in ((60, 60, order_minhash.BITS), (400, 300, order_minhash.LONG)):
+        common = [word() for _ in range(passage)]
+        bases = [common + [word() for _ in range(rest)] for _ in range(15)]
+        texts = {bytes([i]) * 16: " ".join(edited(rng, bases[i % 15], i // 15 * rest // 100)) for i in range(60)}
+        own = {x: order_minhash.labelled(order_minhash.words(*order_minhash.utf8(order_minhash.pa.array([t]))).hash) for x, t in texts.items()}
+        linked = {(x, y) for x in own for y in own if x < y and order_minhash.similarity(own[x], own[y]) >= order_minhash.SIMILARITY}
+        maps = order_minhash.maps(spark.createDataFrame(list(texts.items()), "node binary, text string"), size)
+        buckets = spark.createDataFrame([(1, x, len(own[x]), i, x) for i, x in enumerate(own)], "key long, node binary, n long, doc long, label binary").join(maps, "node")
+        pairs = {(bytes(r.a), bytes(r.b)) for r in order_minhash._pairs(buckets, 1, size).collect()}
+        assert len(linked) > 40 and linked <= pairs and len(pairs) < 1.2 * len(linked) < 60 * 59 / 4
+        if size == order_minhash.BITS:
+            lead = {bytes(x.node) for r in order_minhash._leaders(buckets, 16).collect() for x in r.leaders}
+            stars = {(bytes(r.a), bytes(r.b)) for r in order_minhash._stars(buckets, 16).collect()}
+            assert {p for p in linked if lead & set(p)} <= stars <= pairs
