@@ -165,3 +165,79 @@ def test_near_lines_share_a_segment():
 
 def test_empty_table(spark, docs):
     assert line_dedup.repeated(docs.where(F.lit(False))).count() == 0
+
+
+def test_near_lines_have_as_many_counted_keys_in_common_as_they_need():
+    rng = random.Random(13)
+    seen = left_out = 0
+    for trial in range(600):
+        vocabulary = ["".join(rng.choices("abcde", k=rng.randrange(1, 12))) for _ in range(rng.choice([1, 3, 8, 50, 5000]))]
+        a = rng.choices(vocabulary, k=rng.choice([8, 9, 15, 19, 20, 21, 29, 30, 55, 140]))
+        b = list(a)
+        for _ in range(rng.randrange(1, max(1, len(a) // 10) + 1)):
+            at, kind = rng.randrange(len(b) + 1), rng.randrange(3)
+            b[at:at + (kind > 0)] = [rng.choice(vocabulary + ["new"])] if kind < 2 else []
+        if a == b or not near_lines(a, b):
+            continue
+        data, offsets = utf8(pa.array([" ".join(a) + "\n" + " ".join(b)]))
+        w = words(data, offsets)
+        _, head, tail, _, _ = line_dedup.lines_of(w, w.data)
+        line, key, lines, need = line_dedup._counted(w, head, tail)
+        common = len(set(key[line == 0]) & set(key[line == 1]))
+        assert len(set(key[line == 0])) == (line == 0).sum() and lines.tolist() == [0, 1] and common >= max(need)
+        seen, left_out = seen + 1, left_out + (max(need) > 0)
+    assert seen > 300 and left_out > 200
+
+
+def test_words_lacking_bound_the_edits():
+    rng = random.Random(14)
+    pairs = [[[rng.randrange(4) for _ in range(rng.randrange(1, 9))] for _ in range(2)] for _ in range(300)]
+    at = [np.concatenate([[0], np.cumsum([len(p[i]) for p in pairs])]) for i in (0, 1)]
+    flat = [np.array([x for p in pairs for x in p[i]], np.uint32) for i in (0, 1)]
+    want = [max(sum((Counter(a) - Counter(b)).values()), sum((Counter(b) - Counter(a)).values())) for a, b in pairs]
+    assert line_dedup._lacking(flat[0], at[0], flat[1], at[1]).tolist() == want
+    assert all(distance(a, b) >= n for (a, b), n in zip(pairs, want))
+
+
+def test_map_has_all_idents(spark):
+    rng = np.random.default_rng(15)
+    content = rng.integers(-2 ** 63, 2 ** 63 - 1, 20000)
+    held = line_dedup._map(line_dedup._idents(spark.createDataFrame([(int(x),) for x in content], "content long"), 7), 7)
+    assert line_dedup._is_in(content.view(np.uint64), held).all()
+    others = rng.integers(-2 ** 63, 2 ** 63 - 1, 20000).view(np.uint64)
+    assert line_dedup._is_in(others, held).mean() < 0.02
+    none = line_dedup._map(line_dedup._idents(spark.createDataFrame([], "content long"), 7), 7)
+    assert not line_dedup._is_in(others, none).any()
+
+
+def test_a_common_passage_makes_no_rows(spark, monkeypatch):
+    """Lines with a passage in common that are not near are left out by counts; near ones among them are found."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 11)))
+    passage = [word() for _ in range(25)]
+    texts = [[word() for _ in range(20)] + passage + [word() for _ in range(15)] for _ in range(1500)]
+    for i in range(10):
+        texts[1000 + i] = texts[i][:3] + ["other"] + texts[i][4:50] + texts[i][51 + i % 2:]
+    most = []
+    write = line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, *a, **b: (out := write(df, *a, **b), most.append(out.count()))[0])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    gone = [r.doc_id for r in line_dedup.repeated(df).where("n_near > 0").collect()]
+    assert sorted(gone) == list(range(1000, 1010))
+    assert max(most) <= len(texts)
+
+
+def test_crowded_near_copies(spark):
+    """Copies of one line with few or many edits, more than its first line excludes, in rows of equal and null keys."""
+    rng = random.Random(17)
+    base = [f"word{rng.randrange(3000)}" for _ in range(64)]
+    rows = []
+    for i in range(160):
+        w = list(base)
+        for _ in range(rng.randrange(0, 11)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(40)}"
+        rows.append((rng.choice([None, i // 2]), " ".join(w) + "\nshort line\n" + " ".join(w[:9])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.repeated(df).select("doc_id", "n_lines", "n_equal", "n_near", F.array_join(F.col("removed").cast("array<string>"), ","))
+    want = brute(rows)
+    assert got(found) == want and len({r[3] for r in want}) > 1
