@@ -20,6 +20,8 @@ and counted there; a Spark row holds the keys that one task has for one bucket.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 from types import SimpleNamespace
 
 import numpy as np
@@ -187,9 +189,20 @@ def _packed(rows) -> Iterator[pa.RecordBatch]:
                                          names=["bucket", "kind", "data"])
 
 
-def _read(batch: pa.RecordBatch, kind: int, dtype) -> np.ndarray:
-    data = [np.frombuffer(x, dtype) for x, k in zip(batch.column("data").to_pylist(), batch.column("kind").to_pylist()) if k == kind]
-    return np.concatenate(data) if data else np.zeros(0, dtype)
+def _by_bucket(packed: DataFrame) -> DataFrame:
+    """Packed rows, those of a bucket together, for ``_each_bucket``: a task holds one bucket at a time."""
+    return packed.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _each_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """(bucket, its rows' (kind, data))."""
+    rows = (x for batch in batches for x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data"))))
+    for bucket, own in groupby(rows, key=itemgetter(0)):
+        yield bucket, [x[1:] for x in own]
+
+
+def _joined(rows: list[tuple[int, bytes]], kind: int, dtype) -> np.ndarray:
+    return np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for k, x in rows if k == kind)])
 
 
 def _buckets(df: DataFrame, most: int) -> int:
@@ -307,51 +320,39 @@ def _met(packed: DataFrame, few: int) -> DataFrame:
     """The counted keys met in their buckets: (ident, shared keys); and lines: later copies. The rest stays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: dict[int, list[np.ndarray]] = {}
-        lines = []
-        for batch in batches:
-            rest = []
-            for bucket, kind, data in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data"))):
-                if kind == KEYS:
-                    keys.setdefault(bucket, []).append(np.frombuffer(data, U))
-                elif kind == LINES:
-                    lines.append(np.frombuffer(data, AT))
-                else:
-                    rest.append((bucket, kind, np.frombuffer(data, np.uint8)))
-            yield from _packed(rest)
-        out = []
-        if lines:
-            _, later = _copies(np.concatenate(lines))
+        shared, size = [], 0
+        for bucket, rows in _each_bucket(batches):
+            out = [(bucket, kind, np.frombuffer(x, np.uint8)) for kind, x in rows if kind not in (KEYS, LINES)]
+            _, later = _copies(_joined(rows, LINES, AT))
             if len(later):
-                out.append((0, EQUAL, _gone(later)))
-        shared = []
-        for bucket in list(keys):
-            pairs = _distinct(np.concatenate(keys.pop(bucket)))
-            shared.append((pairs[_sharing(pairs)[0]] & U(0xFFFFFFFF)))
-        out.extend(_tallied(np.concatenate(shared) if shared else np.zeros(0, U), few))
-        yield from _packed(out)
+                out.append((bucket, EQUAL, _gone(later)))
+            pairs = _distinct(_joined(rows, KEYS, U))
+            shared.append(pairs[_sharing(pairs)[0]] & U(0xFFFFFFFF))
+            size += len(shared[-1])
+            if size > FLUSH:
+                out.extend(_tallied(np.concatenate(shared), few))
+                shared, size = [], 0
+            yield from _packed(out)
+        if size:
+            yield from _packed(_tallied(np.concatenate(shared), few))
 
-    return packed.repartition("bucket").mapInArrow(run, PACKED)
+    return _by_bucket(packed).mapInArrow(run, PACKED)
 
 
-def _left(met: DataFrame, few: int) -> DataFrame:
+def _left(met: DataFrame) -> DataFrame:
     """The idents of the lines with as many shared keys as they need, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        need, shared = [np.zeros(0, U)], [np.zeros(0, U)]
-        for batch in batches:
-            need.append(_read(batch, NEED, U))
-            shared.append(_read(batch, SHARED, U))
-        need, shared = _distinct(np.concatenate(need)), np.sort(np.concatenate(shared))
-        start, _ = _runs(need >> U(32))  # an ident's least need comes first
-        ident, need = need[start] >> U(32), need[start] & U(0xFFFFFFFF)
-        total = np.concatenate([np.zeros(1, U), np.cumsum(shared & U(0xFFFFFFFF), dtype=U)])
-        shared = shared >> U(32)
-        have = total[np.searchsorted(shared, ident, side="right")] - total[np.searchsorted(shared, ident)]
-        ident = ident[have >= need]
-        yield from _packed(_dealt(0, ident >> U(32 - few), ident))
+        for bucket, rows in _each_bucket(batches):
+            need, shared = _distinct(_joined(rows, NEED, U)), np.sort(_joined(rows, SHARED, U))
+            start, _ = _runs(need >> U(32))  # an ident's least need comes first
+            ident, need = need[start] >> U(32), need[start] & U(0xFFFFFFFF)
+            total = np.concatenate([np.zeros(1, U), np.cumsum(shared & U(0xFFFFFFFF), dtype=U)])
+            shared = shared >> U(32)
+            have = total[np.searchsorted(shared, ident, side="right")] - total[np.searchsorted(shared, ident)]
+            yield from _packed([(bucket, 0, ident[have >= need])])
 
-    return met.where(F.col("kind").isin(NEED, SHARED)).repartition("bucket").mapInArrow(run, PACKED)
+    return _by_bucket(met.where(F.col("kind").isin(NEED, SHARED))).mapInArrow(run, PACKED)
 
 
 def _idents(contents: DataFrame, few: int) -> DataFrame:
@@ -379,17 +380,15 @@ def _map(packed: DataFrame, few: int) -> tuple[int, int, np.ndarray]:
     wide = min(MAP_BITS.bit_length() - 1, max(16, (2 * total).bit_length()))  # an ident's 8 bytes get 16 bits or more
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
-                part = held.setdefault(bucket, np.zeros(1 << (wide - few), bool))
-                for at in _spots(np.frombuffer(data, U), wide, few):
-                    part[at & ((1 << (wide - few)) - 1)] = True
-        yield from _packed((bucket, 0, np.packbits(part, bitorder="little")) for bucket, part in held.items())
+        for bucket, rows in _each_bucket(batches):
+            part = np.zeros(1 << (wide - few), bool)
+            for at in _spots(_joined(rows, 0, U), wide, few):
+                part[at & ((1 << (wide - few)) - 1)] = True
+            yield from _packed([(bucket, 0, np.packbits(part, bitorder="little"))])
 
     out = np.zeros((1 << wide) >> 3, np.uint8)
     size = (1 << (wide - few)) >> 3
-    for r in packed.repartition("bucket").mapInArrow(run, PACKED).collect():
+    for r in _by_bucket(packed).mapInArrow(run, PACKED).collect():
         out[r["bucket"] * size:(r["bucket"] + 1) * size] = np.frombuffer(r["data"], np.uint8)
     return wide, few, out
 
@@ -575,19 +574,15 @@ def _groups(records: DataFrame) -> DataFrame:
     """Keys' lines by their places, of keys that several lines have, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {}
-        for batch in batches:
-            for bucket, data in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist()):
-                held.setdefault(bucket, []).append(np.frombuffer(data, RECORD))
-        for bucket in list(held):
-            found = np.concatenate(held.pop(bucket))
+        for bucket, rows in _each_bucket(batches):
+            found = _joined(rows, 0, RECORD)
             found = found[np.lexsort((found["low"], found["high"], found["key"]))]
             start, size = _runs(found["key"])
             found = found[np.repeat(size > 1, size)]
             if len(found):
                 yield from _packed([(bucket, 0, found)])
 
-    return records.repartition("bucket").mapInArrow(run, PACKED)
+    return _by_bucket(records).mapInArrow(run, PACKED)
 
 
 def _allowed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -637,12 +632,11 @@ def _candidates(groups: DataFrame, bits: int, pairs_of) -> DataFrame:
                     yield from _packed(_dealt(0, mix(pairs[:, 0]) >> U(64 - bits), pairs))
 
     def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs = [_read(batch, 0, U).reshape(-1, 2) for batch in batches]
-        if pairs:
-            pairs = np.unique(np.concatenate(pairs), axis=0).view(np.int64)
+        for _, rows in _each_bucket(batches):
+            pairs = np.unique(_joined(rows, 0, U).reshape(-1, 2), axis=0).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["content", "before"])
 
-    return groups.mapInArrow(find, PACKED).repartition("bucket").mapInArrow(once, "content long, before long")
+    return _by_bucket(groups.mapInArrow(find, PACKED)).mapInArrow(once, "content long, before long")
 
 
 def _compared(candidates: DataFrame, lines: DataFrame) -> DataFrame:
@@ -678,7 +672,7 @@ def _unpacked(met: DataFrame, kind: int, dtype, schema: str, optional: str = "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = _read(batch, kind, dtype)
+            rows = _joined([(kind, x) for x in batch.column("data").to_pylist()], kind, dtype)
             names = [c for c in dtype.names if c != "known"]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(rows[c]), mask=rows["known"] == 0 if c == optional else None) for c in names], names=names)
 
@@ -718,7 +712,7 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     own = docs.select(F.col(quoted(key)).cast("long").alias("doc_id"), F.xxhash64(F.col(quoted(text))).alias("tag"), F.col(quoted(text)).alias("text"))
     bits, few = _buckets(docs, 15), _buckets(docs, 10)
     met = materialize(_met(_scanned(own, bits, few), few), "met")
-    held = docs.sparkSession.sparkContext.broadcast(_map(materialize(_left(met, few), "left"), few))
+    held = docs.sparkSession.sparkContext.broadcast(_map(materialize(_left(met), "left"), few))
     copies = materialize(_tokens(own, held), "copies").withColumn("place", _place().cast("decimal(38,0)"))
     lines = copies.groupBy("content").agg(F.min(F.struct("place", "doc_id", "line", "n", "tokens")).alias("first")).select("content", "first.*")
     lines = materialize(lines, "words")
